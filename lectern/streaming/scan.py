@@ -20,11 +20,11 @@ def fill_lines(texts: DataFrame) -> DataFrame:
 
 def windowed(events: DataFrame, length: str, slide: str | None = None, late: str | None = None) -> DataFrame:
     """Events (ts, event_type) counted by window and type; ``late`` is the watermark of a stream."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
     return rows.groupBy(F.window("ts", length, slide).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     """Events of each user in sessions that end after a gap."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
     return rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
