@@ -99,7 +99,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """log(target / raw) by hash place, float32. All zero where there is no trusted row.
 
     Raw counts take every n-gram of ``docs``; the target's those of up to ``max_trusted`` rows whose
-    id ``labels`` gives quality 1. The target is smoothed by ``smoothing`` times the raw share.
+    id ``labels`` gives quality 1. The target is smoothed by the raw shares, which weigh as much as
+    ``smoothing`` n-grams a place: few trusted rows then say little, and no clean document goes for
+    want of evidence.
     """
     trusted = labels.filter(F.col(quality_col) == 1).select(F.col(id_col).alias("id")).filter("id is not null").distinct()
     ids = sorted(r.id for r in trusted.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(max_trusted).collect())
