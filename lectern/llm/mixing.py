@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lectern.llm._shared import stored
 
 #: Rows that a range of the shuffled order, or of finish times, should hold.
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _ranges(rows: int) -> int:
-    return int(min(1 << 16, max(1, rows // ROWS_PER_RANGE)))
+    return int(min(1 << 18, max(1, rows // ROWS_PER_RANGE)))
 
 
 def ranked(sources: DataFrame, name: str) -> DataFrame:
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", sou
     n = _ranges(known[0])
     t = stored(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget_share, copies), "targets")
     # words of the source up to each document, by ranges of the hash
-    d = d.withColumn("range", F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * n / 65536))
+    d = d.withColumn("range", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * n / (1 << 24)))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = d.groupBy("source", "range").agg(F.sum("size").alias("in_range")).withColumn("base", F.coalesce(F.sum("in_range").over(before), F.lit(0)))
     bases = bases.join(t, bases["source"].eqNullSafe(t["source"])).select(bases["source"].alias("s"), F.col("range").alias("r"), "base", "source_size", "target")
