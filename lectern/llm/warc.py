@@ -116,7 +116,9 @@ def read(index: DataFrame) -> DataFrame:
     payload read. ``refers_to`` is the id a revisit names.
     """
     kind = index.schema["page_id"].dataType
-    ordered = index.select("page_id", "url", "folder", "file", "offset", "length").repartition("file", F.floor(F.col("offset") / READ)).sortWithinPartitions("folder", "file", "offset")
+    # the rows are small and what they name is large, so the number of tasks follows the bytes to read
+    tasks = int(index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] // READ) + 1
+    ordered = index.select("page_id", "url", "folder", "file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / READ)).sortWithinPartitions("folder", "file", "offset")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from_text = pa.string()
