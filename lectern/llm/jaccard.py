@@ -307,5 +307,6 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     linked = components(found)
     by_root = linked.join(by_node, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = linked.join(by_root, "root").select("node", "component_id")
-    best = by_node.join(of_node, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    # stored, so that both sides of the last join are dealt by it alone and Spark can split a node with many copies
+    best = stored(by_node.join(of_node, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "classes")
     return known.join(best, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
