@@ -38,16 +38,25 @@ def leaves(nodes: DataFrame) -> DataFrame:
     return own.select("doc_id", "node_id", "tag", F.when(F.col("tag") == "Form", "form").otherwise("text").alias("kind"), place.alias("place"))
 
 
+#: Pages with more contents than this are counted by merging, smaller ones pair by pair inside the JVM.
+LARGE_PAGE = 64
+
+
 def inversion_rates(tree: DataFrame, paint: DataFrame) -> DataFrame:
     """Per page: contents on both sides and the share of pairs painted in another order than the tree has.
 
-    A content that the tree names twice counts at its last place. Fewer than two give 0. Each page is
-    counted by merge sort in numpy, so a page of n contents costs n log n; pages are the groups.
+    A content that the tree names twice counts at its last place. Fewer than two give 0. The contents
+    of a page are one array; a large page is counted by merge sort in numpy, n log n.
     """
     last = tree.groupBy("doc_id", "page", "mcid").agg(F.max("pos").alias("place"))
     sizes = tree.groupBy("doc_id", "page").agg(F.count("*").alias("tree_n")).join(paint.groupBy("doc_id", "page").agg(F.count("*").alias("paint_n")), ["doc_id", "page"])
-    both = paint.join(last, ["doc_id", "page", "mcid"]).groupBy("doc_id", "page").applyInPandas(_count_page, "doc_id long, page int, n long, rate double")
-    return sizes.join(both, ["doc_id", "page"], "left").select("doc_id", "page", "tree_n", "paint_n", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("rate", F.lit(0.0)).alias("rate"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "place"))), lambda x: x["place"])
+    pages = paint.join(last, ["doc_id", "page", "mcid"]).groupBy("doc_id", "page").agg(ordered.alias("places")).withColumn("n", F.size("places").cast("long"))
+    pairs = F.expr("aggregate(sequence(1, size(places)), 0L, (total, i) -> total + size(filter(slice(places, 1, i - 1), x -> x > places[i - 1])))")
+    small = pages.filter(F.col("n") <= LARGE_PAGE).select("doc_id", "page", "n", pairs.alias("inverted"))
+    large = pages.filter(F.col("n") > LARGE_PAGE).select("doc_id", "page", "n", F.pandas_udf(_merge_counts, "long")("places").alias("inverted"))
+    rate = F.when(F.col("n") > 1, 2 * F.col("inverted") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)
+    return sizes.join(small.unionByName(large), ["doc_id", "page"], "left").select("doc_id", "page", "tree_n", "paint_n", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def _inversions(values: np.ndarray) -> int:
@@ -58,11 +67,8 @@ def _inversions(values: np.ndarray) -> int:
     return _inversions(left) + _inversions(right) + int((len(left) - np.searchsorted(np.sort(left), right, "right")).sum())
 
 
-def _count_page(page: pd.DataFrame) -> pd.DataFrame:
-    places = page.sort_values("pos", kind="stable")["place"].to_numpy()
-    n = len(places)
-    rate = 2 * _inversions(places) / (n * (n - 1)) if n > 1 else 0.0
-    return pd.DataFrame({"doc_id": [page["doc_id"].iloc[0]], "page": [page["page"].iloc[0]], "n": [n], "rate": [rate]})
+def _merge_counts(places: pd.Series) -> pd.Series:
+    return places.map(lambda p: _inversions(np.asarray(p)))
 
 
 def heading_skips(nodes: DataFrame, doc: str, level: str, order: str) -> DataFrame:

@@ -315,8 +315,8 @@ def page_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, html in batch.itertuples(index=False):
-                rows = [{"doc_id": key, "content_doc": ""} | r for r in html_elements(html)]
+            for low in range(0, len(batch), 100):
+                rows = [{"doc_id": key, "content_doc": ""} | r for key, html in batch.iloc[low : low + 100].itertuples(index=False) for r in html_elements(html)]
                 yield pd.DataFrame(rows, columns=["doc_id", "content_doc", "ord", "parent_ord", "post", "el", "attrs", "inner_text"]).astype({"parent_ord": "Int32"})
 
     return pages.select(F.col(id_col).cast("long"), html_col).mapInPandas(run, SCHEMAS["html_el"])

@@ -133,3 +133,18 @@ def test_stream_windows_equal_the_batch(spark, sf_dir, tmp_path):
     q = scan.windowed(stream, "1 hour", late="40 days").writeStream.format("memory").queryName("hours").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(str, spark.table("hours").collect())) == sorted(map(str, scan.windowed(events, "1 hour").collect()))
+
+
+def test_inversion_rates_of_small_and_large_pages(spark):
+    rng = random.Random(3)
+    tree_rows, paint_rows, want = [], [], {}
+    for page, n in enumerate((1, 2, 10, 64, 65, 300)):
+        order = list(range(n))
+        rng.shuffle(order)
+        tree_rows += [(1, page, i, i) for i in range(n)] + [(1, page, n, 0)]  # content 0 counts at its last place
+        paint_rows += [(1, page, i, m) for i, m in enumerate(order)]
+        places = [n if m == 0 else m for m in order]
+        bad = sum(places[i] > places[j] for i in range(n) for j in range(i + 1, n))
+        want[page] = (n, 2 * bad / (n * (n - 1)) if n > 1 else 0.0)
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, page int, pos int, mcid int")
+    assert {r.page: (r.n, r.rate) for r in tree.inversion_rates(make(tree_rows), make(paint_rows)).collect()} == want
