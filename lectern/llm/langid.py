@@ -24,6 +24,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 UNDETERMINED = "und"
 _letters: list[np.ndarray] = []
+#: Bytes of packed presence that fitting unpacks at once.
+_BLOCK = 512
 _G, _P = np.uint32(0x9E3779B1), np.uint32(0x01000193)
 
 
@@ -90,17 +92,24 @@ def fit_presence(rows: list[tuple[str, bytes]], bits: int, longest: int, landmar
     languages = sorted({name for name, _ in rows})
     if not languages:
         return KernelModel([], np.zeros((1 << bits, 0), np.float32), bits, longest)
-    x = np.unpackbits(np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    packed = np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1)
+    size = np.sqrt(np.maximum(np.bitwise_count(packed).sum(1, dtype=np.int64), 1)).astype(np.float32)[:, None]
     y = np.array([[1.0 if name == k else -1.0 for k in languages] for name, _ in rows])
-    mark = x[np.linspace(0, len(rows) - 1, min(landmarks, len(rows))).astype(int)]
-    mm, nm = (mark @ mark.T).astype(float), (x @ mark.T).astype(float)
-    value, vector = np.linalg.eigh(mm)
+    mark = np.linspace(0, len(rows) - 1, min(landmarks, len(rows))).astype(int)
+    # presence rows are unpacked a block of places at a time, so that they never stand whole in memory
+    part = lambda j: np.unpackbits(packed[:, j : j + _BLOCK], axis=1).astype(np.float32) / size
+    blocks = range(0, packed.shape[1], _BLOCK)
+    nm = np.zeros((len(rows), len(mark)))
+    for j in blocks:
+        x = part(j)
+        nm += x @ x[mark].T
+    value, vector = np.linalg.eigh(nm[mark])
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
     phi = nm @ root
     solved = np.linalg.solve(phi.T @ phi + ridge * np.eye(phi.shape[1]), phi.T @ y)
-    return KernelModel(languages, (mark.T @ (root @ solved)).astype(np.float32), bits, longest)
+    weights = np.concatenate([part(j)[mark].T @ (root @ solved) for j in blocks]).astype(np.float32)
+    return KernelModel(languages, weights, bits, longest)
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = 120, max_rows: int = 600, bits: int = 16, longest: int = 4, landmarks: int = 192, ridge: float = 0.1) -> KernelModel:
