@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.llm import decontaminate, jaccard, langid, mixing, secrets
 from lectern.llm._shared import new_path
+from lectern.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go; the others get the predicted one."""
+    ship(spark)
     model = langid.train(docs.filter(~langid.held_out()))
     got = langid.identify(docs, model)
     return got.filter(F.col("lang_pred") != langid.UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(COLUMNS)
