@@ -2,7 +2,9 @@
 
 Every step keeps the components and shortens paths; a node with very many edges is only ever
 grouped by minimum (which Spark sums up per task first) and joined with that one row, so no task
-holds a node's neighbours. Each round is written to the shared folder.
+holds a node's neighbours. The minima are stored before that join: then both of its sides are
+dealt by it alone, and Spark can split a node with many edges. Each round is written to the
+shared folder.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         pairs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = stored(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     joined = pairs.join(least, "a")
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
