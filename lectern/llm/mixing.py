@@ -25,6 +25,11 @@ def _ranges(rows: int) -> int:
     return int(min(1 << 18, max(1, rows // ROWS_PER_RANGE)))
 
 
+def _slot(finish: Column) -> Column:
+    """Finish times as they are up to 2, then by doublings: in the same order, but few values however late they are."""
+    return F.when(finish <= 2, finish).otherwise(1 + F.log2(finish))
+
+
 def ranked(sources: DataFrame, name: str) -> DataFrame:
     """``sources`` with ``rank`` (0-based, by code point, null last), counted by partition, not in one task."""
     ordered = stored(sources.repartitionByRange(F.asc_nulls_last(name)).withColumn("part", F.spark_partition_id()), "sources")
@@ -80,7 +85,7 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", sou
     run = run.join(bases, run["source"].eqNullSafe(bases["s"]) & (run["range"] == bases["r"])).drop("s", "r")
     queue = run.filter("size > 0 and target > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("finish", (F.col("source_size") * F.col("copy") + F.col("base") + F.col("run")) / F.col("target"))
     # the order of finish times, cut where the words taken reach the budget
-    queue = queue.select("source", "range", "nth", "key", "size", "same", "doc_id", "copy", "finish", F.floor(F.col("finish") * n).alias("slot"))
+    queue = queue.select("source", "range", "nth", "key", "size", "same", "doc_id", "copy", "finish", F.floor(_slot(F.col("finish")) * n).alias("slot"))
     slots = queue.groupBy("slot").agg(F.sum("size").alias("words"))
     cut = slots.withColumn("upto", F.sum("words").over(Window.orderBy("slot")))
     budget = budget_share * float(known[1])

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 import brute
@@ -342,3 +343,9 @@ def test_kernel_scores_equal_the_kernel_written_out():
     want = k @ np.linalg.solve(k + 0.1 * np.eye(5), y)  # all rows are landmarks: plain kernel ridge
     got = np.array([model.weights[np.flatnonzero(b)].sum(0) / np.sqrt(b.sum()) for b in bits])
     assert np.allclose(got, want, atol=1e-3)
+
+
+def test_mixture_slots_follow_finish_times(spark):
+    times = [0.0, 0.4, 1.0, 1.5, 2.0, 2.0000001, 3.0, 1e3, 1e9]
+    got = [r.s for r in spark.createDataFrame([(t,) for t in times], "t double").select(mixing._slot(F.col("t")).alias("s")).collect()]
+    assert got == sorted(got) and got[:5] == times[:5] and got[-1] < 40
