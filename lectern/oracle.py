@@ -143,6 +143,28 @@ ORACLE: dict[str, str] = {
     "windowed_event_findings": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "sliding_event_findings": "SELECT date_trunc('hour', ts) - to_hours(k) AS start, event_type, count(*) AS n FROM events, range(2) r(k) GROUP BY 1, 2",
     "session_event_findings": "WITH x AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS start, count(*) AS n FROM y GROUP BY user_id, s",
+    "final_assessment": f"""WITH {S}, g AS (SELECT count(*) AS files, CAST(round_even(avg(score), 0) AS INT) AS score FROM s), k AS (SELECT *, {_grade('score')} AS grade FROM g) SELECT *,
+      CASE grade WHEN 'A' THEN 'Excellent — meets or exceeds most accessibility requirements' WHEN 'B' THEN 'Good foundation — minor issues need attention' WHEN 'C' THEN 'Adequate foundation, moderate fixes required' ELSE 'Significant barriers found — remediation needed before publishing' END AS status,
+      CASE grade WHEN 'A' THEN 'Minimal' WHEN 'B' THEN 'Low' WHEN 'C' THEN 'Moderate' ELSE 'High' END AS effort FROM k""",
+    "scan_profile": f"WITH {F} SELECT severity, count(*) AS n FROM f WHERE severity <> 'Info' GROUP BY severity",
+    "strengths": f"""WITH {F}, t(position, title, rule, type) AS (VALUES (1,'tagged','R1','pdf'),(1,'tagged','R99','pdf'),(2,'labels','R98','pdf'),(3,'images','R97',NULL),(3,'images','R96',NULL),(4,'titles','R2',NULL),(5,'odd','R95','odt'))
+      SELECT CAST(position AS INT) AS position, title FROM t GROUP BY position, title, type HAVING count(*) FILTER (rule IN (SELECT rule FROM f WHERE severity = 'Error')) = 0 AND (type IS NULL OR type IN (SELECT type FROM f))""",
+    "time_estimates": f"""WITH {F}, n AS (SELECT count(*) AS n FROM orders), c AS (SELECT count(DISTINCT doc) FILTER (rule IN ('R1', 'R2')) AS a, count(DISTINCT doc) FILTER (rule IN ('R3', 'R4')) AS b, count(DISTINCT doc) FILTER (rule = 'R5') AS d, count(*) FILTER (rule = 'R3') AS shown FROM f)
+      SELECT 'language' AS task, a AS files, 2 * a AS least, 2 * a AS most FROM c WHERE a > 0 UNION ALL SELECT 'titles', b, 3 * b, 3 * b FROM c WHERE shown > 0 UNION ALL SELECT 'labels', d, 10, 20 FROM c WHERE d > 0
+      UNION ALL SELECT 'Manual reading order review', n, 10 * n, 10 * n FROM n UNION ALL SELECT 'Run accessibility checks', n, 5 * n, 5 * n FROM n""",
+    "scorecard": f"WITH {S} SELECT count(*) AS files, round(avg(score), 6) AS mean, arg_min(doc, (-score, doc)) AS best, arg_min(doc, (score, doc)) AS worst FROM s",
+    "type_ranking": f"WITH {S}, t AS (SELECT *, ['pdf','docx','xlsx','pptx','epub','md'][CAST(doc % 6 + 1 AS INT)] AS type FROM s) SELECT type, count(*) AS files, round(avg(errors), 6) AS mean_errors, arg_min(doc, (-errors, doc)) AS worst FROM t GROUP BY type",
+    "file_totals": f"WITH {S}, x AS (SELECT doc, errors, warnings, score, false AS overall FROM s UNION ALL SELECT NULL, CAST(sum(errors) AS BIGINT), CAST(sum(warnings) AS BIGINT), CAST(round_even(avg(score), 0) AS INT), true FROM s) SELECT *, {_grade('score')} AS grade FROM x",
+    "form_summary": f"""WITH {FIELDS}, x AS (SELECT *, coalesce(['Tx', 'Btn', NULL][CAST(ord % 3 + 1 AS INT)], 'Unknown') AS ft FROM d), k AS (SELECT doc_id, ft, count(*) AS n FROM x GROUP BY 1, 2), l AS (SELECT doc_id, string_agg(ft || ':' || n, ',' ORDER BY ft) AS types FROM k GROUP BY 1)
+      SELECT doc_id, count(*) AS total, count(*) FILTER (tooltip IS NULL) AS missing_tooltip, count(*) FILTER (ord % 5 = 0) AS missing_name, count(*) FILTER (required) AS required, any_value(types) AS types, count(tooltip) AS has_tooltips FROM x JOIN l USING (doc_id) GROUP BY doc_id""",
+    "tag_inventory": f"""WITH RECURSIVE {TREE}, x AS (SELECT doc_id, node_id, page, CASE node_id % 4 WHEN 0 THEN 'InlineShape' WHEN 1 THEN 'Textbox' END AS tag FROM n WHERE node_id % 4 < 2 AND node_id % 3 <> 0)
+      SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY node_id) - 1 AS INT) AS number, page, tag, CASE WHEN tag = 'Textbox' AND doc_id <> 2 THEN 'Sect' ELSE '' END AS maps_to, CASE WHEN tag = 'InlineShape' THEN 'Mark as decorative artifact' ELSE 'Add alt text or change type' END AS action FROM x""",
+    "key_problems": f"""WITH {F}, g AS (SELECT doc, bool_or(rule = 'R1' AND severity = 'Error') AS a, bool_or(rule = 'R3' AND severity = 'Warning') AS b, bool_or(rule = 'R5' AND severity = 'Error') AS c, count(*) FILTER (rule = 'R3') AS n, count(*) FILTER (rule = 'R5') AS m FROM f GROUP BY doc)
+      SELECT doc, nullif(concat_ws(', ', CASE WHEN a THEN 'no title' END, CASE WHEN b THEN n || ' elements without text' END, CASE WHEN c THEN m || ' fields' END), '') AS problems FROM g""",
+    "file_inventory": "SELECT source, count(*) AS files, count(*) FILTER (doc_id % 7 = 0 OR doc_id % 11 = 0) AS untitled, count(*) FILTER (doc_id % 5 = 0 OR lang IS NULL) AS no_language FROM documents GROUP BY source",
+    "md_repeated_links": "SELECT CAST(p_size AS BIGINT) AS doc_id, lower(p_type) AS text, count(DISTINCT p_partkey % 7) AS urls FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_partkey % 7) > 1",
+    "md_anchors": "SELECT p_partkey AS doc_id, 3 AS line_no, 'big-plan-now-2' AS anchor FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 4, 'gone' FROM part WHERE p_partkey % 2 = 1",
+    "page_missing_alt": "SELECT page_id, count(*) AS n FROM pages WHERE page_id % 2 = 0 GROUP BY page_id",
 }
 
 

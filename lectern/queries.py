@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions import alt_text
 from lectern.functions.text import contrast_ratio, split_lines, strip
-from lectern.operators import analytics, markdown, repair, scoring, tree
+from lectern.operators import analytics, markdown, repair, reports, scoring, tree
 from lectern.plans import dims
 from lectern.sources.files import page_elements
 from lectern.streaming import scan
@@ -526,5 +526,99 @@ def session_event_findings(spark, sf):
     return scan.sessions(table(spark, sf, "events"), "30 minutes")
 
 
+@query
+def final_assessment(spark, sf):
+    return reports.assessment(scoring.corpus_score(scoring.score_documents(found(spark, sf))))
+
+
+@query
+def scan_profile(spark, sf):
+    return reports.profile(found(spark, sf), "moderate").groupBy("severity").agg(F.count("*").alias("n"))
+
+
+@query
+def strengths(spark, sf):
+    f = found(spark, sf)
+    rows = [(1, "tagged", "R1", "pdf"), (1, "tagged", "R99", "pdf"), (2, "labels", "R98", "pdf"), (3, "images", "R97", None), (3, "images", "R96", None), (4, "titles", "R2", None), (5, "odd", "R95", "odt")]
+    return reports.strengths(f.select("doc", "type"), f, spark.createDataFrame(rows, "position int, title string, rule string, type string"))
+
+
+@query
+def time_estimates(spark, sf):
+    f = found(spark, sf)
+    rows = [("language", "R1", True, 2, 2, True), ("language", "R2", True, 2, 2, True), ("titles", "R3", True, 3, 3, True), ("titles", "R4", False, 3, 3, True), ("labels", "R5", True, 10, 20, False), ("slides", "R99", True, 5, 10, False), ("slides", "R6", False, 5, 10, False)]
+    tasks = spark.createDataFrame(rows, "task string, rule string, shows boolean, least int, most int, each boolean")
+    return reports.time_estimates(table(spark, sf, "orders"), f, tasks)
+
+
+@query
+def scorecard(spark, sf):
+    return reports.scorecard(scoring.score_documents(found(spark, sf))).withColumn("mean", F.round("mean", 6))
+
+
+@query
+def type_ranking(spark, sf):
+    scored = scoring.score_documents(found(spark, sf))
+    types = F.element_at(F.array(*(F.lit(t) for t in dims.TYPES)), (F.col("doc") % 6 + 1).cast("int"))
+    return reports.ranking(scored.withColumn("type", types), "type").withColumn("mean_errors", F.round("mean_errors", 6))
+
+
+@query
+def file_totals(spark, sf):
+    return reports.file_totals(scoring.score_documents(found(spark, sf)))
+
+
+@query
+def form_summary(spark, sf):
+    kinds = F.element_at(F.array(F.lit("Tx"), F.lit("Btn"), F.lit(None)), (F.col("ord") % 3 + 1).cast("int"))
+    names = F.when(F.col("ord") % 5 == 0, "  ").otherwise(F.col("name"))
+    return reports.form_summary(_fields(spark, sf).withColumn("ft", kinds).withColumn("name", names))
+
+
+@query
+def tag_inventory(spark, sf):
+    k = F.col("node_id") % 4
+    tags = F.when(k == 0, "InlineShape").when(k == 1, "Textbox").otherwise(F.col("tag"))
+    nodes = _tree(spark, sf).withColumn("tag", tags).withColumn("alt", F.when(F.col("node_id") % 3 == 0, "x")).withColumn("actual_text", F.lit(" ")).withColumn("preorder", F.col("node_id"))
+    roles = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), F.lit("Textbox").alias("tag"), F.lit("Sect").alias("maps_to")).filter("doc_id <> 2")
+    return reports.tag_inventory(nodes, roles)
+
+
+@query
+def key_problems(spark, sf):
+    problems = (("R1", "error", "no title"), ("R3", "warning", "{n} elements without text"), ("R5", "error", "{n} fields"))
+    return reports.key_problems(found(spark, sf), problems)
+
+
+@query
+def file_inventory(spark, sf):
+    files = table(spark, sf, "documents").select("source", F.when(F.col("doc_id") % 7 == 0, " ").when(F.col("doc_id") % 11 != 0, "t").alias("title"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("lang"))
+    return reports.inventory(files, "source")
+
+
+@query
+def md_repeated_links(spark, sf):
+    """Parts of one size as the link lines of a document."""
+    p = table(spark, sf, "part")
+    line = F.concat(F.lit("["), "p_type", F.lit("](u"), F.col("p_partkey") % 7, F.lit(")"))
+    texts = p.groupBy(F.col("p_size").cast("long").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    return markdown.repeated_link_texts(markdown.line_states(texts))
+
+
+@query
+def md_anchors(spark, sf):
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("# Big Plan, now!\n## Big plan now\n[a](#big-plan-now"), F.when(k % 3 == 0, "-1").when(k % 3 == 1, "-2").otherwise(""), F.lit(")\n[b](#"), F.when(k % 2 == 0, "Big-Plan-Now").otherwise("gone"), F.lit(")\n"))
+    return markdown.broken_anchors(markdown.line_states(table(spark, sf, "part").select(k.alias("doc_id"), text.alias("text"))))
+
+
+@query
+def page_missing_alt(spark, sf):
+    """Images without a text, in pages that were given one with and one without."""
+    html = F.concat("html", F.when(F.col("page_id") % 2 == 0, '<img src="a.png">').otherwise('<img src="a.png" alt="A chart">'))
+    el = page_elements(table(spark, sf, "pages").withColumn("html", html))
+    return el.filter((F.col("el") == "img") & F.col("attrs")["alt"].isNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
