@@ -1,7 +1,10 @@
-"""Scores of alternative texts as one column expression; no Python runs per row."""
+"""Scores of alternative texts as one column expression without Python, and models' answers, which need a parser."""
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.text import strip
@@ -57,3 +60,36 @@ def advice(existing: Column, best: Column) -> Column:
     alone = F.when(existing >= 80, "good").when(existing >= 60, "acceptable").otherwise("rewrite")
     both = F.when(existing >= best, "keep").when((existing >= 70) & (best - existing < 10), "close").otherwise("adopt")
     return F.when(best.isNull() & existing.isNull(), "").when(best.isNull(), alone).otherwise(both)
+
+
+def _read_markup(markup: str) -> tuple[str | None, str | None, bool]:
+    """Alternative text of the first image, text of the last caption, and whether there is an image."""
+    seen: list[tuple[str, str, str | None]] = []
+    reader = HTMLParser()
+    reader.handle_starttag = lambda tag, attrs: seen.append(("start", tag, dict(attrs).get("alt", "")))
+    reader.handle_endtag = lambda tag: seen.append(("end", tag, None))
+    reader.handle_data = lambda data: seen.append(("data", "", data))
+    reader.feed(markup)
+    alts = [alt for kind, tag, alt in seen if (kind, tag) == ("start", "img") and alt is not None]
+    if not alts:
+        return None, None, False
+    caption, words = "", None
+    for kind, tag, data in seen:
+        if (kind, tag) == ("start", "figcaption"):
+            words = []
+        elif (kind, tag) == ("end", "figcaption") and words is not None:
+            caption, words = " ".join(words).strip(), None
+        elif kind == "data" and words is not None:
+            words.append(data)
+    return alts[0].strip(), caption, True
+
+
+def parsed(response: Column) -> Column:
+    """A model's HTML answer, fenced or not, as a struct: alt, description, ok (false, and nulls, without an image)."""
+    inside = F.regexp_extract(strip(response), r"(?s)^```(?:html)?\s*\n?(.*?)\n?\s*```$", 1)
+
+    @F.pandas_udf("alt string, description string, ok boolean")
+    def read(markup: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_read_markup(m or "") for m in markup], columns=["alt", "description", "ok"])
+
+    return read(F.when(inside != "", inside).otherwise(response))

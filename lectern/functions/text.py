@@ -38,3 +38,10 @@ def contrast_ratio(a: list[Column], b: list[Column]) -> Column:
 
     x, y = light(a), light(b)
     return (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05)
+
+
+def pdf_date(c: Column) -> Column:
+    """``D:YYYYMMDDHHmm...`` as a date, with hours and minutes where both are given; other texts stay."""
+    part = lambda i: F.regexp_extract(c, r"^D:(\d{4})(\d{2})(\d{2})(\d{2})?(\d{2})?", i)
+    time = F.when((part(4) != "") & (part(5) != ""), F.concat(F.lit(" "), part(4), F.lit(":"), part(5))).otherwise("")
+    return F.when(part(1) == "", c).otherwise(F.concat(F.concat_ws("-", part(1), part(2), part(3)), time))

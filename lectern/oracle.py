@@ -165,6 +165,15 @@ ORACLE: dict[str, str] = {
     "md_repeated_links": "SELECT CAST(p_size AS BIGINT) AS doc_id, lower(p_type) AS text, count(DISTINCT p_partkey % 7) AS urls FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_partkey % 7) > 1",
     "md_anchors": "SELECT p_partkey AS doc_id, 3 AS line_no, 'big-plan-now-2' AS anchor FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 4, 'gone' FROM part WHERE p_partkey % 2 = 1",
     "page_missing_alt": "SELECT page_id, count(*) AS n FROM pages WHERE page_id % 2 = 0 GROUP BY page_id",
+    "pdf_dates": "SELECT p_partkey, ['2026-02-09 14:30', '2026-02-09', '2026-02-09', '9 Feb 2026', ''][CAST(p_partkey % 5 + 1 AS INT)] AS shown FROM part",
+    "image_texts": """WITH i AS (SELECT l_suppkey AS doc_id, CAST(l_linenumber AS INT) AS page, CAST(row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_extendedprice) - 1 AS INT) AS idx, l_partkey AS k FROM lineitem),
+      d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k % 2, k % 40 ORDER BY page, idx) AS nth FROM i WHERE k % 200 >= 50), e AS (SELECT doc_id, page, idx, CASE WHEN k % 2 = 0 THEN 'image/jpeg' ELSE 'image/gif' END AS mime FROM d WHERE nth = 1),
+      t AS (SELECT o_orderkey % 20 + 1 AS doc_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 7 + 1 END AS page, o_orderkey AS k FROM orders),
+      p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY k) AS r FROM t),
+      j AS (SELECT e.*, p.k FROM e LEFT JOIN p ON p.doc_id = e.doc_id AND p.page = e.page AND p.r = e.idx + 1),
+      q AS (SELECT *, sum(CASE WHEN k IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page, idx) AS turn FROM j)
+      SELECT q.doc_id, q.page, idx, mime, 'a' || coalesce(q.k, p.k) AS existing_alt FROM q LEFT JOIN p ON q.k IS NULL AND p.page IS NULL AND p.doc_id = q.doc_id AND p.r = q.turn""",
+    "alt_answers": "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN 'A & ' || p_name END AS alt, CASE WHEN p_partkey % 3 < 2 THEN 'Long  text' END AS description, p_partkey % 3 < 2 AS ok FROM part",
 }
 
 

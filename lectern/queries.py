@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions import alt_text
-from lectern.functions.text import contrast_ratio, split_lines, strip
-from lectern.operators import analytics, markdown, repair, reports, scoring, tree
+from lectern.functions.text import contrast_ratio, pdf_date, split_lines, strip
+from lectern.operators import analytics, images, markdown, repair, reports, scoring, tree
 from lectern.plans import dims
 from lectern.sources.files import page_elements
 from lectern.streaming import scan
@@ -620,5 +620,29 @@ def page_missing_alt(spark, sf):
     return el.filter((F.col("el") == "img") & F.col("attrs")["alt"].isNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"))
 
 
+@query
+def pdf_dates(spark, sf):
+    raw = F.element_at(F.array(*(F.lit(x) for x in ("D:20260209143005Z", "D:20260209", "D:2026020914", "9 Feb 2026", ""))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", pdf_date(raw).alias("shown"))
+
+
+@query
+def image_texts(spark, sf):
+    """Line items as images of a supplier's document, orders as the texts found for them."""
+    w = Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_extendedprice")
+    li = table(spark, sf, "lineitem")
+    found_images = li.select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page"), (F.row_number().over(w) - 1).alias("idx"), (F.col("l_partkey") % 200).alias("width"), F.lit(60).alias("height"), F.concat(F.when(F.col("l_partkey") % 2 == 0, F.unhex(F.lit("FFD8"))).otherwise(F.unhex(F.lit("47494638"))), (F.col("l_partkey") % 40).cast("string").cast("binary")).alias("content"))
+    key = F.col("o_orderkey")
+    texts = table(spark, sf, "orders").select((key % 20 + 1).alias("doc_id"), F.when(key % 3 != 0, key % 7 + 1).cast("int").alias("page"), key.alias("ord"), F.concat(F.lit("a"), key).alias("alt"))
+    return images.with_existing(images.to_describe(found_images), texts).select("doc_id", "page", "idx", images.mime(F.col("content")).alias("mime"), "existing_alt")
+
+
+@query
+def alt_answers(spark, sf):
+    page = F.concat(F.lit('<figure><img src="x" alt=" A &amp; '), "p_name", F.lit('"><figcaption>Long <b>text</b></figcaption></figure>'))
+    answers = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("```html\n"), page, F.lit("\n```"))).when(F.col("p_partkey") % 3 == 1, page).otherwise(F.lit("<p>no image</p>"))
+    return table(spark, sf, "part").select("p_partkey", alt_text.parsed(answers).alias("got")).select("p_partkey", "got.alt", "got.description", "got.ok")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -148,3 +148,31 @@ def test_inversion_rates_of_small_and_large_pages(spark):
         want[page] = (n, 2 * bad / (n * (n - 1)) if n > 1 else 0.0)
     make = lambda rows: spark.createDataFrame(rows, "doc_id long, page int, pos int, mcid int")
     assert {r.page: (r.n, r.rate) for r in tree.inversion_rates(make(tree_rows), make(paint_rows)).collect()} == want
+
+
+def test_model_answers(spark):
+    from lectern.functions.alt_text import parsed
+
+    rows = [('<img><figcaption>a</figcaption><figcaption> b <i>c</i></figcaption><img alt="x">',), ("```\n<img alt='é &lt; '/>\n```",), ("<img alt><img alt='two'>",), ("",), (None,)]
+    got = [tuple(r.g) for r in spark.createDataFrame(rows, "t string").select(parsed(F.col("t")).alias("g")).collect()]
+    assert got == [("", "b  c", True), ("é <", "", True), ("two", "", True), (None, None, False), (None, None, False)]
+
+
+def test_images_without_any_text_or_row(spark):
+    from lectern.operators import images
+
+    found = spark.createDataFrame([(1, 1, 0, 60, 60, b"BMx"), (1, 1, 1, 60, 60, b"BMx"), (1, 2, 0, 10, 60, b"y"), (None, None, 0, 60, 60, None)], "doc_id long, page int, idx int, width int, height int, content binary")
+    texts = spark.createDataFrame([], "doc_id long, page int, ord int, alt string")
+    got = images.with_existing(images.to_describe(found), texts).select("idx", images.mime(F.col("content")).alias("m"), "existing_alt").collect()
+    assert [tuple(r) for r in got] == [(0, "image/bmp", None)]
+    assert images.with_existing(images.to_describe(found.limit(0)), texts).count() == 0
+
+
+def test_reports_of_nothing(spark):
+    from lectern.operators import reports
+
+    findings = spark.createDataFrame([], "doc long, type string, rule string, severity string")
+    assert reports.key_problems(findings).count() == 0
+    assert reports.profile(findings, "minimal").count() == 0
+    fields = spark.createDataFrame([(1, None, None, None, None)], "doc_id long, ft string, tooltip string, name string, ff int")
+    assert reports.form_summary(fields).first().asDict() == {"doc_id": 1, "total": 1, "missing_tooltip": 1, "missing_name": 1, "required": 0, "types": "Unknown:1", "has_tooltips": 0}
