@@ -145,8 +145,8 @@ def contexts(cls: np.ndarray, first: np.ndarray, pad: int, at: np.ndarray | None
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", *, frequent: int = 160, width: int = 24, every: int = 16, rate: float = 1.0, batch: int = 256) -> tuple[Vocabulary, Network]:
-    """Counts over all documents, and a network trained on every ``every``-th token of each task's documents.
+def fit(docs: DataFrame, text_col: str = "text", *, frequent: int = 160, width: int = 24, every: int = 1, rate: float = 1.0, batch: int = 256) -> tuple[Vocabulary, Network]:
+    """Counts over all documents, and a network trained on every token of all documents (``every`` above 1 thins the targets, for trials).
 
     Without any word the network stays at its start.
     """

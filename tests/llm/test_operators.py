@@ -349,3 +349,19 @@ def test_mixture_slots_follow_finish_times(spark):
     times = [0.0, 0.4, 1.0, 1.5, 2.0, 2.0000001, 3.0, 1e3, 1e9]
     got = [r.s for r in spark.createDataFrame([(t,) for t in times], "t double").select(mixing._slot(F.col("t")).alias("s")).collect()]
     assert got == sorted(got) and got[:5] == times[:5] and got[-1] < 40
+
+
+def test_pseudo_likelihood_trains_on_every_token(spark):
+    # the sixth of 16 words follows from the fifth; a stride of 16 from the first word never has it as a target
+    rng = random.Random(9)
+
+    def text(shift):
+        w = [f"a{rng.randrange(8)}" for _ in range(16)]
+        k = rng.randrange(8)
+        w[4:6] = f"k{k}", f"v{(k + shift) % 8}"
+        return " ".join(w)
+
+    docs = frame(spark, [(i, text(0)) for i in range(8000)])
+    model = pseudo_likelihood.fit(docs)
+    got = {r.doc_id: r.mean_log_likelihood for r in pseudo_likelihood.score(frame(spark, [(i, text(0)) for i in range(200)] + [(1000 + i, text(3)) for i in range(200)]), model).collect()}
+    assert 16 * (np.mean([got[i] for i in range(200)]) - np.mean([got[1000 + i] for i in range(200)])) > 0.5
