@@ -1,14 +1,16 @@
 """LM scoring by masked pseudo-likelihood.
 
 Every token is predicted from the two tokens on each side of it, its own place masked. Tokens
-are words: the most frequent ones stand for themselves, all others for one of ``2**14`` hash
-buckets. The network (numpy) adds an embedding per offset, applies tanh and gives a softmax over
-classes: frequent words, and groups of buckets; a bucket's share within its group comes from the
-corpus counts. A document's score is the sum of its tokens' conditional log-probabilities.
-
-Word counts and bucket counts cover all documents. Training is distributed: each task runs
-stochastic gradient descent over its share of the documents from one start, and the results are
-averaged by the tokens seen, so what is gathered grows with the corpus.
+are words: the most frequent ones of the whole corpus stand for themselves, all others for one of
+``2**14`` hash buckets, and each of these is a class of its own, as target and as context. The
+network (numpy) adds an embedding per offset, applies tanh and gives a softmax in two levels: over
+the most frequent words and groups of classes, then over the classes of the group. A document's
+score is the sum of its tokens' conditional log-probabilities.
+
+Word counts and bucket counts cover all documents; the network starts from their shares. Training
+is distributed: each task runs stochastic gradient descent over every token of its share of the
+documents from one start. The results are averaged, each row by the tokens that moved it, so that
+what only few documents hold is not thinned out; what is gathered grows with the corpus.
 """
 
 from __future__ import annotations
@@ -24,29 +26,36 @@ from lectern.llm._shared import stored
 from lectern.llm._text import NOT_SPACE, long_array, mix, pieces, span_hash, words
 
 OFFSETS = (-2, -1, 1, 2)
-BUCKET_BITS, GROUPS = 14, 32
+BUCKET_BITS = 14
+#: Classes of the first level that stand for themselves, and groups that hold all others.
+HEAD, GROUPS = 64, 128
 _BLOCK = 8192
 
 
 @dataclass
 class Vocabulary:
     frequent: np.ndarray  # sorted word hashes
-    bucket_log: np.ndarray  # log share of each bucket within its group
+    rank: np.ndarray  # class of each, by falling count
+    log_share: np.ndarray  # of each class in the corpus: frequent words, then buckets
 
     @property
     def classes(self) -> int:
-        return len(self.frequent) + GROUPS
+        return len(self.log_share)
 
-    def encode(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each word, and the log share of the word within its class."""
-        bucket = (word >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-        cls = len(self.frequent) + bucket % GROUPS
-        inner = self.bucket_log[bucket]
+    @property
+    def bucket_log(self) -> np.ndarray:
+        """Log share of each bucket among those of its group."""
+        share = np.exp(self.log_share[len(self.frequent) :])
+        group = np.arange(len(share)) % GROUPS
+        return np.log(share / np.bincount(group, share)[group])
+
+    def encode(self, word: np.ndarray) -> np.ndarray:
+        """Class of each word."""
+        cls = len(self.frequent) + (word >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent, word), len(self.frequent) - 1)
-            same = self.frequent[at] == word
-            cls, inner = np.where(same, at, cls), np.where(same, 0.0, inner)
-        return cls, inner
+            cls = np.where(self.frequent[at] == word, self.rank[at], cls)
+        return cls
 
 
 def _encoded(column, member=NOT_SPACE):
@@ -74,29 +83,62 @@ def vocabulary(docs: DataFrame, text_col: str, frequent: int) -> Vocabulary:
             yield pack()
 
     counts = stored(docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    top = np.sort(np.array([r.word for r in counts.orderBy(F.desc("n"), "word").limit(frequent).collect()], np.int64).view(np.uint64))
+    best = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
+    top = np.array([r.word for r in best], np.int64)
     total = np.zeros(1 << BUCKET_BITS)
     bucket = F.shiftrightunsigned("word", 64 - BUCKET_BITS)
-    rest = counts.filter(~F.col("word").isin([int(x) for x in top.view(np.int64)])) if len(top) else counts
-    for r in rest.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect():
+    for r in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect():
         total[r.b] = r.n
-    total += 1
-    group = np.bincount(np.arange(len(total)) % GROUPS, total)
-    return Vocabulary(top, np.log(total / group[np.arange(len(total)) % GROUPS]))
+    top = top.view(np.uint64)
+    np.subtract.at(total, (top >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), [r.n for r in best])
+    order = np.argsort(top)
+    share = np.concatenate(([r.n for r in best], total)) + 1
+    return Vocabulary(top[order], order, np.log(share / share.sum()))
 
 
 class Network:
-    def __init__(self, classes: int, width: int, flat: np.ndarray | None = None):
+    def __init__(self, classes: int, width: int, flat: np.ndarray | None = None, log_share: np.ndarray | None = None):
         self.classes, self.width = classes, width
-        n_in = len(OFFSETS) * (classes + 1) * width
-        if flat is None:
+        # small sets of classes are split too, so that they use both levels
+        self.head = min(HEAD, classes // 2)
+        self.groups = min(GROUPS, classes - self.head)
+        first, members = self.head + self.groups, -(-(classes - self.head) // self.groups)
+        shapes = [(len(OFFSETS), classes + 1, width), (width, first), (first,), (self.groups, width, members), (self.groups, members)]
+        ends = np.cumsum([int(np.prod(s)) for s in shapes])
+        fresh = flat is None
+        if fresh:
             # a fixed start: hash bits as small numbers
-            noise = (mix(np.arange(n_in + width * classes, dtype=np.uint64)) >> np.uint64(40)).astype(np.float64) / (1 << 24) - 0.5
-            flat = np.concatenate((noise * 0.2, np.zeros(classes))).astype(np.float32)
+            noise = (mix(np.arange(ends[-1], dtype=np.uint64)) >> np.uint64(40)).astype(np.float64) / (1 << 24) - 0.5
+            flat = (noise * 0.2).astype(np.float32)
         self.flat = flat
-        self.inputs = flat[:n_in].reshape(len(OFFSETS), classes + 1, width)
-        self.out = flat[n_in : n_in + width * classes].reshape(width, classes)
-        self.bias = flat[n_in + width * classes :]
+        self.inputs, self.out, self.bias, self.inner, self.inner_bias = (flat[e - int(np.prod(s)) : e].reshape(s) for s, e in zip(shapes, ends))
+        if fresh:
+            share = np.full(classes, 1 / classes) if log_share is None else np.exp(log_share)
+            group, place = self.place(np.arange(self.head, classes))
+            mass = np.bincount(group, share[self.head :], self.groups)
+            self.bias[:] = np.log(np.concatenate((share[: self.head], mass)))
+            self.inner_bias[:] = 0
+            self.inner_bias[group, place] = np.log(share[self.head :] / mass[group])
+
+    def place(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Group of each class beyond the head, and its place there."""
+        return (target - self.head) % self.groups, (target - self.head) // self.groups
+
+    def _runs(self, target: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(group, its number of classes, rows whose target it holds, their places)."""
+        rows = np.flatnonzero(target >= self.head)
+        if not len(rows):
+            return
+        group, place = self.place(target[rows])
+        order = np.argsort(group, kind="stable")
+        rows, group, place = rows[order], group[order], place[order]
+        cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(rows)]
+        for a, b in zip(cut, cut[1:]):
+            g = int(group[a])
+            yield g, -(-(self.classes - self.head - g) // self.groups), rows[a:b], place[a:b]
+
+    def _first(self, target: np.ndarray) -> np.ndarray:
+        return np.where(target < self.head, target, self.head + (target - self.head) % self.groups)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         h = self.inputs[0][context[:, 0]]
@@ -107,29 +149,66 @@ class Network:
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         got = np.empty(len(target))
         for a in range(0, len(target), _BLOCK):
-            z = self.hidden(context[a : a + _BLOCK]) @ self.out
-            z += self.bias
-            own = z[np.arange(len(z)), target[a : a + _BLOCK]]
-            np.exp(z, out=z)
-            got[a : a + _BLOCK] = own - np.log(z.sum(1))
+            to = target[a : a + _BLOCK]
+            h = self.hidden(context[a : a + _BLOCK])
+            got[a : a + _BLOCK] = _own_log(h @ self.out + self.bias, self._first(to))
+            for g, n, rows, place in self._runs(to):
+                got[a + rows] += _own_log(h[rows] @ self.inner[g, :, :n] + self.inner_bias[g, :n], place)
         return got
 
-    def train(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One step of descent on the mean loss of the block."""
+    def train(self, context: np.ndarray, target: np.ndarray, rate: float, least: float = 0.0) -> None:
+        """One step of descent on the mean loss of the block.
+
+        With ``least``, what only some tokens move (rows of inputs, groups) goes by at least that much
+        of each token's own gradient, but not by more than the mean over those tokens.
+        """
+        n_all = len(target)
         h = self.hidden(context)
         z = h @ self.out + self.bias
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(z)), target] -= 1
-        z /= len(z)
-        back = (z @ self.out.T) * (1 - h * h)
-        self.out -= rate * (h.T @ z)
-        self.bias -= rate * z.sum(0)
+        _error(z, self._first(target))
+        back = z @ self.out.T
+        self.out -= rate / n_all * (h.T @ z)
+        self.bias -= rate / n_all * z.sum(0)
+        for g, n, rows, place in self._runs(target):
+            w, own = self.inner[g, :, :n], h[rows]
+            e = own @ w + self.inner_bias[g, :n]
+            _error(e, place)
+            back[rows] += e @ w.T
+            by = max(rate / n_all, min(least, rate / len(rows)))
+            w -= by * (own.T @ e)
+            self.inner_bias[g, :n] -= by * e.sum(0)
+        back *= 1 - h * h
         for j in range(len(OFFSETS)):
             order = np.argsort(context[:, j], kind="stable")
             keys, at = np.unique(context[order, j], return_index=True)
-            self.inputs[j][keys] -= rate * np.add.reduceat(back[order], at)
+            by = np.maximum(rate / n_all, np.minimum(least, rate / np.diff(at, append=n_all))).astype(np.float32)
+            self.inputs[j][keys] -= by[:, None] * np.add.reduceat(back[order], at)
+
+    def weights(self, seen: np.ndarray) -> np.ndarray:
+        """How many tokens moved each parameter, from the tokens of each class."""
+        out = Network(self.classes, self.width, np.zeros(len(self.flat), np.float32))
+        total = seen.sum()
+        out.inputs[:] = np.append(seen, total)[:, None]
+        out.out[:], out.bias[:] = total, total
+        group = np.bincount(out.place(np.arange(self.head, self.classes))[0], seen[self.head :], self.groups)
+        out.inner[:], out.inner_bias[:] = group[:, None, None], group[:, None]
+        return out.flat
+
+
+def _own_log(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log of the softmax at one place of each row; ``z`` is used up."""
+    z -= z.max(1, keepdims=True)
+    at = z[np.arange(len(z)), own]
+    np.exp(z, out=z)
+    return at - np.log(z.sum(1))
+
+
+def _error(z: np.ndarray, own: np.ndarray) -> None:
+    """Softmax less the target, in place."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    z[np.arange(len(z)), own] -= 1
 
 
 def contexts(cls: np.ndarray, first: np.ndarray, pad: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -145,43 +224,52 @@ def contexts(cls: np.ndarray, first: np.ndarray, pad: int, at: np.ndarray | None
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", *, frequent: int = 160, width: int = 24, every: int = 1, rate: float = 1.0, batch: int = 256) -> tuple[Vocabulary, Network]:
-    """Counts over all documents, and a network trained on every token of all documents (``every`` above 1 thins the targets, for trials).
+def fit(docs: DataFrame, text_col: str = "text", *, frequent: int = 4096, width: int = 24, every: int = 1, rate: float = 1.0, batch: int = 256, most: int = 4096, least: float = 0.3) -> tuple[Vocabulary, Network]:
+    """Counts over all documents, and a network trained on every token of all documents.
 
-    Without any word the network stays at its start.
+    Steps take ``batch`` tokens at first and up to ``most`` later. ``every`` above 1 thins the targets
+    (for trials). Without any word the network stays at its start.
     """
     vocab = vocabulary(docs, text_col, frequent)
     held = docs.sparkSession.sparkContext.broadcast(vocab)
-    size = len(Network(vocab.classes, width).flat)
+    start = Network(vocab.classes, width, log_share=vocab.log_share)
+    size = len(start.flat)
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
-        net, seen = Network(v.classes, width), 0
+        net, seen, used = Network(v.classes, width, log_share=v.log_share), 0, np.zeros(v.classes, np.int64)
         for rows in batches:
             for _, _, word, first in _encoded(rows.column(0)):
                 if len(word):
-                    cls, _ = v.encode(word)
+                    cls = v.encode(word)
                     at = np.arange(seen % every, len(cls), every)
                     context, target = contexts(cls, first, v.classes, at), cls[at]
-                    for a in range(0, len(at), batch):
-                        net.train(context[a : a + batch], target[a : a + batch], rate / (1 + seen / 400_000))
-                        seen += min(batch, len(at) - a)
-        yield pa.RecordBatch.from_arrays([pa.array([(net.flat.astype(np.float64) * seen).tobytes()], pa.binary()), long_array([seen])], ["flat", "seen"])
+                    used += np.bincount(target, minlength=v.classes)
+                    a = 0
+                    while a < len(at):
+                        n = min(max(batch, seen // 64), most, len(at) - a)
+                        slow = 1 / (1 + seen / 400_000)
+                        net.train(context[a : a + n], target[a : a + n], rate * slow * max(1, n / batch) ** 0.5, least * slow**0.5)
+                        a, seen = a + n, seen + n
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([(net.flat * net.weights(used)).tobytes()], pa.binary()), pa.array([used.tobytes()], pa.binary())], ["flat", "used"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(size), 0
+        total, used = np.zeros(size), 0
         for rows in batches:
-            for flat, n in zip(rows.column(0), rows.column(1).to_pylist()):
-                total += np.frombuffer(flat.as_py())
-                seen += n
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), long_array([seen])], ["flat", "seen"])
-
-    kind = "flat binary, seen long"
-    parts = docs.select(text_col).mapInArrow(descend, kind).repartition(8).mapInArrow(add, kind).collect()
-    seen = sum(r.seen for r in parts)
-    if not seen:
-        return vocab, Network(vocab.classes, width)
-    flat = sum(np.frombuffer(bytes(r.flat)) for r in parts) / seen
+            for flat, n in zip(rows.column(0), rows.column(1)):
+                total += np.frombuffer(flat.as_py(), np.float32)
+                used = used + np.frombuffer(n.as_py(), np.int64)
+        if np.any(used):
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([used.tobytes()], pa.binary())], ["flat", "used"])
+
+    kind = "flat binary, used binary"
+    total, used = np.zeros(size), np.zeros(vocab.classes, np.int64)
+    for r in docs.select(text_col).mapInArrow(descend, kind).repartition(8).mapInArrow(add, kind).toLocalIterator():
+        total += np.frombuffer(bytes(r.flat), np.float32)
+        used += np.frombuffer(bytes(r.used), np.int64)
+    by = start.weights(used)
+    flat = np.where(by > 0, total / np.maximum(by, 1), start.flat)
     return vocab, Network(vocab.classes, width, flat.astype(np.float32))
 
 
@@ -198,8 +286,8 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network], id_col: str = "doc
         vocab, net = held.value
         for batch in batches:
             for low, high, word, first in _encoded(batch.column(1)):
-                cls, inner = vocab.encode(word)
-                value = net.log_probability(contexts(cls, first, vocab.classes), cls) + inner if len(word) else np.zeros(0)
+                cls = vocab.encode(word)
+                value = net.log_probability(contexts(cls, first, vocab.classes), cls)
                 total = np.bincount(np.repeat(np.arange(high - low), np.diff(first)), value, high - low)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), long_array(np.diff(first)), pa.array(total)], ["doc_id", "n_tokens", "log_likelihood"])
 

@@ -365,3 +365,23 @@ def test_pseudo_likelihood_trains_on_every_token(spark):
     model = pseudo_likelihood.fit(docs)
     got = {r.doc_id: r.mean_log_likelihood for r in pseudo_likelihood.score(frame(spark, [(i, text(0)) for i in range(200)] + [(1000 + i, text(3)) for i in range(200)]), model).collect()}
     assert 16 * (np.mean([got[i] for i in range(200)]) - np.mean([got[1000 + i] for i in range(200)])) > 0.5
+
+
+@pytest.mark.parametrize("options", [{}, {"frequent": 0}])
+def test_pseudo_likelihood_predicts_rarer_words_from_context(spark, options):
+    # 500 pairs of words: far more words than the first level of the softmax holds
+    rng = random.Random(10)
+
+    def text(shift):
+        return " ".join(f"left{k} right{(k + shift) % 500}" for k in (rng.randrange(500) for _ in range(30)))
+
+    model = pseudo_likelihood.fit(frame(spark, [(i, text(0)) for i in range(6000)]), **options)
+    got = {r.doc_id: r.mean_log_likelihood for r in pseudo_likelihood.score(frame(spark, [(i, text(0)) for i in range(100)] + [(1000 + i, text(7)) for i in range(100)]), model).collect()}
+    assert np.mean([got[i] for i in range(100)]) > np.mean([got[1000 + i] for i in range(100)]) + 1
+
+
+def test_network_levels_sum_to_one_and_descend(monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "GROUPS", 2)
+    test_network_gradient()
+    net = pseudo_likelihood.Network(7, 5)
+    assert abs(np.exp(net.log_probability(np.zeros((7, 4), int), np.arange(7))).sum() - 1) < 1e-5
