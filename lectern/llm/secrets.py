@@ -1,7 +1,7 @@
 """Secret scans with multipart credential linking.
 
 Strong spans stand alone: assignments, access identifiers and long hexadecimal runs. Weak
-parts mean nothing alone: a bare 40-character key, a client or account identifier, an endpoint.
+parts mean nothing alone: a bare key, a client or account identifier, an endpoint.
 Parts are joined as intervals: each part reaches ``scope`` code points in both directions
 within its text, and a weak part is reported only when a complementary part lies within reach
 (an identifier with a secret, or a secret with an endpoint). The parts of a text are swept in
@@ -22,7 +22,8 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A run is maximal, so asking for 32 drops the same runs as a later test of the length.
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+#: Keys of 32 or more characters, or of 20 or more with padding; a key may stand right after ``=``.
+_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])(?:[A-Za-z0-9+/]{32,}={0,2}|[A-Za-z0-9+/]{20,31}={1,2})(?![A-Za-z0-9+/=_-])")
 _WEAK_ID = re.compile(r"""(?ai:(?:client|account|access_?key|user|tenant)_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9-]{8,})""")
 _ENDPOINT = re.compile(r"(?ai:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9.:@/_-]*(?ai:amazonaws|azure|googleapis|vault|auth|login|api|s3|db)[A-Za-z0-9.:@/?&=_%-]*")
 BASE = ("assign", "access", "hex")
