@@ -15,6 +15,7 @@ def labelled(nodes: DataFrame) -> DataFrame:
 
     Depth comes from a recursive query; the path of (ord, node) pairs sorts nodes into preorder, and
     ``post`` is the last preorder number of the subtree, so that closure becomes an interval test.
+    ``LIMIT ALL`` lifts Spark's bound on the rows of a recursion.
     """
     spark = nodes.sparkSession
     nodes.createOrReplaceTempView("lectern_nodes")
@@ -23,7 +24,7 @@ def labelled(nodes: DataFrame) -> DataFrame:
           SELECT doc_id, node_id, 1, array(ord), array(node_id) FROM lectern_nodes WHERE parent_id IS NULL
           UNION ALL
           SELECT c.doc_id, c.node_id, w.depth + 1, concat(w.path, array(c.ord)), concat(w.above, array(c.node_id)) FROM walk w JOIN lectern_nodes c ON c.doc_id = w.doc_id AND c.parent_id = w.node_id)
-        SELECT * FROM walk""").persist()  # read twice below; a recursion runs a job per level
+        SELECT * FROM walk LIMIT ALL""").persist()  # read twice below; a recursion runs a job per level
     numbered = walked.withColumn("preorder", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")))
     size = walked.select("doc_id", F.explode("above").alias("node_id")).groupBy("doc_id", "node_id").agg(F.count("*").alias("size"))
     post = numbered.join(size, ["doc_id", "node_id"]).select("doc_id", "node_id", "depth", "preorder", (F.col("preorder") + F.col("size") - 1).cast("int").alias("post"))

@@ -38,3 +38,14 @@ def test_query(spark, duck, sf_dir, name):
     assert sorted(columns) == sorted(got.columns)
     rows = sorted(str(tuple(plain(r[c]) for c in columns)) for r in got.collect())
     assert rows == sorted(str(tuple(map(plain, r))) for r in want.fetchall())
+
+
+def test_trees_of_more_rows_than_sparks_recursion_limit(spark):
+    from lectern.operators import tree
+
+    nodes = spark.createDataFrame([(1, i, None if i == 0 else 0, i) for i in range(40)], "doc_id long, node_id long, parent_id long, ord int")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")
+    try:
+        assert tree.labelled(nodes).count() == 40
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
