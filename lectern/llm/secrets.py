@@ -25,7 +25,10 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 #: Keys of 32 or more characters, or of 20 or more with padding; a key may stand right after ``=``.
 _WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])(?:[A-Za-z0-9+/]{32,}={0,2}|[A-Za-z0-9+/]{20,31}={1,2})(?![A-Za-z0-9+/=_-])")
 _WEAK_ID = re.compile(r"""(?ai:(?:client|account|access_?key|user|tenant)_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9-]{8,})""")
-_ENDPOINT = re.compile(r"(?ai:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9.:@/_-]*(?ai:amazonaws|azure|googleapis|vault|auth|login|api|s3|db)[A-Za-z0-9.:@/?&=_%-]*")
+#: What may stand before ``://``, what a matching address names before any ``?``, ``&``, ``=`` or ``%``, and how far it goes.
+_SCHEME = re.compile(r"(?ai:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)\Z")
+_SERVICE = re.compile(r"(?ai:amazonaws|azure|googleapis|vault|auth|login|api|s3|db)")
+_HOST, _ADDRESS = re.compile(r"[A-Za-z0-9.:@/_-]*"), re.compile(r"[A-Za-z0-9.:@/?&=_%-]*")
 BASE = ("assign", "access", "hex")
 LINKED = ("secret_part", "id_part", "endpoint_part")
 _ORDER = {k: i for i, k in enumerate((*BASE, *LINKED))}
@@ -33,6 +36,23 @@ _ORDER = {k: i for i, k in enumerate((*BASE, *LINKED))}
 _COMPLEMENT = {"secret": ("id", "endpoint"), "id": ("secret",), "endpoint": ("secret",)}
 
 
+def endpoints(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses of services. Each stretch of address characters is looked at once, however many schemes it holds."""
+    at = text.find("://")
+    while at >= 0:
+        head = max(0, at - 12)
+        scheme = _SCHEME.search(text[head:at])
+        after = at + 3
+        if scheme:
+            stop = _HOST.match(text, after).end()
+            if _SERVICE.search(text, after, stop):
+                after = _ADDRESS.match(text, stop).end()
+                yield head + scheme.start(), after
+            else:
+                after = stop  # a later scheme before ``stop`` names no service either
+        at = text.find("://", after)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
     if "AKIA" in text:
@@ -43,7 +63,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def linked_spans(text: str, base: list[tuple[int, int, str]], scope: int) -> list[tuple[int, int, str]]:
     """Weak parts with a complement in reach. Base spans take part: access as identifier, the others as secrets."""
-    weak = {"secret": [m.span() for m in _WEAK_SECRET.finditer(text)], "id": [m.span(1) for m in _WEAK_ID.finditer(text)], "endpoint": [m.span() for m in _ENDPOINT.finditer(text)] if "://" in text else []}
+    weak = {"secret": [m.span() for m in _WEAK_SECRET.finditer(text)], "id": [m.span(1) for m in _WEAK_ID.finditer(text)], "endpoint": list(endpoints(text))}
     if not any(weak.values()):
         return []
     part = {k: list(v) for k, v in weak.items()}
