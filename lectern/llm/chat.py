@@ -15,7 +15,7 @@ system turn, a limited history of turns that earlier windows held, and as many n
 is repeated without loss, so each assistant text is a target once. Turns are never cut.
 
 Rows are sorted by conversation and turn and then streamed, so a long conversation costs no more
-memory than a window.
+memory than a window and the batch of windows that is being filled (``FLUSH`` characters).
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ _NAME = {"[SYS]": "system", "[INST]": "user", "<s>": "assistant"}
 _OPEN = {v: k for k, v in _NAME.items()}
 #: Tokens that a turn's marks count, so that empty turns fill a window too.
 MARKS = 2
+#: Characters of formatted windows that are gathered before they are handed on.
+FLUSH = 4 << 20
 
 
 def escape(text: str) -> str:
@@ -138,7 +140,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        size, key, work = 0, object(), None
+        held, key, work = 0, object(), None
 
         def pack() -> pa.RecordBatch:
             c = list(zip(*out)) or [[]] * 6
@@ -148,15 +150,17 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
         for batch in batches:
             for conv, role, text, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                before = len(out)
                 if work is None or conv != key:
                     if work:
                         work.close()
                     key, work = conv, _Windows(budget, history, lambda *w, conv=conv: out.append((conv, *w)))
                 work.add(role, text, n)
-                size += len(text)
-                if size > 4 << 20:
+                # what counts is what windows hold, repeated system turns and history included
+                held += sum(len(w[2]) + 100 for w in out[before:])
+                if held > FLUSH:
                     yield pack()
-                    size = 0
+                    held = 0
         if work:
             work.close()
         yield pack()
