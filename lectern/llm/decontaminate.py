@@ -2,12 +2,16 @@
 
 Texts are normalised to lower-case (A-Z) words of letters, digits and non-ASCII characters,
 one blank between them. Every ``window`` consecutive words of a benchmark item (all of a
-shorter item) are one pattern; the automaton finds all patterns in one scan of a document, and
-the words they cover are mapped back to code-point offsets of the original text.
-
-The automaton travels to each task, so its size is checked: a benchmark of more than
-``max_bytes`` is split into parts by a hash of the item, each part scans the documents in turn,
-and the hits of a document are merged, which gives the same result.
+shorter item) are a window. Of 2 b - 1 consecutive words some b begin at a multiple of b, so the
+automaton holds the b-word blocks of each item that begin at such places, b = (window + 1) // 2, and
+each item of fewer words than a window whole: about as much text as the items have, not ``window``
+times as much. It finds all of these in one scan of a document; a block that is found is compared
+word by word to both sides, and counts where a whole window agrees. The words that windows cover are
+mapped back to code-point offsets of the original text.
+
+The automaton travels to each task, so its size is bounded: long items are cut into pieces that
+overlap by a window, and pieces of more than about ``max_bytes`` in all are dealt to several
+automata, which scan the documents in turn, each adding its hits to those before.
 """
 
 from __future__ import annotations
@@ -20,110 +24,185 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
+from lectern.llm._shared import stored
 from lectern.llm._text import LETTER_DIGIT, LOWER
 
 _TABLE = bytes(int(LOWER[b]) if LETTER_DIGIT[LOWER[b]] else 0x20 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_built: dict[str, ahocorasick.Automaton] = {}
+#: Words of a piece of an item.
+PIECE_WORDS = 4096
+_built: dict[str, "Blocks | None"] = {}
 
 
-def normal_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
+def _words(text: str | None) -> list[str]:
+    return [w for w in (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).decode("utf-8", "surrogatepass").split(" ") if w]
 
 
-def automaton(items: list[tuple[str, list[str]]], window: int) -> ahocorasick.Automaton | None:
-    """``items``: (item id, words). Kept by content in the worker's process."""
-    key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
-    if key not in _built:
-        found: dict[str, tuple[int, set[str]]] = {}
+class Blocks:
+    """The automaton of (item id, words) pieces: text of a block -> its length and (piece, place of its first word)."""
+
+    def __init__(self, items: list[tuple[str, list[str]]], window: int):
+        self.window = window
+        names: dict[tuple[str, ...], set[str]] = {}
         for name, words in items:
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1) if words else ():
-                found.setdefault(f" {' '.join(words[i : i + size])} ", (size, set()))[1].add(name)
-        machine = ahocorasick.Automaton()
-        for text, (size, names) in found.items():
-            machine.add_word(text, (size, tuple(sorted(names))))
-        machine.make_automaton()
+            if words:
+                names.setdefault(tuple(words), set()).add(name)
+        self.pieces = list(names)
+        self.names = [sorted(names[p]) for p in self.pieces]
+        found: dict[str, tuple[int, list[tuple[int, int]]]] = {}
+        size = (window + 1) // 2
+        for i, words in enumerate(self.pieces):
+            whole = len(words) < window
+            step = len(words) if whole else size
+            for at in range(0, len(words) - step + 1, step):
+                found.setdefault(f" {' '.join(words[at : at + step])} ", (step, []))[1].append((i, at))
+        self.machine = ahocorasick.Automaton()
+        for text, value in found.items():
+            self.machine.add_word(text, value)
+        self.machine.make_automaton()
+
+    def scan(self, words: list[str]) -> tuple[np.ndarray, set[str]]:
+        """First and last word + 1 of each covered run, and the items found."""
+        none = np.zeros((0, 2), np.int64)
+        if not words or not len(self.machine):
+            return none, set()
+        line = f" {' '.join(words)} "
+        hits = list(self.machine.iter(line))
+        if not hits:
+            return none, set()
+        blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+        last = np.searchsorted(blanks, [h[0] for h in hits]).tolist()
+        edge = np.zeros(len(words) + 1, np.int64)
+        items: set[str] = set()
+        for stop, (_, (size, places)) in zip(last, hits):
+            for piece, at in places:
+                theirs = self.pieces[piece]
+                start, end = stop - size, stop
+                if len(theirs) >= self.window:
+                    # windows that hold this block reach at most so far to each side
+                    reach = self.window - size
+                    a = at
+                    while a > 0 and at - a < reach and start > 0 and theirs[a - 1] == words[start - 1]:
+                        a, start = a - 1, start - 1
+                    b = at + size
+                    while b < len(theirs) and end - stop < reach and end < len(words) and theirs[b] == words[end]:
+                        b, end = b + 1, end + 1
+                    if end - start < self.window:
+                        continue
+                edge[start] += 1
+                edge[end] -= 1
+                items.update(self.names[piece])
+        covered = np.concatenate(([0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]))
+        step = np.diff(covered)
+        return np.stack((np.flatnonzero(step > 0), np.flatnonzero(step < 0)), 1), items
+
+
+def blocks(items: list[tuple[str, list[str]]], window: int) -> Blocks:
+    """The automaton of ``items``, kept by content in the worker's process."""
+    key = hashlib.sha256(repr((items, window)).encode("utf-8", "surrogatepass")).hexdigest()
+    if key not in _built:
+        made = Blocks(items, window)
         _built.clear()
-        _built[key] = machine
-    return _built[key] if len(_built[key]) else None
-
-
-def scan(text: str | None, machine) -> tuple[int, np.ndarray, set[str]]:
-    """Number of words, first and last word + 1 of each covered run, and the items found."""
-    words = normal_words(text)
-    none = np.zeros((0, 2), np.int64)
-    if not words or machine is None:
-        return len(words), none, set()
-    line = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-    hits = [(end, *value) for end, value in machine.iter(line)]
-    if not hits:
-        return len(words), none, set()
-    blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-    last = np.searchsorted(blanks, [h[0] for h in hits])
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, last - np.array([h[1] for h in hits]), 1)
-    np.add.at(edge, last, -1)
-    covered = np.concatenate(([0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]))
-    step = np.diff(covered)
-    return len(words), np.stack((np.flatnonzero(step > 0), np.flatnonzero(step < 0)), 1), {x for h in hits for x in h[2]}
-
-
-def _runs(df: DataFrame, items: list[tuple[str, list[str]]], window: int) -> DataFrame:
-    """(doc_id, text) with n_words, runs of covered words and item ids added."""
-    kind = df.schema["doc_id"].dataType.simpleString()
-    held = df.sparkSession.sparkContext.broadcast(items)
+        _built[key] = made
+    return _built[key]
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(held.value, window)
-        for batch in batches:
-            n, runs, names, spans = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                count, run, found = scan(text, machine)
-                n.append(count)
-                runs.append([] if not len(run) else run.ravel().tolist())
-                names.append(sorted(found))
-                at = [m.span() for m in _WORD.finditer(text)] if len(run) else []
-                spans.append([x for a, b in run.tolist() for x in (at[a][0], at[b - 1][1])])
-            many = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(runs, many), pa.array(names, pa.list_(pa.string())), pa.array(spans, many)], ["doc_id", "same", "n_words", "runs", "item_ids", "spans"])
 
-    return df.mapInArrow(look, f"doc_id {kind}, same long, n_words long, runs array<long>, item_ids array<string>, spans array<long>")
+def _joined(runs: np.ndarray, more: list[int]) -> np.ndarray:
+    """Sorted disjoint runs that cover what ``runs`` and the flat pairs ``more`` cover."""
+    both = np.concatenate((runs, np.array(more, np.int64).reshape(-1, 2)))
+    if not len(both) or not more:
+        return runs
+    both = both[np.argsort(both[:, 0], kind="stable")]
+    top = np.maximum.accumulate(both[:, 1])
+    first = np.flatnonzero(np.concatenate(([True], both[1:, 0] > top[:-1])))
+    return np.stack((both[first, 0], np.maximum.reduceat(both[:, 1], first)), 1)
+
 
+_RUNS, _ITEMS = "lectern_runs", "lectern_items"
+RESULT = [
+    StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("n_items", LongType()), StructField("item_ids", ArrayType(StringType())),
+    StructField("spans", ArrayType(LongType())), StructField("contaminated", BooleanType()),
+]
 
-def _joined(runs: str):
-    """Sorted flat pairs from a column of arrays of flat pairs, overlapping or touching ones joined."""
-    pairs = f"array_sort(flatten(transform({runs}, r -> transform(sequence(0, cast(size(r) / 2 - 1 as int)), i -> struct(r[2 * i] as a, r[2 * i + 1] as b)))))"
-    step = "(got, x) -> case when size(got) > 0 and element_at(got, -1).b >= x.a then concat(slice(got, 1, size(got) - 1), array(struct(element_at(got, -1).a as a, greatest(element_at(got, -1).b, x.b) as b))) else concat(got, array(x)) end"
-    return f"flatten(transform(aggregate({pairs}, cast(array() as array<struct<a:bigint,b:bigint>>), {step}), x -> array(x.a, x.b)))"
 
+def _pass(docs: DataFrame, text_col: str, items: list[tuple[str, list[str]]], window: int, share: int, last: bool) -> DataFrame:
+    """One scan of ``docs``; the runs and items of earlier scans are in two columns, those of the last become the result."""
+    held = docs.sparkSession.sparkContext.broadcast(items)
+    at = docs.columns.index(text_col)
+    earlier = _RUNS in docs.columns
+    kept = [f for f in docs.schema.fields if f.name not in (_RUNS, _ITEMS)]
+    place = {n: docs.columns.index(n) for n in (_RUNS, _ITEMS)} if earlier else {}
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = 13, share: int = 20, max_bytes: int = 8 << 20) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, item_ids, spans, contaminated.
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = blocks(held.value, window)
+        for batch in batches:
+            out = []
+            before = zip(batch.column(place[_RUNS]).to_pylist(), batch.column(place[_ITEMS]).to_pylist()) if earlier else [([], [])] * len(batch)
+            for text, (old_runs, old_items) in zip(batch.column(at).to_pylist(), before):
+                words = _words(text)
+                runs, found = machine.scan(words)
+                runs, found = _joined(runs, old_runs), sorted(found.union(old_items))
+                if last:
+                    spans = [m.span() for m in _WORD.finditer(text)] if len(runs) else []
+                    n_hit = int((runs[:, 1] - runs[:, 0]).sum())
+                    out.append((len(words), n_hit, len(found), found, [x for a, b in runs.tolist() for x in (spans[a][0], spans[b - 1][1])], n_hit > 0 and share * n_hit >= len(words)))
+                else:
+                    out.append((runs.ravel().tolist(), found))
+            c = list(zip(*out)) or [[]] * (6 if last else 2)
+            many, texts = pa.list_(pa.int64()), pa.list_(pa.string())
+            types = [pa.int64(), pa.int64(), pa.int64(), texts, many, pa.bool_()] if last else [many, texts]
+            names = [f.name for f in RESULT] if last else [_RUNS, _ITEMS]
+            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, t) for x, t in zip(c, types))], [*(f.name for f in kept), *names])
+
+    more = RESULT if last else [StructField(_RUNS, ArrayType(LongType())), StructField(_ITEMS, ArrayType(StringType()))]
+    return docs.mapInArrow(look, StructType([*kept, *more]))
+
+
+def _pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(item, words): the normalised words of each item, a long one as pieces that share ``window`` - 1 words."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = _words(text)
+                for i in range(0, max(1, len(words) - window + 1), PIECE_WORDS):
+                    names.append(item)
+                    texts.append(" ".join(words[i : i + PIECE_WORDS + window - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["item", "words"])
+
+    return rows.mapInArrow(cut, "item string, words string").filter("words <> ''").distinct()
+
+
+def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = 13, share: int = 20, max_bytes: int = 2 << 20) -> DataFrame:
+    """``docs`` with n_words, n_hit, n_items, item_ids, spans and contaminated; rows and other columns stay as they are.
 
     ``n_hit`` counts the words inside any occurrence of a window; ``item_ids`` are the items that
     occur, as sorted strings; ``spans`` are flat pairs of code-point offsets (end exclusive) of
     the covered runs; ``contaminated``: n_hit > 0 and share * n_hit >= n_words. A null or empty
-    text has no words and is clean. Rows of the benchmark without id are left out; repeated ids
-    are one item. Repeated documents get equal rows; other columns are not carried.
+    text has no words and is clean. Rows of the benchmark without id or text are left out; repeated
+    ids are one item. Each row is judged by its own text, so null and repeated ids of ``docs`` do not
+    matter; columns named like a result are replaced.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("item is not null and text is not null").distinct()
-    size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tests = stored(_pieces(benchmark, item_col, item_text_col, window), "items")
+    size = tests.agg(F.coalesce(F.sum(F.octet_length("words") + F.octet_length("item")), F.lit(0))).first()[0]
     parts = int(size // max_bytes) + 1
-    found = None
+    got = docs.drop(*(f.name for f in RESULT), _RUNS, _ITEMS)
     for part in range(parts):
-        mine = tests if parts == 1 else tests.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
-        items = sorted((r.item, [w.decode("utf-8", "surrogatepass") for w in normal_words(r.text)]) for r in mine.collect())
-        # a row is known by its id and the hash of its text only where several scans must be merged
-        got = _runs(rows.withColumn("same", F.lit(0).cast("long") if parts == 1 else F.xxhash64("text")), items, window)
-        found = got if found is None else found.unionByName(got)
-    if parts > 1:
-        found = found.withColumn("one", F.lit(1))
-        merged = found.groupBy("doc_id", "same").agg((F.count("one") / parts).cast("int").alias("n"), F.max("n_words").alias("n_words"), F.collect_set(F.when(F.size("runs") > 0, F.col("runs"))).alias("r"), F.collect_set(F.when(F.size("spans") > 0, F.col("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
-        merged = merged.withColumn("runs", F.expr(_joined("r"))).withColumn("spans", F.expr(_joined("s")))
-        found = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    hit = F.expr("aggregate(sequence(0, cast(size(runs) / 2 - 1 as int)), 0L, (t, i) -> t + runs[2 * i + 1] - runs[2 * i])")
-    found = found.withColumn("n_hit", F.when(F.size("runs") > 0, hit).otherwise(F.lit(0).cast("long")))
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "spans", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        mine = tests if parts == 1 else tests.filter(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == part)
+        items = sorted((r["item"], r["words"].split(" ")) for r in mine.collect())
+        got = _pass(got, text_col, items, window, share, part == parts - 1)
+    return got
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", **options) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, item_ids, spans, contaminated (see ``flag``).
+
+    Repeated documents get equal rows; other columns are not carried.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return flag(rows, benchmark, "text", item_col, item_text_col, **options).drop("text")
