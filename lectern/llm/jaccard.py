@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from lectern.llm._shared import stored
 from lectern.llm._text import LOWER, NOT_SPACE, gram_hash, long_array, mix, pieces, span_hash, words
@@ -67,18 +68,20 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def memberships(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
+def memberships(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    """The columns of ``docs`` but the text, with n_shingles and node (fingerprint of the set, null if empty)."""
+    others = [f for f in docs.schema.fields if f.name != text_col]
+    at, kept = docs.columns.index(text_col), [docs.columns.index(f.name) for f in others]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, mark = [], []
-            for grams in ngram_sets(batch.column(1), n):
+            for grams in ngram_sets(batch.column(at), n):
                 size.append(len(grams))
                 mark.append(fingerprint(grams))
-            yield pa.RecordBatch.from_arrays([batch.column(0), long_array(size), pa.array(mark, pa.binary())], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), long_array(size), pa.array(mark, pa.binary())], [*(f.name for f in others), "n_shingles", "node"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(look, f"doc_id {kind}, n_shingles long, node binary")
+    return docs.mapInArrow(look, StructType([*others, StructField("n_shingles", LongType()), StructField("node", BinaryType())]))
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -299,14 +302,36 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     sets are one node. A null id counts for no minimum, and a component with null ids alone has
     a null component_id. Other columns are not carried; an empty table gives an empty result.
     """
-    known = stored(memberships(docs, id_col, text_col, n), "sets")
-    total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    key = F.xxhash64(F.col(id_col).cast("string"), F.octet_length(text_col))
-    found = stored(links(docs, total, text_col, key=key, n=n, percent=percent), "links")
+    known = stored(memberships(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", n), "sets")
     by_node = known.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    linked = components(found)
+    linked = _linked_nodes(known, docs, id_col, text_col, n, percent)
     by_root = linked.join(by_node, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = linked.join(by_root, "root").select("node", "component_id")
     # stored, so that both sides of the last join are dealt by it alone and Spark can split a node with many copies
     best = stored(by_node.join(of_node, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "classes")
     return known.join(best, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _linked_nodes(known: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """(node, root) of all fingerprints that have a link."""
+    total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    key = F.xxhash64(F.col(id_col).cast("string"), F.octet_length(text_col))
+    return components(stored(links(docs, total, text_col, key=key, n=n, percent=percent), "links"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` of which one stays for each group of linked documents, all columns as they are.
+
+    It is the one with the smallest id, null ids last, and among rows with that id the one whose hash
+    is least; rows equal in id and text are one document, of which one row stays. Texts without words
+    are linked with nothing and stay.
+    """
+    mark = lambda c: F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit(""))
+    keyed = docs.withColumn("lectern_key", F.md5(F.concat(mark(id_col), F.lit(":"), mark(text_col))))
+    known = stored(memberships(keyed.select(F.col(id_col).alias("doc_id"), "lectern_key", F.col(text_col).alias("text")), "text", n), "sets")
+    linked = _linked_nodes(known, docs, id_col, text_col, n, percent)
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "lectern_key")).alias("first")
+    by_node = known.filter("node is not null").groupBy("node").agg(order)
+    first = by_node.join(linked, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select("first.lectern_key")
+    chosen = first.unionByName(known.filter("node is null").select("lectern_key").distinct())
+    return keyed.join(chosen, "lectern_key", "left_semi").dropDuplicates(["lectern_key"]).drop("lectern_key")

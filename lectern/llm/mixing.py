@@ -59,19 +59,19 @@ def targets(sources: DataFrame, weights: tuple[float, ...], budget_share: float,
     return s.withColumn("target", F.when(F.col("limit") < F.lit(unit) * F.col("weight"), F.col("limit")).otherwise(F.lit(unit) * F.col("weight"))).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, weights: tuple[float, ...] = (5, 2, 1), budget_share: float = 1.5, copies: int = 2) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies (taken), taken.
+def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, weights: tuple[float, ...] = (5, 2, 1), budget_share: float = 1.5, copies: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies (taken), taken, and the columns ``carry``.
 
     ``size`` defaults to the number of words of the text (null: 0). ``taken`` is size times the
     copies in the mix, 0 to ``copies``. A document without words is never taken. Ties in the shuffle
-    (equal ids in one source) are ordered by size and text hash; rows that tie in all of these are
-    interchangeable. Null ids and sources are values like others. An empty table gives an empty mix;
+    (equal ids in one source) are ordered by size and text hash; rows that tie in all of these, and
+    in ``carry``, are interchangeable. Null ids and sources are values like others. An empty table gives an empty mix;
     other columns are not carried.
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.col(text_col), F.lit(WORD)) if size is None else size
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    d = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"), key.alias("key"), F.xxhash64(F.col(text_col)).alias("same")), "sizes")
+    d = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"), key.alias("key"), F.xxhash64(F.col(text_col)).alias("same"), *carry), "sizes")
     known = d.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n = _ranges(known[0])
     t = stored(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget_share, copies), "targets")
@@ -80,9 +80,10 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", sou
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = d.groupBy("source", "range").agg(F.sum("size").alias("in_range")).withColumn("base", F.coalesce(F.sum("in_range").over(before), F.lit(0)))
     bases = bases.join(t, bases["source"].eqNullSafe(t["source"])).select(bases["source"].alias("s"), F.col("range").alias("r"), "base", "source_size", "target")
-    within = Window.partitionBy("source", "range").orderBy("key", "size", "same", "doc_id")
+    within = Window.partitionBy("source", "range").orderBy("key", "size", "same", "doc_id", *carry)
     run = d.withColumn("run", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(within))
-    run = run.join(bases, run["source"].eqNullSafe(bases["s"]) & (run["range"] == bases["r"])).drop("s", "r")
+    # read twice below: for the queue and for the result
+    run = stored(run.join(bases, run["source"].eqNullSafe(bases["s"]) & (run["range"] == bases["r"])).drop("s", "r"), "runs")
     queue = run.filter("size > 0 and target > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("finish", (F.col("source_size") * F.col("copy") + F.col("base") + F.col("run")) / F.col("target"))
     # the order of finish times, cut where the words taken reach the budget
     queue = queue.select("source", "range", "nth", "key", "size", "same", "doc_id", "copy", "finish", F.floor(_slot(F.col("finish")) * n).alias("slot"))
@@ -100,4 +101,4 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", sou
     taken = taken.groupBy(F.col("source").alias("s"), F.col("range").alias("r"), F.col("nth").alias("i")).agg(F.count("*").alias("copies"))
     out = run.join(taken, run["source"].eqNullSafe(F.col("s")) & (run["range"] == F.col("r")) & (run["nth"] == F.col("i")), "left")
     copies_col = F.coalesce(F.col("copies"), F.lit(0).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies_col.alias("copies"), (F.col("size") * copies_col).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies_col.alias("copies"), (F.col("size") * copies_col).alias("taken"), *carry)
