@@ -4,14 +4,17 @@ Templates and texts are lower-case words of letters, digits and non-ASCII charac
 ``winnow`` consecutive word k-grams of a template the one with the least hash is kept in an
 inverted index (hash -> template, position), so a run of ``k + winnow - 1`` words in common is
 always seen. All k-grams of a document are looked up; hits on nearby diagonals of one template
-are a candidate, which is aligned with the template in a band around them. A match reports the
-share of the template's words that the alignment pairs, and its span in the text.
+are a candidate, which is aligned with the template in a band around them, unless the stretch of text
+that the band can reach has too few of the template's words for ``coverage`` (a bound, so no match is
+lost by it). A match reports the share of the template's words that the alignment pairs, and its span
+in the text.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from lectern.llm._text import LETTER_DIGIT, LOWER, gram_hash, pieces, span_hash, words
 from lectern.llm.license_templates import TEMPLATES
 
-#: Templates travel to every task.
+#: Templates travel to every task; more than so many bytes of them are dealt to several scans.
 MAX_TEMPLATE_BYTES = 8 << 20
 
 
@@ -46,8 +49,6 @@ class Index:
     """Fingerprints of all templates, sorted by hash."""
 
     def __init__(self, templates: dict[str, str], k: int, winnow: int):
-        if sum(len(t.encode()) for t in templates.values()) > MAX_TEMPLATE_BYTES:
-            raise ValueError(f"templates hold more than {MAX_TEMPLATE_BYTES} bytes; scan with parts of them in turn")
         self.k = k
         self.names = [name for name in sorted(templates) if len(_words(templates[name])) >= k]
         self.words = [_words(templates[name]) for name in self.names]
@@ -55,7 +56,14 @@ class Index:
         self.hash = np.array([r[0] for r in rows], np.uint64)
         self.template = np.array([r[1] for r in rows], np.int64)
         self.position = np.array([r[2] for r in rows], np.int64)
-        self.size = np.bincount(self.template, minlength=len(self.names)) if rows else np.zeros(0, np.int64)
+        self.bag = [np.unique(w, return_counts=True) for w in self.words]
+
+
+def most_pairs(bag: tuple[np.ndarray, np.ndarray], text: np.ndarray) -> int:
+    """Most words that any alignment of a template (its distinct words and their counts) and ``text`` can pair."""
+    have, count = np.unique(text, return_counts=True)
+    _, i, j = np.intersect1d(bag[0], have, assume_unique=True, return_indices=True)
+    return int(np.minimum(bag[1][i], count[j]).sum())
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
@@ -97,30 +105,56 @@ def matches(index: Index, word: np.ndarray, hits: list[tuple[int, int]], coverag
     for t, diagonals in votes.items():
         band = 4 + len(index.words[t]) // 8
         diagonals.sort()
-        low = 0
-        best: list[tuple[str, float, int, int]] = []
+        low, m = 0, len(index.words[t])
+        found: list[tuple[float, int, int]] = []
         for i in range(1, len(diagonals) + 1):
-            if i < len(diagonals) and diagonals[i] - diagonals[i - 1] <= band:
+            # a group spans at most a band, so that the band around its middle holds all of it
+            if i < len(diagonals) and diagonals[i] - diagonals[low] <= band:
                 continue
-            group, low = diagonals[low:i], i
-            if 4 * len(group) < index.size[t]:
+            middle, low = diagonals[(low + i) // 2], i
+            reach = word[max(0, middle - band) : max(0, middle + m + band)]
+            if most_pairs(index.bag[t], reach) < coverage * m:
                 continue
-            pairs, first, last = align(index.words[t], word, group[len(group) // 2], band)
-            share = pairs / len(index.words[t])
-            if share >= coverage and not any(a <= last and first <= b for _, _, a, b in best):
-                best.append((index.names[t], share, first, last))
+            pairs, first, last = align(index.words[t], word, middle, band)
+            if pairs >= coverage * m:
+                found.append((-pairs / m, first, last))
+        best: list[tuple[str, float, int, int]] = []
+        for share, first, last in sorted(found):
+            if not any(a <= last and first <= b for _, _, a, b in best):
+                best.append((index.names[t], -share, first, last))
         out += best
     return sorted(out, key=lambda m: (m[2], m[0]))
 
 
+def _parts(templates: dict[str, str]) -> list[dict[str, str]]:
+    """``templates`` in parts of at most ``MAX_TEMPLATE_BYTES`` (or one template); no part needs another."""
+    parts, size = [{}], 0
+    for name in sorted(templates):
+        more = len(templates[name].encode())
+        if parts[-1] and size + more > MAX_TEMPLATE_BYTES:
+            parts.append({})
+            size = 0
+        parts[-1][name] = templates[name]
+        size += more
+    return parts
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, *, k: int = 3, winnow: int = 2, coverage: float = 0.8) -> DataFrame:
     """One row per match: doc_id, template, coverage, start, end (code points, end exclusive).
 
     A text without a match, a null or an empty one, gives no row. Templates of fewer than ``k`` words
-    are not searched. Repeated documents give equal rows each; other columns are not carried.
+    are not searched. Of overlapping matches of one template the best is reported (of equal
+    ones the first), of several templates each. Repeated documents give equal rows each, null ids too; other columns are not
+    carried. Each part of ``MAX_TEMPLATE_BYTES`` of templates is a scan of its own.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, k, winnow))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    got = [_scan(rows, Index(part, k, winnow), coverage) for part in _parts(TEMPLATES if templates is None else templates)]
+    return reduce(DataFrame.unionByName, got)
+
+
+def _scan(rows: DataFrame, index: Index, coverage: float) -> DataFrame:
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    held = rows.sparkSession.sparkContext.broadcast(index)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
@@ -150,4 +184,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             c = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(c[0], pa.string()), pa.array(c[1], pa.float64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64())], ["doc_id", "template", "coverage", "start", "end"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(look, f"doc_id {kind}, template string, coverage double, start long, end long")
+    return rows.mapInArrow(look, f"doc_id {kind}, template string, coverage double, start long, end long")
