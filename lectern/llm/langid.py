@@ -5,8 +5,8 @@ by presence) that both hold, over the geometric mean of their numbers. N-grams a
 lower-cased letters, a run of other characters counting as one blank, and are hashed to
 ``2**bits`` places. Nystroem landmarks give a finite feature space in which one-versus-rest
 kernel ridge regression is solved; the map of a text to all class values is linear in its
-n-gram presence, so ``landmarks' . weights`` is multiplied out once and each batch is scored by
-one product with its presence rows.
+n-gram presence, so ``landmarks' . weights`` is multiplied out once and texts are scored ``ROWS`` at
+a time by one product of their presence matrix with it.
 
 Fitting takes a bounded sample, by hash order of the ids: ``per_language`` rows a language,
 ``max_rows`` in all. Scoring reads whole texts of all rows.
@@ -26,6 +26,8 @@ UNDETERMINED = "und"
 _letters: list[np.ndarray] = []
 #: Bytes of packed presence that fitting unpacks at once.
 _BLOCK = 512
+#: Texts of a presence matrix (4 * 2**bits bytes each).
+ROWS = 64
 _G, _P = np.uint32(0x9E3779B1), np.uint32(0x01000193)
 
 
@@ -67,23 +69,44 @@ class KernelModel:
     longest: int
     sharpness: float = 6.0
 
+    def values(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Class values of texts from their places, at most ``ROWS`` at a time."""
+        held = np.zeros((min(ROWS, len(rows)), 1 << self.bits), np.float32)
+        out = []
+        for low in range(0, len(rows), ROWS):
+            part = rows[low : low + ROWS]
+            for x, places in zip(held, part):
+                x[places] = 1
+            size = np.array([len(p) for p in part], np.float64)
+            out.append((held[: len(part)] @ self.weights).astype(np.float64) / np.sqrt(size)[:, None])
+            for x, places in zip(held, part):
+                x[places] = 0
+        return np.concatenate(out)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         seen = np.zeros(1 << self.bits, bool)
         names, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        rows, size, where = [], [], []
-        for i, text in enumerate(texts):
-            places = _presence(text, self.bits, self.longest, seen) if self.languages else None
-            if places is not None:
-                where.append(i)
-                rows.append(self.weights[places].sum(0, dtype=np.float64))
-                size.append(len(places))
-        if where:
-            value = np.array(rows) / np.sqrt(np.array(size, float))[:, None]
+        rows, where = [], []
+
+        def decide() -> None:
+            value = self.values(rows)
             power = np.exp(self.sharpness * (value - value.max(1, keepdims=True)))
             best = value.argmax(1)
             chance = power[np.arange(len(best)), best] / power.sum(1)
             for i, k, p in zip(where, best, chance):
                 names[i], score[i] = self.languages[k], p
+            rows.clear()
+            where.clear()
+
+        for i, text in enumerate(texts if self.languages else []):
+            places = _presence(text, self.bits, self.longest, seen)
+            if places is not None:
+                rows.append(places)
+                where.append(i)
+                if len(rows) == ROWS:
+                    decide()
+        if rows:
+            decide()
         return names, score
 
 
@@ -120,9 +143,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("id is not null and text is not null and lang is not null")
     order = Window.partitionBy("lang").orderBy("k", "id")
-    few = rows.select("id", "lang", F.xxhash64(F.col("id").cast("string")).alias("k")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
-    ids = [r.id for r in few.orderBy("r", "k", "lang").limit(max_rows).collect()]
-    if not ids:
+    few = rows.select("id", "lang", F.xxhash64(F.col("id").cast("string")).alias("k")).withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= per_language).distinct()
+    chosen = sorted((r["lang"], r["id"]) for r in few.orderBy("r", "k", "lang", "id").limit(max_rows).collect())
+    if not chosen:
         return fit_presence([], bits, longest, landmarks, ridge)
 
     def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +160,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                     got.append((str(key), lang, np.packbits(flags).tobytes()))
             yield pa.RecordBatch.from_pylist([dict(zip(("id", "lang", "bits"), g)) for g in got], pa.schema([("id", pa.string()), ("lang", pa.string()), ("bits", pa.binary())]))
 
-    got = rows.filter(F.col("id").isin(ids)).mapInArrow(bits_of, "id string, lang string, bits binary").limit(2 * max_rows).collect()
-    sample = sorted((r.lang, r.id, bytes(r.bits)) for r in got)[: 2 * max_rows]
+    # of rows with one id and language the least text counts, so that the sample does not hang on their order
+    mine = rows.filter(F.col("id").isin([i for _, i in chosen])).groupBy("id", "lang").agg(F.min("text").alias("text")).select("id", "text", "lang")
+    pairs = set((lang, str(i)) for lang, i in chosen)
+    sample = sorted((r["lang"], r["id"], bytes(r["bits"])) for r in mine.mapInArrow(bits_of, "id string, lang string, bits binary").toLocalIterator() if (r["lang"], r["id"]) in pairs)
     return fit_presence([(lang, flags) for lang, _, flags in sample], bits, longest, landmarks, ridge)
 
 
