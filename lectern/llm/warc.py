@@ -14,7 +14,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -37,13 +37,15 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
+    # ids are quoted, so that no character of theirs ends a header or the name
+    name = lambda x: f"<urn:page:{quote(str(x), safe='')}>"
     head = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:page:{page_id}>",
+        "WARC-Record-ID": name(page_id),
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Target-URI": None if url is None else quote(url, safe="/:?#[]@!$&'()*+,;=%~-._"),
         "WARC-Payload-Digest": f"sha256:{digest}",
-        "WARC-Refers-To": f"<urn:page:{refers_to}>" if revisit else None,
+        "WARC-Refers-To": name(refers_to) if revisit else None,
         "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None,
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(block)),
@@ -150,7 +152,7 @@ def read(index: DataFrame) -> DataFrame:
                 fields, http, payload = parse(zlib.decompress(raw[at : at + r["length"]], 31))
                 revisit = fields["WARC-Type"] == "revisit"
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest()
-                origin = fields.get("WARC-Refers-To", "").removeprefix("<urn:page:").removesuffix(">") if revisit else None
+                origin = unquote(fields["WARC-Refers-To"].removeprefix("<urn:page:").removesuffix(">")) if revisit else None
                 got.append((r["page_id"], r["url"], fields["WARC-Type"], None if revisit else payload, digest, int(http["Content-Length"]) if revisit else len(payload), origin))
             columns = list(zip(*got))
             types = [None, from_text, from_text, pa.binary(), from_text, pa.int64(), from_text]
