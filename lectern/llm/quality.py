@@ -3,13 +3,17 @@
 The ratio compares two multinomials over ``2**bits`` hash places of word unigrams and bigrams:
 that of a trusted target and that of the raw corpus. The raw counts cover all n-grams of all
 documents; the target is a sample of trusted rows bounded by ``max_trusted`` (by hash order of
-the ids). A document's value is the mean of log(target / raw) over its n-grams, so length does
-not matter, and it is kept where the value reaches a fixed threshold: no chance is involved.
+the ids). At each place the target's count t is held against e, what it would be at the corpus's
+share: log((t + prior) / (e + prior)). Where the target says little (small e) the value is near 0,
+whatever the size of the corpus. A document's value is the mean over its n-grams, so length does not
+matter; a trusted row is judged without its own counts, as if it were any other. A document is kept
+where the value reaches a fixed threshold: no chance is involved.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -79,54 +83,57 @@ def text_counts(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.nd
     return [np.diff(first), np.diff(chars[off]), np.diff(symbols[off]), repeated_lines, repeated[first[1:]] - repeated[first[:-1]]]
 
 
-def _summed(blobs: DataFrame, bits: int) -> np.ndarray:
-    """Sum of the tasks' count arrays (target, then raw), first in 16 streams, then here: 16 times 1 MB at most."""
+@dataclass(frozen=True)
+class Ratio:
+    """Counts by hash place of the target and of the corpus, and the ids of the target's rows."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.zeros(2 << bits, np.int64)
-        for batch in batches:
-            for blob in batch.column(0):
-                got += np.frombuffer(blob.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([got.tobytes()], pa.binary())], ["counts"])
+    target: np.ndarray
+    raw: np.ndarray
+    trusted: frozenset
+    prior: float
 
-    out = np.zeros(2 << bits, np.int64)
-    for r in blobs.repartition(16).mapInArrow(add, "counts binary").collect():
-        out += np.frombuffer(bytes(r.counts), np.int64)
-    return out.reshape(2, -1)
+    def values(self, place: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """The value of each n-gram; ``own`` (places of a trusted row) are left out of the target."""
+        if not self.target.any():
+            return np.zeros(len(place))
+        total, t = float(self.target.sum()), self.target[place].astype(float)
+        if own is not None:
+            total -= len(own)
+            keys, count = np.unique(own, return_counts=True)
+            t -= count[np.searchsorted(keys, place)]
+        return np.log((t + self.prior) / (total * self.raw[place] / self.raw.sum() + self.prior))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", *, max_trusted: int = 4096, bits: int = BITS, smoothing: float = 50.0) -> np.ndarray:
-    """log(target / raw) by hash place, float32. All zero where there is no trusted row.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", *, max_trusted: int = 4096, bits: int = BITS, prior: float = 16.0) -> Ratio:
+    """Counts of every n-gram of ``docs``, and of up to ``max_trusted`` rows whose id ``labels`` gives quality 1.
 
-    Raw counts take every n-gram of ``docs``; the target's those of up to ``max_trusted`` rows whose
-    id ``labels`` gives quality 1. The target is smoothed by the raw shares, which weigh as much as
-    ``smoothing`` n-grams a place: few trusted rows then say little, and no clean document goes for
-    want of evidence.
+    ``prior``: how many n-grams at a place weigh as much as the corpus's share. Without a trusted row all
+    values are 0. Rows of one trusted id all count. Counts are summed in each task and then by place.
     """
     trusted = labels.filter(F.col(quality_col) == 1).select(F.col(id_col).alias("id")).filter("id is not null").distinct()
-    ids = sorted(r.id for r in trusted.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(max_trusted).collect())
+    ids = frozenset(r["id"] for r in trusted.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(max_trusted).collect())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros((2, 1 << bits), np.int64)
-        good = set(ids)
         for batch in batches:
-            is_good = np.fromiter((x in good for x in batch.column(0).to_pylist()), bool, len(batch))
+            is_good = np.fromiter((x in ids for x in batch.column(0).to_pylist()), bool, len(batch))
             for low, high, data, off in pieces(batch.column(1)):
                 start, end, first = words(data, off, NOT_SPACE)
                 place, row = _places(span_hash(data, start, end), first, bits)
                 got[1] += np.bincount(place, minlength=1 << bits)
                 if is_good[low:high].any():
                     got[0] += np.bincount(place[is_good[low:high][row]], minlength=1 << bits)
-        yield pa.RecordBatch.from_arrays([pa.array([got.tobytes()], pa.binary())], ["counts"])
+        place = np.flatnonzero(got[1])
+        yield pa.RecordBatch.from_arrays([long_array(place), long_array(got[0, place]), long_array(got[1, place])], ["place", "target", "raw"])
 
-    target, raw = _summed(docs.select(id_col, text_col).mapInArrow(count, "counts binary"), bits).astype(float)
-    share = (raw + 0.5) / (raw + 0.5).sum()
-    if not target.sum():
-        return np.zeros(1 << bits, np.float32)
-    return np.log((target + smoothing * len(raw) * share) / (target.sum() + smoothing * len(raw)) / share).astype(np.float32)
+    counts = np.zeros((2, 1 << bits), np.int64)
+    summed = docs.select(id_col, text_col).mapInArrow(count, "place long, target long, raw long").groupBy("place").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    for r in summed.collect():  # at most 2**bits rows
+        counts[:, r["place"]] = r["target"], r["raw"]
+    return Ratio(counts[0], counts[1], ids, prior)
 
 
-def assess(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = -0.05) -> DataFrame:
+def assess(docs: DataFrame, ratio: Ratio, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = -0.1) -> DataFrame:
     """One row per document: doc_id, the five counts, base_failed, llr and kept.
 
     A null or empty text has no words and fails the base rules. A text whose n-grams are all unknown
@@ -134,17 +141,23 @@ def assess(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
     """
     kind = docs.schema[id_col].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(ratio)
-    bits = int(len(ratio)).bit_length() - 1
+    bits = int(len(ratio.raw)).bit_length() - 1
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = held.value.values(np.arange(1 << bits)) if held.value.raw.any() else np.zeros(1 << bits)
         for batch in batches:
+            known = batch.column(0).to_pylist()
             for low, high, data, off in pieces(batch.column(1)):
                 start, end, first = words(data, off, NOT_SPACE)
                 word = span_hash(data, start, end)
                 counts = text_counts(data, off, start, end, first, word)
                 place, row = _places(word, first, bits)
-                value = np.bincount(row, held.value[place], high - low) / np.maximum(np.bincount(row, minlength=high - low), 1)
+                value = np.bincount(row, every[place], high - low) / np.maximum(np.bincount(row, minlength=high - low), 1)
+                for i in range(high - low):
+                    if known[low + i] in held.value.trusted:
+                        own = place[row == i]
+                        value[i] = held.value.values(own, own).mean() if len(own) else 0.0
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *map(long_array, counts), pa.array(value)], ["doc_id", *names, "llr"])
 
     got = docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(look, f"doc_id {kind}, {', '.join(f'{n} long' for n in names)}, llr double")

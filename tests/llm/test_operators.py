@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -138,14 +140,14 @@ def test_quality(spark):
     rows = [(1000 + i, t) for i, t in enumerate(texts)] + good + bad + [good[0]]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(None, 1, 0), (105, 0, 0)], "doc_id long, quality int, toxic int")
     docs = frame(spark, rows)
-    got = quality.assess(docs, quality.train(docs, labels, smoothing=0.5)).collect()
+    got = quality.assess(docs, quality.train(docs, labels)).collect()
     assert len(got) == len(rows)
     text = dict(rows)
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.quality_counts(text[r.doc_id]), repr(text[r.doc_id])[:80]
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
     assert all(r.kept for r in got if r.doc_id < 60) and not any(r.kept for r in got if 100 <= r.doc_id < 160)
-    assert not quality.train(docs, labels.limit(0)).any()
+    assert not any(r.llr for r in quality.assess(docs, quality.train(docs, labels.limit(0))).collect())
     assert quality.assess(docs.limit(0), quality.train(docs.limit(0), labels)).count() == 0
 
 
@@ -159,19 +161,25 @@ def test_quality_ratio_against_plain_sums(spark):
     def grams(t):
         data = np.frombuffer(t.encode(), np.uint8)
         start, end, first = words(data, np.array([0, len(data)]), NOT_SPACE)
-        return quality._places(span_hash(data, start, end), first, quality.BITS)[0]
-
-    c = np.zeros((2, 1 << quality.BITS))
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    for d, t in texts.items():
-        for g in grams(t):
-            c[1, g] += 1
-            c[0, g] += d in (2, 3)
-    share = (c[1] + 0.5) / (c[1] + 0.5).sum()
-    want = np.log((c[0] + 50 * len(share) * share) / (c[0].sum() + 50 * len(share)) / share)
-    assert np.allclose(ratio, want, atol=1e-6)
+        return quality._places(span_hash(data, start, end), first, quality.BITS)[0].tolist()
+
+    texts = {r.doc_id: grams(r.text) for r in docs.collect()}
+    raw = Counter(g for t in texts.values() for g in t)
     for r in quality.assess(docs, ratio).collect():
-        assert abs(r.llr - np.mean([ratio[g] for g in grams(texts[r.doc_id])])) < 1e-6
+        # a trusted document is judged by the others
+        target = Counter(g for d in {2, 3} - {r.doc_id} for g in texts[d])
+        value = lambda g: math.log((target[g] + 16) / (target.total() * raw[g] / raw.total() + 16))
+        assert abs(r.llr - sum(map(value, texts[r.doc_id])) / len(texts[r.doc_id])) < 1e-9
+        assert r.kept == (not r.base_failed and r.llr >= -0.1)
+
+
+def test_quality_verdict_at_both_small_sizes(spark, sf_dir):
+    """With production parameters most labelled bad documents that pass the base rules go, and no good one."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    got = quality.assess(docs, quality.train(docs, labels)).join(labels, "doc_id").filter("not base_failed").collect()
+    good, bad = ([r.kept for r in got if r.quality == q] for q in (1, 0))
+    assert len(good) > 20 and all(good)
+    assert len(bad) > 3 and sum(bad) < len(bad) / 2
 
 
 def test_mixture_against_a_plain_queue(spark, monkeypatch):
