@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.llm import decontaminate, jaccard, langid, mixing, secrets
-from lectern.llm._shared import new_path
+from lectern.llm._shared import new_path, stored
 from lectern.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go; the others get the predicted one."""
+    """Rows without a recognisable language (null texts, texts without letters) go; the others get the predicted one."""
     ship(spark)
     model = langid.train(docs.filter(~langid.held_out()))
     got = langid.identify(docs, model)
@@ -22,26 +22,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays, of repeated rows one, and all without words."""
-    group = jaccard.similar(docs).filter("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(group, docs["doc_id"].eqNullSafe(group["kept"]), "left_semi").withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"]).select(COLUMNS)
+    """Of each group of similar documents the one with the smallest id stays, and every text without words.
+
+    A null id counts as larger than any other; of rows equal in id and text one stays.
+    """
+    return jaccard.keep_one(docs).select(COLUMNS)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more repeats benchmark windows go."""
-    bad = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad"]), "left_anti").select(COLUMNS)
+    """Rows of which a twentieth or more repeats benchmark windows go; each is judged by its own text, whatever its id."""
+    return decontaminate.flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("not contaminated").select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts are replaced by a mark."""
+    """All rows stay; secrets in their texts are replaced by a mark. A null text stays null."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the mix, with how often and how many words of each."""
-    mixed = mixing.mix(docs).filter("copies > 0").select("doc_id", F.col("size").alias("n_words"), "source_size", "target", "copies", "taken")
-    return docs.join(mixed, "doc_id").select(*COLUMNS, "n_words", "source_size", "target", "copies", "taken")
+    """Rows in the mix, with how often and how many words of each; null and repeated ids are rows of their own."""
+    rows = stored(docs.withColumn("lectern_row", F.monotonically_increasing_id()), "numbered")
+    mixed = mixing.mix(rows, carry=("lectern_row",)).filter("copies > 0").select("lectern_row", F.col("size").alias("n_words"), "source_size", "target", "copies", "taken")
+    return rows.join(mixed, "lectern_row").select(*COLUMNS, "n_words", "source_size", "target", "copies", "taken")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
