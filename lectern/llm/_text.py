@@ -7,6 +7,9 @@ cut into pieces of about a megabyte (a longer text is a piece of its own), which
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,3 +125,13 @@ def gram_hash(word: np.ndarray, k: int) -> np.ndarray:
 
 def long_array(values) -> pa.Array:
     return pa.array(np.asarray(values, np.int64))
+
+
+def one_blas_thread() -> None:
+    """Matrix products of this process on the task's own core; other threads of theirs would only wait for each other."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__) + ".libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break

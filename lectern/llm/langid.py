@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from lectern.llm._text import one_blas_thread
+
 UNDETERMINED = "und"
 _letters: list[np.ndarray] = []
 #: Bytes of packed presence that fitting unpacks at once.
@@ -179,6 +181,7 @@ def identify(docs: DataFrame, model: KernelModel, text_col: str = "text", *, pre
     at = kept.columns.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         for batch in batches:
             names, value = held.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(value)], [*batch.schema.names, pred_col, score_col])

@@ -2,15 +2,16 @@
 
 Every token is predicted from the two tokens on each side of it, its own place masked. Tokens
 are words: the most frequent ones of the whole corpus stand for themselves, all others for one of
-``2**14`` hash buckets, and each of these is a class of its own, as target and as context. The
+``2**13`` hash buckets, and each of these is a class of its own, as target and as context. The
 network (numpy) adds an embedding per offset, applies tanh and gives a softmax in two levels: over
 the most frequent words and groups of classes, then over the classes of the group. A document's
 score is the sum of its tokens' conditional log-probabilities.
 
-Word counts and bucket counts cover all documents; the network starts from their shares. Training
-is distributed: each task runs stochastic gradient descent over every token of its share of the
-documents from one start. The results are averaged, each row by the tokens that moved it, so that
-what only few documents hold is not thinned out; what is gathered grows with the corpus.
+Word counts and bucket counts cover all documents; the network starts from their shares. Documents
+are dealt to blocks of about ``block_tokens`` tokens by a hash and sorted by it; stochastic gradient
+descent runs over every token of each block from the same start, and the results are averaged, each row
+by the tokens that moved it, so that what only few documents hold is not thinned out. So the model
+does not hang on how rows were ordered or partitioned, and what is gathered grows with the corpus.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.llm._shared import stored
-from lectern.llm._text import NOT_SPACE, long_array, mix, pieces, span_hash, words
+from lectern.llm._text import NOT_SPACE, long_array, mix, one_blas_thread, pieces, span_hash, words
 
 OFFSETS = (-2, -1, 1, 2)
-BUCKET_BITS = 14
+BUCKET_BITS = 13
 #: Classes of the first level that stand for themselves, and groups that hold all others.
-HEAD, GROUPS = 64, 128
+HEAD, GROUPS = 48, 80
 _BLOCK = 8192
+_ONES = np.ones(_BLOCK, np.float32)
 
 
 @dataclass
@@ -64,7 +66,9 @@ def _encoded(column, member=NOT_SPACE):
         yield low, high, span_hash(data, start, end), first
 
 
-def vocabulary(docs: DataFrame, text_col: str, frequent: int) -> Vocabulary:
+def vocabulary(docs: DataFrame, text_col: str, frequent: int) -> tuple[Vocabulary, int]:
+    """The classes with their shares, and the number of tokens."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -93,7 +97,7 @@ def vocabulary(docs: DataFrame, text_col: str, frequent: int) -> Vocabulary:
     np.subtract.at(total, (top >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), [r.n for r in best])
     order = np.argsort(top)
     share = np.concatenate(([r.n for r in best], total)) + 1
-    return Vocabulary(top[order], order, np.log(share / share.sum()))
+    return Vocabulary(top[order], order, np.log(share / share.sum())), int(share.sum()) - len(share)
 
 
 class Network:
@@ -124,18 +128,18 @@ class Network:
         """Group of each class beyond the head, and its place there."""
         return (target - self.head) % self.groups, (target - self.head) // self.groups
 
-    def _runs(self, target: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(group, its number of classes, rows whose target it holds, their places)."""
+    def _grouped(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+        """Rows whose target a group holds, sorted by group; their places there; and (group, its size, from, to) of each run."""
         rows = np.flatnonzero(target >= self.head)
-        if not len(rows):
-            return
         group, place = self.place(target[rows])
         order = np.argsort(group, kind="stable")
         rows, group, place = rows[order], group[order], place[order]
-        cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(rows)]
+        cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(rows)] if len(rows) else []
+        runs = []
         for a, b in zip(cut, cut[1:]):
             g = int(group[a])
-            yield g, -(-(self.classes - self.head - g) // self.groups), rows[a:b], place[a:b]
+            runs.append((g, -(-(self.classes - self.head - g) // self.groups), a, b))
+        return rows, place, runs
 
     def _first(self, target: np.ndarray) -> np.ndarray:
         return np.where(target < self.head, target, self.head + (target - self.head) % self.groups)
@@ -143,8 +147,8 @@ class Network:
     def hidden(self, context: np.ndarray) -> np.ndarray:
         h = self.inputs[0][context[:, 0]]
         for j in range(1, len(OFFSETS)):
-            h = h + self.inputs[j][context[:, j]]
-        return np.tanh(h)
+            h += self.inputs[j][context[:, j]]
+        return np.tanh(h, out=h)
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         got = np.empty(len(target))
@@ -152,8 +156,10 @@ class Network:
             to = target[a : a + _BLOCK]
             h = self.hidden(context[a : a + _BLOCK])
             got[a : a + _BLOCK] = _own_log(h @ self.out + self.bias, self._first(to))
-            for g, n, rows, place in self._runs(to):
-                got[a + rows] += _own_log(h[rows] @ self.inner[g, :, :n] + self.inner_bias[g, :n], place)
+            rows, place, runs = self._grouped(to)
+            own = h[rows]
+            for g, n, low, high in runs:
+                got[a + rows[low:high]] += _own_log(own[low:high] @ self.inner[g, :, :n] + self.inner_bias[g, :n], place[low:high])
         return got
 
     def train(self, context: np.ndarray, target: np.ndarray, rate: float, least: float = 0.0) -> None:
@@ -168,21 +174,25 @@ class Network:
         _error(z, self._first(target))
         back = z @ self.out.T
         self.out -= rate / n_all * (h.T @ z)
-        self.bias -= rate / n_all * z.sum(0)
-        for g, n, rows, place in self._runs(target):
-            w, own = self.inner[g, :, :n], h[rows]
-            e = own @ w + self.inner_bias[g, :n]
-            _error(e, place)
-            back[rows] += e @ w.T
-            by = max(rate / n_all, min(least, rate / len(rows)))
-            w -= by * (own.T @ e)
-            self.inner_bias[g, :n] -= by * e.sum(0)
+        self.bias -= rate / n_all * (_ones(n_all) @ z)
+        rows, place, runs = self._grouped(target)
+        own, more = h[rows], np.empty((len(rows), self.width), np.float32)
+        for g, n, low, high in runs:
+            w, x = self.inner[g, :, :n], own[low:high]
+            e = x @ w + self.inner_bias[g, :n]
+            _error(e, place[low:high])
+            np.matmul(e, w.T, out=more[low:high])
+            by = max(rate / n_all, min(least, rate / (high - low)))
+            w -= by * (x.T @ e)
+            self.inner_bias[g, :n] -= by * (_ones(high - low) @ e)
+        back[rows] += more
         back *= 1 - h * h
+        parts = np.ascontiguousarray(back.T)
         for j in range(len(OFFSETS)):
-            order = np.argsort(context[:, j], kind="stable")
-            keys, at = np.unique(context[order, j], return_index=True)
-            by = np.maximum(rate / n_all, np.minimum(least, rate / np.diff(at, append=n_all))).astype(np.float32)
-            self.inputs[j][keys] -= by[:, None] * np.add.reduceat(back[order], at)
+            keys, inverse, count = np.unique(context[:, j], return_inverse=True, return_counts=True)
+            by = np.maximum(rate / n_all, np.minimum(least, rate / count)).astype(np.float32)
+            total = np.stack([np.bincount(inverse, p, len(keys)) for p in parts], 1)
+            self.inputs[j][keys] -= by[:, None] * total
 
     def weights(self, seen: np.ndarray) -> np.ndarray:
         """How many tokens moved each parameter, from the tokens of each class."""
@@ -195,19 +205,23 @@ class Network:
         return out.flat
 
 
+def _ones(n: int) -> np.ndarray:
+    return _ONES[:n] if n <= len(_ONES) else np.ones(n, np.float32)
+
+
 def _own_log(z: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Log of the softmax at one place of each row; ``z`` is used up."""
     z -= z.max(1, keepdims=True)
     at = z[np.arange(len(z)), own]
     np.exp(z, out=z)
-    return at - np.log(z.sum(1))
+    return at - np.log(z @ _ones(z.shape[1]))
 
 
 def _error(z: np.ndarray, own: np.ndarray) -> None:
     """Softmax less the target, in place."""
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= (z @ _ones(z.shape[1]))[:, None]
     z[np.arange(len(z)), own] -= 1
 
 
@@ -224,48 +238,73 @@ def contexts(cls: np.ndarray, first: np.ndarray, pad: int, at: np.ndarray | None
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", *, frequent: int = 4096, width: int = 24, every: int = 1, rate: float = 1.0, batch: int = 256, most: int = 4096, least: float = 0.3) -> tuple[Vocabulary, Network]:
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, frequent: int = 4096, width: int = 16, block_tokens: int = 2_000_000, every: int = 1, rate: float = 1.0, batch: int = 256, most: int = 4096, least: float = 0.3) -> tuple[Vocabulary, Network]:
     """Counts over all documents, and a network trained on every token of all documents.
 
     Steps take ``batch`` tokens at first and up to ``most`` later. ``every`` above 1 thins the targets
-    (for trials). Without any word the network stays at its start.
+    (for trials). Without any word the network stays at its start. Rows that are equal in id and text
+    are trained on one after the other; null ids and texts are values like others.
     """
-    vocab = vocabulary(docs, text_col, frequent)
+    vocab, tokens = vocabulary(docs, text_col, frequent)
     held = docs.sparkSession.sparkContext.broadcast(vocab)
     start = Network(vocab.classes, width, log_share=vocab.log_share)
     size = len(start.flat)
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         v = held.value
-        net, seen, used = Network(v.classes, width, log_share=v.log_share), 0, np.zeros(v.classes, np.int64)
+        total, moved = np.zeros(size), np.zeros(v.classes, np.int64)
+        block, net, seen, used = None, None, 0, None
+
+        def add() -> None:
+            nonlocal moved
+            total[:] += net.flat.astype(np.float64) * net.weights(used)
+            moved += used
+
         for rows in batches:
-            for _, _, word, first in _encoded(rows.column(0)):
-                if len(word):
-                    cls = v.encode(word)
-                    at = np.arange(seen % every, len(cls), every)
-                    context, target = contexts(cls, first, v.classes, at), cls[at]
-                    used += np.bincount(target, minlength=v.classes)
-                    a = 0
-                    while a < len(at):
-                        n = min(max(batch, seen // 64), most, len(at) - a)
-                        slow = 1 / (1 + seen / 400_000)
-                        net.train(context[a : a + n], target[a : a + n], rate * slow * max(1, n / batch) ** 0.5, least * slow**0.5)
-                        a, seen = a + n, seen + n
+            owner = rows.column(0).to_numpy()
+            # runs of rows of one block
+            edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else []
+            for low, high in zip(edge, edge[1:]):
+                if owner[low] != block:
+                    if seen:
+                        add()
+                    block, net, seen, used = owner[low], Network(v.classes, width, log_share=v.log_share), 0, np.zeros(v.classes, np.int64)
+                for _, _, word, first in _encoded(rows.column(1).slice(low, high - low)):
+                    if len(word):
+                        cls = v.encode(word)
+                        at = np.arange(seen % every, len(cls), every)
+                        context, target = contexts(cls, first, v.classes, at), cls[at]
+                        used += np.bincount(target, minlength=v.classes)
+                        a = 0
+                        while a < len(at):
+                            n = min(max(batch, seen // 64), most, len(at) - a)
+                            slow = 1 / (1 + seen / 400_000)
+                            net.train(context[a : a + n], target[a : a + n], rate * slow * max(1, n / batch) ** 0.5, least * slow**0.5)
+                            a, seen = a + n, seen + n
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([(net.flat * net.weights(used)).tobytes()], pa.binary()), pa.array([used.tobytes()], pa.binary())], ["flat", "used"])
+            add()
+        if moved.any():
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([moved.tobytes()], pa.binary())], ["flat", "used"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, used = np.zeros(size), 0
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, used = np.zeros(size), np.zeros(vocab.classes, np.int64)
         for rows in batches:
             for flat, n in zip(rows.column(0), rows.column(1)):
                 total += np.frombuffer(flat.as_py(), np.float32)
                 used = used + np.frombuffer(n.as_py(), np.int64)
-        if np.any(used):
+        if used.any():
             yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([used.tobytes()], pa.binary())], ["flat", "used"])
 
+    # a task takes several blocks of a large corpus, so that what tasks send stays a small share of the texts
+    blocks = int(tokens // block_tokens) + 1
+    tasks = max(min(blocks, 16), blocks // 16)
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    dealt = docs.select(F.pmod(key, F.lit(blocks)).cast("int").alias("block"), F.col(text_col).alias("text"), key.alias("key")).filter("text is not null")
+    dealt = dealt.repartition(tasks, "block").sortWithinPartitions("block", "key").select("block", "text")
     kind = "flat binary, used binary"
     total, used = np.zeros(size), np.zeros(vocab.classes, np.int64)
-    for r in docs.select(text_col).mapInArrow(descend, kind).repartition(8).mapInArrow(add, kind).toLocalIterator():
+    for r in dealt.mapInArrow(descend, kind).repartition(min(tasks, 8)).mapInArrow(summed, kind).toLocalIterator():
         total += np.frombuffer(bytes(r.flat), np.float32)
         used += np.frombuffer(bytes(r.used), np.int64)
     by = start.weights(used)
@@ -283,6 +322,7 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network], id_col: str = "doc
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         vocab, net = held.value
         for batch in batches:
             for low, high, word, first in _encoded(batch.column(1)):
