@@ -1,6 +1,8 @@
 import hashlib
 import math
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -82,6 +84,16 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_decontamination_memory_follows_the_items_text():
+    rng = random.Random(12)
+    words = [f"x{rng.randrange(10**9)}" for _ in range(40_000)]
+    made = decontaminate.Blocks([("a", words)], 13)
+    patterns = sum(map(len, made.machine.keys()))
+    assert patterns < 1.2 * sum(len(w) + 1 for w in words)
+    runs, items = made.scan(["y", *words[5:40], "z", *words[100:112], *words[500:513]])
+    assert runs.tolist() == [[1, 36], [49, 62]] and items == {"a"}
+
+
 def test_decontamination_against_all_windows(spark):
     rng = random.Random(5)
     items = [(1, prose(rng, 40)), (2, "Short One"), (10, prose(rng, 13)), (3, None), (None, prose(rng, 20)), (4, "  ..."), (5, "naïve Été")]
@@ -113,6 +125,23 @@ SECRETS = [
 ]
 
 
+@pytest.mark.parametrize("part", ["http://", "token ", "AKIA", " ", "http://a.b?", "https://db=", "password=", "a1B" * 20 + "=", "client_id "])
+def test_secret_scan_takes_linear_time(part):
+    text = part * ((1 << 20) // len(part))
+    began = time.monotonic()
+    secrets.find(text, 400)
+    assert time.monotonic() - began < 20
+
+
+def test_endpoints_against_one_pattern():
+    plain = re.compile(r"(?ai:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9.:@/_-]*(?ai:amazonaws|azure|googleapis|vault|auth|login|api|s3|db)[A-Za-z0-9.:@/?&=_%-]*")
+    rng = random.Random(11)
+    pieces = ["http://", "s3://", "HTTPS://", "postgresql://", "xmysql://", "://", "api", "Vault", "?", "&u=", "a.b/", " ", "é", "auth", "%20"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        assert list(secrets.endpoints(text)) == [m.span() for m in plain.finditer(text)], text
+
+
 def test_secrets(spark):
     rows = list(enumerate(ODD_TEXTS + SECRETS)) + [(1, SECRETS[0])]
     got = secrets.scan_secrets(frame(spark, rows)).select("doc_id", "text", *secrets.digest_columns()).collect()
@@ -220,6 +249,16 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(table.limit(0)).count() == 0
 
 
+def test_a_long_system_turn_stays_in_bounded_memory(spark, monkeypatch):
+    monkeypatch.setattr(chat, "FLUSH", 300_000)
+    turns = [(1, 0, "system", "s " * 20_000)] + [(1, i, "user", "hello there") for i in range(1, 400)] + [(2 + i, 0, "user", "") for i in range(50)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    windows = chat.format_chats(table, budget=20)
+    assert windows.count() == 399 + 50
+    got = {r.conv_id: r.n_turns for r in chat.read_back(windows).collect()}
+    assert got[1] == 400 and got[9] == 1
+
+
 @given(st.text(alphabet="[]<>/\\sINSTYROLEU a", max_size=60))
 def test_escape_is_reversible_and_hides_marks(text):
     assert chat.unescape(chat.escape(text)) == text
@@ -306,6 +345,44 @@ def test_pseudo_likelihood(spark):
     assert pseudo_likelihood.score(docs.limit(0), pseudo_likelihood.fit(docs.limit(0))).count() == 0
 
 
+def test_model_does_not_hang_on_the_order_of_rows(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.choice([5, 60, 300]))) for i in range(120)] + [(None, "a b c"), (None, None), (3, prose(rng, 30))]
+    flats = []
+    for parts in (1, 7):
+        rng.shuffle(rows)
+        docs = frame(spark, rows).repartition(parts)
+        _, net = pseudo_likelihood.fit(docs, block_tokens=2000)
+        flats.append(net.flat)
+    assert np.allclose(*flats, atol=1e-5) and len(flats[0]) > 1000
+
+
+def test_scores_against_plain_sums(spark):
+    """Each token's probability from both softmax levels, one token at a time."""
+    rng = random.Random(10)
+    docs = frame(spark, [(i, prose(rng, 12)) for i in range(6)])
+    vocab, net = model = pseudo_likelihood.fit(docs)
+    from lectern.llm._text import NOT_SPACE, span_hash, words
+
+    for r in pseudo_likelihood.score(docs, model).collect():
+        data = np.frombuffer(docs.filter(f"doc_id = {r.doc_id}").first().text.encode(), np.uint8)
+        start, end, _ = words(data, np.array([0, len(data)]), NOT_SPACE)
+        cls = vocab.encode(span_hash(data, start, end)).tolist()
+        total = 0.0
+        for i, c in enumerate(cls):
+            near = [cls[i + o] if 0 <= i + o < len(cls) else vocab.classes for o in pseudo_likelihood.OFFSETS]
+            h = np.tanh(sum(net.inputs[j][k].astype(float) for j, k in enumerate(near)))
+            share = lambda z: np.exp(z) / np.exp(z).sum()
+            first = share(h @ net.out + net.bias)
+            if c < net.head:
+                total += math.log(first[c])
+            else:
+                g, place = (c - net.head) % net.groups, (c - net.head) // net.groups
+                n = len(range(net.head + g, vocab.classes, net.groups))
+                total += math.log(first[net.head + g] * share(h @ net.inner[g, :, :n] + net.inner_bias[g, :n])[place])
+        assert abs(r.log_likelihood - total) < 1e-3
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     net = pseudo_likelihood.Network(7, 5)
