@@ -61,6 +61,12 @@ def consolidated(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule").agg(F.min_by("severity", "ord").alias("severity"), F.count("*").alias("n"), listed.alias("pages"))
 
 
+def by_page(findings: DataFrame) -> DataFrame:
+    """Findings of each page of a document that has any: errors, warnings and all."""
+    severity = F.lower(F.col("severity"))
+    return findings.filter("page is not null").groupBy("doc", "page").agg(F.count_if(severity == "error").alias("errors"), F.count_if(severity == "warning").alias("warnings"), F.count("*").alias("n"))
+
+
 def search(findings: DataFrame, severity: str | None, needle: str) -> DataFrame:
     """Findings of a severity that hold a text in message, rule or type, whatever the case."""
     needle = needle.lower()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lectern import oracle_rules
+
 F = """f AS (SELECT l_orderkey AS doc, ['pdf','docx','xlsx','pptx','epub','md'][CAST(l_orderkey % 6 + 1 AS INT)] AS type, 'R' || (l_partkey % 12) AS rule,
   CASE l_returnflag WHEN 'R' THEN 'Error' WHEN 'A' THEN 'Warning' ELSE 'Info' END AS severity, ['High','Medium','Low'][CAST(l_linenumber % 3 + 1 AS INT)] AS confidence,
   CAST(l_linenumber AS VARCHAR) AS message, CAST(l_linenumber AS INT) AS page, l_orderkey * 10 + l_linenumber AS ord, l_shipdate FROM lineitem)"""
@@ -178,4 +180,4 @@ ORACLE: dict[str, str] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | oracle_rules.oracle_sql()

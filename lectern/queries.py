@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lectern.functions import alt_text
 from lectern.functions.text import contrast_ratio, pdf_date, split_lines, strip
 from lectern.operators import analytics, images, markdown, repair, reports, scoring, tree
-from lectern.plans import dims
+from lectern import facts
+from lectern.plans import dims, rules
 from lectern.sources.files import page_elements
+from lectern.storage import stored
 from lectern.streaming import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -644,5 +646,44 @@ def alt_answers(spark, sf):
     return table(spark, sf, "part").select("p_partkey", alt_text.parsed(answers).alias("got")).select("p_partkey", "got.alt", "got.description", "got.ok")
 
 
+_found: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def rule_findings(spark: SparkSession, sf: str, *scanners: str) -> DataFrame:
+    """Findings of the registered rules over the fact tables; each scanner's are stored once per application."""
+    parts = []
+    for scanner in scanners or rules.REGISTRY:
+        key = (spark.sparkContext.applicationId, sf, scanner)
+        if key not in _found:
+            tables = facts.tables(spark, sf, rules.needed((scanner,)))
+            _found[key] = stored(rules.findings(spark, tables, (scanner,)), f"findings-{scanner}")
+        parts.append(_found[key])
+    return analytics.merged(*parts)
+
+
+for _scanner in rules.REGISTRY:
+    QUERIES[f"findings_{_scanner}"] = lambda spark, sf, s=_scanner: rule_findings(spark, sf, s)
+
+
+@query
+def findings_scores(spark, sf):
+    return scoring.score_documents(rule_findings(spark, sf))
+
+
+@query
+def findings_deduplicated(spark, sf):
+    return analytics.deduplicated(rule_findings(spark, sf)).select("doc", "rule", "message", "ord")
+
+
+@query
+def findings_summary(spark, sf):
+    return analytics.summary_table(rule_findings(spark, sf), dims.rule_dim(spark)).select("rule", "level", "files", "findings")
+
+
+@query
+def findings_by_page(spark, sf):
+    return analytics.by_page(rule_findings(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

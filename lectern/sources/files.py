@@ -33,8 +33,8 @@ DC = "{http://purl.org/dc/elements/1.1/}"
 OPF = "{http://www.idpf.org/2007/opf}"
 XHTML = "{http://www.w3.org/1999/xhtml}"
 OPS = "{http://www.idpf.org/2007/ops}"
-#: Content documents of a book that are looked at, and columns that decide whether a row is empty.
-BOOK_DOCS, ROW_COLUMNS = 200, 19
+#: Columns that decide whether a row is empty.
+ROW_COLUMNS = 19
 
 
 def wanted_types(names: list[str] | None) -> list[str]:
@@ -60,7 +60,10 @@ def preflight(content: bytes, kind: str) -> str | None:
     if content[:4] == b"\xd0\xcf\x11\xe0":
         return "encrypted or legacy format"
     if kind == "pdf":
-        return None if content[:5] == b"%PDF-" and b"/Encrypt" not in content[-4096:] else "encrypted or not a PDF"
+        if content[:5] != b"%PDF-":
+            return "not a PDF"
+        # the entry is a name of its own in a trailer or a cross-reference stream's dictionary, wherever that stands
+        return "encrypted" if re.search(rb"/Encrypt(?![A-Za-z])", content) else None
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             return "encrypted" if "EncryptedPackage" in z.namelist() else None
@@ -261,7 +264,7 @@ def _epub(z: zipfile.ZipFile) -> Iterator[tuple[str, dict]]:
         yield "epub_item", {"item_id": key, "href": i.get("href"), "media_type": i.get("media-type"), "properties": i.get("properties")}
     for i, ref in enumerate(spine):
         yield "epub_spine", {"ord": i, "idref": ref}
-    for ref in [r for r in dict.fromkeys(spine) if r in items][:BOOK_DOCS]:
+    for ref in (r for r in dict.fromkeys(spine) if r in items):
         name = place(items[ref].get("href"))
         if name in z.namelist():
             for row in html_elements(z.read(name).decode("utf-8", "replace")):
@@ -322,10 +325,57 @@ def page_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     return pages.select(F.col(id_col).cast("long"), html_col).mapInPandas(run, SCHEMAS["html_el"])
 
 
-# How a saved validator report marks its rules.
+# clause/test of the validator | rule | criterion | severity.
+CLAUSES = (
+    ("7.1/1", "PDFUA.TAGGED", "1.3.1", "error"),
+    ("7.1/2", "PDFUA.TAGGED", "1.3.1", "error"),
+    ("7.2/1", "PDFUA.LANG", "3.1.1", "error"),
+    ("7.21/1", "PDFUA.TITLE", "2.4.2", "error"),
+    ("7.21/2", "PDFBP.DISPLAY_TITLE", "2.4.2", "warning"),
+    ("7.3/1", "PDFUA.TAGGED", "1.3.1", "error"),
+    ("7.4.4/1", "PDFUA.HEADINGS", "2.4.6", "warning"),
+    ("7.3/2", "PDFUA.IMG.ALT", "1.1.1", "error"),
+    ("7.18.1/1", "PDFUA.IMG.ALT", "1.1.1", "error"),
+    ("7.5/1", "PDFBP.TABLE_HEADERS", "1.3.1", "warning"),
+    ("7.5/2", "PDFBP.TABLE_SCOPE", "1.3.1", "warning"),
+    ("7.18.3/1", "PDFUA.FORMS", "4.1.2", "error"),
+    ("7.18.3/2", "PDFUA.FORMS", "4.1.2", "error"),
+    ("7.11/1", "PDFUA.BOOKMARKS", "2.4.1", "warning"),
+    ("7.18/1", "PDFUA.ANNOT", "4.1.2", "error"),
+    ("7.18.5/1", "PDFUA.LINK", "2.4.4", "error"),
+    ("7.2/2", "PDFBP.READING_ORDER", "1.3.2", "warning"),
+    ("7.7/1", "PDFUA.CONTRAST", "1.4.3", "warning"),
+)
+
+
+def mapped_clauses(checks: DataFrame) -> DataFrame:
+    """Failed checks (clause, test, description, element, page, ...) as findings: known clauses take our rule, criterion
+    and severity with high confidence, the others are ``VERAPDF.clause.test``, a warning of medium confidence."""
+    known = checks.sparkSession.createDataFrame(CLAUSES, "key string, known_rule string, known_wcag string, known_severity string")
+    joined = checks.withColumn("key", F.concat_ws("/", "clause", "test")).join(F.broadcast(known), "key", "left")  # 18 rows
+    ours = F.col("known_rule").isNotNull()
+    named = {
+        "rule": F.coalesce("known_rule", F.concat_ws(".", F.lit("VERAPDF"), "clause", "test")),
+        "severity": F.coalesce("known_severity", F.lit("warning")),
+        "wcag": F.coalesce("known_wcag", F.lit("")),
+        "confidence": F.when(ours, "high").otherwise("medium"),
+        "message": F.when(ours, F.col("known_rule")).otherwise(F.coalesce(F.nullif(F.trim("description"), F.lit("")), F.concat(F.lit("rule "), "key", F.lit(" failed")))),
+    }
+    return joined.withColumns(named).drop("key", "known_rule", "known_wcag", "known_severity")
+
+
 def validator_findings(spark: SparkSession, path: str) -> DataFrame:
-    """Failed rules of saved XML validation reports: rule, severity, confidence, checks, page."""
-    rules = spark.read.format("xml").option("rowTag", "rule").schema("_clause string, _testNumber string, _status string, _failedChecks long, description string, check array<struct<_status:string,context:string,errorMessage:string>>").load(path)
-    failed = rules.filter("_status = 'failed'")
-    page = F.regexp_extract(F.coalesce(F.get("check", 0)["context"], F.lit("")), r"pages?\[(\d+)\]", 1)
-    return failed.select(F.concat_ws(".", F.lit("VERAPDF"), "_clause", "_testNumber").alias("rule"), F.lit("warning").alias("severity"), F.lit("medium").alias("confidence"), F.coalesce("_failedChecks", F.lit(1)).alias("checks"), (F.try_to_number(page, F.lit("999999")).cast("int") + 1).alias("page"), "description")
+    """One finding per failed check of saved XML validation reports; a report without valid XML is a ``TOOL.VERAPDF`` error.
+
+    The page is the check's own, else that of its ``pages``, else the first number after ``page`` in its context.
+    """
+    check = "array<struct<_status:string,_page:string,pages:string,context:string>>"
+    reports = spark.read.format("xml").option("rowTag", "rule").schema(f"_clause string, _testNumber string, _status string, description string, check {check}").load(path).withColumn("file", F.col("_metadata.file_path"))
+    failed = reports.filter("_status = 'failed'").select("file", F.col("_clause").alias("clause"), F.col("_testNumber").alias("test"), "description", F.explode("check").alias("c")).filter("c._status = 'failed'")
+    named = F.regexp_extract(F.coalesce("c.context", F.lit("")), r"[Pp]age\s*\[?(\d+)", 1)
+    page = F.coalesce(F.expr("try_cast(c._page as int)"), F.expr("try_cast(trim(c.pages) as int)"), F.nullif(named, F.lit("")).try_cast("int"))
+    checks = failed.select("file", "clause", "test", "description", F.nullif(F.trim("c.context"), F.lit("")).alias("element"), page.alias("page"))
+    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content").cast("string").alias("text"))
+    broken = whole.filter(~F.col("text").rlike(r"(?s)^\s*<.*>\s*$"))
+    bad = broken.select("file", F.lit(None).cast("string").alias("clause"), F.lit(None).cast("string").alias("test"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("element"), F.lit(None).cast("int").alias("page"), F.lit("TOOL.VERAPDF").alias("rule"), F.lit("error").alias("severity"), F.lit("").alias("wcag"), F.lit("high").alias("confidence"), F.lit("the report is not XML").alias("message"))
+    return mapped_clauses(checks).unionByName(bad)

@@ -33,4 +33,4 @@ SCHEMAS: dict[str, str] = {
     "alt_candidate": "doc_id BIGINT, image_id INT, ord INT, model STRING, text STRING, error_type STRING",
 }
 
-FINDING = "family STRING, scanner STRING, doc_id BIGINT, rule STRING, severity STRING, confidence STRING, wcag STRING, page INT, line INT, element STRING, n BIGINT"
+FINDING = "family STRING, scanner STRING, doc BIGINT, type STRING, rule STRING, severity STRING, confidence STRING, wcag STRING, checkpoint STRING, page INT, line INT, element STRING, n BIGINT, message STRING, fix STRING, ord BIGINT"

@@ -14,9 +14,10 @@ def names(table):
 
 def run(spark, scanners, **facts):
     tables = {t: spark.createDataFrame([tuple(r.get(c) for c in names(t)) for r in rows], SCHEMAS[t]) for t, rows in facts.items()}
-    got = rules.findings(spark, tables, scanners)
-    assert got.rule_errors == []
-    return [(r.doc_id, r.rule, r.severity, r.page, r.line, r.element, r.n) for r in got.collect()]
+    errors = []
+    got = rules.findings(spark, tables, scanners, errors=errors)
+    assert errors == []
+    return [(r.doc, r.rule, r.severity, r.page, r.line, r.element, r.n) for r in got.collect()]
 
 
 def by_doc(found):
@@ -166,5 +167,31 @@ def test_inaccessible_and_disabled(spark):
 def test_a_broken_rule_is_reported_and_skipped(spark, monkeypatch):
     bad = rules.Rule("core", "scan", "X.BAD", "error", None, "SELECT nothing FROM nowhere")
     monkeypatch.setitem(rules.REGISTRY, "scan", [bad, *rules.REGISTRY["scan"]])
-    got = rules.findings(spark, {}, ("scan",))
-    assert [e[0] for e in got.rule_errors] == ["X.BAD"] and got.count() == 0
+    errors = []
+    got = rules.findings(spark, {}, ("scan",), errors=errors)
+    assert [e[0] for e in errors] == ["X.BAD"] and got.count() == 0
+
+
+def test_no_rule_gives_an_empty_result(spark):
+    assert rules.findings(spark, {}, ("scan",), disabled=("SCAN.FILE.INACCESSIBLE",)).columns == rules.findings(spark, {}, ()).columns
+    assert rules.findings(spark, {}, ()).count() == 0
+
+
+def test_findings_feed_scores_and_reports(spark):
+    from lectern.operators import analytics, scoring
+
+    tables = {"doc": spark.createDataFrame([tuple(pdf(i, title=None).get(c) for c in names("doc")) for i in (1, 2)], SCHEMAS["doc"])}
+    got = rules.findings(spark, tables, ("metadata", "core"))
+    assert {r.doc: (r.errors, r.score) for r in scoring.score_documents(got).collect()} == {1: (3, 67), 2: (3, 67)}
+    assert analytics.deduplicated(got).count() == got.count()
+    assert {r.rule: r.files for r in analytics.by_rule(got).collect()}["PDFUA.TITLE"] == 2
+    assert {r.rule: r.criterion for r in analytics.summary_table(got, dims.rule_dim(spark)).collect()}["PDFUA.TITLE"] == "2.4.2"
+    assert {r.rule: r.pages for r in analytics.consolidated(got).collect()}["PDFUA.TITLE"] == "doc"
+    assert {r.rule: r.fix for r in got.collect()}["PDFUA.METADATA.TITLE"] == "fix_pdf"
+
+
+def test_every_rule_has_findings_and_none_is_always_found(spark, sf_dir):
+    from lectern import facts
+
+    got = rules.findings(spark, facts.tables(spark, sf_dir)).groupBy("scanner", "rule").count().collect()
+    assert {(r.scanner, r.rule) for r in got} == {(s, r.id) for s, group in rules.REGISTRY.items() for r in group}

@@ -51,7 +51,7 @@ def test_scan_of_a_folder(spark, folder):
     assert sorted(d.file for d in docs.values() if not d.access_ok) == ["f.pdf", "g.docx"]
     got = {}
     for r in rules.findings(spark, tables).collect():
-        got.setdefault(docs[r.doc_id].file, []).append(r.rule)
+        got.setdefault(docs[r.doc].file, []).append(r.rule)
     assert {k: sorted(v) for k, v in got.items()} == {
         "a.docx": ["DOCX-LINK.DESCRIPTIVE", "DOCX-REVIEW.TRACKED", "DOCX-STRUCT.HEADINGSKIP", "DOCX-TABLE.HEADERS"],
         "b.xlsx": ["XLSX.LAYOUT.HIDDEN", "XLSX.LAYOUT.MERGED", "XLSX.META.TITLE", "XLSX.NAV.FREEZE_PANES", "XLSX.NAV.SHEET_NAMES", "XLSX.TABLE.NAMED"],
@@ -70,6 +70,29 @@ def test_types_and_depth(spark, folder):
 
 
 def test_validator_report(spark, tmp_path):
-    (tmp_path / "r.xml").write_text('<report><rule clause="7.1" testNumber="3" status="failed" failedChecks="2"><description>d</description><check status="failed"><context>root/document[0]/pages[4](9 0 obj)</context></check></rule><rule clause="7.2" testNumber="1" status="passed"/></report>')
-    got = files.validator_findings(spark, str(tmp_path / "r.xml")).collect()
-    assert [(r.rule, r.checks, r.page) for r in got] == [("VERAPDF.7.1.3", 2, 5)]
+    head, tail = "<report><jobs><job><validationReport><details>", "</details></validationReport></job></jobs></report>"
+    check = '<check status="failed"><context>{}</context></check>'
+    rows = {
+        "known.xml": head + '<rule clause="7.21" testNumber="1" status="failed"><description>Missing title</description>' + check.format("Page[1]") + '<check status="passed"/></rule>' + tail,
+        "other.xml": head + '<rule clause="99.99" testNumber="1" status="failed"><description>Unknown rule</description>' + check.format("somewhere") + '<check status="failed" page="7"><context>x</context></check></rule><rule clause="7.1" testNumber="1" status="passed"/>' + tail,
+        "empty.xml": head + tail,
+        "broken.xml": "not xml at all",
+    }
+    for name, text in rows.items():
+        (tmp_path / name).write_text(text)
+    rows = [(r.file.rsplit("/", 1)[-1], r.rule, r.wcag, r.severity, r.confidence, r.page) for r in files.validator_findings(spark, str(tmp_path / "*.xml")).collect()]
+    got = sorted(rows, key=lambda r: (r[0], r[5] is None))
+    assert got == [
+        ("broken.xml", "TOOL.VERAPDF", "", "error", "high", None),
+        ("known.xml", "PDFUA.TITLE", "2.4.2", "error", "high", 1),
+        ("other.xml", "VERAPDF.99.99.1", "", "warning", "medium", 7),
+        ("other.xml", "VERAPDF.99.99.1", "", "warning", "medium", None),
+    ]
+
+
+def test_an_encrypted_pdf_is_seen_wherever_its_entry_stands():
+    body = b"%PDF-1.7\n" + b"x" * 9000
+    assert files.preflight(body, "pdf") is None and files.preflight(b"no", "pdf") == "not a PDF"
+    assert files.preflight(b"%PDF-1.7\ntrailer << /Encrypt 5 0 R >>" + b"x" * 9000, "pdf") == "encrypted"
+    assert files.preflight(body + b"/EncryptMetadata true", "pdf") is None
+
