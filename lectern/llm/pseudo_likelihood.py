@@ -2,7 +2,7 @@
 
 Every token is predicted from the two tokens on each side of it, its own place masked. Tokens
 are words: the most frequent ones of the whole corpus stand for themselves, all others for one of
-``2**13`` hash buckets, and each of these is a class of its own, as target and as context. The
+``2**12`` hash buckets, and each of these is a class of its own, as target and as context. The
 network (numpy) adds an embedding per offset, applies tanh and gives a softmax in two levels: over
 the most frequent words and groups of classes, then over the classes of the group. A document's
 score is the sum of its tokens' conditional log-probabilities.
@@ -27,10 +27,12 @@ from lectern.llm._shared import stored
 from lectern.llm._text import NOT_SPACE, long_array, mix, one_blas_thread, pieces, span_hash, words
 
 OFFSETS = (-2, -1, 1, 2)
-BUCKET_BITS = 13
+BUCKET_BITS = 12
 #: Classes of the first level that stand for themselves, and groups that hold all others.
-HEAD, GROUPS = 48, 80
+HEAD, GROUPS = 48, 72
 _BLOCK = 8192
+#: Rows of first-level classes that are worked on at once.
+_ROWS = 512
 _ONES = np.ones(_BLOCK, np.float32)
 
 
@@ -154,14 +156,20 @@ class Network:
         got = np.empty(len(target))
         for a in range(0, len(target), _BLOCK):
             to = target[a : a + _BLOCK]
-            h = self.hidden(context[a : a + _BLOCK])
-            got[a : a + _BLOCK] = _own_log(h @ self.out + self.bias, self._first(to))
+            h, first = self.hidden(context[a : a + _BLOCK]), self._first(to)
+            for low in range(0, len(to), _ROWS):
+                got[a + low : a + low + _ROWS] = _own_log(self._outer(h[low : low + _ROWS]), first[low : low + _ROWS])
             rows, place, runs = self._grouped(to)
             own = h[rows]
             for g, n, low, high in runs:
                 got[a + rows[low:high]] += _own_log(own[low:high] @ self.inner[g, :, :n] + self.inner_bias[g, :n], place[low:high])
         return got
 
+    def _outer(self, h: np.ndarray) -> np.ndarray:
+        z = h @ self.out
+        z += self.bias
+        return z
+
     def train(self, context: np.ndarray, target: np.ndarray, rate: float, least: float = 0.0) -> None:
         """One step of descent on the mean loss of the block.
 
@@ -169,29 +177,42 @@ class Network:
         of each token's own gradient, but not by more than the mean over those tokens.
         """
         n_all = len(target)
-        h = self.hidden(context)
-        z = h @ self.out + self.bias
-        _error(z, self._first(target))
-        back = z @ self.out.T
-        self.out -= rate / n_all * (h.T @ z)
-        self.bias -= rate / n_all * (_ones(n_all) @ z)
+        h, first = self.hidden(context), self._first(target)
+        back, step, shift = np.empty_like(h), np.zeros_like(self.out), np.zeros_like(self.bias)
+        for low in range(0, n_all, _ROWS):  # so many rows of classes stay in the core's cache
+            x = h[low : low + _ROWS]
+            z = self._outer(x)
+            _error(z, first[low : low + _ROWS])
+            np.matmul(z, self.out.T, out=back[low : low + _ROWS])
+            step += x.T @ z
+            shift += _ones(len(x)) @ z
+        self.out -= rate / n_all * step
+        self.bias -= rate / n_all * shift
         rows, place, runs = self._grouped(target)
         own, more = h[rows], np.empty((len(rows), self.width), np.float32)
         for g, n, low, high in runs:
             w, x = self.inner[g, :, :n], own[low:high]
-            e = x @ w + self.inner_bias[g, :n]
+            e = x @ w
+            e += self.inner_bias[g, :n]
             _error(e, place[low:high])
             np.matmul(e, w.T, out=more[low:high])
             by = max(rate / n_all, min(least, rate / (high - low)))
-            w -= by * (x.T @ e)
-            self.inner_bias[g, :n] -= by * (_ones(high - low) @ e)
+            e *= by
+            w -= x.T @ e
+            self.inner_bias[g, :n] -= _ones(high - low) @ e
         back[rows] += more
         back *= 1 - h * h
         parts = np.ascontiguousarray(back.T)
+        where = np.empty(self.classes + 1, np.int64)
         for j in range(len(OFFSETS)):
-            keys, inverse, count = np.unique(context[:, j], return_inverse=True, return_counts=True)
-            by = np.maximum(rate / n_all, np.minimum(least, rate / count)).astype(np.float32)
-            total = np.stack([np.bincount(inverse, p, len(keys)) for p in parts], 1)
+            own_count = np.bincount(context[:, j], minlength=self.classes + 1)
+            keys = np.flatnonzero(own_count)
+            where[keys] = np.arange(len(keys))
+            inverse = where[context[:, j]]
+            by = np.maximum(rate / n_all, np.minimum(least, rate / own_count[keys])).astype(np.float32)
+            total = np.empty((len(keys), self.width), np.float32)
+            for d, part in enumerate(parts):
+                total[:, d] = np.bincount(inverse, part, len(keys))
             self.inputs[j][keys] -= by[:, None] * total
 
     def weights(self, seen: np.ndarray) -> np.ndarray:
@@ -209,9 +230,18 @@ def _ones(n: int) -> np.ndarray:
     return _ONES[:n] if n <= len(_ONES) else np.ones(n, np.float32)
 
 
+def _lower(z: np.ndarray) -> None:
+    """Take so much from each row, in place, that its exponentials neither overflow nor all vanish."""
+    most = z.max() if z.size else 0
+    if most - (z.min() if z.size else 0) < 60:
+        z -= most  # one reduction of all rows is cheaper, and enough
+    else:
+        z -= z.max(1, keepdims=True)
+
+
 def _own_log(z: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Log of the softmax at one place of each row; ``z`` is used up."""
-    z -= z.max(1, keepdims=True)
+    _lower(z)
     at = z[np.arange(len(z)), own]
     np.exp(z, out=z)
     return at - np.log(z @ _ones(z.shape[1]))
@@ -219,7 +249,7 @@ def _own_log(z: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 def _error(z: np.ndarray, own: np.ndarray) -> None:
     """Softmax less the target, in place."""
-    z -= z.max(1, keepdims=True)
+    _lower(z)
     np.exp(z, out=z)
     z /= (z @ _ones(z.shape[1]))[:, None]
     z[np.arange(len(z)), own] -= 1
@@ -238,7 +268,7 @@ def contexts(cls: np.ndarray, first: np.ndarray, pad: int, at: np.ndarray | None
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, frequent: int = 4096, width: int = 16, block_tokens: int = 2_000_000, every: int = 1, rate: float = 1.0, batch: int = 256, most: int = 4096, least: float = 0.3) -> tuple[Vocabulary, Network]:
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, frequent: int = 4096, width: int = 16, block_tokens: int = 1_000_000, every: int = 1, rate: float = 1.0, batch: int = 256, most: int = 4096, least: float = 0.3) -> tuple[Vocabulary, Network]:
     """Counts over all documents, and a network trained on every token of all documents.
 
     Steps take ``batch`` tokens at first and up to ``most`` later. ``every`` above 1 thins the targets
@@ -298,7 +328,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, freq
 
     # a task takes several blocks of a large corpus, so that what tasks send stays a small share of the texts
     blocks = int(tokens // block_tokens) + 1
-    tasks = max(min(blocks, 16), blocks // 16)
+    tasks = max(min(blocks, 64), blocks // 8)
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     dealt = docs.select(F.pmod(key, F.lit(blocks)).cast("int").alias("block"), F.col(text_col).alias("text"), key.alias("key")).filter("text is not null")
     dealt = dealt.repartition(tasks, "block").sortWithinPartitions("block", "key").select("block", "text")
