@@ -106,11 +106,12 @@ def _block_counts(n: int, percent: int, ranges: int):
         block = table.column("block")[0].as_py()
         sets = [_counted(g, percent) >> _U(16) for g in ngram_sets(table.column("text"), n) if len(g)]
         keys, count = np.unique(np.concatenate(sets or [np.zeros(0, _U)]), return_counts=True)
-        edge = np.searchsorted(keys, (np.arange(ranges + 1, dtype=object) * (1 << 48) // ranges).astype(_U))
-        edge[-1] = len(keys)
+        # ranges of equal width; only those that the block has are looked at, however many there are
+        owner = keys // _U(-(-(1 << 48) // ranges))
+        edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
         rows = []
-        for r in np.flatnonzero(np.diff(edge)).tolist():
-            part, c = keys[edge[r] : edge[r + 1]], count[edge[r] : edge[r + 1]]
+        for low, high in zip(edge.tolist(), edge[1:].tolist()):
+            r, part, c = int(owner[low]), keys[low:high], count[low:high]
             more = np.flatnonzero(c > 1)
             rows.append((r, block, _pack(part), np.stack((more, c[more])).astype("<u4").tobytes()))
         c = list(zip(*rows)) or [[]] * 4
