@@ -25,8 +25,9 @@ def split_lines(c: Column) -> Column:
 
 
 def in_order(c: Column, name: str) -> Column:
-    """A severity's rank: errors first, unknown ones last."""
-    return F.when(c == "Error", 0).when(c == "Warning", 1).when(c.isin("Info", "Tip"), 2).otherwise(9).alias(name)
+    """A severity's rank, whatever its case: errors first, unknown ones last."""
+    level = F.lower(c)
+    return F.when(level == "error", 0).when(level == "warning", 1).when(level.isin("info", "tip"), 2).otherwise(9).alias(name)
 
 
 def contrast_ratio(a: list[Column], b: list[Column]) -> Column:

@@ -18,9 +18,9 @@ def by_rule(findings: DataFrame) -> DataFrame:
 
 
 def severity_pivot(findings: DataFrame, *keys: str) -> DataFrame:
-    """Counts of each severity as columns; a missing severity counts as Info."""
-    level = findings.withColumn("severity", F.coalesce("severity", F.lit("Info")))
-    return level.groupBy(*keys).pivot("severity", ["Error", "Warning", "Info"]).count().na.fill(0)
+    """Counts of each severity as columns, those of any other name together; a missing severity counts as Info."""
+    level, known = F.coalesce("severity", F.lit("Info")), ("Error", "Warning", "Info")
+    return findings.groupBy(*keys).agg(*(F.count_if(level == x).alias(x) for x in known), F.count_if(~level.isin(*known)).alias("Other"))
 
 
 def audit_totals(findings: DataFrame) -> DataFrame:
@@ -68,12 +68,16 @@ def by_page(findings: DataFrame) -> DataFrame:
 
 
 def search(findings: DataFrame, severity: str | None, needle: str) -> DataFrame:
-    """Findings of a severity that hold a text in message, rule or type, whatever the case."""
+    """Findings of a severity that hold a text in message, rule, criterion or element, whatever the case.
+
+    ``sort_key`` orders them as a list of issues does: gravest first, then by page (none: 0).
+    """
     needle = needle.lower()
     found = F.lit(False)
-    for c in ("message", "rule", "type"):
+    for c in ("message", "rule", "wcag", "element"):
         found = found | F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(needle))
-    return findings.filter(found if severity is None else found & (F.col("severity") == severity))
+    got = findings.filter(found if severity is None else found & (F.col("severity") == severity))
+    return got.withColumn("sort_key", in_order(F.col("severity"), "level") * 1_000_000 + F.coalesce("page", F.lit(0)))
 
 
 def verify_fix(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lectern.storage import stored
 
 
 def labelled(nodes: DataFrame) -> DataFrame:
@@ -133,3 +132,82 @@ def parent_tree(nodes: DataFrame) -> DataFrame:
     """Which element holds each marked content; the later element wins."""
     each = nodes.select("doc_id", "page", "node_id", "preorder", F.explode("mcids").alias("mcid"))
     return each.groupBy("doc_id", "page", "mcid").agg(F.max_by("node_id", "preorder").alias("node_id"))
+
+
+def top_level(nodes: DataFrame) -> DataFrame:
+    """Tags at the top of each document, with how many there are."""
+    return nodes.filter("parent_id is null").groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+
+
+def find(nodes: DataFrame, tag: str | None = None, page: int | None = None) -> DataFrame:
+    """Elements of a tag, of a page, or of both, in reading order within their document."""
+    got = nodes if tag is None else nodes.filter(F.col("tag") == tag)
+    return got if page is None else got.filter(F.col("page") == page)
+
+
+def inherited_pages(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (with depth) and ``on_page``: the own page, or that of the nearest ancestor that has one.
+
+    One join per level of depth, each level stored, so cost follows the nodes and no path is built.
+    """
+    deepest = nodes.agg(F.max("depth")).first()[0]
+    out = None
+    level = None
+    for depth in range(1, (deepest or 0) + 1):
+        mine = nodes.filter(F.col("depth") == depth)
+        if level is None:
+            got = mine.withColumn("on_page", F.col("page"))
+        else:
+            above = level.select("doc_id", F.col("node_id").alias("parent_id"), F.col("on_page").alias("theirs"))
+            got = mine.join(above, ["doc_id", "parent_id"], "left").withColumn("on_page", F.coalesce("page", "theirs")).select(*nodes.columns, "on_page")
+        level = stored(got, "level")
+        out = level if out is None else out.unionByName(level)
+    return nodes.withColumn("on_page", F.col("page")) if out is None else out
+
+
+def content_order(nodes: DataFrame) -> DataFrame:
+    """Content ids of each page in the order of the tree: doc_id, page, pos (from 0), mcid. Contents without any page are left out."""
+    rows = inherited_pages(nodes).filter("on_page is not null").select("doc_id", F.col("on_page").alias("page"), "preorder", F.posexplode("mcids").alias("i", "mcid"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("preorder", "i")) - 1
+    return rows.select("doc_id", "page", place.alias("pos"), "mcid")
+
+
+# What lists, contents and tables may hold.
+CHILDREN = {
+    "TOC": ("TOCI", "TOC", "Caption"),
+    "L": ("LI", "Caption"),
+    "Table": ("THead", "TBody", "TFoot", "TR", "Caption"),
+    "THead": ("TR",),
+    "TBody": ("TR",),
+    "TFoot": ("TR",),
+    "TR": ("TH", "TD"),
+}
+# What some elements must stand in.
+PARENTS = {"LI": ("L",), "LBody": ("LI",), "TOCI": ("TOC",), "THead": ("Table",), "TBody": ("Table",), "TFoot": ("Table",)}
+
+
+def misplaced(nodes: DataFrame) -> DataFrame:
+    """Elements that their parent may not hold, or that may not stand in it: doc_id, node_id, tag, parent_tag. An addition of ours."""
+    above = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("tag").alias("parent_tag"))
+    both = nodes.join(above, ["doc_id", "parent_id"])
+    wrong = F.lit(False)
+    for parent, tags in CHILDREN.items():
+        wrong = wrong | ((F.col("parent_tag") == parent) & ~F.col("tag").isin(*tags))
+    for tag, parents in PARENTS.items():
+        wrong = wrong | ((F.col("tag") == tag) & ~F.col("parent_tag").isin(*parents))
+    return both.filter(wrong).select("doc_id", "node_id", "tag", "parent_tag")
+
+
+def form_placement(nodes: DataFrame, fields: DataFrame) -> DataFrame:
+    """Where each document's forms stand: good, mixed, orphaned (at the top only), acroform_only, or no_struct_tree."""
+    forms = nodes.groupBy("doc_id").agg(F.count_if((F.col("tag") == "Form") & (F.col("depth") == 1)).alias("top"), F.count_if((F.col("tag") == "Form") & (F.col("depth") > 1)).alias("inner_n"))
+    held = fields.groupBy("doc_id").agg(F.count("*").alias("fields"))
+    place = F.when(F.col("top").isNull(), "no_struct_tree").when((F.col("top") > 0) & (F.col("inner_n") > 0), "mixed").when(F.col("top") > 0, "orphaned").when(F.col("inner_n") > 0, "good").otherwise("acroform_only")
+    return held.join(forms, "doc_id", "left").select("doc_id", "fields", place.alias("placement"))
+
+
+def figure_texts(nodes: DataFrame) -> DataFrame:
+    """Figures of each document: all, without text, and the pages of those without."""
+    blank = F.trim(F.coalesce("alt", F.lit(""))) == ""
+    pages = F.array_join(F.transform(F.array_sort(F.collect_set(F.when(blank, F.col("page")))), lambda p: p.cast("string")), ", ")
+    return nodes.filter("tag = 'Figure'").groupBy("doc_id").agg(F.count("*").alias("figures"), F.count_if(blank).alias("without"), pages.alias("pages"))

@@ -75,8 +75,8 @@ ORACLE: dict[str, str] = {
     "merge_reaggregate": f"WITH {S}, g AS (SELECT count(*) AS files, CAST(round_even(avg(score), 0) AS INT) AS score FROM s) SELECT *, {_grade('score')} AS grade FROM g",
     "projected_score": f"WITH {S} SELECT doc, CAST(least(100, score + floor(5 * errors + 2 * warnings + 0.5 * infos)) AS INT) AS projected FROM s",
     "grade_histogram": f"WITH {S} SELECT {_grade('score')} AS grade, count(*) AS files FROM s GROUP BY 1",
-    "severity_pivot": f'WITH {C} SELECT doc, errors AS "Error", warnings AS "Warning", infos AS "Info" FROM c',
-    "severity_by_type": f"""WITH {F} SELECT type, count(*) FILTER (severity = 'Error') AS "Error", count(*) FILTER (severity = 'Warning') AS "Warning", count(*) FILTER (severity = 'Info') AS "Info" FROM f GROUP BY type""",
+    "severity_pivot": f"""WITH {F} SELECT doc, count(*) FILTER (page NOT IN (4, 5) AND severity = 'Error') AS "Error", count(*) FILTER (page NOT IN (4, 5) AND severity = 'Warning') AS "Warning", count(*) FILTER (page = 5 OR page <> 4 AND severity = 'Info') AS "Info", count(*) FILTER (page = 4) AS "Other" FROM f GROUP BY doc""",
+    "severity_by_type": f"""WITH {F} SELECT type, count(*) FILTER (page NOT IN (4, 5) AND severity = 'Error') AS "Error", count(*) FILTER (page NOT IN (4, 5) AND severity = 'Warning') AS "Warning", count(*) FILTER (page = 5 OR page <> 4 AND severity = 'Info') AS "Info", count(*) FILTER (page = 4) AS "Other" FROM f GROUP BY type""",
     "audit_grouping_sets": f"WITH {F} SELECT type, rule, severity, count(*) AS n, CAST(grouping(type, rule, severity) AS INT) AS level FROM f GROUP BY GROUPING SETS ((type), (rule), (severity), ())",
     "audit_rollup": f"WITH {F} SELECT type, severity, count(*) AS n, count(DISTINCT doc) AS files FROM f GROUP BY ROLLUP (type, severity)",
     "dedup_rule_message": f"WITH {F} SELECT doc, rule, CAST(page % 2 AS VARCHAR) AS message, min(ord) AS ord FROM f GROUP BY 1, 2, 3",
@@ -86,9 +86,9 @@ ORACLE: dict[str, str] = {
     "priority_plan": f"WITH {F}, g AS (SELECT severity, rule, count(DISTINCT doc) AS files, count(*) AS findings FROM f GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY severity ORDER BY files DESC, rule) AS position FROM g",
     "executive_top6": f"WITH {F}, g AS (SELECT rule, count(DISTINCT doc) AS files, CASE WHEN bool_or(severity = 'Error') THEN 'errors' WHEN bool_or(severity = 'Warning') THEN 'warnings' END AS part FROM f GROUP BY rule), p AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY files DESC, rule) AS position FROM g WHERE part IS NOT NULL) SELECT part, position, rule, files FROM p WHERE position <= 6",
     "consolidate_pages": f"WITH {F} SELECT rule, arg_min(severity, ord) AS severity, count(*) AS n, array_to_string(list_sort(list_distinct(list(page))), ', ') AS pages FROM f GROUP BY rule",
-    "filter_search_panel": f"WITH {F} SELECT doc, rule, ord FROM f WHERE severity = 'Error' AND lower(rule) LIKE '%r1%'",
+    "filter_search_panel": f"{oracle_rules.ALL} SELECT doc, rule, ord, message, CAST(1000000 + coalesce(page, 0) AS INT) AS sort_key FROM found WHERE severity = 'Warning' AND (lower(message) LIKE '%1.3.1%' OR lower(rule) LIKE '%1.3.1%' OR wcag LIKE '%1.3.1%' OR lower(element) LIKE '%1.3.1%')",
     "verify_fix_delta": f"WITH {HALVES}, x AS (SELECT rule, count(*) AS o FROM a GROUP BY rule), y AS (SELECT rule, count(*) AS n FROM b GROUP BY rule), z AS (SELECT coalesce(x.rule, y.rule) AS rule, coalesce(o, 0) AS before, coalesce(n, 0) AS after FROM x FULL JOIN y ON x.rule = y.rule) SELECT *, greatest(before - after, 0) AS resolved, CASE WHEN before > 0 THEN after ELSE 0 END AS remaining, greatest(after - before, 0) AS added FROM z",
-    "baseline_status": f"WITH {HALVES}, x AS (SELECT DISTINCT doc, rule FROM a WHERE page <= 3), y AS (SELECT DISTINCT doc, rule FROM b), e AS (SELECT DISTINCT doc, rule FROM a) SELECT doc, rule, 'Fixed' AS status FROM x ANTI JOIN y USING (doc, rule) UNION ALL SELECT doc, rule, 'Persistent' FROM x SEMI JOIN y USING (doc, rule) UNION ALL SELECT y.doc, y.rule, CASE WHEN e.doc IS NULL THEN 'New' ELSE 'Regressed' END FROM y LEFT JOIN x ON x.doc = y.doc AND x.rule = y.rule LEFT JOIN e ON e.doc = y.doc AND e.rule = y.rule WHERE x.doc IS NULL",
+    "baseline_status": f"WITH {HALVES}, x AS (SELECT DISTINCT doc, CASE WHEN page <= 3 THEN rule ELSE 'X' || rule END AS rule FROM a), y AS (SELECT DISTINCT doc, rule FROM b), e AS (SELECT DISTINCT doc, rule FROM a) SELECT doc, rule, 'Fixed' AS status FROM x ANTI JOIN y USING (doc, rule) UNION ALL SELECT doc, rule, 'Persistent' FROM x SEMI JOIN y USING (doc, rule) UNION ALL SELECT y.doc, y.rule, CASE WHEN e.doc IS NULL THEN 'New' ELSE 'Regressed' END FROM y LEFT JOIN x ON x.doc = y.doc AND x.rule = y.rule LEFT JOIN e ON e.doc = y.doc AND e.rule = y.rule WHERE x.doc IS NULL",
     "score_delta": f"WITH {HALVES}, x AS (SELECT doc, 100 - least(10 * count(*) FILTER (severity = 'Error'), 50) - least(3 * count(*) FILTER (severity = 'Warning'), 21) AS s FROM a GROUP BY doc), y AS (SELECT doc, 100 - least(10 * count(*) FILTER (severity = 'Error'), 50) - least(3 * count(*) FILTER (severity = 'Warning'), 21) AS s FROM b GROUP BY doc), m AS (SELECT CAST(round_even(avg(x.s), 0) AS INT) AS before, CAST(round_even(avg(y.s), 0) AS INT) AS after FROM x JOIN y ON x.doc = y.doc) SELECT before, after, after - before AS delta FROM m",
     "fixable_rules": f"WITH {F}, {TIERS}, k(type, tool) AS (VALUES ('pdf','fix_pdf'),('docx','fix_word'),('xlsx','fix_excel'),('pptx','fix_pptx'),('epub','fix_epub')), x AS (SELECT doc, fixer, min(ord) AS o FROM f JOIN t ON f.rule = t.rule JOIN k ON k.type = f.type AND k.tool = t.tool WHERE tier <= 2 GROUP BY doc, fixer) SELECT doc, string_agg(fixer, ',' ORDER BY o, fixer) AS rules FROM x GROUP BY doc",
     "best_tier": f"WITH {F}, {TIERS} SELECT doc, coalesce(min(tier), 0) AS tier FROM f LEFT JOIN t ON f.rule = t.rule GROUP BY doc",
@@ -101,7 +101,7 @@ ORACLE: dict[str, str] = {
     "quick_fix_groups": f"WITH {F}, g(position, title, rule) AS (VALUES (1,'tagging','R1'),(1,'tagging','R2'),(2,'title','R99'),(3,'language','R5'),(4,'forms','R7')), x AS (SELECT position, title, count(DISTINCT doc) AS files FROM f JOIN g ON f.rule = g.rule GROUP BY 1, 2) SELECT title, files, row_number() OVER (ORDER BY position) AS number FROM x",
     "stratified_sample": f"WITH {F}, d AS (SELECT DISTINCT doc, type FROM f), c AS (SELECT type, count(*) AS n, sum(count(*)) OVER () AS t FROM d GROUP BY type), p AS (SELECT doc, type, row_number() OVER (PARTITION BY type ORDER BY md5(CAST(doc AS VARCHAR)), doc) AS k FROM d) SELECT doc, p.type FROM p JOIN c ON c.type = p.type WHERE k <= greatest(1, CAST(round(60 * n / t) AS INT))",
     "heading_skip_lag": f"WITH {H}, x AS (SELECT *, lag(level) OVER (PARTITION BY doc ORDER BY ord) AS before FROM h) SELECT * FROM x WHERE level > before + 1",
-    "heading_holes": f"WITH {H}, g AS (SELECT doc, level FROM h WHERE ord % 3 = 0 AND level <> 2), m AS (SELECT doc, max(level) AS m FROM g GROUP BY doc) SELECT doc, CAST(k AS INT) AS hole FROM m, range(1, 7) x(k) WHERE k <= m AND NOT EXISTS (SELECT 1 FROM g WHERE g.doc = m.doc AND g.level = k)",
+    "heading_holes": f"WITH {H}, g AS (SELECT doc || '/' || (ord % 50) AS doc, CASE level WHEN 2 THEN 4 ELSE level END AS level FROM h), m AS (SELECT doc, max(level) AS m FROM g GROUP BY doc) SELECT doc, CAST(k AS INT) AS hole FROM m, range(1, 7) x(k) WHERE k <= m AND NOT EXISTS (SELECT 1 FROM g WHERE g.doc = m.doc AND g.level = k)",
     "docx_seen_levels": f"WITH {H}, fst AS (SELECT doc, level, min(ord) AS first FROM h GROUP BY 1, 2), x AS (SELECT h.doc, h.level, h.ord, min(k) AS missing FROM h, range(1, 6) r(k) WHERE k < h.level AND NOT EXISTS (SELECT 1 FROM fst WHERE fst.doc = h.doc AND fst.level = k AND first < h.ord) GROUP BY ALL) SELECT doc, level, ord, CAST(missing AS INT) AS missing FROM x",
     "multiple_h1": f"WITH {H}, x AS (SELECT doc, ord, row_number() OVER (PARTITION BY doc ORDER BY ord) AS nth FROM h WHERE level = 1) SELECT * FROM x WHERE nth > 1",
     "heading_repair_fold": f"WITH RECURSIVE {H}, q AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY ord) AS i FROM h), w AS (SELECT doc, i, level AS fixed FROM q WHERE i = 1 UNION ALL SELECT q.doc, q.i, least(q.level, w.fixed + 1) FROM w JOIN q ON q.doc = w.doc AND q.i = w.i + 1) SELECT doc, string_agg(CAST(fixed AS VARCHAR), ',' ORDER BY i) AS repaired FROM w GROUP BY doc",
@@ -120,7 +120,7 @@ ORACLE: dict[str, str] = {
     "paragraph_150_words": r"WITH x AS (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS line FROM (SELECT doc_id, string_split(text, E'\n') AS s FROM documents)) SELECT doc_id, CAST(i AS INT) AS i, CAST(len(regexp_extract_all(line, '[^ ]+')) AS INT) AS words FROM x WHERE len(regexp_extract_all(line, '[^ ]+')) > 150",
     "alt_score": f"""WITH {ALTS} SELECT p_partkey, {_alt("'About ' || p_type || ' PHOTO'")} FROM w""",
     "alt_rank": f"WITH {ALTS}, s AS (SELECT p_brand, p_partkey, {_alt('')} FROM w) SELECT p_brand, p_partkey, score, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS rank FROM s",
-    "alt_recommendation": f"WITH {ALTS}, s AS (SELECT p_brand, p_type, p_partkey, {_alt('')} FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY score DESC, p_partkey) AS rank FROM s), b AS (SELECT p_brand, p_type, score AS best FROM k WHERE rank = 1 AND p_partkey % 4 <> 0), e AS (SELECT p_brand, p_type, max(score) AS existing FROM k WHERE p_partkey % 3 = 0 GROUP BY 1, 2), j AS (SELECT coalesce(b.p_brand, e.p_brand) AS p_brand, coalesce(b.p_type, e.p_type) AS p_type, best, existing FROM b FULL JOIN e ON b.p_brand = e.p_brand AND b.p_type = e.p_type) SELECT *, CASE WHEN best IS NULL THEN CASE WHEN existing >= 80 THEN 'good' WHEN existing >= 60 THEN 'acceptable' ELSE 'rewrite' END WHEN existing >= best THEN 'keep' WHEN existing >= 70 AND best - existing < 10 THEN 'close' ELSE 'adopt' END AS advice FROM j",
+    "alt_recommendation": f"WITH {ALTS}, s AS (SELECT p_brand, p_type, p_partkey, {_alt('')} FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY score DESC, p_partkey) AS rank FROM s), b AS (SELECT p_brand, p_type, CASE WHEN p_partkey % 4 <> 0 THEN score END AS best FROM k WHERE rank = 1), e AS (SELECT p_brand, p_type, max(score) FILTER (p_partkey % 3 = 0) AS existing FROM k GROUP BY 1, 2), j AS (SELECT coalesce(b.p_brand, e.p_brand) AS p_brand, coalesce(b.p_type, e.p_type) AS p_type, best, existing FROM b FULL JOIN e ON b.p_brand = e.p_brand AND b.p_type = e.p_type) SELECT *, CASE WHEN best IS NULL THEN CASE WHEN existing >= 80 THEN 'good' WHEN existing >= 60 THEN 'acceptable' ELSE 'rewrite' END WHEN existing >= best THEN 'keep' WHEN existing >= 70 AND best - existing < 10 THEN 'close' ELSE 'adopt' END AS advice FROM j",
     "tree_preorder": f"WITH RECURSIVE {TREE}, z AS (SELECT a.doc_id, a.node_id, a.depth, a.preorder, (SELECT count(*) FROM o b WHERE b.doc_id = a.doc_id AND b.path[1:a.depth] = a.path) AS k FROM o a) SELECT doc_id, node_id, depth, CAST(preorder AS INT) AS preorder, CAST(preorder + k - 1 AS INT) AS post FROM z",
     "sect_depth": f"WITH RECURSIVE {TREE}, s(doc_id, node_id, k) AS (SELECT doc_id, node_id, 0 FROM n WHERE parent_id IS NULL UNION ALL SELECT n.doc_id, n.node_id, s.k + CASE WHEN n.tag = 'Sect' THEN 1 ELSE 0 END FROM s JOIN n ON n.doc_id = s.doc_id AND n.parent_id = s.node_id) SELECT doc_id, max(k)::BIGINT AS depth FROM s GROUP BY doc_id",
     "leaf_sequence": f"WITH RECURSIVE {LEAF} SELECT doc_id, node_id, kind, CAST(place AS INT) AS place FROM leaf",

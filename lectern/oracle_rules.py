@@ -268,4 +268,74 @@ def oracle_sql() -> dict[str, str]:
     out["findings_deduplicated"] = f"{ALL} SELECT doc, rule, message, min(ord) AS ord FROM found GROUP BY ALL"
     out["findings_summary"] = f"""{ALL} SELECT rule, CAST(min(CASE lower(severity) WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS INT) AS level, count(DISTINCT doc) AS files, count(*) AS findings FROM found GROUP BY rule"""
     out["findings_by_page"] = f"{ALL} SELECT doc, page, count(*) FILTER ({_BAD}) AS errors, count(*) FILTER ({_WARN}) AS warnings, count(*) AS n FROM found WHERE page IS NOT NULL GROUP BY doc, page"
+    out |= _audits()
     return out
+
+
+def _facts(*names: str) -> str:
+    return ", ".join(f"{n} AS ({FACTS[n].replace('{orders}', 'orders').replace('{customer}', 'customer').replace('{lineitem}', 'lineitem')})" for n in names)
+
+
+_RANK = "CASE lower(severity) WHEN 'error' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 WHEN 'tip' THEN 2 ELSE 9 END"
+_TOTAL = "(SELECT count(*) FROM customer)"
+_FILES = "(SELECT doc_id AS doc, 'in/' || doc_id || '.' || type AS path, type, doc_id * 700 AS size_bytes, title, lang FROM doc)"
+# Names of the success criteria as their pages spell them, and those not of level A.
+_PAGES = {c: re.sub(r"[^a-z -]", "", name.lower()).replace(" ", "-") for c, name in (x.split("|") for x in dims.CRITERIA.strip().split("\n"))}
+_URL = "CASE wcag " + " ".join(f"WHEN '{c}' THEN 'https://www.w3.org/WAI/WCAG22/Understanding/{p}'" for c, p in _PAGES.items()) + " ELSE '' END"
+_LEVEL = "CASE WHEN wcag IS NULL OR wcag = '' THEN '' WHEN wcag IN ('1.4.3', '2.4.5', '2.4.6') THEN 'AA' WHEN wcag = '2.3.3' THEN 'AAA' ELSE 'A' END"
+_SPREAD = f"s AS (SELECT rule, CASE WHEN count(DISTINCT doc) = {_TOTAL} THEN 'Systemic' WHEN count(DISTINCT doc) > 2 THEN 'Template' ELSE 'File-specific' END AS pattern_type FROM found GROUP BY rule)"
+_MDROWS = "m AS (SELECT found.*, CASE lower(severity) WHEN 'error' THEN 'Serious' WHEN 'warning' THEN 'Moderate' ELSE 'Minor' END AS scale, CASE WHEN count(DISTINCT doc) OVER (PARTITION BY rule) > 2 THEN 'Systemic' ELSE 'File-specific' END AS spread, count(DISTINCT doc) OVER (PARTITION BY rule) AS files, upper(string_split(rule, '.')[2][1]) || lower(string_split(rule, '.')[2][2:]) AS area FROM found)"
+_FIXES = {
+    "tagging": ("PDFUA.STRUCT.TAGGED", "PDFUA.STRUCT.NOTREE"), "title": ("PDFUA.METADATA.TITLE", "DOCX-META.TITLE", "PPTX.META.TITLE", "XLSX.META.TITLE", "EPUB-E001"), "language": ("PDFUA.METADATA.LANG", "DOCX-META.LANG", "PPTX.META.LANG", "EPUB-E003"),
+    "form structure": ("PDFUA.FORM.STRUCT", "PDFBP.FORM.STRUCT"), "tooltips": ("PDFUA.FORM.TU",), "slide titles": ("PPTX.SLIDE.TITLE",), "alternative text": ("DOCX-IMG.ALT", "PPTX.IMG.ALT", "XLSX.IMG.ALT", "PDFUA.IMG.ALT"),
+    "table headers": ("PDFUA.TABLE.HEADERS", "DOCX-TABLE.HEADERS", "XLSX.TABLE.HEADER", "PPTX.TABLE.HEADER"), "display title and tab order": ("PDFBP.DISPLAY.DOCTITLE", "PDFBP.NAV.TABORDER"),
+}
+
+
+def _audits() -> dict[str, str]:
+    fixes = " UNION ALL ".join(f"SELECT {i} AS place, '{title}' AS title, count(DISTINCT doc) AS files FROM found WHERE rule IN {_list(rules)}" for i, (title, rules) in enumerate(_FIXES.items()))
+    catalogue = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in (r[0], r[1], r[2], r[3])) + ")" for r in (x.split("|") for x in dims.RULES.strip().split("\n")))
+    tiers = ", ".join(f"('{r[0]}', {r[1]})" for r in (x.split("|") for x in dims.TIERS.strip().split("\n")))
+    grades = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END"
+    some, md = _findings(("core", "xlsx")), _findings(("markdown",))
+    with_doc = lambda q: q if " doc AS (" in q or "WITH doc AS (" in q else q.replace("WITH ", f"WITH {_facts('doc')}, ", 1)
+    return {
+        "audit_severity_counts": f"{ALL} SELECT type, severity, count(*) AS n FROM found GROUP BY ALL",
+        "audit_by_severity": f"{ALL} SELECT doc, count(*) FILTER ({_BAD}) AS errors, count(*) FILTER ({_WARN}) AS warnings, count(*) FILTER (lower(severity) NOT IN ('error', 'warning')) AS others FROM found GROUP BY doc",
+        "audit_summary": f"{_findings(('core', 'docx', 'xlsx', 'pptx', 'epub'))}, f AS (SELECT CASE WHEN doc % 7 = 0 THEN 'unknown' ELSE type END AS type, doc, severity FROM found), t AS (SELECT DISTINCT type FROM f UNION SELECT unnest(['pdf', 'docx', 'xlsx', 'pptx', 'epub', 'md'])) SELECT t.type, count(DISTINCT f.doc) AS files, count(f.doc) AS findings, count(*) FILTER ({_BAD}) AS errors, count(*) FILTER ({_WARN}) AS warnings FROM t LEFT JOIN f ON f.type = t.type GROUP BY t.type",
+        "audit_quick_fixes": f"{ALL}, g AS ({fixes}) SELECT CAST(row_number() OVER (ORDER BY place) AS INT) AS number, title, files, CAST({_TOTAL} AS INT) AS total FROM g WHERE files > 0",
+        "audit_file_inventory": f"{ALL} SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY {_RANK}, rule, ord, message) AS INT) AS place, severity, rule, message FROM found",
+        "audit_rule_reference": f"{ALL}, c(rule, standard, criterion, level) AS (VALUES {catalogue}) SELECT f.rule, standard, criterion, level AS catalog_severity, CAST(row_number() OVER (ORDER BY CASE level WHEN 'Error' THEN 0 WHEN 'Warning' THEN 1 WHEN 'Info' THEN 2 WHEN 'Tip' THEN 2 ELSE 9 END, f.rule) AS INT) AS place FROM (SELECT DISTINCT rule FROM found) f LEFT JOIN c ON c.rule = f.rule",
+        "audit_manual_review": f"{ALL} SELECT rule, severity, count(DISTINCT doc) AS files FROM found WHERE rule IN ('PDFBP.ORDER.FIGURE', 'PDFBP.ORDER.MCID', 'PDFBP.FORMS_DETACHED', 'PPTX.ORDER.TITLE_FIRST', 'PPTX.ORDER.COLUMNS') GROUP BY ALL",
+        "audit_remediation_results": "WITH f AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 60 END AS b, o_orderkey % 60 + o_orderkey % 7 - 2 AS a FROM orders) SELECT k AS doc, b AS before, a AS after, CASE WHEN b IS NULL THEN 'N/A' WHEN a > b THEN '+' || (a - b) ELSE '' || (a - b) END AS change, k % 4 AS fixed, k % 3 AS remaining, k % 2 AS needs_human FROM f UNION ALL SELECT NULL, NULL, NULL, NULL, CAST(sum(k % 4) AS BIGINT), CAST(sum(k % 3) AS BIGINT), CAST(sum(k % 2) AS BIGINT) FROM f",
+        "audit_baseline_match": "WITH a AS (SELECT 'p' || (p_partkey * 2) AS path FROM part), b AS (SELECT 'p' || (p_partkey * 3) AS path FROM part) SELECT path, CASE count(DISTINCT side) WHEN 2 THEN 'both' ELSE 'only ' || min(side) END AS found FROM (SELECT path, 'before' AS side FROM a UNION ALL SELECT path, 'after' FROM b) GROUP BY path",
+        "audit_csv_findings": f"""{with_doc(some)}, {_SPREAD}, r AS (SELECT found.*, row_number() OVER (PARTITION BY doc ORDER BY ord, message) AS k FROM found)
+          SELECT 'DOC-' || r.doc || '-' || lpad('' || k, greatest(3, 3), '0') AS finding_id, path AS file_path, upper(r.type) AS file_type, severity, confidence, CASE WHEN {_BAD} THEN '-10' WHEN {_WARN} THEN '-3' ELSE '0' END AS score_impact, r.rule AS rule_id, coalesce(wcag, '') AS wcag_criteria, {_LEVEL} AS wcag_level, message AS issue_summary,
+          concat_ws(', ', 'Page ' || page, 'Line ' || line, element) AS location, pattern_type, 'New' AS remediation_status, coalesce(fix, 'manual') AS fix_suggestion, {_URL} AS help_url, {_URL} AS wcag_url FROM r JOIN s ON s.rule = r.rule LEFT JOIN {_FILES} f ON f.doc = r.doc""",
+        "audit_csv_scorecard": f"""{with_doc(ALL)}, c AS (SELECT doc, count(*) FILTER ({_BAD}) AS e, count(*) FILTER ({_WARN}) AS w, count(*) FILTER (lower(severity) IN ('info', 'tip')) AS i FROM found GROUP BY doc), s AS (SELECT f.*, coalesce(e, 0) AS e, coalesce(w, 0) AS w, coalesce(i, 0) AS i, 100 - least(10 * coalesce(e, 0), 50) - least(3 * coalesce(w, 0), 21) AS score FROM {_FILES} f LEFT JOIN c ON c.doc = f.doc)
+          SELECT path AS file_path, upper(type) AS file_type, '' || CAST(ceil(size_bytes / 1024) AS BIGINT) AS file_size_kb, '' || CAST(score AS BIGINT) AS score, {grades} AS grade, '' || e AS error_count, '' || w AS warning_count, '' || i AS tip_count, '' || (e + w + i) AS total_issues, '' AS template_name, CASE WHEN trim(coalesce(title, '')) = '' THEN 'No' ELSE 'Yes' END AS has_title, CASE WHEN trim(coalesce(lang, '')) = '' THEN 'No' ELSE 'Yes' END AS has_language, '2026-01-01T00:00:00Z' AS audit_date, 'WCAG 2.2 AA' AS compliance_standard FROM s""",
+        "audit_csv_remediation": f"""{ALL}, {_SPREAD}, t(rule, tier) AS (VALUES {tiers}), g AS (SELECT rule, severity, array_to_string(list_sort(list(DISTINCT upper(type))), ', ') AS types, count(DISTINCT doc) AS files, count(*) AS n, min(wcag) AS wcag, min(fix) AS fix FROM found GROUP BY rule, severity)
+          SELECT CASE WHEN {_BAD} AND pattern_type <> 'File-specific' THEN 'Immediate' WHEN {_BAD} OR {_WARN} AND pattern_type = 'Systemic' THEN 'Soon' ELSE 'When Possible' END AS priority, g.rule AS rule_id, g.rule AS issue_summary, types AS file_type, '' || files AS affected_files, '' || n AS total_instances, pattern_type, coalesce(wcag, '') AS wcag_criteria, severity,
+          CASE tier WHEN 1 THEN 'Low' WHEN 2 THEN 'Medium' ELSE 'High' END AS estimated_effort, coalesce(fix, 'manual') AS fix_steps, {_URL} AS help_url, {_URL} AS wcag_url, '' || (n * CASE WHEN {_BAD} THEN 10 WHEN {_WARN} THEN 5 ELSE 1 END) AS roi_score FROM g JOIN s ON s.rule = g.rule LEFT JOIN t ON t.rule = g.rule""",
+        "audit_md_csv_findings": f"""{with_doc(md)}, {_MDROWS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY ord, message) AS k FROM m)
+          SELECT 'MD-' || r.doc || '-' || lpad('' || k, 3, '0') AS finding_id, path AS file_path, '' || line AS line_number, scale AS severity, confidence, CASE scale WHEN 'Serious' THEN '-7' WHEN 'Moderate' THEN '-3' ELSE '-1' END AS score_impact, coalesce(wcag, '') AS wcag_criteria, {_LEVEL} AS wcag_level, area AS domain, rule AS rule_id, message AS issue_summary, coalesce(element, '') AS content, spread AS pattern_type, 'New' AS remediation_status, 'No' AS auto_fixable, 'manual' AS fix_suggestion, {_URL} AS wcag_url FROM r LEFT JOIN {_FILES} f ON f.doc = r.doc""",
+        "audit_md_csv_scorecard": f"""{with_doc(md)}, {_MDROWS}, c AS (SELECT doc, count(*) FILTER (scale = 'Serious') AS b, count(*) FILTER (scale = 'Moderate') AS c, count(*) FILTER (scale = 'Minor') AS d, count(*) AS n, count(*) FILTER (spread = 'Systemic') AS sys FROM m GROUP BY doc), s AS (SELECT path, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(d, 0) AS d, coalesce(n, 0) AS n, coalesce(sys, 0) AS sys, greatest(0, 100 - 7 * coalesce(b, 0) - 3 * coalesce(c, 0) - coalesce(d, 0)) AS score FROM {_FILES} f LEFT JOIN c ON c.doc = f.doc)
+          SELECT path AS file_path, '' || score AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 25 THEN 'D' ELSE 'F' END AS grade, '0' AS critical_count, '' || b AS serious_count, '' || c AS moderate_count, '' || d AS minor_count, '' || n AS total_issues, '' || sys AS systemic_issues, '' || (n - sys) AS file_specific_issues, '0' AS auto_fixable, '' || n AS manual_review, '2026-01-01T00:00:00Z' AS audit_date FROM s""",
+        "audit_md_csv_remediation": f"""{md}, {_MDROWS}, g AS (SELECT rule, area, scale, spread, files, wcag, count(*) AS n, count(*) * CASE scale WHEN 'Serious' THEN 7 WHEN 'Moderate' THEN 3 ELSE 1 END AS worth FROM m GROUP BY rule, area, scale, spread, files, wcag)
+          SELECT '' || row_number() OVER (ORDER BY worth DESC, rule, scale) AS priority, area AS domain, rule AS rule_id, rule AS issue_summary, '' || files AS affected_files, '' || n AS total_instances, spread AS pattern_type, coalesce(wcag, '') AS wcag_criteria, scale AS severity, 'High' AS estimated_effort, 'No' AS auto_fixable, 'manual' AS fix_guidance, {_URL} AS wcag_url, '' || worth AS roi_score FROM g""",
+        "audit_tier_badges": f"{ALL}, t(rule, tier) AS (VALUES {tiers}) SELECT CAST(tier AS INT) AS tier, ['Automated', 'Assisted', 'Manual'][tier] || ': ' || count(DISTINCT doc) || ' of ' || {_TOTAL} || ' files: ' || array_to_string(list_sort(list(DISTINCT found.rule)), ', ') AS badge FROM found JOIN t ON t.rule = found.rule GROUP BY tier",
+        "audit_chosen_models": "WITH a AS (SELECT p_partkey, ['a','b','c','d','e','f','x','a','b','c','d','e','f','x'][p_partkey % 7 + 1 : p_partkey % 7 + p_size % 8] AS x FROM part), d AS (SELECT p_partkey, CASE WHEN len(x) > 7 THEN x[1:7] ELSE x END AS u FROM a) SELECT p_partkey, CASE WHEN len(u) <= 5 AND NOT list_contains(u, 'x') THEN CASE WHEN len(u) = 0 THEN 'a' ELSE array_to_string(u, ',') END END AS models, CASE WHEN len(u) > 5 THEN 'too many models: ' || len(u) WHEN list_contains(u, 'x') THEN 'unknown models: x' END AS error FROM d",
+        "audit_error_types": "SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'rate_limit' WHEN 2 THEN 'api' WHEN 3 THEN 'parse' END AS error_type FROM part",
+        "audit_pixels": "SELECT p_partkey, CAST(p_size * 2 AS DOUBLE) * CASE WHEN p_partkey % 10 < 1 THEN 0.5 WHEN p_partkey % 10 > 8 THEN 4.0 ELSE p_partkey % 10 / 2 END AS px, CAST(CASE p_partkey % 4 WHEN 1 THEN 0.7 WHEN 2 THEN 0.3 ELSE 1.0 END AS DOUBLE) AS weight FROM part",
+        "audit_tool_errors": f"WITH {_facts('doc')} SELECT doc_id AS doc, type, 'TOOL.FILE' AS rule, 'error' AS severity, 'high' AS confidence, CASE WHEN skip_reason IS NULL THEN 'not readable' ELSE skip_reason END AS message FROM doc WHERE access_ok = false",
+        "audit_saved_findings": f"{_findings(('core', 'markdown'))} SELECT doc, type, ord, rule, severity, message, page, line FROM found",
+        "validator_clauses": """WITH x AS (SELECT l_orderkey, l_linenumber, ['7.1','7.2','7.3','7.18.3','7.21','7.5','99.9'][l_orderkey % 7 + 1] AS c, '' || (l_linenumber % 3 + 1) AS t, l_linenumber % 2 = 0 AS d FROM lineitem),
+          y AS (SELECT *, CASE c || '/' || t WHEN '7.1/1' THEN 'PDFUA.TAGGED,error,1.3.1' WHEN '7.1/2' THEN 'PDFUA.TAGGED,error,1.3.1' WHEN '7.2/1' THEN 'PDFUA.LANG,error,3.1.1' WHEN '7.2/2' THEN 'PDFBP.READING_ORDER,warning,1.3.2' WHEN '7.3/1' THEN 'PDFUA.TAGGED,error,1.3.1' WHEN '7.3/2' THEN 'PDFUA.IMG.ALT,error,1.1.1' WHEN '7.18.3/1' THEN 'PDFUA.FORMS,error,4.1.2' WHEN '7.18.3/2' THEN 'PDFUA.FORMS,error,4.1.2' WHEN '7.21/1' THEN 'PDFUA.TITLE,error,2.4.2' WHEN '7.21/2' THEN 'PDFBP.DISPLAY_TITLE,warning,2.4.2' WHEN '7.5/1' THEN 'PDFBP.TABLE_HEADERS,warning,1.3.1' WHEN '7.5/2' THEN 'PDFBP.TABLE_SCOPE,warning,1.3.1' END AS k FROM x)
+          SELECT l_orderkey, l_linenumber, coalesce(string_split(k, ',')[1], 'VERAPDF.' || c || '.' || t) AS rule, coalesce(string_split(k, ',')[2], 'warning') AS severity, coalesce(string_split(k, ',')[3], '') AS wcag, CASE WHEN k IS NULL THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN k IS NOT NULL THEN string_split(k, ',')[1] WHEN d THEN 'said' ELSE 'rule ' || c || '/' || t || ' failed' END AS message FROM y""",
+        "tree_top_level": f"WITH {_facts('struct_node')} SELECT doc_id, tag, count(*) AS n FROM struct_node WHERE depth = 1 GROUP BY ALL",
+        "tree_find": f"WITH {_facts('struct_node')} SELECT doc_id, node_id FROM struct_node WHERE tag = 'Figure' AND page = 2",
+        "tree_content_order": f"WITH {_facts('struct_node')}, a AS (SELECT doc_id, preorder, post, page FROM struct_node WHERE depth = 2 AND preorder % 5 > 0), c AS (SELECT n.doc_id, a.page, n.preorder FROM struct_node n JOIN a ON a.doc_id = n.doc_id AND n.preorder BETWEEN a.preorder AND a.post WHERE n.contents > 0) SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY preorder) - 1 AS INT) AS pos, preorder AS mcid FROM c",
+        "tree_misplaced": f"WITH {_facts('struct_node')}, b AS (SELECT n.doc_id, n.node_id, n.tag, p.tag AS parent_tag FROM struct_node n JOIN struct_node p ON p.doc_id = n.doc_id AND p.node_id = n.parent_id) SELECT * FROM b WHERE parent_tag = 'L' AND tag NOT IN ('LI', 'Caption') OR parent_tag = 'Table' AND tag NOT IN ('THead', 'TBody', 'TFoot', 'TR', 'Caption') OR parent_tag = 'TR' AND tag NOT IN ('TH', 'TD') OR tag = 'LI' AND parent_tag <> 'L' OR tag = 'LBody' AND parent_tag <> 'LI'",
+        "tree_form_placement": f"WITH {_facts('struct_node', 'form_field')}, n AS (SELECT doc_id, bool_or(tag = 'Form' AND depth = 1) AS top, bool_or(tag = 'Form' AND depth > 1) AS low FROM struct_node GROUP BY doc_id) SELECT f.doc_id, count(*) AS fields, CASE WHEN any_value(n.doc_id) IS NULL THEN 'no_struct_tree' WHEN any_value(top) THEN CASE WHEN any_value(low) THEN 'mixed' ELSE 'orphaned' END WHEN any_value(low) THEN 'good' ELSE 'acroform_only' END AS placement FROM form_field f LEFT JOIN n ON n.doc_id = f.doc_id GROUP BY f.doc_id",
+        "tree_figure_texts": f"WITH {_facts('struct_node')} SELECT doc_id, count(*) AS figures, count(*) FILTER ({_no('alt')}) AS without, coalesce(array_to_string(list_sort(list(DISTINCT page) FILTER ({_no('alt')})), ', '), '') AS pages FROM struct_node WHERE tag = 'Figure' GROUP BY doc_id",
+    }
