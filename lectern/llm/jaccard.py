@@ -316,7 +316,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 def _linked_nodes(known: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """(node, root) of all fingerprints that have a link."""
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    key = F.xxhash64(F.col(id_col).cast("string"), F.octet_length(text_col))
+    # by id and text, so that null or repeated ids are spread too
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     return components(stored(links(docs, total, text_col, key=key, n=n, percent=percent), "links"))
 
 

@@ -303,6 +303,43 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def _common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+def test_license_scan_against_all_windows(spark, monkeypatch):
+    """Texts with changed templates: what a search of every window finds is found, and nothing else, in one scan or in parts."""
+    rng = random.Random(13)
+    common = [f"c{i}" for i in range(12)]
+    templates = {f"t{n}": " ".join(rng.choice(common + [f"u{n}v{i}" for i in range(30)]) for _ in range(n)) for n in (8, 20, 45, 90)}
+    rows = []
+    for i in range(60):
+        words = templates[rng.choice(list(templates))].split()
+        for _ in range(int(len(words) * rng.choice([0, 0.05, 0.15, 0.3]))):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = [rng.choice(common)] * rng.randrange(2)
+        noise = lambda: [rng.choice(common + [f"z{rng.randrange(99)}"]) for _ in range(rng.randrange(0, 150))]
+        rows.append((i, " ".join(noise() + words + noise())))
+    want = set()
+    for d, text in rows:
+        w = text.split()
+        for name, t in templates.items():
+            t = t.split()
+            reach = len(t) + 4 + len(t) // 8
+            if any(_common(t, w[i : i + reach]) >= 0.8 * len(t) for i in range(max(1, len(w) - len(t) + 1))):
+                want.add((d, name))
+    for limit in (licenses.MAX_TEMPLATE_BYTES, 200):
+        monkeypatch.setattr(licenses, "MAX_TEMPLATE_BYTES", limit)
+        got = {(r.doc_id, r.template) for r in licenses.scan_licenses(frame(spark, rows), templates=templates).collect()}
+        assert got == want and len(want) > 25
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=12), st.lists(st.integers(0, 5), min_size=1, max_size=14))
 def test_alignment_in_a_wide_band_is_the_longest_common_subsequence(a, b):
@@ -480,3 +517,31 @@ def test_secret_parts_without_blanks_and_with_padding(template, key):
     assert (at, at + len(key), "secret_part") in secrets.find(text, 400)
     assert key not in secrets.redacted(text, 400)
     assert secrets.find(template.format(key), 400) == []
+
+
+def test_kernel_values_against_plain_kernels():
+    """Class values with fewer landmarks than rows, from sets of n-gram places and the kernel between two texts."""
+    rng = random.Random(14)
+    bits, longest = 12, 4
+    seen = np.zeros(1 << bits, bool)
+    sets, rows = [], []
+    for i in range(30):
+        name = "ab"[i % 2]
+        text = " ".join("".join(rng.choice("abcdefgh" if name == "a" else "efghijkl") for _ in range(5)) for _ in range(25))
+        places = langid._presence(text, bits, longest, seen)
+        flags = np.zeros(1 << bits, bool)
+        flags[places] = True
+        sets.append(set(places.tolist()))
+        rows.append((name, np.packbits(flags).tobytes()))
+    model = langid.fit_presence(rows, bits, longest, 7, 0.1)
+    kernel = lambda x, y: len(x & y) / math.sqrt(len(x) * len(y))
+    marks = [sets[int(i)] for i in np.linspace(0, 29, 7).astype(int)]
+    nm = np.array([[kernel(x, m) for m in marks] for x in sets])
+    value, vector = np.linalg.eigh(np.array([[kernel(x, m) for m in marks] for x in marks]))
+    keep = value > 1e-6 * value.max()
+    phi = nm @ vector[:, keep] / np.sqrt(value[keep])
+    y = np.array([[1.0 if n == k else -1.0 for k in "ab"] for n, _ in rows])
+    want = phi @ np.linalg.solve(phi.T @ phi + 0.1 * np.eye(phi.shape[1]), phi.T @ y)
+    got = model.values([np.array(sorted(s)) for s in sets])
+    assert np.abs(got - want).max() < 1e-3
+    assert [model.languages[i] for i in got.argmax(1)] == [n for n, _ in rows]
