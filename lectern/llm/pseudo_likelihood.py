@@ -29,8 +29,8 @@ from lectern.llm._text import NOT_SPACE, long_array, mix, one_blas_thread, piece
 OFFSETS = (-2, -1, 1, 2)
 BUCKET_BITS = 12
 #: Classes of the first level that stand for themselves, and groups that hold all others.
-HEAD, GROUPS = 48, 72
-_BLOCK = 8192
+HEAD, GROUPS = 32, 64
+_BLOCK = 16384
 #: Rows of first-level classes that are worked on at once.
 _ROWS = 512
 _ONES = np.ones(_BLOCK, np.float32)
@@ -268,7 +268,7 @@ def contexts(cls: np.ndarray, first: np.ndarray, pad: int, at: np.ndarray | None
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, frequent: int = 4096, width: int = 16, block_tokens: int = 1_000_000, every: int = 1, rate: float = 1.0, batch: int = 256, most: int = 4096, least: float = 0.3) -> tuple[Vocabulary, Network]:
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, frequent: int = 4096, width: int = 16, block_tokens: int = 1_000_000, every: int = 1, rate: float = 1.0, batch: int = 512, most: int = 8192, least: float = 0.3) -> tuple[Vocabulary, Network]:
     """Counts over all documents, and a network trained on every token of all documents.
 
     Steps take ``batch`` tokens at first and up to ``most`` later. ``every`` above 1 thins the targets
@@ -308,9 +308,9 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, freq
                         used += np.bincount(target, minlength=v.classes)
                         a = 0
                         while a < len(at):
-                            n = min(max(batch, seen // 64), most, len(at) - a)
+                            n = min(max(batch, seen // 32), most, len(at) - a)
                             slow = 1 / (1 + seen / 400_000)
-                            net.train(context[a : a + n], target[a : a + n], rate * slow * max(1, n / batch) ** 0.5, least * slow**0.5)
+                            net.train(context[a : a + n], target[a : a + n], rate * slow * max(1, n / 256) ** 0.5, least * slow**0.5)
                             a, seen = a + n, seen + n
         if seen:
             add()
