@@ -42,7 +42,7 @@ _OWNER = "CAST(o_custkey + CASE WHEN o_custkey % 13 = 5 THEN 1 ELSE 0 END AS BIG
 FACTS: dict[str, str] = {
     "doc": f"""SELECT k AS doc_id, {pick("k", ["pdf", "docx", "xlsx", "pptx", "epub", "md", "pdf"])} AS type, k % 11 <> 0 AS access_ok,
       CASE WHEN k % 11 = 0 THEN {pick("k", ["encrypted", "empty", "too large", None])} END AS skip_reason,
-      {pick("k", ["Annual report", "", " ", None, "Plan of the year"])} AS title, {pick("k", ["en-GB", "EN-US", "en", "", None, "en419", "es-419", "zh-Hant-TW", "x", "de-", " fr ", "en_US", "de-AT"])} AS lang,
+      {pick("k", ["Annual report", "", " ", None, "Plan of the year"])} AS title, {pick("k + 2", ["A. Writer", None, " "])} AS author, {pick("k", ["en-GB", "EN-US", "en", "", None, "en419", "es-419", "zh-Hant-TW", "x", "de-", " fr ", "en_US", "de-AT"])} AS lang,
       {pick("k", ["en", None, "en-us"])} AS info_lang, CAST(k % 30 + 1 AS INT) AS pages, {pick("k", [True, False, True, None])} AS tagged, {pick("k + 1", [True, True, False, True, None])} AS mark_info_present,
       {pick("k + 1", [True, False, True, True, None, True])} AS display_doc_title, {pick("k", [True, True, False, True, None, True, True, True])} AS viewer_prefs_present,
       {pick("k + 2", [True, False, None])} AS outlines_present, {pick("k + 3", [True, True, False, None])} AS acroform_present, {pick("k", [True, True, True, False, True, True, True, True, None])} AS tree_present,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.text import in_order
+from lectern.storage import small
 
 
 def deduplicated(findings: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def summary_table(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per rule: its gravest severity, files, findings, and the catalogue's criterion."""
     ranked = findings.withColumn("level", in_order(F.col("severity"), "level"))
     rows = ranked.groupBy("rule").agg(F.min("level").alias("level"), F.count_distinct("doc").alias("files"), F.count("*").alias("findings"), F.min_by("message", "ord").alias("first_message"))
-    return rows.join(F.broadcast(rules.select("rule", "criterion")), "rule", "left").orderBy("level", F.desc("files"), "rule")
+    return rows.join(small(rules.select("rule", "criterion")), "rule", "left").orderBy("level", F.desc("files"), "rule")
 
 
 def priority_plan(findings: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def templates(findings: DataFrame, least: int = 3) -> DataFrame:
 
 def conformance(findings: DataFrame, rules: DataFrame, total: int) -> DataFrame:
     """Per criterion: Supports, Partially Supports or Does Not Support (more than half of the files fail)."""
-    failing = findings.filter("severity in ('Error', 'Warning')").join(F.broadcast(rules.select("rule", "criterion")), "rule").groupBy("criterion").agg(F.count_distinct("doc").alias("files"))
+    failing = findings.filter("severity in ('Error', 'Warning')").join(small(rules.select("rule", "criterion")), "rule").groupBy("criterion").agg(F.count_distinct("doc").alias("files"))
     all_criteria = rules.select("criterion").distinct()
     n = F.coalesce("files", F.lit(0))
     level = F.when(n == 0, "Supports").when(2 * n > total, "Does Not Support").otherwise("Partially Supports")
@@ -138,7 +139,7 @@ def conformance(findings: DataFrame, rules: DataFrame, total: int) -> DataFrame:
 
 def quick_fixes(findings: DataFrame, groups: DataFrame) -> DataFrame:
     """Numbered groups of rules (position, title, rule) that any file needs, with how many do."""
-    rows = findings.join(F.broadcast(groups), "rule").groupBy("position", "title").agg(F.count_distinct("doc").alias("files"))
+    rows = findings.join(small(groups), "rule").groupBy("position", "title").agg(F.count_distinct("doc").alias("files"))
     return rows.withColumn("number", F.row_number().over(Window.orderBy("position"))).drop("position")
 
 
@@ -149,19 +150,19 @@ def stratified_sample(documents: DataFrame, stratum: str, order: Column, size: i
     quota = F.greatest(F.lit(1), F.round(F.lit(size) * F.col("in_stratum") / F.col("in_all")).cast("int"))
     place = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
     sized = whole.crossJoin(F.broadcast(total)).withColumn("quota", quota).select(stratum, "quota")
-    return documents.withColumn("place", place).join(F.broadcast(sized), stratum).filter("place <= quota").drop("place", "quota")
+    return documents.withColumn("place", place).join(small(sized), stratum).filter("place <= quota").drop("place", "quota")
 
 
 def fixable(findings: DataFrame, tiers: DataFrame, max_tier: int, tools: DataFrame) -> DataFrame:
     """Per document, the fixers' ids of its rules that can be repaired up to a tier, in order of first sight."""
-    known = findings.join(F.broadcast(tiers), "rule").join(F.broadcast(tools), ["type", "tool"]).filter(F.col("tier") <= max_tier)
+    known = findings.join(small(tiers), "rule").join(small(tools), ["type", "tool"]).filter(F.col("tier") <= max_tier)
     first = known.groupBy("doc", "fixer_rule").agg(F.min("ord").alias("ord"))
     return first.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "fixer_rule"))), lambda x: x["fixer_rule"]).alias("rules"))
 
 
 def best_tier(findings: DataFrame, tiers: DataFrame) -> DataFrame:
     """Least tier among each document's known rules, 0 where none is known."""
-    return findings.join(F.broadcast(tiers), "rule", "left").groupBy("doc").agg(F.coalesce(F.min("tier"), F.lit(0)).alias("tier"))
+    return findings.join(small(tiers), "rule", "left").groupBy("doc").agg(F.coalesce(F.min("tier"), F.lit(0)).alias("tier"))
 
 
 def remediation_means(scores: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from lectern.functions.text import in_order
 from lectern.operators import analytics
 from lectern.plans import dims
+from lectern.storage import small
 
 # Groups of rules that one repair settles, in report order.
 QUICK_FIXES = (
@@ -62,7 +63,7 @@ def file_inventory(findings: DataFrame) -> DataFrame:
 
 def rule_reference(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """The rules met, with their standard and criterion, by catalogue severity and id; other severities last."""
-    met = findings.select("rule").distinct().join(F.broadcast(rules), "rule", "left")  # 131 rules
+    met = findings.select("rule").distinct().join(small(rules), "rule", "left")  # 131 rules
     place = in_order(F.col("catalog_severity"), "level")
     return met.select("rule", "standard", "criterion", "catalog_severity", F.row_number().over(Window.orderBy(place, "rule")).alias("place"))
 
@@ -137,7 +138,7 @@ def csv_findings(findings: DataFrame, files: DataFrame, total: int | Column, sta
     """One row of texts per finding. ``files``: doc, path; ``status``: doc, rule, status (else New)."""
     spark = findings.sparkSession
     rows = _numbered(findings, "DOC-").join(files.select("doc", F.col("path").alias("file_path")), "doc", "left").join(pattern_types(findings, total).drop("files"), "rule")
-    rows = rows.withColumn("wcag_criteria", F.col("wcag")).join(F.broadcast(criterion_url(spark)), "wcag_criteria", "left")
+    rows = rows.withColumn("wcag_criteria", F.col("wcag")).join(small(criterion_url(spark)), "wcag_criteria", "left")
     rows = rows.join(status.withColumnRenamed("status", "remediation_status"), ["doc", "rule"], "left") if status is not None else rows.withColumn("remediation_status", F.lit(None).cast("string"))
     impact = F.when(F.lower("severity") == "error", "-10").when(F.lower("severity") == "warning", "-3").otherwise("0")
     place = F.concat_ws(", ", F.concat(F.lit("Page "), "page"), F.concat(F.lit("Line "), "line"), "element")
@@ -157,7 +158,7 @@ def csv_remediation(findings: DataFrame, total: int | Column, tiers: DataFrame)
     """One row of texts per rule and severity, with priority, effort and worth of the repair."""
     weight = F.when(F.lower("severity") == "error", 10).when(F.lower("severity") == "warning", 5).otherwise(1)
     rows = findings.groupBy("rule", "severity").agg(F.array_join(F.array_sort(F.collect_set(F.upper("type"))), ", ").alias("file_type"), F.count_distinct("doc").alias("affected_files"), F.count("*").alias("total_instances"), F.min("wcag").alias("wcag_criteria"), F.min("fix").alias("fix"))
-    rows = rows.join(pattern_types(findings, total).drop("files"), "rule").join(F.broadcast(tiers.select("rule", "tier")), "rule", "left").join(F.broadcast(criterion_url(findings.sparkSession)), "wcag_criteria", "left")
+    rows = rows.join(pattern_types(findings, total).drop("files"), "rule").join(small(tiers.select("rule", "tier")), "rule", "left").join(small(criterion_url(findings.sparkSession)), "wcag_criteria", "left")
     rows = rows.withColumns({"priority": priority(F.col("severity"), F.col("pattern_type")), "rule_id": F.col("rule"), "issue_summary": F.col("rule"), "estimated_effort": effort(F.col("fix"), F.col("tier")), "fix_steps": F.coalesce("fix", F.lit("manual")), "help_url": F.col("wcag_url"), "roi_score": F.col("total_instances") * weight})
     return rows.select(*map(_EMPTY, REMEDIATION_COLUMNS))
 
@@ -170,7 +171,7 @@ def md_level(severity: Column) -> Column:
 def _md(findings: DataFrame) -> DataFrame:
     """Markdown findings with their scale, domain, pattern and link; an issue in three or more files is systemic."""
     files = findings.groupBy("rule").agg(F.count_distinct("doc").alias("affected_files"))
-    rows = findings.withColumn("level", md_level(F.col("severity"))).join(files, "rule").withColumn("wcag_criteria", F.col("wcag")).join(F.broadcast(criterion_url(findings.sparkSession)), "wcag_criteria", "left")
+    rows = findings.withColumn("level", md_level(F.col("severity"))).join(files, "rule").withColumn("wcag_criteria", F.col("wcag")).join(small(criterion_url(findings.sparkSession)), "wcag_criteria", "left")
     pattern = F.when(F.col("affected_files") >= 3, "Systemic").otherwise("File-specific")
     return rows.withColumns({"pattern_type": pattern, "domain": F.initcap(F.element_at(F.split("rule", r"\."), 2)), "auto_fixable": F.when(F.col("fix").isNull(), "No").otherwise("Yes")})
 
@@ -204,7 +205,7 @@ def md_csv_remediation(findings: DataFrame) -> DataFrame:
 
 def tier_badges(findings: DataFrame, tiers: DataFrame, total: int | Column) -> DataFrame:
     """One line per repair tier: how the tier's rules are settled, how many files they touch, and which they are."""
-    rows = findings.join(F.broadcast(tiers.select("rule", "tier")), "rule").groupBy("tier").agg(F.count_distinct("doc").alias("files"), F.array_join(F.array_sort(F.collect_set("rule")), ", ").alias("rules"))
+    rows = findings.join(small(tiers.select("rule", "tier")), "rule").groupBy("tier").agg(F.count_distinct("doc").alias("files"), F.array_join(F.array_sort(F.collect_set("rule")), ", ").alias("rules"))
     name = F.when(F.col("tier") == 1, "Automated").when(F.col("tier") == 2, "Assisted").otherwise("Manual")
     whole = F.lit(total) if isinstance(total, int) else total
     return rows.select("tier", F.concat(name, F.lit(": "), F.col("files").cast("string"), F.lit(" of "), whole.cast("string"), F.lit(" files: "), "rules").alias("badge"))

@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lectern.functions.text import in_order
+
+# Columns of the plain export.
 CSV_COLUMNS = ["file", "rule", "severity", "confidence", "wcag", "page", "message"]
 
 
-def write_csv(findings: DataFrame, path: str) -> None:
-    """Quoted CSV with CRLF line ends; missing values are empty strings."""
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in CSV_COLUMNS]
-    findings.select(text).write.mode("overwrite").option("header", True).option("quoteAll", True).option("emptyValue", "").option("lineSep", "\r\n").csv(path)
+def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """CSV of texts, all quoted, quotes doubled, CRLF line ends; missing values are empty strings.
+
+    ``columns`` defaults to ``CSV_COLUMNS``; the spreadsheets of ``audits`` are written with their own.
+    """
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns or CSV_COLUMNS]
+    rows.select(text).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("lineSep", "\r\n").csv(path)
+
+
+def write_audiences(findings: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """The findings twice, as ``path-tool`` for those that a tool can repair and ``path-manual`` for the others."""
+    write_csv(findings.filter("fix is not null"), f"{path}-tool", columns)
+    write_csv(findings.filter("fix is null"), f"{path}-manual", columns)
 
 
 def audit_json(findings: DataFrame, scored: DataFrame) -> DataFrame:
@@ -25,11 +37,44 @@ def html_escape(c: Column) -> Column:
     return c
 
 
-def alt_formats(text: Column, source: Column) -> Column:
-    """An alternative text as HTML, Markdown, plain text, and a PDF tag."""
-    return F.struct(F.concat(F.lit('<img src="'), html_escape(source), F.lit('" alt="'), html_escape(text), F.lit('">')).alias("html"), F.concat(F.lit("!["), text, F.lit("]("), source, F.lit(")")).alias("markdown"), text.alias("plain"), F.concat(F.lit("/Alt ("), F.regexp_replace(text, r"([()\\])", r"\\\\$1"), F.lit(")")).alias("pdf"))
+def alt_formats(concise: Column, detailed: Column, kind: Column) -> Column:
+    """An alternative text and its description in each form: html, markdown, json, plain, pdf_tag, docx and native.
+
+    ``native`` (JSON) is what a file of type ``kind`` takes: alt and actual text in a PDF, alt in a book, descr elsewhere.
+    """
+    said = F.coalesce(detailed, F.lit(""))
+    text = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    safe = html_escape(concise)
+    html = F.concat(F.lit('<img src="" alt="'), safe, F.lit('" />\n\n<figure>\n  <img src="" alt="'), safe, F.lit('" aria-describedby="img-desc" />\n  <figcaption id="img-desc">'), text(said), F.lit("</figcaption>\n</figure>"))
+    shown = F.concat(F.lit("!["), concise, F.lit("]()"))
+    both = F.struct(concise.alias("concise_alt"), said.alias("detailed_description"))
+    native = F.when(kind == "pdf", F.to_json(F.struct(concise.alias("alt"), said.alias("actual_text")))).when(kind == "epub", F.to_json(F.struct(concise.alias("alt")))).otherwise(F.to_json(F.struct(concise.alias("descr"))))
+    return F.struct(
+        html.alias("html"),
+        F.when(said == "", shown).otherwise(F.concat(shown, F.lit("\n\n> "), said)).alias("markdown"),
+        F.to_json(both).alias("json"),
+        F.concat(F.lit("Alt: "), concise, F.when(said == "", "").otherwise(F.concat(F.lit("\nDescription: "), said))).alias("plain"),
+        F.to_json(F.struct(concise.alias("alt"), said.alias("actual_text"))).alias("pdf_tag"),
+        F.to_json(F.struct(concise.alias("descr"))).alias("docx"),
+        native.alias("native"),
+    )
 
 
 def report_lines(summary: DataFrame) -> DataFrame:
     """The rows of a Markdown summary table, in the order of ``summary``."""
     return summary.select(F.concat(F.lit("| "), F.concat_ws(" | ", "rule", F.col("files").cast("string"), F.col("findings").cast("string"), F.coalesce("criterion", F.lit("--"))), F.lit(" |")).alias("line"))
+
+
+def text_summaries(scored: DataFrame) -> DataFrame:
+    """One line per document: score, grade and counts."""
+    line = F.concat_ws("", F.lit("score "), "score", F.lit("/100 ("), "grade", F.lit("), "), "errors", F.lit(" errors, "), "warnings", F.lit(" warnings, "), "infos", F.lit(" others"))
+    return scored.select("doc", line.alias("summary"))
+
+
+def document_reports(findings: DataFrame, scored: DataFrame) -> DataFrame:
+    """One Markdown text per document: its score, then a table of its findings, gravest first."""
+    rank = in_order(F.col("severity"), "rank")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", "severity", "rule", F.coalesce(F.col("page").cast("string"), F.lit("-")), "message"), F.lit(" |"))
+    rows = findings.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(rank, "ord", row.alias("row")))).alias("rows"))
+    head = F.concat_ws("", F.lit("# Document "), "doc", F.lit("\n\nScore "), "score", F.lit(" ("), "grade", F.lit(")\n\n| severity | rule | page | message |\n|---|---|---|---|\n"))
+    return scored.join(rows, "doc").select("doc", F.concat(head, F.array_join(F.transform("rows", lambda x: x["row"]), "\n")).alias("report"))

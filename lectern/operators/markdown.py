@@ -99,3 +99,31 @@ def long_passages(state: DataFrame, sentence: int = 40, paragraph: int = 150) ->
     count = lambda c: F.size(F.split(strip(c), r"\s+"))
     longest = F.array_max(F.transform(F.split("text", r"[.!?]+(?=\s|$)"), lambda s: F.when(strip(s) == "", 0).otherwise(count(s))))
     return text.select("doc_id", "line_no", count(F.col("text")).alias("words"), longest.alias("longest_sentence")).filter((F.col("words") > paragraph) | (F.col("longest_sentence") > sentence))
+
+
+def bold_headings(state: DataFrame) -> DataFrame:
+    """Lines outside fences that are one bold text and nothing else."""
+    text = F.regexp_extract("stripped", r"^\*\*([^*]+)\*\*$", 1)
+    return state.filter("outside").withColumn("text", text).filter("text <> ''").select("doc_id", "line_no", "text")
+
+
+def wide_tables(state: DataFrame, columns: int = 5) -> DataFrame:
+    """Tables of so many columns or more."""
+    return tables(state).select("doc_id", "line_no", F.size("cells").alias("columns")).filter(F.col("columns") >= columns)
+
+
+def emoji_bullets(state: DataFrame) -> DataFrame:
+    """List items outside fences that begin with an emoji, and the item without it."""
+    item = rf"^([-*+]|\d+\.)\s+({EMOJI})\s*(.*)$"
+    rows = state.filter("outside").withColumn("text", F.regexp_extract("stripped", item, 3)).filter(F.col("stripped").rlike(item))
+    return rows.select("doc_id", "line_no", F.concat(F.lit("- "), "text").alias("new"))
+
+
+def dashes(state: DataFrame, replacement: str = " - ") -> DataFrame:
+    """Prose lines with em or en dashes, or two or three hyphens between blanks, and the line with ``replacement``.
+
+    Fences, rules of hyphens alone and lines with inline code or comments are left out.
+    """
+    found = "\\s*[\u2013\u2014]\\s*|(?<=\\S)\\s+-{2,3}\\s+(?=\\S)"
+    rows = state.filter("outside").filter(~F.col("stripped").rlike(r"^[-\s|:]*$") & ~F.contains("raw", F.lit("`")) & ~F.contains("raw", F.lit("<!--")))
+    return rows.withColumn("new", F.regexp_replace("stripped", found, replacement)).filter("new <> stripped").select("doc_id", "line_no", "new")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.functions.text import strip
-from lectern.operators.tree import repaired_levels
 
 
 def numbered_titles(slides: DataFrame, deck: str = "doc_id", order: str = "slide_no", title: str = "title") -> DataFrame:
-    """Repeated titles of a deck with (2), (3), ... appended; the first stays."""
+    """Repeated titles of a deck with (2), (3), ... appended; the first stays, and so does a title that is yet to be written."""
     nth = F.row_number().over(Window.partitionBy(deck, title).orderBy(order))
-    return slides.withColumn("nth", nth).withColumn("new_title", F.when(F.col("nth") > 1, F.concat(title, F.lit(" ("), "nth", F.lit(")"))).otherwise(F.col(title))).drop("nth")
+    again = (F.col("nth") > 1) & ~F.startswith(F.col(title), F.lit("TODO:"))
+    return slides.withColumn("nth", nth).withColumn("new_title", F.when(again, F.concat(title, F.lit(" ("), "nth", F.lit(")"))).otherwise(F.col(title))).drop("nth")
 
 
 def clean_spine(spine: DataFrame, items: DataFrame) -> DataFrame:
@@ -21,9 +21,15 @@ def clean_spine(spine: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def heading_repairs(headings: DataFrame, doc: str, order: str, level: str) -> DataFrame:
-    """(doc, levels, repaired): a fold, since each repaired level decides about the next."""
-    levels = F.transform(F.array_sort(F.collect_list(F.struct(order, level))), lambda x: x[level].cast("int"))
-    return headings.groupBy(doc).agg(levels.alias("levels")).withColumn("repaired", repaired_levels(F.col("levels")))
+    """(doc, levels, repaired): each repaired level is at most one below the repaired one before it.
+
+    r(i) = least(l(i), r(i - 1) + 1) is i plus the least l(j) - j up to i, so one window gives them all.
+    """
+    nth = F.row_number().over(Window.partitionBy(doc).orderBy(order))
+    least = F.min(F.col(level).cast("int") - F.col("nth")).over(Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = headings.withColumn("nth", nth).withColumn("new", F.col("nth") + least)
+    listed = F.array_sort(F.collect_list(F.struct("nth", F.col(level).cast("int").alias("own"), "new")))
+    return rows.groupBy(doc).agg(listed.alias("x")).select(doc, F.transform("x", lambda r: r["own"]).alias("levels"), F.transform("x", lambda r: r["new"].cast("int")).alias("repaired"))
 
 
 def planned_metadata(documents: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions.text import is_blank
+from lectern.storage import small
 from lectern.operators.scoring import grade
 
 # What an overall grade says; F stands for D too.
@@ -64,7 +65,7 @@ def time_estimates(documents: DataFrame, findings: DataFrame, tasks: DataFrame)
     ``tasks``: task, rule, shows (whether this rule alone brings the task up), least, most, each
     (minutes are per file). Two tasks that all documents need follow.
     """
-    needed = findings.join(F.broadcast(tasks), "rule").groupBy("task", "least", "most", "each").agg(F.count_distinct("doc").alias("files"), F.max("shows").alias("shown")).filter("shown")
+    needed = findings.join(small(tasks), "rule").groupBy("task", "least", "most", "each").agg(F.count_distinct("doc").alias("files"), F.max("shows").alias("shown")).filter("shown")
     minutes = lambda c: (F.when(F.col("each"), F.col("files") * F.col(c)).otherwise(F.col(c))).cast("long").alias(c)
     total = documents.agg(F.count("*").alias("files"))
     rest = total.select(F.explode(F.array(*(F.struct(F.lit(task).alias("task"), F.lit(m).alias("m")) for task, m in ALWAYS.items()))).alias("t"), "files")

@@ -18,12 +18,12 @@ def labelled(nodes: DataFrame) -> DataFrame:
     """
     spark = nodes.sparkSession
     nodes.createOrReplaceTempView("lectern_nodes")
-    walked = spark.sql("""
+    walked = stored(spark.sql("""
         WITH RECURSIVE walk(doc_id, node_id, depth, path, above) MAX RECURSION LEVEL 10000 AS (
           SELECT doc_id, node_id, 1, array(ord), array(node_id) FROM lectern_nodes WHERE parent_id IS NULL
           UNION ALL
           SELECT c.doc_id, c.node_id, w.depth + 1, concat(w.path, array(c.ord)), concat(w.above, array(c.node_id)) FROM walk w JOIN lectern_nodes c ON c.doc_id = w.doc_id AND c.parent_id = w.node_id)
-        SELECT * FROM walk LIMIT ALL""").persist()  # read twice below; a recursion runs a job per level
+        SELECT * FROM walk LIMIT ALL"""), "walk")  # read twice below; a recursion runs a job per level
     numbered = walked.withColumn("preorder", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")))
     size = walked.select("doc_id", F.explode("above").alias("node_id")).groupBy("doc_id", "node_id").agg(F.count("*").alias("size"))
     post = numbered.join(size, ["doc_id", "node_id"]).select("doc_id", "node_id", "depth", "preorder", (F.col("preorder") + F.col("size") - 1).cast("int").alias("post"))
@@ -91,13 +91,6 @@ def unseen_levels(nodes: DataFrame, doc: str, level: str, order: str) -> DataFra
     return rows.withColumn("missing", F.array_min(missing)).filter("missing is not null").drop("seen")
 
 
-def repaired_levels(levels: Column) -> Column:
-    """Heading levels with skips closed: each at most one below the repaired one before it."""
-    start = F.array().cast("array<int>")
-    step = lambda got, x: F.concat(got, F.array(F.when(F.size(got) == 0, x).otherwise(F.least(x, F.element_at(got, -1) + 1))))
-    return F.aggregate(levels, start, lambda got, x: F.when(F.size(got) == 0, F.array(x)).otherwise(step(got, x)))
-
-
 def runs(rows: DataFrame, key: str, order: str, flag: Column, least: int = 1) -> DataFrame:
     """Runs of consecutive rows that have a flag: first and last place and length."""
     w = Window.partitionBy(key).orderBy(order)

@@ -292,6 +292,27 @@ _FIXES = {
 }
 
 
+def _repairs() -> str:
+    """Planned repairs, one SELECT each."""
+    todo, author = "'TODO: Add descriptive document title'", "'TODO: Add author name'"
+    ok = f"doc_id IN (SELECT doc_id FROM {PDF})"
+    rows = [("fix_pdf", "PDFUA.METADATA.TITLE", "'title'", todo, f"{PDF} WHERE {_no('title')}"), ("fix_pdf", "PDFUA.METADATA.DISPLAY_TITLE", "'display title'", "'true'", f"{PDF} WHERE display_doc_title IS NOT TRUE"), ("fix_pdf", "PDFUA.METADATA.LANG", "'language'", "'en-US'", f"{PDF} WHERE {_no('lang')}"), ("fix_pdf", "PDFUA.NAV.TAB_ORDER", "'page ' || page", "'S'", f"pdf_page WHERE tabs IS NULL AND {ok}"), ("fix_pdf", "PDFUA.METADATA.PDFUA_ID", "'identifier'", "'pdfuaid:part=1'", f"{PDF} WHERE xmp IS NULL OR xmp NOT ILIKE '%pdfuaid%'"), ("fix_pdf", "PDFUA.STRUCTURE.MARKED", "'marked'", "'true'", f"{PDF} WHERE tagged IS NOT TRUE"), ("fix_pdf", "PDFUA.FORM.TU", "'field ' || ord", "CASE WHEN name IS NULL THEN 'TODO: Add tooltip' ELSE replace(replace(trim(name), '_', ' '), '.', ' ') END", f"form_field WHERE {_no('tooltip')} AND {ok}")]
+    rows += [("fix_pdf", "PDFUA.TABLE.HEADERS", "'tables'", None, f"(SELECT DISTINCT doc_id FROM struct_node WHERE tag = 'Table' AND {ok} AND doc_id NOT IN (SELECT doc_id FROM struct_node WHERE tag = 'TH'))"), ("fix_pdf", "PDFBP.HEADING.SKIP", "'headings'", None, f"(SELECT DISTINCT doc_id FROM (SELECT doc_id, level - lag(level) OVER (PARTITION BY doc_id ORDER BY preorder) AS d FROM {HEADS}) WHERE d > 1 AND {ok})"), ("fix_pdf", "PDFUA.IMG.ALT", "'element ' || node_id", None, f"struct_node WHERE tag = 'Figure' AND {_no('alt')} AND {ok}")]
+    for kind, tool, pre in (("docx", "fix_word", "DOCX"), ("xlsx", "fix_excel", "XLSX"), ("pptx", "fix_pptx", "PPTX")):
+        for what, new in (("title", todo), ("author", author)):
+            rows.append((tool, f"{pre}-META.{what.upper()}", f"'{what}'", new, f"doc WHERE type = '{kind}' AND access_ok AND {_no(what)}"))
+    rows += [("fix_word", "DOCX-META.LANG", "'language'", "'en-US'", f"doc WHERE type = 'docx' AND access_ok AND {_no('lang')}"), ("fix_word", "DOCX-TABLE.HEADERS", "'table ' || table_no", "'header row'", "doc_table WHERE NOT has_header"), ("fix_word", "DOCX-IMG.ALT", "'drawing ' || ord", None, f"drawing WHERE {_t('descr')} || {_t('title')} = ''"), ("fix_excel", "XLSX-SHEET.NAME", "'sheet ' || ord", None, "sheet WHERE lower(name) IN ('sheet', 'sheet1')"), ("fix_excel", "XLSX-TABLE.PRINT_TITLES", "'sheet ' || ord", "'1:1'", "sheet WHERE max_row >= 2"), ("fix_excel", "XLSX-IMG.ALT", "'drawing ' || ord", None, f"xl_drawing WHERE kind = 'pic' AND {_no('descr')}")]
+    rows += [("fix_pptx", "PPTX-SLIDE.TITLE", "'slide ' || slide_no", "'TODO: Title for Slide ' || slide_no", f"slide WHERE {_no('title')} AND has_title_shape"), ("fix_pptx", "PPTX-SLIDE.TITLE", "'slide ' || slide_no", None, f"slide WHERE {_no('title')} AND has_title_shape IS NOT TRUE"), ("fix_pptx", "PPTX-SLIDE.TITLE_UNIQUE", "'slide ' || slide_no", "t || ' (' || k || ')'", f"(SELECT doc_id, slide_no, {_t('title')} AS t, row_number() OVER (PARTITION BY doc_id, {_t('title')} ORDER BY slide_no) AS k FROM slide) WHERE k >= 2 AND t <> ''"), ("fix_pptx", "PPTX-IMG.ALT", "'slide ' || slide_no || ' shape ' || ord", None, f"shape WHERE shape_type = 13 AND decorative IS NOT TRUE AND {_no('descr')}")]
+    rows += [("fix_epub", "EPUB-E001", "'title'", todo, f"epub_pkg WHERE {_no('title')}"), ("fix_epub", "EPUB-E003", "'language'", "'en'", f"epub_pkg WHERE {_no('language')}"), ("fix_epub", "EPUB-T002", "'creator'", author, f"epub_pkg WHERE {_no('creator')}"), ("fix_epub", "EPUB-E007", "'schema:accessMode'", "'textual'", f"epub_pkg WHERE NOT {OLD} AND NOT has_mode"), ("fix_epub", "EPUB-E007", "'schema:accessibilityFeature'", "'structuralNavigation'", f"epub_pkg WHERE NOT {OLD} AND NOT has_feature"), ("fix_epub", "EPUB-E007", "'schema:accessibilitySummary'", "'TODO: Describe accessibility features and conformance level'", f"epub_pkg WHERE NOT {OLD} AND summary IS NULL"), ("fix_epub", "EPUB-E004", "'navigation'", "'table of contents'", f"epub_pkg WHERE NOT {OLD} AND NOT (nav_present IS TRUE AND has_toc)")]
+    known = "EXISTS (SELECT 1 FROM epub_item i WHERE i.doc_id = s.doc_id AND i.item_id = s.idref)"
+    rows += [("fix_epub", "EPUB-E006", "'spine ' || ord", f"CASE WHEN {known} THEN 'remove duplicate' ELSE 'remove dangling' END", f"epub_spine s WHERE NOT {known} OR EXISTS (SELECT 1 FROM epub_spine e WHERE e.doc_id = s.doc_id AND e.idref = s.idref AND e.ord < s.ord)")]
+    out = [f"SELECT doc_id AS doc, '{tool}' AS tool, '{rule}' AS rule, {target} AS target, '{'needs-human' if new is None else 'fixed'}' AS status, {new or 'NULL'} AS new FROM {of}" for tool, rule, target, new, of in rows]
+    # the repair of levels as the recursion that it is
+    fold = "SELECT doc_id, content_doc, k, level, CASE WHEN k = 1 THEN level END AS r FROM hk WHERE k = 1 UNION ALL SELECT h.doc_id, h.content_doc, h.k, h.level, least(h.level, f.r + 1) FROM hf f JOIN hk h ON h.doc_id = f.doc_id AND h.content_doc = f.content_doc AND h.k = f.k + 1"
+    out.append("SELECT doc_id, 'fix_epub', 'EPUB-W003', content_doc || ' heading ' || k, 'fixed', 'h' || r FROM hf WHERE r < level")
+    return f", hk AS (SELECT doc_id, content_doc, CAST(el[2] AS INT) AS level, row_number() OVER (PARTITION BY doc_id, content_doc ORDER BY ord) AS k FROM html_el WHERE regexp_full_match(el, 'h[1-6]')), hf AS ({fold}) {' UNION ALL '.join(out)}"
+
+
 def _audits() -> dict[str, str]:
     fixes = " UNION ALL ".join(f"SELECT {i} AS place, '{title}' AS title, count(DISTINCT doc) AS files FROM found WHERE rule IN {_list(rules)}" for i, (title, rules) in enumerate(_FIXES.items()))
     catalogue = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in (r[0], r[1], r[2], r[3])) + ")" for r in (x.split("|") for x in dims.RULES.strip().split("\n")))
@@ -299,7 +320,22 @@ def _audits() -> dict[str, str]:
     grades = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END"
     some, md = _findings(("core", "xlsx")), _findings(("markdown",))
     with_doc = lambda q: q if " doc AS (" in q or "WITH doc AS (" in q else q.replace("WITH ", f"WITH {_facts('doc')}, ", 1)
+    lines = r"""WITH ml AS (SELECT CAST(o_custkey AS BIGINT) AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line_no, ['**Terms**', '**a** and **b**', '| a | b | c | d | e |', 'text', '| a | b |', '- 😀 good news', '* plain item', 'one — two', 'left -- right', '---', 'code `a -- b`', '3. ☀ sun', 'x–y --- z', '```', '**Late**'][o_orderkey % 15 + 1] AS s FROM orders),
+      mf AS (SELECT *, s = '```' AS fence, count(*) FILTER (s = '```') OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) % 2 = 1 AS shut FROM ml), mo AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, s, lag(s LIKE '|%', 1, false) OVER (PARTITION BY doc_id ORDER BY line_no) AS was FROM mf WHERE NOT fence AND NOT shut)"""
+    safe = "replace(replace(replace(replace(c, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+    level = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END"
+    counted = f"c AS (SELECT doc, count(*) FILTER ({_BAD}) AS e, count(*) FILTER ({_WARN}) AS w, count(*) FILTER (lower(severity) IN ('info', 'tip')) AS i FROM found GROUP BY doc), s AS (SELECT *, CAST(100 - least(10 * e, 50) - least(3 * w, 21) AS INT) AS score FROM c)"
     return {
+        "md_bold_headings": f"{lines} SELECT doc_id, line_no, trim(s, '*') AS text FROM mo WHERE s IN ('**Terms**', '**Late**')",
+        "md_wide_tables": f"{lines} SELECT doc_id, line_no, CAST(5 AS INT) AS columns FROM mo WHERE s = '| a | b | c | d | e |' AND NOT was",
+        "md_emoji_bullets": f"{lines} SELECT doc_id, line_no, CASE s WHEN '3. ☀ sun' THEN '- sun' ELSE '- good news' END AS new FROM mo WHERE s IN ('- 😀 good news', '3. ☀ sun')",
+        "md_dashes": f"{lines} SELECT doc_id, line_no, CASE s WHEN 'one — two' THEN 'one - two' WHEN 'left -- right' THEN 'left - right' ELSE 'x - y - z' END AS new FROM mo WHERE s IN ('one — two', 'left -- right', 'x–y --- z')",
+        "alt_formats": f"""WITH x AS (SELECT p_partkey, p_name || ' <&">' AS c, CASE WHEN p_partkey % 4 > 0 THEN p_type || ' & more' ELSE '' END AS d, ['pdf', 'epub', 'docx'][p_partkey % 3 + 1] AS k, replace(p_name || ' <&">', '"', '\\"') AS j FROM part), y AS (SELECT *, {safe} AS a, '{{"alt":"' || j || '","actual_text":"' || d || '"}}' AS tag, '{{"descr":"' || j || '"}}' AS descr FROM x)
+          SELECT p_partkey, '<img src="" alt="' || a || '" />' || chr(10) || chr(10) || '<figure>' || chr(10) || '  <img src="" alt="' || a || '" aria-describedby="img-desc" />' || chr(10) || '  <figcaption id="img-desc">' || replace(d, '&', '&amp;') || '</figcaption>' || chr(10) || '</figure>' AS html, '![' || c || ']()' || CASE WHEN d = '' THEN '' ELSE chr(10) || chr(10) || '> ' || d END AS markdown, '{{"concise_alt":"' || j || '","detailed_description":"' || d || '"}}' AS json,
+          'Alt: ' || c || CASE WHEN d = '' THEN '' ELSE chr(10) || 'Description: ' || d END AS plain, tag AS pdf_tag, descr AS docx, CASE k WHEN 'pdf' THEN tag WHEN 'epub' THEN '{{"alt":"' || j || '"}}' ELSE descr END AS native FROM y""",
+        "audit_text_summaries": f"{ALL}, {counted} SELECT doc, 'score ' || score || '/100 (' || {level} || '), ' || e || ' errors, ' || w || ' warnings, ' || i || ' others' AS summary FROM s",
+        "audit_document_reports": f"{some}, {counted}, t AS (SELECT doc, string_agg('| ' || severity || ' | ' || rule || ' | ' || coalesce('' || page, '-') || ' | ' || message || ' |', chr(10) ORDER BY {_RANK}, ord, encode('| ' || severity || ' | ' || rule || ' | ' || coalesce('' || page, '-') || ' | ' || message || ' |')) AS rows FROM found GROUP BY doc) SELECT t.doc, '# Document ' || t.doc || chr(10) || chr(10) || 'Score ' || score || ' (' || {level} || ')' || chr(10) || chr(10) || '| severity | rule | page | message |' || chr(10) || '|---|---|---|---|' || chr(10) || rows AS report FROM t JOIN s ON s.doc = t.doc",
+        "planned_fixes": f"WITH RECURSIVE {_facts('doc', 'pdf_page', 'form_field', 'struct_node', 'doc_table', 'drawing', 'sheet', 'xl_drawing', 'slide', 'shape', 'epub_pkg', 'epub_spine', 'epub_item', 'html_el')}{_repairs()}",
         "audit_severity_counts": f"{ALL} SELECT type, severity, count(*) AS n FROM found GROUP BY ALL",
         "audit_by_severity": f"{ALL} SELECT doc, count(*) FILTER ({_BAD}) AS errors, count(*) FILTER ({_WARN}) AS warnings, count(*) FILTER (lower(severity) NOT IN ('error', 'warning')) AS others FROM found GROUP BY doc",
         "audit_summary": f"{_findings(('core', 'docx', 'xlsx', 'pptx', 'epub'))}, f AS (SELECT CASE WHEN doc % 7 = 0 THEN 'unknown' ELSE type END AS type, doc, severity FROM found), t AS (SELECT DISTINCT type FROM f UNION SELECT unnest(['pdf', 'docx', 'xlsx', 'pptx', 'epub', 'md'])) SELECT t.type, count(DISTINCT f.doc) AS files, count(f.doc) AS findings, count(*) FILTER ({_BAD}) AS errors, count(*) FILTER ({_WARN}) AS warnings FROM t LEFT JOIN f ON f.type = t.type GROUP BY t.type",

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions import alt_text
 from lectern.functions.text import contrast_ratio, pdf_date, split_lines, strip
-from lectern.operators import analytics, audits, images, markdown, repair, reports, scoring, tree
+from lectern.operators import analytics, audits, export, images, markdown, repair, reports, scoring, tree
 from lectern import facts
-from lectern.plans import dims, rules
+from lectern.plans import dims, fixes, rules
 from lectern.sources.files import mapped_clauses, page_elements
-from lectern.storage import new_path, stored
+from lectern.storage import new_path, small, stored
 from lectern.streaming import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,7 +191,7 @@ def best_tier(spark, sf):
 
 @query
 def rules_by_tier(spark, sf):
-    return found(spark, sf).join(F.broadcast(tiers_of(spark)), "rule").groupBy("tier").agg(F.count_distinct("rule").alias("rules"), F.count("*").alias("findings"))
+    return found(spark, sf).join(small(tiers_of(spark)), "rule").groupBy("tier").agg(F.count_distinct("rule").alias("rules"), F.count("*").alias("findings"))
 
 
 @query
@@ -867,5 +867,57 @@ def tree_figure_texts(spark, sf):
     return tree.figure_texts(_nodes(spark, sf))
 
 
+@query
+def planned_fixes(spark, sf):
+    return fixes.planned(spark, facts.tables(spark, sf))
+
+
+def _prose_lines(spark, sf):
+    """Orders as lines of a customer's Markdown text, with bold lines, wide tables, emoji items and dashes."""
+    kinds = ("**Terms**", "**a** and **b**", "| a | b | c | d | e |", "text", "| a | b |", "- 😀 good news", "* plain item", "one \u2014 two", "left -- right", "---", "code `a -- b`", "3. ☀ sun", "x\u2013y --- z", "```", "**Late**")
+    line = F.element_at(F.array(*(F.lit(k) for k in kinds)), (F.col("o_orderkey") % 15 + 1).cast("int"))
+    rows = F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line"))))
+    texts = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("long").alias("doc_id")).agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("text"))
+    return markdown.line_states(texts)
+
+
+@query
+def md_bold_headings(spark, sf):
+    return markdown.bold_headings(_prose_lines(spark, sf))
+
+
+@query
+def md_wide_tables(spark, sf):
+    return markdown.wide_tables(_prose_lines(spark, sf))
+
+
+@query
+def md_emoji_bullets(spark, sf):
+    return markdown.emoji_bullets(_prose_lines(spark, sf))
+
+
+@query
+def md_dashes(spark, sf):
+    return markdown.dashes(_prose_lines(spark, sf))
+
+
+@query
+def alt_formats(spark, sf):
+    kind = F.element_at(F.array(F.lit("pdf"), F.lit("epub"), F.lit("docx")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    got = export.alt_formats(F.concat("p_name", F.lit(' <&">')), F.when(F.col("p_partkey") % 4 > 0, F.concat("p_type", F.lit(" & more"))), kind)
+    return table(spark, sf, "part").select("p_partkey", got.alias("g")).select("p_partkey", "g.*")
+
+
+@query
+def audit_text_summaries(spark, sf):
+    return export.text_summaries(scoring.score_documents(rule_findings(spark, sf)))
+
+
+@query
+def audit_document_reports(spark, sf):
+    got = rule_findings(spark, sf, "core", "xlsx")
+    return export.document_reports(got, scoring.score_documents(got))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

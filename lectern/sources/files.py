@@ -313,6 +313,21 @@ def silver(facts: DataFrame) -> dict[str, DataFrame]:
     return {name: facts.filter(F.col("table") == name).select(F.from_json("row", schema).alias("r")).select("r.*") for name, schema in SCHEMAS.items()}
 
 
+def store_facts(files: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """Facts of discovered files as typed Parquet tables in ``folder``, and readers of them.
+
+    Each file is parsed once, into rows partitioned by table; a table is then made from its own
+    partition, so no table's rows are read for another.
+    """
+    mixed = f"{folder}/mixed"
+    extract(files).write.partitionBy("table").parquet(mixed)
+    spark = files.sparkSession
+    raw = spark.read.schema("row string, table string").parquet(mixed)
+    for name, df in silver(raw).items():
+        df.write.parquet(f"{folder}/{name}")
+    return {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in SCHEMAS.items()}
+
+
 def page_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Elements of raw web pages, as the ``html_el`` table."""
 

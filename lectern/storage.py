@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +28,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a side of a join is handed to every task.
+SMALL = 10_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``SMALL`` rows; else Spark joins it as it finds best."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df

@@ -102,11 +102,14 @@ def test_plans_and_exports(spark, tmp_path):
     found = spark.createDataFrame([(1, 1, "f", "R", "Error", None, "1.1.1", 2, 'say "x"')], "doc long, ord long, file string, rule string, severity string, confidence string, wcag string, page int, message string")
     export.write_csv(found, str(tmp_path / "out"))
     raw = b"".join(p.read_bytes() for p in (tmp_path / "out").glob("*.csv"))
-    assert b'"f","R","Error","","1.1.1","2","say \\"x\\""\r\n' in raw
+    assert b'"f","R","Error","","1.1.1","2","say ""x"""\r\n' in raw
     scored = scoring.score_documents(found)
     assert '"grade":"A"' in export.audit_json(found, scored).first().json
-    form = spark.createDataFrame([('a "b" <c>', "p.png")], "t string, s string").select(export.alt_formats(F.col("t"), F.col("s")).alias("f")).first().f
-    assert form.html == '<img src="p.png" alt="a &quot;b&quot; &lt;c&gt;">' and form.markdown == '![a "b" <c>](p.png)'
+    form = spark.createDataFrame([('a "b" <c>', None)], "t string, d string").select(export.alt_formats(F.col("t"), F.col("d"), F.lit("pdf")).alias("f")).first().f
+    assert form.html.startswith('<img src="" alt="a &quot;b&quot; &lt;c&gt;" />') and form.markdown == '![a "b" <c>]()' and form.plain == 'Alt: a "b" <c>'
+    both = found.withColumn("fix", F.when(F.col("rule") == "X", "fix_pdf"))
+    export.write_audiences(both, str(tmp_path / "two"))
+    assert b'"f","R"' in b"".join(p.read_bytes() for p in (tmp_path / "two-manual").glob("*.csv")) and not b"".join(p.read_bytes() for p in (tmp_path / "two-tool").glob("*.csv")).count(b'"f"')
 
 
 def test_contrast(spark):

@@ -43,10 +43,10 @@ def folder(tmp_path_factory):
     return f"file://{top}"
 
 
-def test_scan_of_a_folder(spark, folder):
+def test_scan_of_a_folder(spark, folder, tmp_path):
     found = files.discover(spark, folder)
     assert sorted(r.file for r in found.select("file").collect()) == ["a.docx", "b.xlsx", "c.pptx", "d.epub", "e.md", "f.pdf", "g.docx"]
-    tables = files.silver(files.extract(found).cache())
+    tables = files.store_facts(found, f"{tmp_path}/facts")
     docs = {r.doc_id: r for r in tables["doc"].collect()}
     assert sorted(d.file for d in docs.values() if not d.access_ok) == ["f.pdf", "g.docx"]
     got = {}
