@@ -120,7 +120,7 @@ ORACLE: dict[str, str] = {
     "paragraph_150_words": r"WITH x AS (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS line FROM (SELECT doc_id, string_split(text, E'\n') AS s FROM documents)) SELECT doc_id, CAST(i AS INT) AS i, CAST(len(regexp_extract_all(line, '[^ ]+')) AS INT) AS words FROM x WHERE len(regexp_extract_all(line, '[^ ]+')) > 150",
     "alt_score": f"""WITH {ALTS} SELECT p_partkey, {_alt("'About ' || p_type || ' PHOTO'")} FROM w""",
     "alt_rank": f"WITH {ALTS}, s AS (SELECT p_brand, p_partkey, {_alt('')} FROM w) SELECT p_brand, p_partkey, score, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS rank FROM s",
-    "alt_recommendation": f"WITH {ALTS}, s AS (SELECT p_brand, p_type, p_partkey, {_alt('')} FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY score DESC, p_partkey) AS rank FROM s), b AS (SELECT p_brand, p_type, CASE WHEN p_partkey % 4 <> 0 THEN score END AS best FROM k WHERE rank = 1), e AS (SELECT p_brand, p_type, max(score) FILTER (p_partkey % 3 = 0) AS existing FROM k GROUP BY 1, 2), j AS (SELECT coalesce(b.p_brand, e.p_brand) AS p_brand, coalesce(b.p_type, e.p_type) AS p_type, best, existing FROM b FULL JOIN e ON b.p_brand = e.p_brand AND b.p_type = e.p_type) SELECT *, CASE WHEN best IS NULL THEN CASE WHEN existing >= 80 THEN 'good' WHEN existing >= 60 THEN 'acceptable' ELSE 'rewrite' END WHEN existing >= best THEN 'keep' WHEN existing >= 70 AND best - existing < 10 THEN 'close' ELSE 'adopt' END AS advice FROM j",
+    "alt_recommendation": f"WITH {ALTS}, s AS (SELECT p_brand, p_type, p_partkey, {_alt('')} FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY score DESC, p_partkey) AS rank FROM s), b AS (SELECT p_brand, p_type, CASE WHEN p_partkey % 4 <> 0 THEN score END AS best FROM k WHERE rank = 1), e AS (SELECT p_brand, p_type, max(score) FILTER (p_partkey % 3 = 0) AS existing FROM k GROUP BY 1, 2), j AS (SELECT coalesce(b.p_brand, e.p_brand) AS p_brand, coalesce(b.p_type, e.p_type) AS p_type, best, existing FROM b FULL JOIN e ON b.p_brand = e.p_brand AND b.p_type = e.p_type) SELECT *, CASE WHEN best IS NULL AND existing IS NULL THEN '' WHEN best IS NULL THEN CASE WHEN existing >= 80 THEN 'good' WHEN existing >= 60 THEN 'acceptable' ELSE 'rewrite' END WHEN existing >= best THEN 'keep' WHEN existing >= 70 AND best - existing < 10 THEN 'close' ELSE 'adopt' END AS advice FROM j",
     "tree_preorder": f"WITH RECURSIVE {TREE}, z AS (SELECT a.doc_id, a.node_id, a.depth, a.preorder, (SELECT count(*) FROM o b WHERE b.doc_id = a.doc_id AND b.path[1:a.depth] = a.path) AS k FROM o a) SELECT doc_id, node_id, depth, CAST(preorder AS INT) AS preorder, CAST(preorder + k - 1 AS INT) AS post FROM z",
     "sect_depth": f"WITH RECURSIVE {TREE}, s(doc_id, node_id, k) AS (SELECT doc_id, node_id, 0 FROM n WHERE parent_id IS NULL UNION ALL SELECT n.doc_id, n.node_id, s.k + CASE WHEN n.tag = 'Sect' THEN 1 ELSE 0 END FROM s JOIN n ON n.doc_id = s.doc_id AND n.parent_id = s.node_id) SELECT doc_id, max(k)::BIGINT AS depth FROM s GROUP BY doc_id",
     "leaf_sequence": f"WITH RECURSIVE {LEAF} SELECT doc_id, node_id, kind, CAST(place AS INT) AS place FROM leaf",
