@@ -319,7 +319,7 @@ def test_license_scan_against_all_windows(spark, monkeypatch):
     common = [f"c{i}" for i in range(12)]
     templates = {f"t{n}": " ".join(rng.choice(common + [f"u{n}v{i}" for i in range(30)]) for _ in range(n)) for n in (8, 20, 45, 90)}
     rows = []
-    for i in range(60):
+    for i in range(24):
         words = templates[rng.choice(list(templates))].split()
         for _ in range(int(len(words) * rng.choice([0, 0.05, 0.15, 0.3]))):
             at = rng.randrange(len(words))
@@ -337,7 +337,7 @@ def test_license_scan_against_all_windows(spark, monkeypatch):
     for limit in (licenses.MAX_TEMPLATE_BYTES, 200):
         monkeypatch.setattr(licenses, "MAX_TEMPLATE_BYTES", limit)
         got = {(r.doc_id, r.template) for r in licenses.scan_licenses(frame(spark, rows), templates=templates).collect()}
-        assert got == want and len(want) > 25
+        assert got == want and len(want) > 8
 
 
 @settings(max_examples=60, deadline=None)
