@@ -75,5 +75,34 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP11 = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) r(b)),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents),
+seen AS (SELECT run, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS bytes, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(bytes) // 2), lambda i: CAST('0x' || bytes[2 * i + 1 : 2 * i + 2] AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS h
+  FROM seen, crc_table),
+typed AS (SELECT CASE WHEN h % 31 = 0 THEN run[1 : h % len(run)] || run[h % len(run) + 2 :] ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM typed WHERE len(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, unnest(range(len(word))) AS i FROM v),
+wild AS (SELECT word, n, i, word[1 : i] AS a, word[i + 2 :] AS z FROM cut),
+short AS (SELECT DISTINCT word, n, word[1 : i] || word[i + 2 :] AS s FROM cut),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM wild x JOIN wild y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION ALL SELECT s.word, v.word, v.n FROM short s JOIN v ON v.word = s.s
+  UNION ALL SELECT v.word, s.word, s.n FROM short s JOIN v ON v.word = s.s),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, encode(other))) AS other, max(m) AS m FROM near GROUP BY word),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN other END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n
+  FROM v LEFT JOIN best ON best.word = v.word),
+chain(word, stop, up) AS (SELECT word, word, form FROM f UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN f ON f.word = c.up)
+SELECT f.word, f.form, chain.stop AS root, f.n, f.n_near, f.form_n FROM f JOIN chain ON chain.word = f.word AND chain.up IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op3_ngram_jaccard": OP3, "op4_warc": OP4, "op9_decontaminate": OP9}
+    return {"op1_mix_sources": OP1, "op3_ngram_jaccard": OP3, "op4_warc": OP4, "op9_decontaminate": OP9, "op11_spelling_variants": OP11}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import chat, decontaminate, jaccard, langid, licenses, mixing, pseudo_likelihood, quality, secrets, warc
+from lectern.llm import chat, decontaminate, jaccard, langid, licenses, mixing, periodic, pseudo_likelihood, quality, secrets, spelling, token_ids, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,5 +64,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = spelling.spelling_variants(_table(spark, sf_dir, "documents"), deletions=31)
+    return got.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    got = token_ids.read(token_ids.write(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json")))
+    return got.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic.periodic_runs(docs).select("doc_id", *periodic.digest_columns())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_ngram_jaccard, op4_warc, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_lm_score, op9_decontaminate, op10_language_id)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_ngram_jaccard, op4_warc, op5_secret_scan, op6_quality_rules, op7_license_scan, op8_lm_score, op9_decontaminate, op10_language_id, op11_spelling_variants, op12_token_ids, op13_periodic_runs)}
