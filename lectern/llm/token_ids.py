@@ -23,7 +23,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,20 +44,23 @@ BLOCK, READ = 1 << 16, 4 << 20
 #: Magic, values and words and exceptions of the three lists, null ids, crc32 of what follows.
 _HEAD = struct.Struct("<4s11Q")
 INDEX = "part int, file string, offset long, length long, first_doc long, first_id long, n_docs long, n_ids long"
-#: Segments that a worker remembers, characters tokenised at once, and the longest segment remembered.
-REMEMBERED, PIECE, LONGEST = 1 << 19, 1 << 20, 64
-#: A blank between these belongs to what follows it, whatever else stands around.
-_CUT = re.compile(r"(?<=[!-~À-ÖØ-öø-ÿ])(?= [A-Za-zÀ-ÖØ-öø-ÿ])")
+#: Segments after which a worker forgets them all, and characters tokenised at once.
+REMEMBERED, PIECE = 1 << 19, 1 << 20
+#: A blank with such a character before it and such a letter behind it begins a part, whatever else stands around; other blanks stay within segments.
+_KEPT = re.compile(r" (?:(?![A-Za-zÀ-ÖØ-öø-ÿ])|(?<![!-~À-ÖØ-öø-ÿ] ))")
+#: A segment of letters and signs behind them; what stands for each byte before the model (printable ones themselves, others from 256 on).
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+_BLANK = chr(_BYTE_SIGNS[32])
+#: Marks: a text's first segment, which no blank begins, and a blank within a segment.
+_OPENING, _HELD = "\x01", "\x02"
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value."""
-    bits, rest = np.zeros(len(values), np.int64), values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >= _U(1) << _U(step)
-        bits[big] += step
-        rest[big] >>= _U(step)
-    return bits + (rest > 0)
+    low = np.frexp((values & _U(0xFFFFFFFF)).astype(np.float64))[1]
+    high = values >> _U(32)
+    return (np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], low) if high.any() else low).astype(np.uint8)
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,13 +69,16 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.zeros(0, _U), np.zeros(0, _U)
-    bits, place = _widths(values), np.arange(n)
-    chosen = np.zeros(n, np.int64)
+    # widest[k][i]: most bits of 2**k values from i on; the list's end is no bar, as further values do not count
+    widest = [np.concatenate((_widths(values), np.zeros(128, np.uint8)))]
+    for k in range(6):
+        last = widest[-1]
+        widest.append(np.maximum(last[: -1 << k], last[1 << k :]))
+    chosen = np.zeros(n, np.uint8)
     for selector in range(15, 0, -1):
-        # how far the next value is that is too wide; the list's end is no bar, as further values do not count
-        bar = np.where(bits > BITS[selector], place, n + 120)
-        bar = np.minimum.accumulate(bar[::-1])[::-1]
-        chosen[bar - place >= COUNT[selector]] = selector
+        k = COUNT[selector].bit_length() - 1
+        more = COUNT[selector] - (1 << k)
+        np.copyto(chosen, np.uint8(selector), where=np.maximum(widest[k][:n], widest[k][more : more + n]) <= BITS[selector])
     step, at, i = np.array(COUNT)[chosen].tolist(), [], 0
     while i < n:
         at.append(i)
@@ -111,7 +117,7 @@ def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> byt
     known = np.array([d for d in doc_ids if d is not None], np.int64)
     # modulo 2**64 a difference of ascending ids is exact and not negative; the first one is folded
     step = np.diff(known.astype(_U))
-    first = [_U(2 * known[0] if known[0] >= 0 else -2 * int(known[0]) - 1)] if len(known) else []
+    first = [_U(2 * k if k >= 0 else -2 * k - 1) for k in known[:1].tolist()]
     lists = [np.concatenate((np.array(first, _U), step)), lengths, ids]
     coded = [encode(x) for x in lists]
     body = b"".join(a.astype("<u8").tobytes() for pair in coded for a in pair)
@@ -136,42 +142,92 @@ def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None] * nulls + known, lengths.astype(np.int64), ids
 
 
+class _Codes(dict):
+    """Segment -> number; a new one gets the next number."""
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = code = len(self)
+        return code
+
+
 class Encoder:
     """Ids of whole texts by a byte-level tokenizer, which remembers those of segments.
 
     Such a tokenizer first splits a text by a pattern in which a blank before a letter begins a new
     part if no white space stands before it, and then looks at each part by itself. So a text cut at such
     blanks has the ids of its segments one after another, and a segment that was seen before need not be
-    tokenised again. A text that holds the string of an added token is tokenised whole, and so is every
-    text if ``segments`` is off (for a tokenizer of another kind).
+    tokenised again. Of new segments, letters and the signs behind them are two parts, which go to the
+    tokenizer's model at once; the others go to the tokenizer in one text, an added token between them,
+    at which it splits a text first of all. A text that holds the string of an added token or a character used
+    as a mark here is tokenised whole, and so is every text if ``segments`` is off (for a tokenizer of
+    another kind) or no added token can serve.
     """
 
     def __init__(self, path: str, segments: bool = True):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.segments = segments
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
-
-    def _direct(self, texts: list[str]) -> list[list[int]]:
+        added = self.tokenizer.get_added_tokens_decoder()
+        plain = {i: t.content for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word)}
+        self.bar, self.between = next(iter(plain.items()), (None, None))
+        self.segments = segments and self.between is not None
+        self.model, self.byte_level = self.tokenizer.model, isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None
+        self.strange = re.compile("|".join([_OPENING, _HELD, *(re.escape(t.content) for t in added.values())]))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes, self.words, self.flat, self.first = _Codes(), {}, np.zeros(0, _U), np.zeros(1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        if not self.segments:
-            return self._direct(texts)
-        cut = [[t] if any(a in t for a in self.added) else _CUT.split(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list(dict.fromkeys(s for segments in cut for s in segments if s not in known))
-        fresh = dict(zip(new, self._direct(new)))
-        known.update(fresh)
-        out = [list(chain.from_iterable(map(known.__getitem__, segments))) for segments in cut]
-        for s in new:
-            if len(s) > LONGEST:
-                del known[s]
-        return out
+    def _part(self, part: str, signs: str) -> list[int]:
+        """Ids of a part given by the signs that stand for its bytes."""
+        self.words[part] = ids = [t.id for t in self.model.tokenize(signs)]
+        return ids
+
+    def _parts(self, word: str, tail: str) -> list[int]:
+        """Ids of letters after a blank, and of the ASCII signs behind them: a part each, which the model takes as it is."""
+        ids = self.words.get(word) or self._part(word, _BLANK + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)))
+        return ids + (self.words.get(tail) or self._part(tail, tail)) if tail else ids
+
+    def _learn(self, fresh: list[str]) -> None:
+        found = [self._parts(*m.groups()) if (m := _SIMPLE.fullmatch(s)) else None for s in fresh] if self.byte_level else [None] * len(fresh)
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for low in range(0, len(rest), 4096):
+            mine = rest[low : low + 4096]
+            text = self.between.join(fresh[i][1:] if fresh[i][0] == _OPENING else f" {fresh[i]}" for i in mine).replace(_HELD, " ")
+            ids = self._whole([text])[0]
+            at = 0
+            for i in mine:
+                to = ids.index(self.bar, at) if i != mine[-1] else len(ids)
+                found[i], at = ids[at:to], to + 1
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(sizes)))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), _U, int(sizes.sum()))))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each text has."""
+        if len(self.codes) > REMEMBERED:
+            self._forget()
+        whole = {i for i, t in enumerate(texts) if not self.segments or self.strange.search(t)}
+        cut = [[] if i in whole else (_OPENING + _KEPT.sub(_HELD, t)).split(" ") for i, t in enumerate(texts)]
+        known = len(self.codes)
+        code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(cut)), np.int64)
+        if len(self.codes) > known:
+            self._learn(list(islice(self.codes, known, None)))
+        n = np.diff(self.first)[code]
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(self.first[code] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = np.concatenate(([0], ends))[np.cumsum([0, *map(len, cut)])]
+        lengths = np.diff(upto)
+        if whole:
+            parts = np.split(ids, upto[1:-1])
+            for i, mine in zip(sorted(whole), self._whole([texts[i] for i in sorted(whole)])):
+                parts[i], lengths[i] = np.array(mine, _U), len(mine)
+            ids = np.concatenate(parts)
+        return ids, lengths
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -221,17 +277,21 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: st
             types = [pa.int32(), pa.string()] + [pa.int64()] * 6
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [x.split()[0] for x in INDEX.split(", ")])
 
-        tail = [] if end_id is None else [end_id]
         try:
             for batch in batches:
                 doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 size, low, held_ids = np.cumsum([len(t) for t in texts]), 0, 0
                 while low < len(texts):
                     high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + PIECE, "right")))
-                    for d, ids in zip(doc_ids[low:high], encoder(texts[low:high])):
+                    ids, lengths = encoder(texts[low:high])
+                    if end_id is not None:
+                        ids = np.insert(ids, np.cumsum(lengths), _U(end_id))
+                        lengths = lengths + 1
+                    ends = np.cumsum(lengths)
+                    for d, a, b in zip(doc_ids[low:high], (ends - lengths).tolist(), ends.tolist()):
                         names.append(d)
-                        held.append(np.array(ids + tail, _U))
-                        held_ids += len(ids) + len(tail)
+                        held.append(ids[a:b])
+                        held_ids += b - a
                         if held_ids >= BLOCK:
                             yield block()
                             held_ids = 0
