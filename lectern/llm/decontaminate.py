@@ -6,8 +6,10 @@ shorter item) are a window. Of 2 b - 1 consecutive words some b begin at a multi
 automaton holds the b-word blocks of each item that begin at such places, b = (window + 1) // 2, and
 each item of fewer words than a window whole: about as much text as the items have, not ``window``
 times as much. It finds all of these in one scan of a document; a block that is found is compared
-word by word to both sides, and counts where a whole window agrees. The words that windows cover are
-mapped back to code-point offsets of the original text.
+word by word to both sides of each distinct context in which items have it, and counts where a whole
+window agrees; a context reaches less than a window, so repeated words of an item share few of them and
+repetitive texts take linear time. The words that windows cover are mapped back to code-point offsets
+of the original text.
 
 The automaton travels to each task, so its size is bounded: long items are cut into pieces that
 overlap by a window, and pieces of more than about ``max_bytes`` in all are dealt to several
@@ -41,26 +43,36 @@ def _words(text: str | None) -> list[str]:
 
 
 class Blocks:
-    """The automaton of (item id, words) pieces: text of a block -> its length and (piece, place of its first word)."""
+    """The automaton of (item id, words) pieces: text of a block -> its length and the contexts in which it stands.
+
+    A context is the words of the same piece before and behind a block, as far as a window that holds the
+    block can reach. Places with equal contexts are one, so a block that an item repeats is compared once
+    a hit, not once a place.
+    """
 
     def __init__(self, items: list[tuple[str, list[str]]], window: int):
         self.window = window
-        names: dict[tuple[str, ...], set[str]] = {}
+        pieces: dict[tuple[str, ...], set[str]] = {}
         for name, words in items:
             if words:
-                names.setdefault(tuple(words), set()).add(name)
-        self.pieces = list(names)
-        self.names = [sorted(names[p]) for p in self.pieces]
-        found: dict[str, tuple[int, list[tuple[int, int]]]] = {}
+                pieces.setdefault(tuple(words), set()).add(name)
+        self.names: list[set[str]] = []
+        found: dict[str, tuple[int, dict[tuple[tuple[str, ...], tuple[str, ...]], int]]] = {}
         size = (window + 1) // 2
-        for i, words in enumerate(self.pieces):
-            whole = len(words) < window
-            step = len(words) if whole else size
+        for words, names in pieces.items():
+            step, reach = (len(words), 0) if len(words) < window else (size, window - size)
             for at in range(0, len(words) - step + 1, step):
-                found.setdefault(f" {' '.join(words[at : at + step])} ", (step, []))[1].append((i, at))
+                context = words[max(0, at - reach) : at], words[at + step : at + step + reach]
+                contexts = found.setdefault(f" {' '.join(words[at : at + step])} ", (step, {}))[1]
+                if context not in contexts:
+                    contexts[context] = len(self.names)
+                    self.names.append(set())
+                self.names[contexts[context]] |= names
         self.machine = ahocorasick.Automaton()
-        for text, value in found.items():
-            self.machine.add_word(text, value)
+        for text, (step, contexts) in found.items():
+            # a short item is its only block, and a hit of it needs no context
+            whole = contexts.pop(((), ()), None) if step < window else None
+            self.machine.add_word(text, (step, whole, [(*c, k) for c, k in contexts.items()]))
         self.machine.make_automaton()
 
     def scan(self, words: list[str]) -> tuple[np.ndarray, set[str]]:
@@ -75,28 +87,30 @@ class Blocks:
         blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
         last = np.searchsorted(blanks, [h[0] for h in hits]).tolist()
         edge = np.zeros(len(words) + 1, np.int64)
-        items: set[str] = set()
-        for stop, (_, (size, places)) in zip(last, hits):
-            for piece, at in places:
-                theirs = self.pieces[piece]
+        met: set[int] = set()
+        n = len(words)
+        for stop, (_, (size, whole, contexts)) in zip(last, hits):
+            if whole is not None:
+                edge[stop - size] += 1
+                edge[stop] -= 1
+                met.add(whole)
+            for before, behind, context in contexts:
                 start, end = stop - size, stop
-                if len(theirs) >= self.window:
-                    # windows that hold this block reach at most so far to each side
-                    reach = self.window - size
-                    a = at
-                    while a > 0 and at - a < reach and start > 0 and theirs[a - 1] == words[start - 1]:
-                        a, start = a - 1, start - 1
-                    b = at + size
-                    while b < len(theirs) and end - stop < reach and end < len(words) and theirs[b] == words[end]:
-                        b, end = b + 1, end + 1
-                    if end - start < self.window:
-                        continue
-                edge[start] += 1
-                edge[end] -= 1
-                items.update(self.names[piece])
+                for word in reversed(before):
+                    if not start or words[start - 1] != word:
+                        break
+                    start -= 1
+                for word in behind:
+                    if end == n or words[end] != word:
+                        break
+                    end += 1
+                if end - start >= self.window:
+                    edge[start] += 1
+                    edge[end] -= 1
+                    met.add(context)
         covered = np.concatenate(([0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]))
         step = np.diff(covered)
-        return np.stack((np.flatnonzero(step > 0), np.flatnonzero(step < 0)), 1), items
+        return np.stack((np.flatnonzero(step > 0), np.flatnonzero(step < 0)), 1), set().union(*(self.names[k] for k in met))
 
 
 def blocks(items: list[tuple[str, list[str]]], window: int) -> Blocks:

@@ -366,7 +366,7 @@ def test_pseudo_likelihood(spark):
     odd = [(1000 + i, t) for i, t in enumerate(ODD_TEXTS)]
     shuffled = [(2000 + i, " ".join(rng.sample(chain(300), 300))) for i in range(20)]
     docs = frame(spark, rows + odd + shuffled + [rows[0]])
-    model = pseudo_likelihood.fit(docs, every=2)
+    model = pseudo_likelihood.fit(docs)
     got = pseudo_likelihood.score(docs, model).collect()
     assert len(got) == len(rows) + len(odd) + 21
     by = {r.doc_id: r for r in got}
@@ -545,3 +545,15 @@ def test_kernel_values_against_plain_kernels():
     got = model.values([np.array(sorted(s)) for s in sets])
     assert np.abs(got - want).max() < 1e-3
     assert [model.languages[i] for i in got.argmax(1)] == [n for n, _ in rows]
+
+
+@pytest.mark.parametrize("period", [1, 2, 13, None])
+def test_repetitive_texts_are_scanned_in_linear_time(period):
+    """A megabyte of words of one period, or of words of their own, against an item of 4096 such words."""
+    word = lambda i: f"w{i % period}" if period else f"w{i}"
+    made = decontaminate.Blocks([("a", [word(i) for i in range(4096)]), ("b", ["other"] * 20)], 13)
+    words = [word(i) for i in range(300_000)]
+    began = time.process_time()
+    runs, items = made.scan(words)
+    assert time.process_time() - began < 30
+    assert runs.tolist() == [[0, 300_000 if period else 4096]] and items == {"a"}
