@@ -30,6 +30,8 @@ OFFSETS = (-2, -1, 1, 2)
 BUCKET_BITS = 12
 #: Classes of the first level that stand for themselves, and groups that hold all others.
 HEAD, GROUPS = 32, 64
+#: Networks that one task adds up.
+FAN_IN = 16
 _BLOCK = 16384
 #: Rows of first-level classes that are worked on at once.
 _ROWS = 512
@@ -268,11 +270,11 @@ def contexts(cls: np.ndarray, first: np.ndarray, pad: int, at: np.ndarray | None
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, frequent: int = 4096, width: int = 16, block_tokens: int = 1_000_000, every: int = 1, rate: float = 1.0, batch: int = 512, most: int = 8192, least: float = 0.3) -> tuple[Vocabulary, Network]:
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, frequent: int = 4096, width: int = 16, block_tokens: int = 1_000_000, rate: float = 1.0, batch: int = 512, most: int = 8192, least: float = 0.3) -> tuple[Vocabulary, Network]:
     """Counts over all documents, and a network trained on every token of all documents.
 
-    Steps take ``batch`` tokens at first and up to ``most`` later. ``every`` above 1 thins the targets
-    (for trials). Without any word the network stays at its start. Rows that are equal in id and text
+    Steps take ``batch`` tokens at first and up to ``most`` later. What tasks send is summed in levels
+    of ``FAN_IN``, so that no task adds up more, however many there are. Without any word the network stays at its start. Rows that are equal in id and text
     are trained on one after the other; null ids and texts are values like others.
     """
     vocab, tokens = vocabulary(docs, text_col, frequent)
@@ -303,14 +305,13 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, freq
                 for _, _, word, first in _encoded(rows.column(1).slice(low, high - low)):
                     if len(word):
                         cls = v.encode(word)
-                        at = np.arange(seen % every, len(cls), every)
-                        context, target = contexts(cls, first, v.classes, at), cls[at]
-                        used += np.bincount(target, minlength=v.classes)
+                        context = contexts(cls, first, v.classes)
+                        used += np.bincount(cls, minlength=v.classes)
                         a = 0
-                        while a < len(at):
-                            n = min(max(batch, seen // 32), most, len(at) - a)
+                        while a < len(cls):
+                            n = min(max(batch, seen // 32), most, len(cls) - a)
                             slow = 1 / (1 + seen / 400_000)
-                            net.train(context[a : a + n], target[a : a + n], rate * slow * max(1, n / 256) ** 0.5, least * slow**0.5)
+                            net.train(context[a : a + n], cls[a : a + n], rate * slow * max(1, n / 256) ** 0.5, least * slow**0.5)
                             a, seen = a + n, seen + n
         if seen:
             add()
@@ -334,7 +335,11 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, freq
     dealt = dealt.repartition(tasks, "block").sortWithinPartitions("block", "key").select("block", "text")
     kind = "flat binary, used binary"
     total, used = np.zeros(size), np.zeros(vocab.classes, np.int64)
-    for r in dealt.mapInArrow(descend, kind).repartition(min(tasks, 8)).mapInArrow(summed, kind).toLocalIterator():
+    sent = dealt.mapInArrow(descend, kind)
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        sent = sent.repartition(tasks).mapInArrow(summed, kind)
+    for r in sent.toLocalIterator():
         total += np.frombuffer(bytes(r.flat), np.float32)
         used += np.frombuffer(bytes(r.used), np.int64)
     by = start.weights(used)
