@@ -23,7 +23,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -143,10 +143,15 @@ def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 class _Codes(dict):
-    """Segment -> number; a new one gets the next number."""
+    """Segment -> number; a new one gets the next number and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
 
     def __missing__(self, segment: str) -> int:
         self[segment] = code = len(self)
+        self.fresh.append(segment)
         return code
 
 
@@ -187,13 +192,19 @@ class Encoder:
         self.words[part] = ids = [t.id for t in self.model.tokenize(signs)]
         return ids
 
-    def _parts(self, word: str, tail: str) -> list[int]:
+    def _parts(self, segment: str) -> list[int] | None:
         """Ids of letters after a blank, and of the ASCII signs behind them: a part each, which the model takes as it is."""
+        word, tail = segment, ""
+        if not (segment.isascii() and segment.isalpha()):
+            found = _SIMPLE.fullmatch(segment)
+            if not found:
+                return None
+            word, tail = found.group(1, 2)
         ids = self.words.get(word) or self._part(word, _BLANK + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)))
         return ids + (self.words.get(tail) or self._part(tail, tail)) if tail else ids
 
     def _learn(self, fresh: list[str]) -> None:
-        found = [self._parts(*m.groups()) if (m := _SIMPLE.fullmatch(s)) else None for s in fresh] if self.byte_level else [None] * len(fresh)
+        found = [self._parts(s) for s in fresh] if self.byte_level else [None] * len(fresh)
         rest = [i for i, ids in enumerate(found) if ids is None]
         for low in range(0, len(rest), 4096):
             mine = rest[low : low + 4096]
@@ -213,10 +224,10 @@ class Encoder:
             self._forget()
         whole = {i for i, t in enumerate(texts) if not self.segments or self.strange.search(t)}
         cut = [[] if i in whole else (_OPENING + _KEPT.sub(_HELD, t)).split(" ") for i, t in enumerate(texts)]
-        known = len(self.codes)
         code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(cut)), np.int64)
-        if len(self.codes) > known:
-            self._learn(list(islice(self.codes, known, None)))
+        if self.codes.fresh:
+            self._learn(self.codes.fresh)
+            self.codes.fresh = []
         n = np.diff(self.first)[code]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.first[code] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
