@@ -45,15 +45,44 @@ BLOCK, READ = 1 << 16, 4 << 20
 _HEAD = struct.Struct("<4s11Q")
 INDEX = "part int, file string, offset long, length long, first_doc long, first_id long, n_docs long, n_ids long"
 #: Segments after which a worker forgets them all, and characters tokenised at once.
-REMEMBERED, PIECE = 1 << 19, 1 << 20
-#: A blank with such a character before it and such a letter behind it begins a part, whatever else stands around; other blanks stay within segments.
-_KEPT = re.compile(r" (?:(?![A-Za-zÀ-ÖØ-öø-ÿ])|(?<![!-~À-ÖØ-öø-ÿ] ))")
-#: A segment of letters and signs behind them; what stands for each byte before the model (printable ones themselves, others from 256 on).
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+REMEMBERED, PIECE = 1 << 20, 1 << 20
+#: Classes of code points up to 255 that the splitting treats alike; all others are 0, beside which nothing is cut.
+LETTER, DIGIT, SIGN, QUOTE, BLANK, LINE = range(1, 7)
+_CLASS = np.zeros(257, np.uint8)
+_CLASS[33:127] = SIGN
+_CLASS[48:58] = DIGIT
+_CLASS[[*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]] = LETTER
+_CLASS[39], _CLASS[32], _CLASS[10] = QUOTE, BLANK, LINE
+#: Where a part ends and another begins, whatever else stands around. A blank goes with what follows it, a quote may go with letters.
+_CUTS = np.zeros((7, 7), bool)
+for _a in (LETTER, DIGIT, SIGN, QUOTE):
+    _CUTS[_a, [LETTER, DIGIT, SIGN, QUOTE, LINE]] = True
+    _CUTS[LINE, _a] = True
+    _CUTS[_a, _a] = False
+_CUTS[QUOTE, [LETTER, SIGN]] = _CUTS[SIGN, QUOTE] = False
+#: What stands for each byte before the model: printable ones themselves, others from 256 on.
 _BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
-_BLANK = chr(_BYTE_SIGNS[32])
-#: Marks: a text's first segment, which no blank begins, and a blank within a segment.
-_OPENING, _HELD = "\x01", "\x02"
+_FIRST = chr(_BYTE_SIGNS[32])
+
+
+def _segments(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """All texts cut where parts begin, one after another, and how many segments each has."""
+    line = "".join(texts)
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    kind = np.concatenate((_CLASS[np.minimum(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32), 256)], np.zeros(1, np.uint8)))
+    cut = np.zeros(len(kind), bool)
+    cut[1:-1] = _CUTS[kind[:-2], kind[1:-1]]
+    known = (kind >= LETTER) & (kind <= QUOTE)
+    cut[1:-1] |= known[:-2] & (kind[1:-1] == BLANK) & known[2:]
+    # a text's first code point begins a segment, and a blank at a text's end is followed by nothing
+    last = ends[(ends > 0) & (ends < len(line))] - 1
+    cut[last] &= kind[last] != BLANK
+    cut[0] = True
+    cut[ends] = True
+    at = np.flatnonzero(cut)
+    upto = np.searchsorted(at, ends)
+    at = at.tolist()
+    return [line[a:b] for a, b in zip(at, at[1:])], np.diff(upto, prepend=0)
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -158,14 +187,13 @@ class _Codes(dict):
 class Encoder:
     """Ids of whole texts by a byte-level tokenizer, which remembers those of segments.
 
-    Such a tokenizer first splits a text by a pattern in which a blank before a letter begins a new
-    part if no white space stands before it, and then looks at each part by itself. So a text cut at such
-    blanks has the ids of its segments one after another, and a segment that was seen before need not be
-    tokenised again. Of new segments, letters and the signs behind them are two parts, which go to the
+    Such a tokenizer first splits a text into parts by a fixed pattern (letters, digits or signs, each with
+    a blank before them, or white space) and then looks at each part by itself. So a text cut where parts
+    begin, as far as code points up to 255 show it, has the ids of its segments one after another, and a
+    segment that was seen before need not be tokenised again. Of new segments, letters go to the
     tokenizer's model at once; the others go to the tokenizer in one text, an added token between them,
-    at which it splits a text first of all. A text that holds the string of an added token or a character used
-    as a mark here is tokenised whole, and so is every text if ``segments`` is off (for a tokenizer of
-    another kind) or no added token can serve.
+    at which it splits a text first of all. A text that holds the string of an added token is tokenised
+    whole, and so is every text if ``segments`` is off or the tokenizer is of another kind.
     """
 
     def __init__(self, path: str, segments: bool = True):
@@ -173,74 +201,78 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         added = self.tokenizer.get_added_tokens_decoder()
         plain = {i: t.content for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word)}
         self.bar, self.between = next(iter(plain.items()), (None, None))
-        self.segments = segments and self.between is not None
-        self.model, self.byte_level = self.tokenizer.model, isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None
-        self.strange = re.compile("|".join([_OPENING, _HELD, *(re.escape(t.content) for t in added.values())]))
+        split = self.tokenizer.pre_tokenizer
+        byte_level = isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space and self.tokenizer.normalizer is None
+        self.segments = segments and byte_level and self.between is not None
+        self.strange = re.compile("|".join(re.escape(t.content) for t in added.values()) or "(?!)")
         self._forget()
 
     def _forget(self) -> None:
-        self.codes, self.words, self.flat, self.first = _Codes(), {}, np.zeros(0, _U), np.zeros(1, np.int64)
+        self.codes, self.flat, self.first = _Codes(), np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _part(self, part: str, signs: str) -> list[int]:
-        """Ids of a part given by the signs that stand for its bytes."""
-        self.words[part] = ids = [t.id for t in self.model.tokenize(signs)]
-        return ids
-
-    def _parts(self, segment: str) -> list[int] | None:
-        """Ids of letters after a blank, and of the ASCII signs behind them: a part each, which the model takes as it is."""
-        word, tail = segment, ""
-        if not (segment.isascii() and segment.isalpha()):
-            found = _SIMPLE.fullmatch(segment)
-            if not found:
-                return None
-            word, tail = found.group(1, 2)
-        ids = self.words.get(word) or self._part(word, _BLANK + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)))
-        return ids + (self.words.get(tail) or self._part(tail, tail)) if tail else ids
-
     def _learn(self, fresh: list[str]) -> None:
-        found = [self._parts(s) for s in fresh] if self.byte_level else [None] * len(fresh)
+        """Ids of new segments, behind those of the known ones."""
+        tokenize, found = self.model.tokenize, []
+        for s in fresh:
+            word = s[1:] if s[0] == " " else s
+            if not word.isalpha():
+                found.append(None)
+            elif s.isascii():
+                found.append([t.id for t in tokenize(s.replace(" ", _FIRST))])
+            else:
+                found.append([t.id for t in tokenize(s.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_SIGNS))])
         rest = [i for i, ids in enumerate(found) if ids is None]
         for low in range(0, len(rest), 4096):
             mine = rest[low : low + 4096]
-            text = self.between.join(fresh[i][1:] if fresh[i][0] == _OPENING else f" {fresh[i]}" for i in mine).replace(_HELD, " ")
-            ids = self._whole([text])[0]
+            ids = self._whole([self.between.join(fresh[i] for i in mine)])[0]
             at = 0
             for i in mine:
                 to = ids.index(self.bar, at) if i != mine[-1] else len(ids)
                 found[i], at = ids[at:to], to + 1
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(sizes)))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), _U, int(sizes.sum()))))
+        known = len(self.codes) - len(fresh)
+        ends = self.first[known] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        self.first = _grown(self.first, len(self.codes) + 1)
+        self.flat = _grown(self.flat, int(ends[-1]))
+        self.flat[self.first[known] : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32)
+        self.first[known + 1 : len(self.codes) + 1] = ends
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
         if len(self.codes) > REMEMBERED:
             self._forget()
-        whole = {i for i, t in enumerate(texts) if not self.segments or self.strange.search(t)}
-        cut = [[] if i in whole else (_OPENING + _KEPT.sub(_HELD, t)).split(" ") for i, t in enumerate(texts)]
-        code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(cut)), np.int64)
+        whole = [i for i, t in enumerate(texts) if not self.segments or self.strange.search(t)]
+        skip = set(whole)
+        segments, count = _segments(["" if i in skip else t for i, t in enumerate(texts)])
+        code = np.fromiter(map(self.codes.__getitem__, segments), np.int64, len(segments))
         if self.codes.fresh:
             self._learn(self.codes.fresh)
             self.codes.fresh = []
-        n = np.diff(self.first)[code]
+        begin = self.first[code]
+        n = self.first[code + 1] - begin
         ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.first[code] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.concatenate(([0], ends))[np.cumsum([0, *map(len, cut)])]
+        ids = self.flat[np.repeat(begin - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].astype(_U)
+        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(count)))]
         lengths = np.diff(upto)
         if whole:
             parts = np.split(ids, upto[1:-1])
-            for i, mine in zip(sorted(whole), self._whole([texts[i] for i in sorted(whole)])):
+            for i, mine in zip(whole, self._whole([texts[i] for i in whole])):
                 parts[i], lengths[i] = np.array(mine, _U), len(mine)
             ids = np.concatenate(parts)
         return ids, lengths
 
 
+def _grown(values: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a copy with room for ``size`` values and as many again."""
+    return values if len(values) >= size else np.concatenate((values, np.zeros(2 * size - len(values), values.dtype)))
+
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
