@@ -57,7 +57,6 @@ _CLASS[39], _CLASS[32], _CLASS[10] = QUOTE, BLANK, LINE
 _CUTS = np.zeros((7, 7), bool)
 for _a in (LETTER, DIGIT, SIGN, QUOTE):
     _CUTS[_a, [LETTER, DIGIT, SIGN, QUOTE, LINE]] = True
-    _CUTS[LINE, _a] = True
     _CUTS[_a, _a] = False
 _CUTS[QUOTE, [LETTER, SIGN]] = _CUTS[SIGN, QUOTE] = False
 #: What stands for each byte before the model: printable ones themselves, others from 256 on.
@@ -73,7 +72,10 @@ def _segments(texts: list[str]) -> tuple[list[str], np.ndarray]:
     cut = np.zeros(len(kind), bool)
     cut[1:-1] = _CUTS[kind[:-2], kind[1:-1]]
     known = (kind >= LETTER) & (kind <= QUOTE)
-    cut[1:-1] |= known[:-2] & (kind[1:-1] == BLANK) & known[2:]
+    # a single blank between others begins a part, a single line end is one; how longer white space parts hangs on what follows it
+    between = known[:-2] & known[2:]
+    cut[1:-1] |= between & (kind[1:-1] == BLANK)
+    cut[2:] |= between & (kind[1:-1] == LINE)
     # a text's first code point begins a segment, and a blank at a text's end is followed by nothing
     last = ends[(ends > 0) & (ends < len(line))] - 1
     cut[last] &= kind[last] != BLANK
