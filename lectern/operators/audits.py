@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions.text import in_order
 from lectern.operators import analytics
+from lectern.operators.scoring import with_clean_documents
 from lectern.plans import dims
 from lectern.storage import small
 
@@ -147,9 +148,9 @@ def csv_findings(findings: DataFrame, files: DataFrame, total: int | Column, sta
 
 
 def csv_scorecard(scored: DataFrame, files: DataFrame, audit_date: str) -> DataFrame:
-    """One row of texts per document. ``files``: doc, path, type, size_bytes, title, lang; documents without findings score 100."""
+    """One row of texts per document. ``files``: doc, path, type, size_bytes, title, lang; access_ok; documents without findings score 100, those that could not be read 0."""
     yes = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "No").otherwise("Yes")
-    rows = files.join(scored, "doc", "left").na.fill(0, ["errors", "warnings", "infos"]).na.fill(100, ["score"]).na.fill("A", ["grade"])
+    rows = with_clean_documents(files, scored)
     rows = rows.withColumns({"file_path": F.col("path"), "file_type": F.upper("type"), "file_size_kb": F.ceil(F.col("size_bytes") / 1024), "error_count": F.col("errors"), "warning_count": F.col("warnings"), "tip_count": F.col("infos"), "total_issues": F.col("errors") + F.col("warnings") + F.col("infos"), "template_name": F.lit(""), "has_title": yes(F.col("title")), "has_language": yes(F.col("lang")), "audit_date": F.lit(audit_date), "compliance_standard": F.lit("WCAG 2.2 AA")})
     return rows.select(*map(_EMPTY, SCORECARD_COLUMNS))
 

@@ -19,10 +19,31 @@ def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None) -> N
     rows.select(text).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("lineSep", "\r\n").csv(path)
 
 
+#: Who a report is for, and the column of ``with_remedies`` that tells them what to do.
+AUDIENCES = {"tool": "remedy_tool", "manual": "remedy_manual"}
+
+
+def with_remedies(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """``findings`` with what to do about each, for those who have the repair tools and for those who work by hand.
+
+    ``rules`` has rule and name. Without a tool for a rule both texts tell to repair by hand.
+    """
+    names = rules.select("rule", F.col("name").alias("rule_name")).dropDuplicates(["rule"])
+    what = F.coalesce("rule_name", "message", "rule")
+    where = F.when(F.col("page").isNotNull(), F.concat(F.lit(" on page "), F.col("page").cast("string"))).otherwise("")
+    by_hand = F.concat(F.lit("Open the source document, correct by hand"), where, F.lit(": "), what, F.lit("; then check it again."))
+    by_tool = F.when(F.col("fix").isNotNull(), F.concat(F.lit("Run "), F.col("fix"), F.lit(" on the file"), F.lit(" for: "), what, F.lit("; then check it again."))).otherwise(by_hand)
+    return findings.join(names, "rule", "left").withColumns({"remedy_tool": by_tool, "remedy_manual": by_hand}).drop("rule_name")
+
+
 def write_audiences(findings: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """The findings twice, as ``path-tool`` for those that a tool can repair and ``path-manual`` for the others."""
-    write_csv(findings.filter("fix is not null"), f"{path}-tool", columns)
-    write_csv(findings.filter("fix is null"), f"{path}-manual", columns)
+    """All findings twice, as ``path-tool`` and ``path-manual``; only what to do about them differs.
+
+    ``findings`` comes from ``with_remedies``; the column ``remediation`` is put after ``columns``.
+    """
+    for audience, remedy in AUDIENCES.items():
+        chosen = [c for c in columns or CSV_COLUMNS if c != "remediation"]
+        write_csv(findings.withColumn("remediation", F.col(remedy)), f"{path}-{audience}", [*chosen, "remediation"])
 
 
 def audit_json(findings: DataFrame, scored: DataFrame) -> DataFrame:

@@ -54,6 +54,28 @@ def score_documents(findings: DataFrame, profile: str = "tools", key: str = "doc
     return counted.withColumn("grade", grade(F.col("score"), profile))
 
 
+def zero_unreadable(scored: DataFrame, documents: DataFrame, key: str = "doc") -> DataFrame:
+    """``scored`` with score 0 and grade F for documents that could not be read (``access_ok`` false), whatever was found."""
+    unread = documents.filter("not access_ok").select(F.col(key).alias("lectern_unread")).distinct()
+    bad = F.col("lectern_unread").isNotNull()
+    both = scored.join(unread, scored[key] == unread["lectern_unread"], "left")
+    return both.withColumns({"score": F.when(bad, 0).otherwise(F.col("score")), "grade": F.when(bad, "F").otherwise(F.col("grade"))}).drop("lectern_unread")
+
+
+def score_families(findings: DataFrame, documents: DataFrame, key: str = "doc") -> DataFrame:
+    """family, key, errors, warnings, infos, score, grade: each family of rules by its own profile, never summed over families.
+
+    Every document has a row per family that reads its type, 100 where nothing was found and 0 where it could not be read.
+    """
+    out = None
+    for family, profile in (("core", "core"), ("tools", "tools")):
+        read = documents.filter("type = 'pdf'") if family == "core" else documents
+        rows = with_clean_documents(read.select(key, "access_ok"), score_documents(findings.filter(F.col("family") == family), profile, key), key, profile)
+        rows = rows.select(F.lit(family).alias("family"), key, "errors", "warnings", "infos", "score", "grade")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def with_clean_documents(documents: DataFrame, scored: DataFrame, key: str = "doc", profile: str = "tools") -> DataFrame:
     """All documents: those without findings score 100, those that could not be read (``access_ok`` false) 0."""
     out = documents.join(scored, key, "left").withColumn("score", F.when(~F.col("access_ok"), 0).otherwise(F.coalesce("score", F.lit(100))))

@@ -9,25 +9,74 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lectern.storage import stored
 
 
+def _before(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``value`` over earlier rows of equal keys.
+
+    Rows are range-sorted by key and order, so that a key with very many rows lies in many ranges; each
+    range is summed by itself, and one row per key and range carries the sums of those before it.
+    """
+    sorted_ = stored(rows.repartitionByRange(*keys, *order).withColumn("lectern_range", F.spark_partition_id()), "ranges")
+    each = sorted_.groupBy(*keys, "lectern_range").agg(F.sum(value).alias("lectern_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("lectern_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = each.withColumn("lectern_base", F.coalesce(F.sum("lectern_sum").over(earlier), F.lit(0))).drop("lectern_sum")
+    inside = Window.partitionBy(*keys, "lectern_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    part = sorted_.withColumn("lectern_part", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    same = [part[k].eqNullSafe(base[k]) for k in (*keys, "lectern_range")]
+    both = part.join(base, [*same], "left").select(*(part[c] for c in sorted_.columns), (F.col("lectern_part") + F.col("lectern_base")).alias("before"))
+    return both.drop("lectern_range")
+
+
+def _rounds(state: DataFrame, step, name: str) -> DataFrame:
+    """Pointer doubling: ``step`` joins each row with the row that ``up`` names, until no row has an ``up`` left.
+
+    ``up`` leaps 1, 2, 4, ... levels, so rounds grow with the logarithm of the depth. Each round is stored.
+    Rows that still have one when the leap is longer than there are rows hang on a circle.
+    """
+    state, leap, most = stored(state, name), 1, None
+    while state.filter("up is not null").limit(1).count():
+        most = most or state.count()
+        if leap > most:
+            break
+        state = stored(step(state), name)
+        leap *= 2
+    return state
+
+
 def labelled(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (doc_id, node_id, parent_id, ord, tag, ...) with depth, path, preorder and post.
+    """``nodes`` (doc_id, node_id, parent_id, ord, tag, ...) with depth, preorder and post.
 
-    Depth comes from a recursive query; the path of (ord, node) pairs sorts nodes into preorder, and
     ``post`` is the last preorder number of the subtree, so that closure becomes an interval test.
-    ``LIMIT ALL`` lifts Spark's bound on the rows of a recursion.
+    Rows are of fixed width and rounds are logarithmic in the depth: a first doubling over ancestors
+    sums up subtree sizes and depths, a running sum over siblings (by ord, then node_id) gives each
+    node's distance from its parent, and a second doubling adds these up along the way from the root.
+    Roots have a null parent; nodes whose ancestors are missing or run in a circle are left out.
     """
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("lectern_nodes")
-    walked = stored(spark.sql("""
-        WITH RECURSIVE walk(doc_id, node_id, depth, path, above) MAX RECURSION LEVEL 10000 AS (
-          SELECT doc_id, node_id, 1, array(ord), array(node_id) FROM lectern_nodes WHERE parent_id IS NULL
-          UNION ALL
-          SELECT c.doc_id, c.node_id, w.depth + 1, concat(w.path, array(c.ord)), concat(w.above, array(c.node_id)) FROM walk w JOIN lectern_nodes c ON c.doc_id = w.doc_id AND c.parent_id = w.node_id)
-        SELECT * FROM walk LIMIT ALL"""), "walk")  # read twice below; a recursion runs a job per level
-    numbered = walked.withColumn("preorder", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")))
-    size = walked.select("doc_id", F.explode("above").alias("node_id")).groupBy("doc_id", "node_id").agg(F.count("*").alias("size"))
-    post = numbered.join(size, ["doc_id", "node_id"]).select("doc_id", "node_id", "depth", "preorder", (F.col("preorder") + F.col("size") - 1).cast("int").alias("post"))
-    return nodes.drop("depth", "preorder", "post").join(post, ["doc_id", "node_id"])
+    slim = nodes.select("doc_id", "node_id", "parent_id", "ord")
+    start = slim.select("doc_id", "node_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("depth"), F.lit(1).cast("long").alias("size"), F.col("node_id").alias("top"))
+
+    def sizes(state: DataFrame) -> DataFrame:
+        # what has its ancestor one leap up here adds its own part of the subtree there
+        below = state.filter("up is not null").groupBy("doc_id", F.col("up").alias("node_id")).agg(F.sum("size").alias("more"))
+        above = state.select("doc_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("higher"), F.col("top").alias("over"))
+        got = state.join(below, ["doc_id", "node_id"], "left").join(above, ["doc_id", "up"], "left")
+        return got.select(
+            "doc_id", "node_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("higher", F.lit(0))).alias("depth"),
+            (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.coalesce("over", F.when(F.col("up").isNull(), F.col("top"))).alias("top"),
+        )
+
+    sized = _rounds(start, sizes, "sizes").filter("up is null").drop("up")
+    root = slim.filter("parent_id is null").select("doc_id", F.col("node_id").alias("top"))
+    sized = stored(slim.join(sized.join(root, ["doc_id", "top"], "left_semi"), ["doc_id", "node_id"]), "sized")
+    steps = _before(sized, ["doc_id", "parent_id"], ["ord", "node_id"], "size")
+
+    def places(state: DataFrame) -> DataFrame:
+        above = state.select("doc_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("preorder").alias("higher"))
+        return state.join(above, ["doc_id", "up"], "left").select("doc_id", "node_id", F.col("next").alias("up"), (F.col("preorder") + F.coalesce("higher", F.lit(0))).alias("preorder"), "depth", "size")
+
+    begin = steps.select("doc_id", "node_id", F.col("parent_id").alias("up"), (F.col("before") + 1).alias("preorder"), "depth", "size")
+    placed = _rounds(begin, places, "places")
+    labels = placed.select("doc_id", "node_id", F.col("depth").cast("int").alias("depth"), F.col("preorder").cast("int").alias("preorder"), (F.col("preorder") + F.col("size") - 1).cast("int").alias("post"))
+    return nodes.drop("depth", "preorder", "post").join(labels, ["doc_id", "node_id"])
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
@@ -139,23 +188,18 @@ def find(nodes: DataFrame, tag: str | None = None, page: int | None = None) -> D
 
 
 def inherited_pages(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (with depth) and ``on_page``: the own page, or that of the nearest ancestor that has one.
+    """``nodes`` and ``on_page``: the own page, or that of the nearest ancestor that has one.
 
-    One join per level of depth, each level stored, so cost follows the nodes and no path is built.
+    Found by pointer doubling over rows of fixed width, in rounds logarithmic in the depth.
     """
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    out = None
-    level = None
-    for depth in range(1, (deepest or 0) + 1):
-        mine = nodes.filter(F.col("depth") == depth)
-        if level is None:
-            got = mine.withColumn("on_page", F.col("page"))
-        else:
-            above = level.select("doc_id", F.col("node_id").alias("parent_id"), F.col("on_page").alias("theirs"))
-            got = mine.join(above, ["doc_id", "parent_id"], "left").withColumn("on_page", F.coalesce("page", "theirs")).select(*nodes.columns, "on_page")
-        level = stored(got, "level")
-        out = level if out is None else out.unionByName(level)
-    return nodes.withColumn("on_page", F.col("page")) if out is None else out
+    start = nodes.select("doc_id", "node_id", F.when(F.col("page").isNull(), F.col("parent_id")).alias("up"), F.col("page").alias("on_page"))
+
+    def further(state: DataFrame) -> DataFrame:
+        above = state.select("doc_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("on_page").alias("theirs"))
+        return state.join(above, ["doc_id", "up"], "left").select("doc_id", "node_id", F.col("next").alias("up"), F.coalesce("on_page", "theirs").alias("on_page"))
+
+    found = _rounds(start, further, "pages").select("doc_id", "node_id", "on_page")
+    return nodes.drop("on_page").join(found, ["doc_id", "node_id"])
 
 
 def content_order(nodes: DataFrame) -> DataFrame:
@@ -180,7 +224,7 @@ PARENTS = {"LI": ("L",), "LBody": ("LI",), "TOCI": ("TOC",), "THead": ("Table",)
 
 
 def misplaced(nodes: DataFrame) -> DataFrame:
-    """Elements that their parent may not hold, or that may not stand in it: doc_id, node_id, tag, parent_tag. An addition of ours."""
+    """Elements that their parent may not hold, or that may not stand in it: doc_id, node_id, tag, parent_tag."""
     above = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("tag").alias("parent_tag"))
     both = nodes.join(above, ["doc_id", "parent_id"])
     wrong = F.lit(False)

@@ -263,11 +263,21 @@ _BAD, _WARN = "lower(severity) = 'error'", "lower(severity) = 'warning'"
 
 def oracle_sql() -> dict[str, str]:
     out = {f"findings_{s}": f"{_findings((s,))} SELECT * FROM found" for s in SCANNERS}
-    out["findings_scores"] = f"""{ALL}, c AS (SELECT doc, count(*) FILTER ({_BAD}) AS errors, count(*) FILTER ({_WARN}) AS warnings, count(*) FILTER (lower(severity) IN ('info', 'tip')) AS infos FROM found GROUP BY doc),
-      s AS (SELECT *, CAST(100 - least(10 * errors, 50) - least(3 * warnings, 21) AS INT) AS score FROM c) SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM s"""
+    out["findings_scores"] = f"""{ALL}, c AS (SELECT family, doc, count(*) FILTER ({_BAD}) AS errors, count(*) FILTER ({_WARN}) AS warnings, count(*) FILTER (lower(severity) IN ('info', 'tip')) AS infos FROM found GROUP BY family, doc),
+      d AS (SELECT 'core' AS family, doc_id AS doc, access_ok FROM doc WHERE type = 'pdf' UNION ALL SELECT 'tools', doc_id, access_ok FROM doc),
+      n AS (SELECT d.family, d.doc, access_ok, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(infos, 0) AS infos FROM d LEFT JOIN c ON c.family = d.family AND c.doc = d.doc),
+      s AS (SELECT * EXCLUDE (access_ok), CAST(CASE WHEN NOT access_ok THEN 0 WHEN family = 'core' THEN greatest(0, floor(100 - (5 * errors + 2 * warnings + 0.5 * infos))) ELSE 100 - least(10 * errors, 50) - least(3 * warnings, 21) END AS INT) AS score FROM n)
+      SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= CASE family WHEN 'core' THEN 50 ELSE 60 END THEN 'D' ELSE 'F' END AS grade FROM s"""
     out["findings_deduplicated"] = f"{ALL} SELECT doc, rule, message, min(ord) AS ord FROM found GROUP BY ALL"
     out["findings_summary"] = f"""{ALL} SELECT rule, CAST(min(CASE lower(severity) WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS INT) AS level, count(DISTINCT doc) AS files, count(*) AS findings FROM found GROUP BY rule"""
     out["findings_by_page"] = f"{ALL} SELECT doc, page, count(*) FILTER ({_BAD}) AS errors, count(*) FILTER ({_WARN}) AS warnings, count(*) AS n FROM found WHERE page IS NOT NULL GROUP BY doc, page"
+    files = """WITH f AS (SELECT doc_id AS k, 'in/' || coalesce(source, 'none') || '/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.txt' END AS path, 'in/' || coalesce(source, 'none') AS folder, CASE WHEN doc_id % 3 = 0 THEN 'md' ELSE 'txt' END AS type, text FROM documents)"""
+    out["inventory_delta"] = f"""{files}, x AS (SELECT folder, type, k, k % 17 <> 3 AS was, k % 19 <> 5 AS lives, k % 7 = 0 AS other FROM f)
+      SELECT folder, type, count(*) FILTER (NOT was AND lives) AS new, count(*) FILTER (was AND lives AND other) AS changed, count(*) FILTER (was AND lives AND NOT other) AS unchanged, count(*) FILTER (was AND NOT lives) AS deleted, count(*) FILTER (was AND lives AND k % 7 = 1) AS touched
+      FROM x WHERE was OR lives GROUP BY folder, type"""
+    out["incremental_findings"] = f"""{files}, n AS (SELECT path, CASE WHEN k % 7 = 0 THEN coalesce(text, '') || chr(10) || 'Same line' || chr(10) || 'Same line' ELSE text END AS text FROM f WHERE k % 19 <> 5),
+      l AS (SELECT path, unnest(string_split(text, chr(10))) AS element FROM n)
+      SELECT path, 'LINE.REPEATED' AS rule, element, count(*) AS n FROM l WHERE element <> '' GROUP BY path, element HAVING count(*) > 1 UNION ALL SELECT path, 'TEXT.MISSING', NULL, 1 FROM n WHERE coalesce(text, '') = ''"""
     out |= _audits()
     return out
 
@@ -325,6 +335,7 @@ def _audits() -> dict[str, str]:
     safe = "replace(replace(replace(replace(c, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
     level = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END"
     counted = f"c AS (SELECT doc, count(*) FILTER ({_BAD}) AS e, count(*) FILTER ({_WARN}) AS w, count(*) FILTER (lower(severity) IN ('info', 'tip')) AS i FROM found GROUP BY doc), s AS (SELECT *, CAST(100 - least(10 * e, 50) - least(3 * w, 21) AS INT) AS score FROM c)"
+    tools_counted = counted.replace("FROM found", "FROM found WHERE family = 'tools'").replace("CAST(100", "CAST(CASE WHEN doc IN (SELECT doc_id FROM doc WHERE NOT access_ok) THEN 0 ELSE 100").replace("21) AS INT", "21) END AS INT")
     return {
         "md_bold_headings": f"{lines} SELECT doc_id, line_no, trim(s, '*') AS text FROM mo WHERE s IN ('**Terms**', '**Late**')",
         "md_wide_tables": f"{lines} SELECT doc_id, line_no, CAST(5 AS INT) AS columns FROM mo WHERE s = '| a | b | c | d | e |' AND NOT was",
@@ -333,7 +344,7 @@ def _audits() -> dict[str, str]:
         "alt_formats": f"""WITH x AS (SELECT p_partkey, p_name || ' <&">' AS c, CASE WHEN p_partkey % 4 > 0 THEN p_type || ' & more' ELSE '' END AS d, ['pdf', 'epub', 'docx'][p_partkey % 3 + 1] AS k, replace(p_name || ' <&">', '"', '\\"') AS j FROM part), y AS (SELECT *, {safe} AS a, '{{"alt":"' || j || '","actual_text":"' || d || '"}}' AS tag, '{{"descr":"' || j || '"}}' AS descr FROM x)
           SELECT p_partkey, '<img src="" alt="' || a || '" />' || chr(10) || chr(10) || '<figure>' || chr(10) || '  <img src="" alt="' || a || '" aria-describedby="img-desc" />' || chr(10) || '  <figcaption id="img-desc">' || replace(d, '&', '&amp;') || '</figcaption>' || chr(10) || '</figure>' AS html, '![' || c || ']()' || CASE WHEN d = '' THEN '' ELSE chr(10) || chr(10) || '> ' || d END AS markdown, '{{"concise_alt":"' || j || '","detailed_description":"' || d || '"}}' AS json,
           'Alt: ' || c || CASE WHEN d = '' THEN '' ELSE chr(10) || 'Description: ' || d END AS plain, tag AS pdf_tag, descr AS docx, CASE k WHEN 'pdf' THEN tag WHEN 'epub' THEN '{{"alt":"' || j || '"}}' ELSE descr END AS native FROM y""",
-        "audit_text_summaries": f"{ALL}, {counted} SELECT doc, 'score ' || score || '/100 (' || {level} || '), ' || e || ' errors, ' || w || ' warnings, ' || i || ' others' AS summary FROM s",
+        "audit_text_summaries": f"{with_doc(ALL)}, {tools_counted} SELECT doc, 'score ' || score || '/100 (' || {level} || '), ' || e || ' errors, ' || w || ' warnings, ' || i || ' others' AS summary FROM s",
         "audit_document_reports": f"{some}, {counted}, t AS (SELECT doc, string_agg('| ' || severity || ' | ' || rule || ' | ' || coalesce('' || page, '-') || ' | ' || message || ' |', chr(10) ORDER BY {_RANK}, ord, encode('| ' || severity || ' | ' || rule || ' | ' || coalesce('' || page, '-') || ' | ' || message || ' |')) AS rows FROM found GROUP BY doc) SELECT t.doc, '# Document ' || t.doc || chr(10) || chr(10) || 'Score ' || score || ' (' || {level} || ')' || chr(10) || chr(10) || '| severity | rule | page | message |' || chr(10) || '|---|---|---|---|' || chr(10) || rows AS report FROM t JOIN s ON s.doc = t.doc",
         "planned_fixes": f"WITH RECURSIVE {_facts('doc', 'pdf_page', 'form_field', 'struct_node', 'doc_table', 'drawing', 'sheet', 'xl_drawing', 'slide', 'shape', 'epub_pkg', 'epub_spine', 'epub_item', 'html_el')}{_repairs()}",
         "audit_severity_counts": f"{ALL} SELECT type, severity, count(*) AS n FROM found GROUP BY ALL",
@@ -348,7 +359,7 @@ def _audits() -> dict[str, str]:
         "audit_csv_findings": f"""{with_doc(some)}, {_SPREAD}, r AS (SELECT found.*, row_number() OVER (PARTITION BY doc ORDER BY ord, message) AS k FROM found)
           SELECT 'DOC-' || r.doc || '-' || lpad('' || k, greatest(3, 3), '0') AS finding_id, path AS file_path, upper(r.type) AS file_type, severity, confidence, CASE WHEN {_BAD} THEN '-10' WHEN {_WARN} THEN '-3' ELSE '0' END AS score_impact, r.rule AS rule_id, coalesce(wcag, '') AS wcag_criteria, {_LEVEL} AS wcag_level, message AS issue_summary,
           concat_ws(', ', 'Page ' || page, 'Line ' || line, element) AS location, pattern_type, 'New' AS remediation_status, coalesce(fix, 'manual') AS fix_suggestion, {_URL} AS help_url, {_URL} AS wcag_url FROM r JOIN s ON s.rule = r.rule LEFT JOIN {_FILES} f ON f.doc = r.doc""",
-        "audit_csv_scorecard": f"""{with_doc(ALL)}, c AS (SELECT doc, count(*) FILTER ({_BAD}) AS e, count(*) FILTER ({_WARN}) AS w, count(*) FILTER (lower(severity) IN ('info', 'tip')) AS i FROM found GROUP BY doc), s AS (SELECT f.*, coalesce(e, 0) AS e, coalesce(w, 0) AS w, coalesce(i, 0) AS i, 100 - least(10 * coalesce(e, 0), 50) - least(3 * coalesce(w, 0), 21) AS score FROM {_FILES} f LEFT JOIN c ON c.doc = f.doc)
+        "audit_csv_scorecard": f"""{with_doc(ALL)}, c AS (SELECT doc, count(*) FILTER ({_BAD}) AS e, count(*) FILTER ({_WARN}) AS w, count(*) FILTER (lower(severity) IN ('info', 'tip')) AS i FROM found WHERE family = 'tools' GROUP BY doc), s AS (SELECT f.*, coalesce(e, 0) AS e, coalesce(w, 0) AS w, coalesce(i, 0) AS i, CASE WHEN f.doc IN (SELECT doc_id FROM doc WHERE NOT access_ok) THEN 0 ELSE 100 - least(10 * coalesce(e, 0), 50) - least(3 * coalesce(w, 0), 21) END AS score FROM {_FILES} f LEFT JOIN c ON c.doc = f.doc)
           SELECT path AS file_path, upper(type) AS file_type, '' || CAST(ceil(size_bytes / 1024) AS BIGINT) AS file_size_kb, '' || CAST(score AS BIGINT) AS score, {grades} AS grade, '' || e AS error_count, '' || w AS warning_count, '' || i AS tip_count, '' || (e + w + i) AS total_issues, '' AS template_name, CASE WHEN trim(coalesce(title, '')) = '' THEN 'No' ELSE 'Yes' END AS has_title, CASE WHEN trim(coalesce(lang, '')) = '' THEN 'No' ELSE 'Yes' END AS has_language, '2026-01-01T00:00:00Z' AS audit_date, 'WCAG 2.2 AA' AS compliance_standard FROM s""",
         "audit_csv_remediation": f"""{ALL}, {_SPREAD}, t(rule, tier) AS (VALUES {tiers}), g AS (SELECT rule, severity, array_to_string(list_sort(list(DISTINCT upper(type))), ', ') AS types, count(DISTINCT doc) AS files, count(*) AS n, min(wcag) AS wcag, min(fix) AS fix FROM found GROUP BY rule, severity)
           SELECT CASE WHEN {_BAD} AND pattern_type <> 'File-specific' THEN 'Immediate' WHEN {_BAD} OR {_WARN} AND pattern_type = 'Systemic' THEN 'Soon' ELSE 'When Possible' END AS priority, g.rule AS rule_id, g.rule AS issue_summary, types AS file_type, '' || files AS affected_files, '' || n AS total_instances, pattern_type, coalesce(wcag, '') AS wcag_criteria, severity,
@@ -371,7 +382,7 @@ def _audits() -> dict[str, str]:
         "tree_top_level": f"WITH {_facts('struct_node')} SELECT doc_id, tag, count(*) AS n FROM struct_node WHERE depth = 1 GROUP BY ALL",
         "tree_find": f"WITH {_facts('struct_node')} SELECT doc_id, node_id FROM struct_node WHERE tag = 'Figure' AND page = 2",
         "tree_content_order": f"WITH {_facts('struct_node')}, a AS (SELECT doc_id, preorder, post, page FROM struct_node WHERE depth = 2 AND preorder % 5 > 0), c AS (SELECT n.doc_id, a.page, n.preorder FROM struct_node n JOIN a ON a.doc_id = n.doc_id AND n.preorder BETWEEN a.preorder AND a.post WHERE n.contents > 0) SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY preorder) - 1 AS INT) AS pos, preorder AS mcid FROM c",
-        "tree_misplaced": f"WITH {_facts('struct_node')}, b AS (SELECT n.doc_id, n.node_id, n.tag, p.tag AS parent_tag FROM struct_node n JOIN struct_node p ON p.doc_id = n.doc_id AND p.node_id = n.parent_id) SELECT * FROM b WHERE parent_tag = 'L' AND tag NOT IN ('LI', 'Caption') OR parent_tag = 'Table' AND tag NOT IN ('THead', 'TBody', 'TFoot', 'TR', 'Caption') OR parent_tag = 'TR' AND tag NOT IN ('TH', 'TD') OR tag = 'LI' AND parent_tag <> 'L' OR tag = 'LBody' AND parent_tag <> 'LI'",
+        "tree_misplaced": f"WITH {_facts('struct_node')}, b AS (SELECT n.doc_id, n.node_id, n.tag, p.tag AS parent_tag FROM struct_node n JOIN struct_node p ON p.doc_id = n.doc_id AND p.node_id = n.parent_id) SELECT * FROM b WHERE parent_tag = 'L' AND tag NOT IN ('LI', 'Caption') OR parent_tag = 'Table' AND tag NOT IN ('THead', 'TBody', 'TFoot', 'TR', 'Caption') OR parent_tag = 'TR' AND tag NOT IN ('TH', 'TD') OR parent_tag = 'TOC' AND tag NOT IN ('TOCI', 'TOC', 'Caption') OR parent_tag IN ('THead', 'TBody', 'TFoot') AND tag <> 'TR' OR tag = 'LI' AND parent_tag <> 'L' OR tag = 'LBody' AND parent_tag <> 'LI' OR tag = 'TOCI' AND parent_tag <> 'TOC' OR tag IN ('THead', 'TBody', 'TFoot') AND parent_tag <> 'Table'",
         "tree_form_placement": f"WITH {_facts('struct_node', 'form_field')}, n AS (SELECT doc_id, bool_or(tag = 'Form' AND depth = 1) AS top, bool_or(tag = 'Form' AND depth > 1) AS low FROM struct_node GROUP BY doc_id) SELECT f.doc_id, count(*) AS fields, CASE WHEN any_value(n.doc_id) IS NULL THEN 'no_struct_tree' WHEN any_value(top) THEN CASE WHEN any_value(low) THEN 'mixed' ELSE 'orphaned' END WHEN any_value(low) THEN 'good' ELSE 'acroform_only' END AS placement FROM form_field f LEFT JOIN n ON n.doc_id = f.doc_id GROUP BY f.doc_id",
         "tree_figure_texts": f"WITH {_facts('struct_node')} SELECT doc_id, count(*) AS figures, count(*) FILTER ({_no('alt')}) AS without, coalesce(array_to_string(list_sort(list(DISTINCT page) FILTER ({_no('alt')})), ', '), '') AS pages FROM struct_node WHERE tag = 'Figure' GROUP BY doc_id",
     }

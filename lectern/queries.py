@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions import alt_text
 from lectern.functions.text import contrast_ratio, pdf_date, split_lines, strip
-from lectern.operators import analytics, audits, export, images, markdown, repair, reports, scoring, tree
+from lectern.operators import analytics, audits, export, images, incremental, markdown, repair, reports, scoring, tree
 from lectern import facts
 from lectern.plans import dims, fixes, rules
 from lectern.sources.files import mapped_clauses, page_elements
@@ -676,7 +676,7 @@ for _scanner in rules.REGISTRY:
 
 @query
 def findings_scores(spark, sf):
-    return scoring.score_documents(rule_findings(spark, sf))
+    return scoring.score_families(rule_findings(spark, sf), _documents(spark, sf))
 
 
 @query
@@ -694,6 +694,37 @@ def findings_by_page(spark, sf):
     return analytics.by_page(rule_findings(spark, sf))
 
 
+def _snapshots(spark, sf):
+    """The documents as files at two times: some came, some went, some have another text, some only another time."""
+    key = F.col("doc_id")
+    path = F.concat(F.lit("in/"), F.coalesce("source", F.lit("none")), F.lit("/"), key.cast("string"), F.when(key % 3 == 0, ".md").otherwise(".txt"))
+    files = table(spark, sf, "documents").select(key, path.alias("path"), F.when(key % 3 == 0, "md").otherwise("txt").alias("type"), F.length("text").cast("long").alias("size_bytes"), F.col("text").alias("content"))
+    day = lambda n: F.timestamp_seconds(F.lit(86400) * n)
+    before = files.filter(key % 17 != 3).withColumn("modified", day(key % 90)).drop("doc_id")
+    after = files.filter(key % 19 != 5).withColumn("content", F.when(key % 7 == 0, F.concat(F.coalesce("content", F.lit("")), F.lit("\nSame line\nSame line"))).otherwise(F.col("content")))
+    return before, after.withColumn("modified", day(F.when(key % 7 < 2, 100).otherwise(key % 90))).drop("doc_id")
+
+
+def _repeated_lines(files):
+    """Findings of lines that a file has more than once, and of files without any text."""
+    lines = files.select("path", F.explode(F.split("content", "\n")).alias("element")).filter("element <> ''").groupBy("path", "element").agg(F.count("*").alias("n"))
+    empty = files.filter("content is null or content = ''").select("path", F.lit("TEXT.MISSING").alias("rule"), F.lit(None).cast("string").alias("element"), F.lit(1).cast("long").alias("n"))
+    return lines.filter("n > 1").select("path", F.lit("LINE.REPEATED").alias("rule"), "element", "n").unionByName(empty)
+
+
+@query
+def inventory_delta(spark, sf):
+    before, after = map(incremental.manifest, _snapshots(spark, sf))
+    folder = F.regexp_extract("path", "^(.*)/", 1).alias("folder")
+    return incremental.delta_inventory(incremental.delta(before, after).withColumn("folder", folder), "folder", "type")
+
+
+@query
+def incremental_findings(spark, sf):
+    before, after = _snapshots(spark, sf)
+    return incremental.scan_changes(after, incremental.manifest(before), stored(_repeated_lines(before), "kept"), _repeated_lines)[1]
+
+
 def _documents(spark, sf):
     """The documents of the fact tables as audited files."""
     doc = facts.tables(spark, sf, {"doc"})["doc"]
@@ -766,7 +797,7 @@ def audit_csv_findings(spark, sf):
 
 @query
 def audit_csv_scorecard(spark, sf):
-    return audits.csv_scorecard(scoring.score_documents(rule_findings(spark, sf)), _documents(spark, sf), "2026-01-01T00:00:00Z")
+    return audits.csv_scorecard(scoring.score_documents(rule_findings(spark, sf).filter("family = 'tools'")), _documents(spark, sf), "2026-01-01T00:00:00Z")
 
 
 @query
@@ -910,7 +941,8 @@ def alt_formats(spark, sf):
 
 @query
 def audit_text_summaries(spark, sf):
-    return export.text_summaries(scoring.score_documents(rule_findings(spark, sf)))
+    scored = scoring.score_documents(rule_findings(spark, sf).filter("family = 'tools'"))
+    return export.text_summaries(scoring.zero_unreadable(scored, _documents(spark, sf)))
 
 
 @query

@@ -107,9 +107,14 @@ def test_plans_and_exports(spark, tmp_path):
     assert '"grade":"A"' in export.audit_json(found, scored).first().json
     form = spark.createDataFrame([('a "b" <c>', None)], "t string, d string").select(export.alt_formats(F.col("t"), F.col("d"), F.lit("pdf")).alias("f")).first().f
     assert form.html.startswith('<img src="" alt="a &quot;b&quot; &lt;c&gt;" />') and form.markdown == '![a "b" <c>]()' and form.plain == 'Alt: a "b" <c>'
-    both = found.withColumn("fix", F.when(F.col("rule") == "X", "fix_pdf"))
+    more = found.unionByName(found.withColumn("rule", F.lit("X")))
+    names = spark.createDataFrame([("R", "name of R"), ("R", "twice")], "rule string, name string")
+    both = export.with_remedies(more.withColumn("fix", F.when(F.col("rule") == "X", "fix_pdf")), names)
     export.write_audiences(both, str(tmp_path / "two"))
-    assert b'"f","R"' in b"".join(p.read_bytes() for p in (tmp_path / "two-manual").glob("*.csv")) and not b"".join(p.read_bytes() for p in (tmp_path / "two-tool").glob("*.csv")).count(b'"f"')
+    tool, manual = (b"".join(p.read_bytes() for p in (tmp_path / f"two-{a}").glob("*.csv")) for a in ("tool", "manual"))
+    for raw in (tool, manual):
+        assert raw.count(b'"f","R"') == raw.count(b'"f","X"') == 1 and b'"remediation"' in raw
+    assert tool.count(b"Run fix_pdf") == 1 and not manual.count(b"Run ") and manual.count(b"by hand on page 2") == 2
 
 
 def test_contrast(spark):
