@@ -117,6 +117,15 @@ def test_plans_and_exports(spark, tmp_path):
     assert tool.count(b"Run fix_pdf") == 1 and not manual.count(b"Run ") and manual.count(b"by hand on page 2") == 2
 
 
+def test_families_are_scored_apart_and_unreadable_files_score_nothing(spark):
+    docs = spark.createDataFrame([(1, "pdf", True), (2, "pdf", False), (3, "docx", True)], "doc long, type string, access_ok boolean")
+    found = spark.createDataFrame([(1, "core", "Error", "High")] * 2 + [(1, "tools", "Error", "High"), (2, "tools", "Error", "High")], "doc long, family string, severity string, confidence string")
+    got = {(r.family, r.doc): (r.errors, r.score, r.grade) for r in scoring.score_families(found, docs).collect()}
+    assert got == {("core", 1): (2, 90, "A"), ("core", 2): (0, 0, "F"), ("tools", 1): (1, 90, "A"), ("tools", 2): (1, 0, "F"), ("tools", 3): (0, 100, "A")}
+    scored = scoring.zero_unreadable(scoring.score_documents(found.filter("family = 'tools'")), docs).collect()
+    assert {r.doc: (r.score, r.grade) for r in scored} == {1: (90, "A"), 2: (0, "F")}
+
+
 def test_contrast(spark):
     black, white = [F.lit(0)] * 3, [F.lit(255)] * 3
     r = spark.range(1).select(contrast_ratio(black, white).alias("a"), contrast_ratio(white, white).alias("b")).first()
