@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.plans.rules import HEADING, blank, strip
 from lectern.sources.schema import SCHEMAS
+from lectern.storage import views
 
 # Texts that stand in for what only an author can say.
 TITLE, AUTHOR, TOOLTIP = "TODO: Add descriptive document title", "TODO: Add author name", "TODO: Add tooltip"
@@ -62,10 +63,9 @@ FIXES: list[tuple[str, str, str]] = [
 
 def planned(spark: SparkSession, tables: dict[str, DataFrame], tools: tuple[str, ...] | None = None) -> DataFrame:
     """All planned repairs: doc, tool, rule, target, status, new. Missing tables count as empty."""
-    for name, schema in SCHEMAS.items():
-        (tables[name] if name in tables else spark.createDataFrame([], schema)).createOrReplaceTempView(name)
     out = spark.createDataFrame([], "doc bigint, tool string, rule string, target string, status string, new string")
-    for tool, rule, sql in FIXES:
-        if tools is None or tool in tools:
-            out = out.unionByName(spark.sql(sql).select(F.col("doc_id").alias("doc"), F.lit(tool).alias("tool"), F.lit(rule).alias("rule"), "target", "status", "new"))
+    with views({name: tables[name] if name in tables else spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}):
+        for tool, rule, sql in FIXES:
+            if tools is None or tool in tools:
+                out = out.unionByName(spark.sql(sql).select(F.col("doc_id").alias("doc"), F.lit(tool).alias("tool"), F.lit(rule).alias("rule"), "target", "status", "new"))
     return out

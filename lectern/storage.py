@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,3 +39,24 @@ SMALL = 10_000
 def small(df: DataFrame) -> DataFrame:
     """``df``, to be broadcast if it has at most ``SMALL`` rows; else Spark joins it as it finds best."""
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+@contextmanager
+def views(frames: dict[str, DataFrame]) -> Iterator[None]:
+    """Temporary views of these frames while SQL over them is planned; the session's own views of such names come back after."""
+    if not frames:
+        yield
+        return
+    spark = next(iter(frames.values())).sparkSession
+    taken = {v.viewName for v in spark.sql("SHOW VIEWS").filter("isTemporary").collect()} & set(frames)
+    before = {name: spark.table(name) for name in taken}
+    try:
+        for name, df in frames.items():
+            df.createOrReplaceTempView(name)
+        yield
+    finally:
+        for name in frames:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
