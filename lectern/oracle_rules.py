@@ -241,8 +241,32 @@ def _row(scanner: str, number: int, rule: str, severity: str, wcag: str | None,
     )
 
 
-def _findings(scanners) -> str:
-    """The WITH clause that ends in a table ``found`` of the scanners' findings."""
+#: Facts after the planned repairs, from the facts before them; what each column would say, straight from the repair's description.
+_TODO_TITLE = "'TODO: Add descriptive document title'"
+_OFFICE = "access_ok AND type IN ('docx', 'xlsx', 'pptx')"
+_PDF_OK = "type = 'pdf' AND access_ok"
+_READ = "doc_id IN (SELECT doc_id FROM doc_was WHERE type = 'pdf' AND access_ok)"
+REPAIRED: dict[str, str] = {
+    "doc": f"""SELECT * REPLACE (CASE WHEN {_no('title')} AND ({_PDF_OK} OR {_OFFICE}) THEN {_TODO_TITLE} ELSE title END AS title, CASE WHEN {_no('author')} AND {_OFFICE} THEN 'TODO: Add author name' ELSE author END AS author,
+      CASE WHEN {_no('lang')} AND access_ok AND type IN ('pdf', 'docx') THEN 'en-US' ELSE lang END AS lang, CASE WHEN {_PDF_OK} AND display_doc_title IS NOT TRUE THEN true ELSE viewer_prefs_present END AS viewer_prefs_present,
+      CASE WHEN {_PDF_OK} THEN true ELSE display_doc_title END AS display_doc_title, CASE WHEN {_PDF_OK} AND tagged IS NOT TRUE THEN true ELSE mark_info_present END AS mark_info_present, CASE WHEN {_PDF_OK} THEN true ELSE tagged END AS tagged,
+      CASE WHEN {_PDF_OK} AND coalesce(xmp, '') NOT ILIKE '%pdfuaid%' THEN '<pdfuaid:part>1' ELSE xmp END AS xmp) FROM doc_was""",
+    "pdf_page": f"SELECT * REPLACE (CASE WHEN tabs IS NULL AND {_READ} THEN 'S' ELSE tabs END AS tabs) FROM pdf_page_was",
+    "form_field": f"SELECT * REPLACE (CASE WHEN {_no('tooltip')} AND {_READ} THEN CASE WHEN coalesce(name, '') = '' THEN 'TODO: Add tooltip' ELSE replace(replace({_t('name')}, '_', ' '), '.', ' ') END ELSE tooltip END AS tooltip) FROM form_field_was",
+    "doc_table": "SELECT * REPLACE (true AS has_header) FROM doc_table_was",
+    "slide": f"""SELECT * EXCLUDE (k) REPLACE (CASE WHEN {_no('title')} THEN CASE WHEN has_title_shape THEN 'TODO: Title for Slide ' || slide_no ELSE title END WHEN k > 1 AND {_t('title')} NOT LIKE 'TODO:%' THEN {_t('title')} || ' (' || k || ')' ELSE title END AS title)
+      FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {_t('title')} ORDER BY slide_no) AS k FROM slide_was)""",
+    "epub_pkg": f"""SELECT * REPLACE (CASE WHEN {_no('title')} THEN {_TODO_TITLE} ELSE title END AS title, CASE WHEN {_no('language')} THEN 'en' ELSE language END AS language, CASE WHEN {_no('creator')} THEN 'TODO: Add author name' ELSE creator END AS creator,
+      has_mode OR coalesce(version, '') NOT LIKE '2%' AS has_mode, has_feature OR coalesce(version, '') NOT LIKE '2%' AS has_feature, CASE WHEN summary IS NULL AND coalesce(version, '') NOT LIKE '2%' THEN 'TODO: Describe accessibility features and conformance level' ELSE summary END AS summary,
+      CASE WHEN coalesce(version, '') NOT LIKE '2%' AND (nav_present IS NOT TRUE OR NOT has_toc) THEN true ELSE nav_present END AS nav_present, has_toc OR coalesce(version, '') NOT LIKE '2%' AS has_toc) FROM epub_pkg_was""",
+    "epub_spine": "SELECT doc_id, min(ord) AS ord, idref FROM epub_spine_was WHERE (doc_id, idref) IN (SELECT (doc_id, item_id) FROM epub_item) GROUP BY doc_id, idref",
+    "html_el": """SELECT * EXCLUDE (r) REPLACE (coalesce('h' || r, el) AS el) FROM (SELECT h.*, r FROM html_el_was h LEFT JOIN (SELECT doc_id, content_doc, ord, k + min(level - k) OVER (PARTITION BY doc_id, content_doc ORDER BY k) AS r
+      FROM (SELECT doc_id, content_doc, ord, CAST(el[2] AS INT) AS level, row_number() OVER (PARTITION BY doc_id, content_doc ORDER BY ord) AS k FROM html_el_was WHERE regexp_full_match(el, 'h[1-6]'))) USING (doc_id, content_doc, ord))""",
+}
+
+
+def _findings(scanners, repaired: bool = False) -> str:
+    """The WITH clause that ends in a table ``found`` of the scanners' findings, before or after the planned repairs."""
     numbers = {}
     for s, rules in SCANNERS.items():
         for r in rules:
@@ -250,6 +274,8 @@ def _findings(scanners) -> str:
     rows = [_row(s, numbers[s, r[0]], *r) for s in scanners for r in SCANNERS[s]]
     body = " UNION ALL ".join([_EMPTY, *rows])
     made = [f"{name} AS ({sql.replace('{orders}', 'orders').replace('{customer}', 'customer').replace('{lineitem}', 'lineitem')})" for name, sql in FACTS.items() if re.search(rf"\b{name}\b", body) or name == "md_line" and "markdown" in scanners or name.startswith("mcid") and "tags" in scanners]
+    if repaired:
+        made = [f"{m.replace(n + ' AS', n + '_was AS', 1)}, {n} AS ({REPAIRED[n]})" if (n := m.split(" ", 1)[0]) in REPAIRED else m for m in made]
     if "tags" in scanners:
         made.append("both_sides AS (SELECT p.doc_id, p.page, p.pos, max(t.pos) AS t FROM mcid_paint p JOIN mcid_tree t ON t.doc_id = p.doc_id AND t.page = p.page AND t.mcid = p.mcid GROUP BY ALL)")
     if "markdown" in scanners:
@@ -278,10 +304,38 @@ def oracle_sql() -> dict[str, str]:
     out["incremental_findings"] = f"""{files}, n AS (SELECT path, CASE WHEN k % 7 = 0 THEN coalesce(text, '') || chr(10) || 'Same line' || chr(10) || 'Same line' ELSE text END AS text FROM f WHERE k % 19 <> 5),
       l AS (SELECT path, unnest(string_split(text, chr(10))) AS element FROM n)
       SELECT path, 'LINE.REPEATED' AS rule, element, count(*) AS n FROM l WHERE element <> '' GROUP BY path, element HAVING count(*) > 1 UNION ALL SELECT path, 'TEXT.MISSING', NULL, 1 FROM n WHERE coalesce(text, '') = ''"""
-    out |= _audits()
+    out |= _audits() | _fix_loop() | _history()
     return out
 
 
+_MENDED = ("metadata", "tags", "forms", "docx", "xlsx", "pptx", "epub")
+
+
+def _fix_loop() -> dict[str, str]:
+    both = f"was AS ({_findings(_MENDED)} SELECT * FROM found), now AS ({_findings(_MENDED, True)} SELECT * FROM found)"
+    grades = "CASE WHEN {0} >= 90 THEN 'A' WHEN {0} >= 80 THEN 'B' WHEN {0} >= 70 THEN 'C' WHEN {0} >= 60 THEN 'D' ELSE 'F' END"
+    side = lambda t: f"(SELECT d.doc_id AS doc, access_ok, count(f.doc) FILTER ({_BAD}) AS e, count(f.doc) FILTER ({_WARN}) AS w, CAST(CASE WHEN access_ok THEN 100 - least(50, 10 * count(f.doc) FILTER ({_BAD})) - least(21, 3 * count(f.doc) FILTER ({_WARN})) ELSE 0 END AS INT) AS s FROM doc d LEFT JOIN {t} f ON f.doc = d.doc_id GROUP BY d.doc_id, access_ok)"
+    plan = f"plan AS (WITH RECURSIVE {_facts(*_PLANNED)}{_repairs()})"
+    return {
+        "fix_loop_rules": f"WITH {both}, c AS (SELECT rule, count(*) FILTER (side = 0) AS b, count(*) FILTER (side = 1) AS a FROM (SELECT rule, 0 AS side FROM was UNION ALL SELECT rule, 1 FROM now) GROUP BY rule) SELECT rule, b AS before, a AS after, greatest(b - a, 0) AS resolved, CASE WHEN b > 0 THEN a ELSE 0 END AS remaining, greatest(a - b, 0) AS added FROM c",
+        "fix_loop_scores": f"""WITH {_facts('doc')}, {both}, {plan}, p AS (SELECT doc, count(*) FILTER (status = 'fixed') AS fixed, count(*) FILTER (status <> 'fixed') AS human FROM plan GROUP BY doc)
+          SELECT b.doc, b.s AS score_before, {grades.format('b.s')} AS grade_before, b.e AS errors_before, b.w AS warnings_before, a.s AS score_after, {grades.format('a.s')} AS grade_after, a.e AS errors_after, a.w AS warnings_after, coalesce(fixed, 0) AS fixed, coalesce(human, 0) AS needs_human, a.s - b.s AS delta
+          FROM {side('was')} b JOIN {side('now')} a ON a.doc = b.doc LEFT JOIN p ON p.doc = b.doc""",
+    }
+
+
+def _history() -> dict[str, str]:
+    # a row per finding, time and whether it was there, over the times that looked at its document
+    looked = lambda last: f"""{_findings(_MENDED)}, g AS (SELECT doc, rule, count(*) AS n FROM found JOIN doc ON doc_id = doc GROUP BY doc, rule), x AS (SELECT *, (doc + length(rule)) * (t + 1) + doc % 7 AS h FROM g, (SELECT unnest(range(1, {last} + 1)) AS t)),
+      y AS (SELECT doc, rule, n, t, h % 3 <> t % 3 AS there, row_number() OVER (PARTITION BY doc, rule ORDER BY t DESC) AS place FROM x WHERE (doc * 3 + t * t) % 5 <> 0),
+      z AS (SELECT doc, rule, n, coalesce(bool_or(there) FILTER (place = 1), false) AS a, coalesce(bool_or(there) FILTER (place = 2), false) AS b, coalesce(bool_or(there) FILTER (place > 2), false) AS c, min(t) FILTER (there) AS f, max(t) FILTER (there) AS l, count(*) FILTER (there) AS k FROM y GROUP BY doc, rule, n)"""
+    status = "CASE WHEN NOT a THEN 'Fixed' WHEN b THEN 'Persistent' WHEN c THEN 'Regressed' ELSE 'New' END AS status"
+    return {
+        "history_statuses": f"{looked(5)} SELECT doc, rule, {status}, CAST(f AS INT) AS first_seen, CAST(l AS INT) AS last_seen, k AS scans FROM z WHERE a OR b",
+        "history_as_of": f"{looked(3)} SELECT doc, rule, n, CAST(l AS INT) AS taken, {status} FROM z WHERE a",
+    }
+
+
 def _facts(*names: str) -> str:
     return ", ".join(f"{n} AS ({FACTS[n].replace('{orders}', 'orders').replace('{customer}', 'customer').replace('{lineitem}', 'lineitem')})" for n in names)
 
@@ -302,6 +356,9 @@ _FIXES = {
 }
 
 
+_PLANNED = ('doc', 'pdf_page', 'form_field', 'struct_node', 'doc_table', 'drawing', 'sheet', 'xl_drawing', 'slide', 'shape', 'epub_pkg', 'epub_spine', 'epub_item', 'html_el')
+
+
 def _repairs() -> str:
     """Planned repairs, one SELECT each."""
     todo, author = "'TODO: Add descriptive document title'", "'TODO: Add author name'"
@@ -346,7 +403,7 @@ def _audits() -> dict[str, str]:
           'Alt: ' || c || CASE WHEN d = '' THEN '' ELSE chr(10) || 'Description: ' || d END AS plain, tag AS pdf_tag, descr AS docx, CASE k WHEN 'pdf' THEN tag WHEN 'epub' THEN '{{"alt":"' || j || '"}}' ELSE descr END AS native FROM y""",
         "audit_text_summaries": f"{with_doc(ALL)}, {tools_counted} SELECT doc, 'score ' || score || '/100 (' || {level} || '), ' || e || ' errors, ' || w || ' warnings, ' || i || ' others' AS summary FROM s",
         "audit_document_reports": f"{some}, {counted}, t AS (SELECT doc, string_agg('| ' || severity || ' | ' || rule || ' | ' || coalesce('' || page, '-') || ' | ' || message || ' |', chr(10) ORDER BY {_RANK}, ord, encode('| ' || severity || ' | ' || rule || ' | ' || coalesce('' || page, '-') || ' | ' || message || ' |')) AS rows FROM found GROUP BY doc) SELECT t.doc, '# Document ' || t.doc || chr(10) || chr(10) || 'Score ' || score || ' (' || {level} || ')' || chr(10) || chr(10) || '| severity | rule | page | message |' || chr(10) || '|---|---|---|---|' || chr(10) || rows AS report FROM t JOIN s ON s.doc = t.doc",
-        "planned_fixes": f"WITH RECURSIVE {_facts('doc', 'pdf_page', 'form_field', 'struct_node', 'doc_table', 'drawing', 'sheet', 'xl_drawing', 'slide', 'shape', 'epub_pkg', 'epub_spine', 'epub_item', 'html_el')}{_repairs()}",
+        "planned_fixes": f"WITH RECURSIVE {_facts(*_PLANNED)}{_repairs()}",
         "audit_severity_counts": f"{ALL} SELECT type, severity, count(*) AS n FROM found GROUP BY ALL",
         "audit_by_severity": f"{ALL} SELECT doc, count(*) FILTER ({_BAD}) AS errors, count(*) FILTER ({_WARN}) AS warnings, count(*) FILTER (lower(severity) NOT IN ('error', 'warning')) AS others FROM found GROUP BY doc",
         "audit_summary": f"{_findings(('core', 'docx', 'xlsx', 'pptx', 'epub'))}, f AS (SELECT CASE WHEN doc % 7 = 0 THEN 'unknown' ELSE type END AS type, doc, severity FROM found), t AS (SELECT DISTINCT type FROM f UNION SELECT unnest(['pdf', 'docx', 'xlsx', 'pptx', 'epub', 'md'])) SELECT t.type, count(DISTINCT f.doc) AS files, count(f.doc) AS findings, count(*) FILTER ({_BAD}) AS errors, count(*) FILTER ({_WARN}) AS warnings FROM t LEFT JOIN f ON f.type = t.type GROUP BY t.type",

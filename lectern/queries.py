@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions import alt_text
 from lectern.functions.text import contrast_ratio, pdf_date, split_lines, strip
-from lectern.operators import analytics, audits, export, images, incremental, markdown, repair, reports, scoring, tree
+from lectern.operators import analytics, audits, export, fix_loop, history, images, incremental, markdown, repair, reports, scoring, tree
 from lectern import facts
 from lectern.plans import dims, fixes, rules
 from lectern.sources.files import mapped_clauses, page_elements
@@ -903,6 +903,51 @@ def planned_fixes(spark, sf):
     return fixes.planned(spark, facts.tables(spark, sf))
 
 
+#: Scanners of the file types that a tool can repair.
+_REPAIRED = ("metadata", "tags", "forms", "docx", "xlsx", "pptx", "epub")
+
+
+def _fix_loop(spark, sf):
+    return fix_loop.run(spark, facts.tables(spark, sf), _REPAIRED, before=rule_findings(spark, sf, *_REPAIRED))
+
+
+@query
+def fix_loop_scores(spark, sf):
+    """Every document scanned, repaired as planned and scanned again."""
+    return fix_loop.remediation(_documents(spark, sf), *_fix_loop(spark, sf))
+
+
+@query
+def fix_loop_rules(spark, sf):
+    """Per rule, what the repairs resolve, leave and add."""
+    before, _, after = _fix_loop(spark, sf)
+    return analytics.verify_fix(before, after)
+
+
+def _history(spark, sf):
+    """Five times of the same collection: some documents are not looked at, some findings are away."""
+    found = rule_findings(spark, sf, *_REPAIRED).select("doc", "rule")
+    documents, path, key = _documents(spark, sf), new_path(spark, "history"), F.col("doc") + F.length("rule")
+    for time in range(1, 6):
+        looked = documents.filter((F.col("doc") * 3 + time * time) % 5 != 0)
+        there = found.join(looked.select("doc"), "doc", "left_semi").filter((key * (time + 1) + F.col("doc") % 7) % 3 != time % 3)
+        history.append(there, looked, time, path)
+    return history.read(spark, path)
+
+
+@query
+def history_statuses(spark, sf):
+    return history.statuses(*_history(spark, sf))
+
+
+@query
+def history_as_of(spark, sf):
+    """Findings as they stood at the third time, and what had become of them by then."""
+    found, scans = _history(spark, sf)
+    then = history.as_of(found, scans, 3).select("doc", "rule", "n", "taken")
+    return then.join(history.statuses(found, scans, 3).select("doc", "rule", "status"), ["doc", "rule"])
+
+
 def _prose_lines(spark, sf):
     """Orders as lines of a customer's Markdown text, with bold lines, wide tables, emoji items and dashes."""
     kinds = ("**Terms**", "**a** and **b**", "| a | b | c | d | e |", "text", "| a | b |", "- 😀 good news", "* plain item", "one \u2014 two", "left -- right", "---", "code `a -- b`", "3. ☀ sun", "x\u2013y --- z", "```", "**Late**")
