@@ -169,3 +169,63 @@ def remediation_means(scores: DataFrame) -> DataFrame:
     """Banker's-rounded means of ``before`` and ``after``, each rounded before they are subtracted."""
     b, a = F.bround(F.avg("before")).cast("int"), F.bround(F.avg("after")).cast("int")
     return scores.agg(b.alias("before"), a.alias("after"), (a - b).alias("delta"))
+
+
+def apportioned(documents: DataFrame, strata: list[str], size: int) -> DataFrame:
+    """strata, files, quota: ``size`` places dealt in proportion to the documents of each stratum, by largest remainders.
+
+    Quotas sum to ``size``, or to the number of documents if there are fewer; equal remainders go by the
+    strata's order, nulls first. Strata without a place are left out, so there are at most ``size`` rows.
+    """
+    whole = documents.groupBy(*strata).agg(F.count("*").alias("files"))
+    total = whole.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    size = min(size, total)
+    if not size:
+        return whole.withColumn("quota", F.lit(0).cast("long")).limit(0)
+    share = F.lit(size).cast("long") * F.col("files")
+    rows = whole.withColumn("quota", ((share - share % total) / total).cast("long")).withColumn("rest", share % total)
+    left = size - rows.agg(F.sum("quota")).first()[0]
+    more = rows.orderBy(F.desc("rest"), *strata).limit(left).select(*strata, "files", F.lit(1).cast("long").alias("quota"))
+    both = rows.filter("quota > 0").select(*strata, "files", "quota").unionByName(more)
+    return both.groupBy(*strata).agg(F.max("files").alias("files"), F.sum("quota").alias("quota"))
+
+
+def apportioned_sample(documents: DataFrame, strata: list[str], order: list[Column], size: int) -> DataFrame:
+    """Exactly ``size`` documents (all, if there are fewer), ``apportioned`` over the strata, the first of each by ``order``."""
+    quotas = apportioned(documents, strata, size)
+    names = [f"lectern_{s}" for s in strata]
+    quotas = quotas.select(*(F.col(s).alias(n) for s, n in zip(strata, names)), "quota")
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
+    first = documents.withColumn("lectern_place", place).filter(F.col("lectern_place") <= size)  # each task keeps no more of a stratum
+    same = [first[s].eqNullSafe(quotas[n]) for s, n in zip(strata, names)]
+    return first.join(F.broadcast(quotas), same).filter("lectern_place <= quota").select(documents.columns)  # at most ``size`` rows
+
+
+def _folders(path: Column) -> Column:
+    """All folders above a path, the collection itself (an empty name) first; null for a null path."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def folder_patterns(findings: DataFrame, documents: DataFrame) -> DataFrame:
+    """folder, rule, hit, files, pattern at every level of the folders of ``documents`` (doc, path).
+
+    A document has one path, so after one ``distinct`` the counts are plain sums, exact at every level and
+    summed in each task first. A folder is ``systemic`` for a rule that all its files break (two or more),
+    ``widespread`` from half of them, ``repeated`` from three files, else ``isolated``.
+    """
+    inside = documents.filter("doc is not null and path is not null").select("doc", F.explode(_folders(F.col("path"))).alias("folder"))
+    files = inside.groupBy("folder").agg(F.count("*").alias("files"))
+    hit = findings.select("doc", "rule").distinct().join(inside, "doc").groupBy("folder", "rule").agg(F.count("*").alias("hit"))
+    all_, half = F.col("hit") == F.col("files"), 2 * F.col("hit") >= F.col("files")
+    pattern = F.when(all_ & (F.col("files") > 1), "systemic").when(half & (F.col("files") > 1), "widespread").when(F.col("hit") >= 3, "repeated").otherwise("isolated")
+    return hit.join(files, "folder").select("folder", "rule", "hit", "files", pattern.alias("pattern"))
+
+
+def criteria_across_types(findings: DataFrame, documents: DataFrame, least: int = 2) -> DataFrame:
+    """folder, wcag, types, files: criteria that files of at least ``least`` types fail, at every level of the folders."""
+    inside = documents.filter("doc is not null and path is not null").select("doc", F.explode(_folders(F.col("path"))).alias("folder"))
+    failed = findings.filter("wcag is not null").select("doc", "type", "wcag").distinct()
+    by_type = failed.join(inside, "doc").groupBy("folder", "wcag", "type").agg(F.count("*").alias("files"))
+    rows = by_type.groupBy("folder", "wcag").agg(F.array_join(F.array_sort(F.collect_set("type")), ", ").alias("types"), F.sum("files").alias("files"), F.count("type").alias("lectern_n"))
+    return rows.filter(F.col("lectern_n") >= least).drop("lectern_n")

@@ -304,10 +304,24 @@ def oracle_sql() -> dict[str, str]:
     out["incremental_findings"] = f"""{files}, n AS (SELECT path, CASE WHEN k % 7 = 0 THEN coalesce(text, '') || chr(10) || 'Same line' || chr(10) || 'Same line' ELSE text END AS text FROM f WHERE k % 19 <> 5),
       l AS (SELECT path, unnest(string_split(text, chr(10))) AS element FROM n)
       SELECT path, 'LINE.REPEATED' AS rule, element, count(*) AS n FROM l WHERE element <> '' GROUP BY path, element HAVING count(*) > 1 UNION ALL SELECT path, 'TEXT.MISSING', NULL, 1 FROM n WHERE coalesce(text, '') = ''"""
-    out |= _audits() | _fix_loop() | _history()
+    out |= _audits() | _fix_loop() | _history() | _folders()
     return out
 
 
+def _folders() -> dict[str, str]:
+    up = f"""p AS (SELECT doc_id AS doc, 'in' AS a, 'in/dept' || doc_id % 4 AS b, CASE WHEN doc_id % 3 > 0 THEN 'in/dept' || doc_id % 4 || '/y' || doc_id % 5 END AS c FROM doc),
+      u AS (SELECT doc, '' AS folder FROM p UNION ALL SELECT doc, a FROM p UNION ALL SELECT doc, b FROM p UNION ALL SELECT doc, c FROM p WHERE c IS NOT NULL)"""
+    dealt = """WITH n AS (SELECT source, lang, count(*) AS files FROM documents GROUP BY ALL), t AS (SELECT sum(files)::BIGINT AS total, least(20, sum(files))::BIGINT AS size FROM n), f AS (SELECT source, lang, files, size, (size * files) // total AS q, (size * files) % total AS r FROM n, t),
+      q AS (SELECT source, lang, files, q + CASE WHEN row_number() OVER (ORDER BY r DESC, source NULLS FIRST, lang NULLS FIRST) <= size - (SELECT sum(q) FROM f) THEN 1 ELSE 0 END AS quota FROM f)"""
+    return {
+        "folder_patterns": f"""{ALL}, {up}, s AS (SELECT folder, count(*) AS files FROM u GROUP BY folder), h AS (SELECT folder, rule, count(DISTINCT doc) AS hit FROM found JOIN u USING (doc) GROUP BY folder, rule)
+          SELECT folder, rule, hit, files, CASE WHEN files > 1 AND hit = files THEN 'systemic' WHEN files > 1 AND hit >= files / 2 THEN 'widespread' WHEN hit > 2 THEN 'repeated' ELSE 'isolated' END AS pattern FROM h JOIN s USING (folder)""",
+        "criteria_across_types": f"{ALL}, {up} SELECT folder, wcag, string_agg(DISTINCT type, ', ' ORDER BY type) AS types, count(DISTINCT (doc, type)) AS files FROM found JOIN u USING (doc) WHERE wcag IS NOT NULL GROUP BY folder, wcag HAVING count(DISTINCT type) > 1",
+        "apportioned_quotas": f"{dealt} SELECT source, lang, files, CAST(quota AS BIGINT) AS quota FROM q WHERE quota > 0",
+        "apportioned_sample": f"{dealt}, d AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY md5('' || doc_id), doc_id) AS k FROM documents) SELECT d.doc_id, d.source, d.lang FROM d JOIN q ON q.source IS NOT DISTINCT FROM d.source AND q.lang IS NOT DISTINCT FROM d.lang WHERE k <= quota",
+    }
+
+
 _MENDED = ("metadata", "tags", "forms", "docx", "xlsx", "pptx", "epub")
 
 

@@ -948,6 +948,34 @@ def history_as_of(spark, sf):
     return then.join(history.statuses(found, scans, 3).select("doc", "rule", "status"), ["doc", "rule"])
 
 
+def _shelves(spark, sf):
+    """The audited documents in folders of three levels."""
+    d = F.col("doc")
+    folder = F.concat_ws("/", F.lit("in"), F.concat(F.lit("dept"), (d % 4).cast("string")), F.when(d % 3 > 0, F.concat(F.lit("y"), (d % 5).cast("string"))))
+    return _documents(spark, sf).withColumn("path", F.concat(folder, F.lit("/"), d.cast("string"), F.lit("."), "type"))
+
+
+@query
+def folder_patterns(spark, sf):
+    return analytics.folder_patterns(rule_findings(spark, sf), _shelves(spark, sf))
+
+
+@query
+def criteria_across_types(spark, sf):
+    return analytics.criteria_across_types(rule_findings(spark, sf), _shelves(spark, sf))
+
+
+@query
+def apportioned_quotas(spark, sf):
+    return analytics.apportioned(table(spark, sf, "documents"), ["source", "lang"], 20)
+
+
+@query
+def apportioned_sample(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    return analytics.apportioned_sample(docs, ["source", "lang"], [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], 20)
+
+
 def _prose_lines(spark, sf):
     """Orders as lines of a customer's Markdown text, with bold lines, wide tables, emoji items and dashes."""
     kinds = ("**Terms**", "**a** and **b**", "| a | b | c | d | e |", "text", "| a | b |", "- 😀 good news", "* plain item", "one \u2014 two", "left -- right", "---", "code `a -- b`", "3. ☀ sun", "x\u2013y --- z", "```", "**Late**")
