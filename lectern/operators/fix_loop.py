@@ -8,6 +8,8 @@ patches; nothing is gathered but the few patches of one key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lectern.operators import scoring
@@ -108,19 +110,25 @@ def apply_plan(spark: SparkSession, tables: dict[str, DataFrame], plan: DataFram
     return tables | {name: patched(tables[name] if name in tables else spark.createDataFrame([], SCHEMAS[name]), name, changes) for name in KEYS if name in tables}
 
 
+def scanned(spark: SparkSession, tables: dict[str, DataFrame], scanners: tuple[str, ...], name: str) -> DataFrame:
+    """Findings, each scanner's planned and stored by itself, so that no plan grows with the number of scanners."""
+    parts = [stored(rules.findings(spark, tables, (s,)), f"{name}-{s}") for s in scanners]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def run(spark: SparkSession, tables: dict[str, DataFrame], scanners: tuple[str, ...], tools: tuple[str, ...] | None = None, wanted: DataFrame | None = None, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(findings before, plan, findings after): scan, plan, patch, rescan; each of them stored.
+    """(findings before, plan, findings after): scan, plan, patch, rescan; each of them stored, scanners one or more.
 
     ``wanted`` (doc, rule) keeps only these of the plan, such as ``analytics.fixable`` gives up to a tier.
     ``before`` may hand in the first scan.
     """
-    before = before if before is not None else stored(rules.findings(spark, tables, scanners), "before")
+    before = before if before is not None else scanned(spark, tables, scanners, "before")
     plan = fixes.planned(spark, tables, tools)
     if wanted is not None:
         plan = plan.join(wanted.select("doc", "rule").distinct(), ["doc", "rule"], "left_semi").select(plan.columns)
     plan = stored(plan, "plan")
     changed = {name: stored(df, f"patched-{name}") if name in KEYS else df for name, df in apply_plan(spark, tables, plan).items()}
-    return before, plan, stored(rules.findings(spark, changed, scanners), "after")
+    return before, plan, scanned(spark, changed, scanners, "after")
 
 
 def remediation(documents: DataFrame, before: DataFrame, plan: DataFrame, after: DataFrame) -> DataFrame:
