@@ -317,13 +317,16 @@ def store_facts(files: DataFrame, folder: str) -> dict[str, DataFrame]:
     """Facts of discovered files as typed Parquet tables in ``folder``, and readers of them.
 
     Each file is parsed once, into rows partitioned by table; a table is then made from its own
-    partition, so no table's rows are read for another.
+    partition, so no table's rows are read for another. Images of archives do not pass through JSON: the
+    archives are read once more for them.
     """
     mixed = f"{folder}/mixed"
     extract(files).write.partitionBy("table").parquet(mixed)
     spark = files.sparkSession
     raw = spark.read.schema("row string, table string").parquet(mixed)
-    for name, df in silver(raw).items():
+    from lectern.sources.archive_images import extract_images  # it builds on this module
+
+    for name, df in (silver(raw) | {"image": extract_images(files).select(*spark.createDataFrame([], SCHEMAS["image"]).columns)}).items():
         df.write.parquet(f"{folder}/{name}")
     return {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in SCHEMAS.items()}
 
