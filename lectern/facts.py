@@ -39,9 +39,13 @@ _LONG = "'" + "words of some length " * 16 + "'"
 #: Some documents have no parts: these are the next one's.
 _OWNER = "CAST(o_custkey + CASE WHEN o_custkey % 13 = 5 THEN 1 ELSE 0 END AS BIGINT)"
 
+#: Types of the documents by the remainder of their ids, and the divisor of the ids of those that cannot be read.
+_TYPES = ["pdf", "docx", "xlsx", "pptx", "epub", "md", "pdf"]
+_LOCKED = 11
+
 FACTS: dict[str, str] = {
-    "doc": f"""SELECT k AS doc_id, {pick("k", ["pdf", "docx", "xlsx", "pptx", "epub", "md", "pdf"])} AS type, k % 11 <> 0 AS access_ok,
-      CASE WHEN k % 11 = 0 THEN {pick("k", ["encrypted", "empty", "too large", None])} END AS skip_reason,
+    "doc": f"""SELECT k AS doc_id, {pick("k", _TYPES)} AS type, k % {_LOCKED} <> 0 AS access_ok,
+      CASE WHEN k % {_LOCKED} = 0 THEN {pick("k", ["encrypted", "empty", "too large", None])} END AS skip_reason,
       {pick("k", ["Annual report", "", " ", None, "Plan of the year"])} AS title, {pick("k + 2", ["A. Writer", None, " "])} AS author, {pick("k", ["en-GB", "EN-US", "en", "", None, "en419", "es-419", "zh-Hant-TW", "x", "de-", " fr ", "en_US", "de-AT"])} AS lang,
       {pick("k", ["en", None, "en-us"])} AS info_lang, CAST(k % 30 + 1 AS INT) AS pages, {pick("k", [True, False, True, None])} AS tagged, {pick("k + 1", [True, True, False, True, None])} AS mark_info_present,
       {pick("k + 1", [True, False, True, True, None, True])} AS display_doc_title, {pick("k", [True, True, False, True, None, True, True, True])} AS viewer_prefs_present,
@@ -51,7 +55,7 @@ FACTS: dict[str, str] = {
     # four levels: the document, an order, a line item, and one element below each line item
     "struct_node": f"""SELECT doc_id, CAST(preorder AS INT) AS node_id, CAST(CASE WHEN o = 0 THEN NULL WHEN l = 0 THEN 0 WHEN m = 0 THEN above ELSE beside END AS INT) AS parent_id, CAST(preorder AS INT) AS ord, CAST(CASE WHEN o = 0 THEN 1 WHEN l = 0 THEN 2 WHEN m = 0 THEN 3 ELSE 4 END AS INT) AS depth,
       CAST(preorder AS INT) AS preorder, CAST(CASE WHEN o = 0 THEN in_doc - 1 WHEN l = 0 THEN preorder + in_order - 1 WHEN m = 0 THEN preorder + 1 ELSE preorder END AS INT) AS post,
-      CASE WHEN doc_id % 6 = 1 AND t IN ('H1', 'H2', 'H3', 'H4') THEN 'P' WHEN doc_id % 7 = 3 AND t = 'Form' THEN 'P' WHEN doc_id % 8 = 5 AND l = 0 AND t IN ('Sect', 'Div', 'Art') THEN 'P' ELSE t END AS tag,
+      CASE WHEN doc_id % 6 = 1 AND t IN ('H1', 'H2', 'H3', 'H4') THEN 'P' WHEN doc_id % 7 = 6 AND t = 'Form' THEN 'P' WHEN doc_id % 8 = 5 AND l = 0 AND t IN ('Sect', 'Div', 'Art') THEN 'P' ELSE t END AS tag,
       CAST(o % 3 + 1 AS INT) AS page, CASE WHEN (o + l) % 29 = 0 THEN repeat('long words ', 30) ELSE {pick("o + l + m", _ALTS)} END AS alt, {pick("o + 2 * l + m", [None, "", "()", "Read more", "Terms of use"])} AS actual_text, {pick("o + l", [None, "Column", "Row"])} AS scope,
       CASE WHEN m = 1 AND (o + l) % 6 <> 0 THEN 1 ELSE 0 END AS contents, m = 1 AND (o + l) % 12 = 0 AS has_objr, (o + l + m) % 19 = 0 AS k_null
       FROM (SELECT *, min(preorder) OVER (PARTITION BY doc_id, o) AS above, min(preorder) OVER (PARTITION BY doc_id, o, l) AS beside, count(*) OVER (PARTITION BY doc_id) AS in_doc, count(*) OVER (PARTITION BY doc_id, o) AS in_order,
@@ -95,14 +99,16 @@ FACTS: dict[str, str] = {
       FROM (SELECT CAST(o_custkey AS BIGINT) AS doc_id, o_orderkey AS o, l_linenumber AS l, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS slide_no FROM {{orders}} JOIN {{lineitem}} ON l_orderkey = o_orderkey) x""",
     "run_link": f"""SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST(1 AS INT) AS slide_no, CAST(o_orderkey AS INT) AS ord, {pick("o_orderkey", ["Here.", "Town plan", " ", None, "LEARN MORE", "see  here", "url", "Annual report"])} AS text FROM {{orders}}""",
     "deck_section": f"""SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST(o_orderkey AS INT) AS ord, {pick("o_orderkey", ["Default Section", "Aims", "Costs", " aims", "Section 3", "People", "Dates"])} AS name FROM {{orders}}""",
+    "epub_item": f"""SELECT DISTINCT CAST(o_custkey AS BIGINT) AS doc_id, 'i' || (o_orderkey % 5) AS item_id, {pick("o_orderkey % 5", ["text/part_one-A1b.xhtml", "b.two.xhtml", "c&d.xhtml", "..", None])} AS href, 'c' || (o_orderkey % 5) AS part FROM {{orders}}""",
+    # a fourth of the books list each item once
+    "epub_spine": f"""SELECT {_OWNER} AS doc_id, CAST(o_orderkey AS INT) AS ord, 'i' || (o_orderkey % 7 % 6) AS idref FROM {{orders}} WHERE o_custkey % 4 <> 1
+      UNION ALL SELECT DISTINCT CAST(o_custkey AS BIGINT), CAST(o_orderkey % 5 AS INT), 'i' || (o_orderkey % 5) FROM {{orders}} WHERE o_custkey % 4 = 1""",
     "epub_pkg": f"""SELECT k AS doc_id, {pick("k", ["3.0", "2.0", None, "3.2"])} AS version, {pick("k", ["id", "uid", None])} AS unique_identifier, {pick("k", ["Title", "", None, " ", "Book"])} AS title, {pick("k + 1", ["en", "", None, "de"])} AS language, {pick("k + 2", ["C", None, " "])} AS creator, {pick("k + 1", ["D", None, ""])} AS description,
       {pick("k", [None, "id", "other", "uid", "id"])} AS id1, {pick("k", [None, "x", " ", "y", ""])} AS text1, {pick("k + 1", [None, "uid", None, "id"])} AS id2, {pick("k + 1", [None, "z", None, " "])} AS text2, k % 2 = 0 AS has_mode, k % 3 <> 1 AS has_feature, k % 5 <> 2 AS has_hazard,
-      CASE k % 4 WHEN 0 THEN 'short one' WHEN 1 THEN repeat('word ', 50) WHEN 2 THEN repeat('word  ', 49) END AS summary, k % 7 = 3 AS fixed_layout, {pick("k", [True, False, True, None])} AS nav_present, k % 3 <> 0 AS has_toc, k % 5 <> 0 AS has_pages, k % 6 <> 2 AS has_landmarks, CAST({pick("k", [0, 3, None, 1, 0, 0])} AS INT) AS ncx_points,
-      {pick("k", [True, True, True, False, True, None, True])} AS spine_present, {pick("k", [True, True, False, True, True, True, True, True])} AS manifest_present FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM {{customer}}) c""",
-    "epub_item": """SELECT DISTINCT CAST(o_custkey AS BIGINT) AS doc_id, 'i' || (o_orderkey % 5) AS item_id FROM {orders}""",
-    "epub_spine": f"""SELECT {_OWNER} AS doc_id, CAST(o_orderkey AS INT) AS ord, 'i' || (o_orderkey % 7 % 6) AS idref FROM {{orders}}""",
+      CASE k % 4 WHEN 0 THEN 'short one' WHEN 1 THEN repeat('word ', 50) WHEN 2 THEN repeat('word  ', 49) END AS summary, k % 9 = 3 AS fixed_layout, {pick("k", [True, False, True, None])} AS nav_present, k % 3 <> 0 AS has_toc, k % 5 <> 0 AS has_pages, k % 6 <> 2 AS has_landmarks, CAST({pick("k", [0, 3, None, 1, 0, 0])} AS INT) AS ncx_points,
+      {pick("k", [True, True, True, False, True, None, True, True, True])} AS spine_present, {pick("k", [True, True, False, True, True, True, True, True])} AS manifest_present FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM {{customer}}) c""",
     "html_el": f"""SELECT doc_id, content_doc, CAST(ord AS INT) AS ord, CAST(CASE WHEN l = 0 THEN ord + n - 1 ELSE ord END AS INT) AS post, CASE WHEN l = 0 THEN {pick("o", ["table", "svg", "div", "p", "h2"])} ELSE {pick("o + l", ["img", "title", "th", "a", "math", "h1", "h3", "h2", "td", "img", "a"])} END AS el,
-      {pick("o + l", [None, "", "A map", " ", "x"])} AS alt, {pick("o + 2 * l", [None, "presentation", "img"])} AS role, {pick("o + l", [None, "", "a plus b"])} AS alttext, {pick("o + 2 * l", ["Read more", " here ", "Chapter one", "", None, "GO", "this link"])} AS inner_text
+      {pick("o + l", [None, "", "A map", " ", "x"])} AS alt, {pick("o + 2 * l", [None, "presentation", "img"])} AS role, {pick("o + l", [None, "", "a plus b"])} AS alttext, {pick("o + 2 * l", ["Read more", " here ", "Chapter one", "", None, "GO", "a < b & c"])} AS inner_text, {pick("o + l", ["a.png", None, "img/b & c.jpg", ""])} AS src
       FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, content_doc ORDER BY o, l) - 1 AS ord, count(*) OVER (PARTITION BY doc_id, o) AS n
         FROM (SELECT CAST(o_custkey AS BIGINT) AS doc_id, 'c' || (o_orderkey % 3) AS content_doc, o_orderkey AS o, CAST(0 AS BIGINT) AS l FROM {{orders}} UNION ALL SELECT CAST(o_custkey AS BIGINT), 'c' || (o_orderkey % 3), o_orderkey, CAST(l_linenumber AS BIGINT) FROM {{orders}} JOIN {{lineitem}} ON l_orderkey = o_orderkey) a) b""",
 }
@@ -111,12 +117,27 @@ _MARKDOWN = ["# @", "", "## @", "Plain words about @.", "See [here](a.pdf) and [
 #: Lines of the Markdown documents: a customer's line items in order, the kind of line by their keys.
 FACTS["md_line"] = f"""SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, l_linenumber, l_partkey) AS INT) AS line_no, replace({pick("o_orderkey + 7 * l_linenumber + l_partkey", _MARKDOWN)}, '@', 'part ' || (l_partkey % 9)) AS raw FROM {{orders}} JOIN {{lineitem}} ON l_orderkey = o_orderkey"""
 
+# The types whose documents have the parts of each table, and how rich such a document is at least.
+_PARTS_OF = {
+    ("pdf",): {"struct_node": 1, "role_map": 1, "pdf_page": 1, "form_field": 2, "widget": 2, "mcid_tree": 3, "mcid_paint": 3},
+    ("docx",): {"para": 1, "hdrftr": 1, "drawing": 2, "doc_table": 3, "note": 4},
+    ("docx", "xlsx"): {"hyperlink": 2},
+    ("xlsx",): {"sheet": 1, "sheet_row": 1, "xl_drawing": 2, "xl_table": 3, "validation": 4},
+    ("pptx",): {"slide": 1, "shape": 2, "run_link": 3, "deck_section": 4},
+    ("epub",): {"epub_pkg": 0, "epub_item": 1, "epub_spine": 1, "html_el": 2},
+    ("md",): {"md_line": 1},
+}
+for _kinds, _levels in _PARTS_OF.items():
+    _ids = ", ".join(str(i) for i, kind in enumerate(_TYPES) if kind in _kinds)
+    for _name, _level in _levels.items():  # parts of the document's own type, if it can be read and is rich enough
+        FACTS[_name] = f"SELECT * FROM ({FACTS[_name]}) own_type WHERE doc_id % {len(_TYPES)} IN ({_ids}) AND doc_id % {_LOCKED} <> 0 AND doc_id % 17 >= {3 * _level}"
+
 _NESTED = {
     "struct_node": lambda df: df.withColumn("attrs", F.when(F.col("scope").isNull(), F.create_map()).otherwise(F.create_map(F.lit("Scope"), F.col("scope"))).cast("map<string,string>")).withColumn("mcids", F.when(F.col("contents") > 0, F.array("preorder")).otherwise(F.array()).cast("array<int>")),
     "epub_pkg": lambda df: df.withColumn("identifiers", F.expr("filter(array(named_struct('id', id1, 'text', text1), named_struct('id', id2, 'text', text2)), x -> x.id is not null)"))
     .withColumn("metas", F.expr("filter(array(if(has_mode, named_struct('property', 'schema:accessMode', 'text', 'a'), null), if(has_feature, named_struct('property', 'schema:accessibilityFeature', 'text', 'b'), null), if(has_hazard, named_struct('property', 'schema:accessibilityHazard', 'text', 'c'), null), if(summary is not null, named_struct('property', 'schema:accessibilitySummary', 'text', summary), null), if(fixed_layout, named_struct('property', 'rendition:layout', 'text', 'pre-paginated'), null)), x -> x is not null)"))
     .withColumn("nav_types", F.expr("filter(array(if(has_toc, 'toc', null), if(has_pages, 'page-list', null), if(has_landmarks, 'landmarks', null)), x -> x is not null)")),
-    "html_el": lambda df: df.withColumn("attrs", F.expr("map_filter(map('alt', alt, 'role', role, 'alttext', alttext), (k, v) -> v is not null)")),
+    "html_el": lambda df: df.withColumn("attrs", F.expr("map_filter(map('alt', alt, 'role', role, 'alttext', alttext, 'src', src), (k, v) -> v is not null)")),
 }
 
 

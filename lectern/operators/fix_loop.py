@@ -46,6 +46,7 @@ WRITES: list[tuple[str, str, str, str, str | None]] = [
     ("fix_epub", "EPUB-E007", "epub_pkg", "metas", None),
     ("fix_epub", "EPUB-E006", "epub_spine", "", None),
     ("fix_epub", "EPUB-W003", "html_el", "el", None),
+    ("fix_epub", "EPUB-E005", "html_el", "attrs", None),
 ]
 #: What tells the rows of a table apart inside a document; none: a document is a row.
 KEYS: dict[str, tuple[str, ...]] = {"doc": (), "epub_pkg": (), "pdf_page": ("page",), "form_field": ("ord",), "doc_table": ("table_no",), "slide": ("slide_no",), "epub_spine": ("ord",), "html_el": ("content_doc", "nth")}
@@ -60,7 +61,7 @@ def patches(spark: SparkSession, plan: DataFrame) -> DataFrame:
     writes = [(*w, i) for i, w in enumerate(WRITES)]
     known = spark.createDataFrame(writes, "tool string, rule string, table string, field string, given string, seq int")
     number = F.expr("try_cast(regexp_extract(target, '([0-9]+)$', 1) AS int)")
-    place = F.regexp_extract("target", "^(.*) heading [0-9]+$", 1)
+    place = F.regexp_extract("target", "^(.*) (?:heading|element) [0-9]+$", 1)
     value = F.when(F.col("field") == "metas", F.concat_ws("=", "target", "new")).otherwise(F.coalesce("given", "new"))
     rows = plan.filter("status = 'fixed'").join(F.broadcast(known), ["tool", "rule"])  # a row per write
     return rows.select("table", F.col("doc").alias("doc_id"), place.alias("content_doc"), number.alias("number"), "field", value.alias("value"), "seq")
@@ -73,10 +74,16 @@ def patched(table: DataFrame, name: str, changes: DataFrame) -> DataFrame:
     Rows without a patch stay as they are, as do rows with a null document or key; rows with equal keys change alike.
     """
     keys = ["doc_id", *KEYS[name]]
+    rows = table
     mine = changes.filter((F.col("table") == name) & F.col("value").isNotNull())
     for k in KEYS[name]:
         if k != "content_doc":
             mine = mine.withColumn(k, F.col("number"))
+    if name == "html_el":  # plans number headings among themselves, other elements by their place
+        heads = table.filter("el rlike '^h[1-6]$'").select("doc_id", "content_doc", "ord", F.row_number().over(Window.partitionBy("doc_id", "content_doc").orderBy("ord")).alias("nth"))
+        named = mine.filter("field = 'el'").join(heads, ["doc_id", "content_doc", "nth"])
+        mine = named.unionByName(mine.filter("field <> 'el'").withColumn("ord", F.col("number")))
+        keys = ["doc_id", "content_doc", "ord"]
     kinds = {f.name: f.dataType for f in table.schema.fields}
     fields = sorted({f for _, _, t, f, _ in WRITES if t == name and f})
     arrays = [f for f in fields if kinds[f].typeName() == "array"]
@@ -84,11 +91,6 @@ def patched(table: DataFrame, name: str, changes: DataFrame) -> DataFrame:
     last = [F.max(F.when(is_(f), F.struct("seq", "value")))["value"].alias(f"new_{f}") for f in fields if f not in arrays]
     added = [F.transform(F.array_sort(F.collect_list(F.when(is_(f), F.struct("seq", "value")))), lambda x: x["value"]).alias(f"new_{f}") for f in arrays]
     news = mine.groupBy(*keys).agg(*last, *added, F.count_if(is_("")).alias("dropped"))
-    rows = table
-    if name == "html_el":  # headings are numbered, as plans number them
-        heads = table.filter("el rlike '^h[1-6]$'").select("doc_id", "content_doc", "ord").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "content_doc").orderBy("ord")))
-        news = news.join(heads, ["doc_id", "content_doc", "nth"]).drop("nth")
-        keys = ["doc_id", "content_doc", "ord"]
     both = rows.join(news, keys, "left").filter("coalesce(dropped, 0) = 0")
 
     def now(f: str):
@@ -99,6 +101,9 @@ def patched(table: DataFrame, name: str, changes: DataFrame) -> DataFrame:
             if f == "metas":
                 new = F.transform(new, lambda x: F.struct(F.substring_index(x, "=", 1).alias("property"), F.regexp_replace(x, "(?s)^[^=]*=", "").alias("text")))
             return F.when(F.size(new) > 0, F.concat(F.coalesce(F.col(f), F.array().cast(kinds[f])), new.cast(kinds[f]))).otherwise(F.col(f)).alias(f)
+        if kinds[f].typeName() == "map":  # of an element's attributes plans write its text
+            kept = F.map_filter(F.coalesce(F.col(f), F.create_map().cast(kinds[f])), lambda k, _: k != "alt")
+            return F.when(F.col(f"new_{f}").isNull(), F.col(f)).otherwise(F.map_concat(kept, F.create_map(F.lit("alt"), F.col(f"new_{f}")))).alias(f)
         return F.coalesce(F.col(f"new_{f}").cast(kinds[f]), F.col(f)).alias(f)
 
     return both.select(*(now(c) for c in table.columns))

@@ -129,7 +129,7 @@ DOCX = [
     ("DOCX-LIST.SEMANTIC", "Warning", "1.3.1", f"SELECT doc_id, count(*) AS n FROM para WHERE NOT {_no('text')} AND NOT regexp_matches(coalesce(style, ''), '(?i)list|bullet|number|toc') AND has_numpr IS NOT TRUE AND {MARKER} GROUP BY doc_id HAVING n > 2"),
     ("DOCX-TABLE.NESTED", "Error", "1.3.1", "SELECT doc_id, sum(nested_n)::BIGINT AS n FROM doc_table GROUP BY doc_id HAVING n > 0"),
     ("DOCX-STRUCT.TOC", "Warning", "2.4.5", "SELECT doc_id, count(*) AS n FROM para WHERE regexp_full_match(style, 'Heading [1-9]') AND doc_id IN (SELECT doc_id FROM doc WHERE toc_present IS NOT TRUE) GROUP BY doc_id HAVING n >= 5"),
-    ("DOCX-REVIEW.TRACKED", "Warning", "1.3.1", "SELECT doc_id, tracked_n::BIGINT AS n FROM doc WHERE type = 'docx' AND tracked_n > 0"),
+    ("DOCX-REVIEW.TRACKED", "Warning", "1.3.1", "SELECT doc_id, tracked_n::BIGINT AS n FROM doc WHERE type = 'docx' AND access_ok AND tracked_n > 0"),
     ("DOCX-STRUCT.HDRFTR", "Info", "1.3.2", f"SELECT doc_id, count(*) AS n FROM hdrftr WHERE NOT linked AND length({_t('text')}) > 20 AND NOT regexp_full_match({_t('text')}, '(?i)[0-9\\s/–—pageof-]*') GROUP BY doc_id"),
     ("DOCX-STRUCT.FOOTNOTES", "Info", "2.4.1", f"SELECT doc_id, 'Info' AS severity, count(*) AS n FROM {BODY_NOTE} GROUP BY doc_id HAVING n > 20 UNION ALL SELECT doc_id, 'Warning', count(*) FROM {BODY_NOTE} WHERE length(text) > 300 GROUP BY doc_id"),
 ]
@@ -246,6 +246,7 @@ _TODO_TITLE = "'TODO: Add descriptive document title'"
 _OFFICE = "access_ok AND type IN ('docx', 'xlsx', 'pptx')"
 _PDF_OK = "type = 'pdf' AND access_ok"
 _READ = "doc_id IN (SELECT doc_id FROM doc_was WHERE type = 'pdf' AND access_ok)"
+_LISTED = "(SELECT s.doc_id FROM epub_spine_was s JOIN epub_item i ON i.doc_id = s.doc_id AND i.item_id = s.idref WHERE i.href <> '')"
 REPAIRED: dict[str, str] = {
     "doc": f"""SELECT * REPLACE (CASE WHEN {_no('title')} AND ({_PDF_OK} OR {_OFFICE}) THEN {_TODO_TITLE} ELSE title END AS title, CASE WHEN {_no('author')} AND {_OFFICE} THEN 'TODO: Add author name' ELSE author END AS author,
       CASE WHEN {_no('lang')} AND access_ok AND type IN ('pdf', 'docx') THEN 'en-US' ELSE lang END AS lang, CASE WHEN {_PDF_OK} AND display_doc_title IS NOT TRUE THEN true ELSE viewer_prefs_present END AS viewer_prefs_present,
@@ -258,9 +259,9 @@ REPAIRED: dict[str, str] = {
       FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {_t('title')} ORDER BY slide_no) AS k FROM slide_was)""",
     "epub_pkg": f"""SELECT * REPLACE (CASE WHEN {_no('title')} THEN {_TODO_TITLE} ELSE title END AS title, CASE WHEN {_no('language')} THEN 'en' ELSE language END AS language, CASE WHEN {_no('creator')} THEN 'TODO: Add author name' ELSE creator END AS creator,
       has_mode OR coalesce(version, '') NOT LIKE '2%' AS has_mode, has_feature OR coalesce(version, '') NOT LIKE '2%' AS has_feature, CASE WHEN summary IS NULL AND coalesce(version, '') NOT LIKE '2%' THEN 'TODO: Describe accessibility features and conformance level' ELSE summary END AS summary,
-      CASE WHEN coalesce(version, '') NOT LIKE '2%' AND (nav_present IS NOT TRUE OR NOT has_toc) THEN true ELSE nav_present END AS nav_present, has_toc OR coalesce(version, '') NOT LIKE '2%' AS has_toc) FROM epub_pkg_was""",
+      CASE WHEN coalesce(version, '') NOT LIKE '2%' AND (nav_present IS NOT TRUE OR NOT has_toc) AND doc_id IN {_LISTED} THEN true ELSE nav_present END AS nav_present, has_toc OR coalesce(version, '') NOT LIKE '2%' AND doc_id IN {_LISTED} AS has_toc) FROM epub_pkg_was""",
     "epub_spine": "SELECT doc_id, min(ord) AS ord, idref FROM epub_spine_was WHERE (doc_id, idref) IN (SELECT (doc_id, item_id) FROM epub_item) GROUP BY doc_id, idref",
-    "html_el": """SELECT * EXCLUDE (r) REPLACE (coalesce('h' || r, el) AS el) FROM (SELECT h.*, r FROM html_el_was h LEFT JOIN (SELECT doc_id, content_doc, ord, k + min(level - k) OVER (PARTITION BY doc_id, content_doc ORDER BY k) AS r
+    "html_el": """SELECT * EXCLUDE (r) REPLACE (coalesce('h' || r, el) AS el, CASE WHEN el = 'img' AND alt IS NULL THEN 'TODO: Describe ' || coalesce(src, 'image') ELSE alt END AS alt) FROM (SELECT h.*, r FROM html_el_was h LEFT JOIN (SELECT doc_id, content_doc, ord, k + min(level - k) OVER (PARTITION BY doc_id, content_doc ORDER BY k) AS r
       FROM (SELECT doc_id, content_doc, ord, CAST(el[2] AS INT) AS level, row_number() OVER (PARTITION BY doc_id, content_doc ORDER BY ord) AS k FROM html_el_was WHERE regexp_full_match(el, 'h[1-6]'))) USING (doc_id, content_doc, ord))""",
 }
 
@@ -384,14 +385,20 @@ def _repairs() -> str:
             rows.append((tool, f"{pre}-META.{what.upper()}", f"'{what}'", new, f"doc WHERE type = '{kind}' AND access_ok AND {_no(what)}"))
     rows += [("fix_word", "DOCX-META.LANG", "'language'", "'en-US'", f"doc WHERE type = 'docx' AND access_ok AND {_no('lang')}"), ("fix_word", "DOCX-TABLE.HEADERS", "'table ' || table_no", "'header row'", "doc_table WHERE NOT has_header"), ("fix_word", "DOCX-IMG.ALT", "'drawing ' || ord", None, f"drawing WHERE {_t('descr')} || {_t('title')} = ''"), ("fix_excel", "XLSX-SHEET.NAME", "'sheet ' || ord", None, "sheet WHERE lower(name) IN ('sheet', 'sheet1')"), ("fix_excel", "XLSX-TABLE.PRINT_TITLES", "'sheet ' || ord", "'1:1'", "sheet WHERE max_row >= 2"), ("fix_excel", "XLSX-IMG.ALT", "'drawing ' || ord", None, f"xl_drawing WHERE kind = 'pic' AND {_no('descr')}")]
     rows += [("fix_pptx", "PPTX-SLIDE.TITLE", "'slide ' || slide_no", "'TODO: Title for Slide ' || slide_no", f"slide WHERE {_no('title')} AND has_title_shape"), ("fix_pptx", "PPTX-SLIDE.TITLE", "'slide ' || slide_no", None, f"slide WHERE {_no('title')} AND has_title_shape IS NOT TRUE"), ("fix_pptx", "PPTX-SLIDE.TITLE_UNIQUE", "'slide ' || slide_no", "t || ' (' || k || ')'", f"(SELECT doc_id, slide_no, {_t('title')} AS t, row_number() OVER (PARTITION BY doc_id, {_t('title')} ORDER BY slide_no) AS k FROM slide) WHERE k >= 2 AND t <> ''"), ("fix_pptx", "PPTX-IMG.ALT", "'slide ' || slide_no || ' shape ' || ord", None, f"shape WHERE shape_type = 13 AND decorative IS NOT TRUE AND {_no('descr')}")]
-    rows += [("fix_epub", "EPUB-E001", "'title'", todo, f"epub_pkg WHERE {_no('title')}"), ("fix_epub", "EPUB-E003", "'language'", "'en'", f"epub_pkg WHERE {_no('language')}"), ("fix_epub", "EPUB-T002", "'creator'", author, f"epub_pkg WHERE {_no('creator')}"), ("fix_epub", "EPUB-E007", "'schema:accessMode'", "'textual'", f"epub_pkg WHERE NOT {OLD} AND NOT has_mode"), ("fix_epub", "EPUB-E007", "'schema:accessibilityFeature'", "'structuralNavigation'", f"epub_pkg WHERE NOT {OLD} AND NOT has_feature"), ("fix_epub", "EPUB-E007", "'schema:accessibilitySummary'", "'TODO: Describe accessibility features and conformance level'", f"epub_pkg WHERE NOT {OLD} AND summary IS NULL"), ("fix_epub", "EPUB-E004", "'navigation'", "'table of contents'", f"epub_pkg WHERE NOT {OLD} AND NOT (nav_present IS TRUE AND has_toc)")]
+    rows += [("fix_epub", "EPUB-E001", "'title'", todo, f"epub_pkg WHERE {_no('title')}"), ("fix_epub", "EPUB-E003", "'language'", "'en'", f"epub_pkg WHERE {_no('language')}"), ("fix_epub", "EPUB-T002", "'creator'", author, f"epub_pkg WHERE {_no('creator')}"), ("fix_epub", "EPUB-E007", "'schema:accessMode'", "'textual'", f"epub_pkg WHERE NOT {OLD} AND NOT has_mode"), ("fix_epub", "EPUB-E007", "'schema:accessibilityFeature'", "'structuralNavigation'", f"epub_pkg WHERE NOT {OLD} AND NOT has_feature"), ("fix_epub", "EPUB-E007", "'schema:accessibilitySummary'", "'TODO: Describe accessibility features and conformance level'", f"epub_pkg WHERE NOT {OLD} AND summary IS NULL"), ("fix_epub", "EPUB-E004", "'navigation'", "toc", f"epub_pkg JOIN nav USING (doc_id) WHERE NOT {OLD} AND NOT (nav_present IS TRUE AND has_toc)"), ("fix_epub", "EPUB-E004", "'navigation'", None, f"epub_pkg ANTI JOIN nav USING (doc_id) WHERE NOT {OLD} AND NOT (nav_present IS TRUE AND has_toc)"), ("fix_epub", "EPUB-E005", "content_doc || ' element ' || ord", "'TODO: Describe ' || coalesce(src, 'image')", "html_el WHERE el = 'img' AND alt IS NULL")]
     known = "EXISTS (SELECT 1 FROM epub_item i WHERE i.doc_id = s.doc_id AND i.item_id = s.idref)"
     rows += [("fix_epub", "EPUB-E006", "'spine ' || ord", f"CASE WHEN {known} THEN 'remove duplicate' ELSE 'remove dangling' END", f"epub_spine s WHERE NOT {known} OR EXISTS (SELECT 1 FROM epub_spine e WHERE e.doc_id = s.doc_id AND e.idref = s.idref AND e.ord < s.ord)")]
     out = [f"SELECT doc_id AS doc, '{tool}' AS tool, '{rule}' AS rule, {target} AS target, '{'needs-human' if new is None else 'fixed'}' AS status, {new or 'NULL'} AS new FROM {of}" for tool, rule, target, new, of in rows]
     # the repair of levels as the recursion that it is
     fold = "SELECT doc_id, content_doc, k, level, CASE WHEN k = 1 THEN level END AS r FROM hk WHERE k = 1 UNION ALL SELECT h.doc_id, h.content_doc, h.k, h.level, least(h.level, f.r + 1) FROM hf f JOIN hk h ON h.doc_id = f.doc_id AND h.content_doc = f.content_doc AND h.k = f.k + 1"
     out.append("SELECT doc_id, 'fix_epub', 'EPUB-W003', content_doc || ' heading ' || k, 'fixed', 'h' || r FROM hf WHERE r < level")
-    return f", hk AS (SELECT doc_id, content_doc, CAST(el[2] AS INT) AS level, row_number() OVER (PARTITION BY doc_id, content_doc ORDER BY ord) AS k FROM html_el WHERE regexp_full_match(el, 'h[1-6]')), hf AS ({fold}) {' UNION ALL '.join(out)}"
+    # tables of contents: the heading of least place in each listed part, else its file name in capitals
+    safe = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+    stem = "regexp_replace(regexp_replace(split_part(href, '/', -1), '([^.])[.][^.]*$', '\\1'), '[-_]', ' ', 'g')"
+    nav = f""", first AS (SELECT doc_id, content_doc, coalesce(nullif({_t('inner_text')}, ''), 'Heading ' || el[2]) AS said FROM html_el WHERE regexp_full_match(el, 'h[1-6]') QUALIFY row_number() OVER (PARTITION BY doc_id, content_doc ORDER BY ord) = 1),
+      nav AS (SELECT s.doc_id, '<ol>' || string_agg('<li><a href="' || {safe('href')} || '">' || {safe(f"coalesce(said, list_aggregate(list_transform(regexp_extract_all({stem}, '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ''))")} || '</a></li>', '' ORDER BY s.ord, href) || '</ol>' AS toc
+        FROM epub_spine s JOIN epub_item i ON i.doc_id = s.doc_id AND i.item_id = s.idref LEFT JOIN first f ON f.doc_id = s.doc_id AND f.content_doc = i.part WHERE href <> '' GROUP BY s.doc_id)"""
+    return f"{nav}, hk AS (SELECT doc_id, content_doc, CAST(el[2] AS INT) AS level, row_number() OVER (PARTITION BY doc_id, content_doc ORDER BY ord) AS k FROM html_el WHERE regexp_full_match(el, 'h[1-6]')), hf AS ({fold}) {' UNION ALL '.join(out)}"
 
 
 def _audits() -> dict[str, str]:

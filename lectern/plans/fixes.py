@@ -28,6 +28,20 @@ _PDF = "FROM doc WHERE type = 'pdf' AND access_ok"
 _PDFS = f"(SELECT doc_id {_PDF})"
 _NTH = "row_number() OVER (PARTITION BY doc_id, title ORDER BY slide_no)"
 _HTML = "(SELECT *, int(substr(el, 2)) AS level, row_number() OVER (PARTITION BY doc_id, content_doc ORDER BY ord) AS k FROM html_el WHERE el rlike '^h[1-6]$')"
+_OPEN_NAV = "coalesce(version, '3.0') NOT LIKE '2%' AND (NOT coalesce(nav_present, false) OR NOT array_contains(coalesce(nav_types, array()), 'toc'))"
+# a part without headings is called by its file name: no suffix, spaces for - and _, each run of letters capitalised
+_STEM = r"translate(regexp_replace(regexp_extract(i.href, '([^/]*)$', 1), '(?<=[^.])[.][^.]*$', ''), '-_', '  ')"
+_LABEL = rf"array_join(transform(split({_STEM}, '(?<!\\p{{L}})(?=\\p{{L}})'), w -> concat(upper(left(w, 1)), lower(substr(w, 2)))), '')"
+
+
+def _escaped(text: str) -> str:
+    return f"replace(replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+#: Each book's table of contents: the first heading of each content document in reading order.
+_CONTENTS = f"""SELECT doc_id, concat('<ol>', array_join(transform(array_sort(collect_list(struct(ord, href, said))), e -> concat('<li><a href="', {_escaped('e.href')}, '">', {_escaped('e.said')}, '</a></li>')), ''), '</ol>') AS toc
+  FROM (SELECT s.doc_id, s.ord, i.href, coalesce(h.said, {_LABEL}) AS said FROM epub_spine s JOIN epub_item i ON s.doc_id = i.doc_id AND s.idref = i.item_id AND i.href <> ''
+    LEFT JOIN (SELECT doc_id, content_doc, min_by(coalesce(nullif({strip('inner_text')}, ''), concat('Heading ', substr(el, 2))), ord) AS said FROM html_el WHERE el rlike '^h[1-6]$' GROUP BY doc_id, content_doc) h ON h.doc_id = i.doc_id AND h.content_doc = i.part) GROUP BY doc_id"""
 FIXES: list[tuple[str, str, str]] = [
     ("fix_pdf", "PDFUA.METADATA.TITLE", f"SELECT doc_id, 'title' AS target, 'fixed' AS status, '{TITLE}' AS new {_PDF} AND {blank('title')}"),
     ("fix_pdf", "PDFUA.METADATA.DISPLAY_TITLE", f"SELECT doc_id, 'display title' AS target, 'fixed' AS status, 'true' AS new {_PDF} AND NOT coalesce(display_doc_title, false)"),
@@ -54,7 +68,8 @@ FIXES: list[tuple[str, str, str]] = [
     ("fix_epub", "EPUB-E003", f"SELECT doc_id, 'language' AS target, 'fixed' AS status, 'en' AS new FROM epub_pkg WHERE {blank('language')}"),
     ("fix_epub", "EPUB-T002", f"SELECT doc_id, 'creator' AS target, 'fixed' AS status, '{AUTHOR}' AS new FROM epub_pkg WHERE {blank('creator')}"),
     ("fix_epub", "EPUB-E007", f"SELECT doc_id, p.property AS target, 'fixed' AS status, p.text AS new FROM epub_pkg LATERAL VIEW explode(array(struct('schema:accessMode' AS property, 'textual' AS text), struct('schema:accessibilityFeature' AS property, 'structuralNavigation' AS text), struct('schema:accessibilitySummary' AS property, '{SUMMARY}' AS text))) AS p WHERE coalesce(version, '3.0') NOT LIKE '2%' AND NOT exists(coalesce(metas, array()), m -> m.property = p.property)"),
-    ("fix_epub", "EPUB-E004", "SELECT doc_id, 'navigation' AS target, 'fixed' AS status, 'table of contents' AS new FROM epub_pkg WHERE coalesce(version, '3.0') NOT LIKE '2%' AND (NOT coalesce(nav_present, false) OR NOT array_contains(coalesce(nav_types, array()), 'toc'))"),
+    ("fix_epub", "EPUB-E004", f"SELECT p.doc_id, 'navigation' AS target, CASE WHEN toc IS NULL THEN 'needs-human' ELSE 'fixed' END AS status, toc AS new FROM (SELECT doc_id FROM epub_pkg WHERE {_OPEN_NAV}) p LEFT JOIN ({_CONTENTS}) t ON p.doc_id = t.doc_id"),
+    ("fix_epub", "EPUB-E005", "SELECT doc_id, concat(content_doc, ' element ', ord) AS target, 'fixed' AS status, concat('TODO: Describe ', coalesce(attrs['src'], 'image')) AS new FROM html_el WHERE el = 'img' AND attrs['alt'] IS NULL"),
     ("fix_epub", "EPUB-E006", "SELECT s.doc_id, concat('spine ', ord) AS target, 'fixed' AS status, CASE WHEN i.item_id IS NULL THEN 'remove dangling' ELSE 'remove duplicate' END AS new FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, idref ORDER BY ord) AS nth FROM epub_spine) s LEFT JOIN epub_item i ON s.doc_id = i.doc_id AND s.idref = i.item_id WHERE nth > 1 OR i.item_id IS NULL"),
     # each repaired level is the least of the heading's own and one more than the repaired one before
     ("fix_epub", "EPUB-W003", f"SELECT doc_id, concat(content_doc, ' heading ', k) AS target, 'fixed' AS status, concat('h', repaired) AS new FROM (SELECT *, k + min(level - k) OVER (PARTITION BY doc_id, content_doc ORDER BY k) AS repaired FROM {_HTML}) WHERE repaired < level"),

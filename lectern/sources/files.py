@@ -261,7 +261,7 @@ def _epub(z: zipfile.ZipFile) -> Iterator[tuple[str, dict]]:
     points = _xml(z, ncx) if ncx else None
     yield "epub_pkg", {"version": pkg.get("version"), "unique_identifier": pkg.get("unique-identifier"), "title": pkg.findtext(f".//{DC}title"), "language": pkg.findtext(f".//{DC}language"), "creator": pkg.findtext(f".//{DC}creator"), "description": pkg.findtext(f".//{DC}description"), "identifiers": [{"id": i.get("id"), "text": i.text} for i in pkg.iter(DC + "identifier")], "metas": [{"property": m.get("property") or m.get("name"), "text": m.text or m.get("content")} for m in pkg.iter(OPF + "meta")], "nav_present": root is not None, "nav_types": [] if root is None else [n.get(OPS + "type") for n in root.iter(XHTML + "nav") if n.get(OPS + "type")], "ncx_points": 0 if points is None else sum(1 for e in points.iter() if e.tag.endswith("}navPoint")), "spine_present": pkg.find(OPF + "spine") is not None, "manifest_present": pkg.find(OPF + "manifest") is not None}
     for key, i in items.items():
-        yield "epub_item", {"item_id": key, "href": i.get("href"), "media_type": i.get("media-type"), "properties": i.get("properties")}
+        yield "epub_item", {"item_id": key, "href": i.get("href"), "media_type": i.get("media-type"), "properties": i.get("properties"), "part": place(i.get("href")) if i.get("href") else None}
     for i, ref in enumerate(spine):
         yield "epub_spine", {"ord": i, "idref": ref}
     for ref in (r for r in dict.fromkeys(spine) if r in items):

@@ -12,7 +12,7 @@ SCHEMAS: dict[str, str] = {
     "md_text": "doc_id BIGINT, text STRING",
     "html_el": "doc_id BIGINT, content_doc STRING, ord INT, parent_ord INT, post INT, el STRING, attrs MAP<STRING,STRING>, inner_text STRING",
     "epub_pkg": "doc_id BIGINT, version STRING, unique_identifier STRING, title STRING, language STRING, creator STRING, description STRING, identifiers ARRAY<STRUCT<id:STRING,text:STRING>>, metas ARRAY<STRUCT<property:STRING,text:STRING>>, nav_present BOOLEAN, nav_types ARRAY<STRING>, ncx_points INT, spine_present BOOLEAN, manifest_present BOOLEAN",
-    "epub_item": "doc_id BIGINT, item_id STRING, href STRING, media_type STRING, properties STRING",
+    "epub_item": "doc_id BIGINT, item_id STRING, href STRING, media_type STRING, properties STRING, part STRING",
     "epub_spine": "doc_id BIGINT, ord INT, idref STRING",
     "para": "doc_id BIGINT, ord INT, style STRING, text STRING, has_numpr BOOLEAN",
     "drawing": "doc_id BIGINT, ord INT, kind STRING, descr STRING, title STRING, has_docpr BOOLEAN",

@@ -27,7 +27,7 @@ def test_arrays_grow_rows_drop_and_headings_are_renamed(spark):
     tables = {
         "epub_pkg": table(spark, "epub_pkg", dict(doc_id=1, title="B", language="en", creator="C", version="3.0", metas=[("schema:accessMode", "a=b")], nav_present=False)),
         "epub_spine": table(spark, "epub_spine", dict(doc_id=1, ord=1, idref="a"), dict(doc_id=1, ord=2, idref="a"), dict(doc_id=1, ord=3, idref="gone")),
-        "epub_item": table(spark, "epub_item", dict(doc_id=1, item_id="a")),
+        "epub_item": table(spark, "epub_item", dict(doc_id=1, item_id="a", href="c.xhtml", part="c")),
         "html_el": table(spark, "html_el", *(dict(doc_id=1, content_doc="c", ord=i, post=i, el=e, attrs={}) for i, e in enumerate(["h1", "p", "h4", "h5"]))),
     }
     before, plan, after = fix_loop.run(spark, tables, ("epub",))
@@ -40,6 +40,27 @@ def test_arrays_grow_rows_drop_and_headings_are_renamed(spark):
     assert [(r.ord, r.idref) for r in out["epub_spine"].collect()] == [(1, "a")]
 
 
+def test_tables_of_contents_and_image_texts(spark):
+    """Per book: first headings in reading order, file names where there are none, nothing to list, old versions, repeats."""
+    pkg = lambda d, **m: dict(doc_id=d, version="3.0", title="B", language="en", creator="C", nav_present=True, nav_types=[]) | m
+    item = lambda d, i, href, part: dict(doc_id=d, item_id=i, href=href, part=part)
+    el = lambda d, part, o, e, text, **attrs: dict(doc_id=d, content_doc=part, ord=o, post=o, el=e, attrs=attrs, inner_text=text)
+    tables = {
+        "epub_pkg": table(spark, "epub_pkg", pkg(1), pkg(2), pkg(3, version="2.0"), pkg(4, nav_types=["toc"]), pkg(5, nav_present=None, version=None)),
+        "epub_item": table(spark, "epub_item", item(1, "a", 'x/"a".xhtml', "o/a"), item(1, "b", "two_words-3rd.x.xhtml", "o/b"), item(1, "c", "c.xhtml", "o/c"), item(1, "d", None, None), item(3, "a", "a", "a"), item(5, "a", ".hidden", None)),
+        "epub_spine": table(spark, "epub_spine", *(dict(doc_id=1, ord=i, idref=x) for i, x in enumerate(["b", "a", "gone", "d", "c", "a"])), dict(doc_id=2, ord=0, idref="a"), dict(doc_id=3, ord=0, idref="a"), dict(doc_id=5, ord=0, idref="a")),
+        "html_el": table(spark, "html_el", el(1, "o/a", 3, "h1", "Late"), el(1, "o/a", 1, "h4", " A < B & C "), el(1, "o/c", 0, "h2", "  "), el(1, "o/b", 0, "p", "x"), el(1, "o/b", 1, "img", "", src="p.png", role="img"), el(1, "o/b", 2, "img", "", alt=""), el(2, "o/b", 1, "img", "")),
+    }
+    before, plan, after = fix_loop.run(spark, tables, ("epub",))
+    nav = {r.doc: (r.status, r.new) for r in plan.filter("rule = 'EPUB-E004'").collect()}
+    a = '<li><a href="x/&quot;a&quot;.xhtml">A &lt; B &amp; C</a></li>'
+    assert nav == {1: ("fixed", f'<ol><li><a href="two_words-3rd.x.xhtml">Two Words 3Rd.X</a></li>{a}<li><a href="c.xhtml">Heading 2</a></li>{a}</ol>'), 2: ("needs-human", None), 5: ("fixed", '<ol><li><a href=".hidden">.Hidden</a></li></ol>')}
+    assert sorted((r.doc, r.target, r.new) for r in plan.filter("rule = 'EPUB-E005'").collect()) == [(1, "o/b element 1", "TODO: Describe p.png"), (2, "o/b element 1", "TODO: Describe image")]
+    out = fix_loop.apply_plan(spark, tables, plan)["html_el"].filter("el = 'img'").orderBy("doc_id", "ord").collect()
+    assert [r.attrs for r in out] == [{"src": "p.png", "role": "img", "alt": "TODO: Describe p.png"}, {"alt": ""}, {"alt": "TODO: Describe image"}]
+    assert {r.doc for r in before.filter("rule = 'EPUB-E004'").collect()} >= {1, 2, 5} and not {1, 5} & {r.doc for r in after.filter("rule = 'EPUB-E004'").collect()}
+
+
 def test_only_what_is_wanted_is_repaired(spark):
     tables = {"doc": table(spark, "doc", dict(doc_id=1, type="docx", access_ok=True), dict(doc_id=2, type="docx", access_ok=True), dict(doc_id=3, type="docx", access_ok=False))}
     wanted = spark.createDataFrame([(1, "DOCX-META.TITLE"), (2, "DOCX-META.LANG")], "doc long, rule string")

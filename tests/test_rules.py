@@ -195,3 +195,19 @@ def test_every_rule_has_findings(spark, sf_dir):
 
     got = rule_findings(spark, sf_dir).groupBy("scanner", "rule").count().collect()
     assert {(r.scanner, r.rule) for r in got} == {(s, r.id) for s, group in rules.REGISTRY.items() for r in group}
+
+
+def test_findings_lie_on_documents_of_their_type_and_spare_some(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from lectern import facts
+    from lectern.operators.audits import ALWAYS_ON
+    from lectern.queries import findings_scores, rule_findings
+
+    doc = facts.tables(spark, sf_dir, {"doc"})["doc"]
+    of = {r["type"]: r["n"] for r in doc.filter("access_ok").groupBy("type").agg(F.count("*").alias("n")).collect()}
+    found = rule_findings(spark, sf_dir).join(doc.select(F.col("doc_id").alias("doc"), F.col("type").alias("own"), "access_ok"), "doc")
+    assert found.filter("type <> own OR access_ok = (scanner = 'scan')").count() == 0
+    rows = found.filter("scanner <> 'scan'").groupBy("scanner", "rule", "own").agg(F.count_distinct("doc").alias("docs")).collect()
+    assert {r.rule for r in rows if r.docs == of[r.own]} <= set(ALWAYS_ON)
+    assert {r.grade for r in findings_scores(spark, sf_dir).filter("family = 'tools'").collect()} == set("ABCDF")
