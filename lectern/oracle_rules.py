@@ -299,6 +299,7 @@ def oracle_sql() -> dict[str, str]:
     out["findings_summary"] = f"""{ALL} SELECT rule, CAST(min(CASE lower(severity) WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS INT) AS level, count(DISTINCT doc) AS files, count(*) AS findings FROM found GROUP BY rule"""
     out["findings_by_page"] = f"{ALL} SELECT doc, page, count(*) FILTER ({_BAD}) AS errors, count(*) FILTER ({_WARN}) AS warnings, count(*) AS n FROM found WHERE page IS NOT NULL GROUP BY doc, page"
     files = """WITH f AS (SELECT doc_id AS k, 'in/' || coalesce(source, 'none') || '/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.txt' END AS path, 'in/' || coalesce(source, 'none') AS folder, CASE WHEN doc_id % 3 = 0 THEN 'md' ELSE 'txt' END AS type, text FROM documents)"""
+    out["inventory_file"] = "SELECT doc_id, nullif(source, '') AS source, nullif(lang, '') AS lang, length(text) AS characters FROM documents"
     out["inventory_delta"] = f"""{files}, x AS (SELECT folder, type, k, k % 17 <> 3 AS was, k % 19 <> 5 AS lives, k % 7 = 0 AS other FROM f)
       SELECT folder, type, count(*) FILTER (NOT was AND lives) AS new, count(*) FILTER (was AND lives AND other) AS changed, count(*) FILTER (was AND lives AND NOT other) AS unchanged, count(*) FILTER (was AND NOT lives) AS deleted, count(*) FILTER (was AND lives AND k % 7 = 1) AS touched
       FROM x WHERE was OR lives GROUP BY folder, type"""

@@ -11,6 +11,7 @@ from lectern.functions.text import contrast_ratio, pdf_date, split_lines, strip
 from lectern.operators import analytics, audits, export, fix_loop, history, images, incremental, markdown, repair, reports, scoring, tree
 from lectern import facts
 from lectern.plans import dims, fixes, rules
+from lectern.sources import single_file
 from lectern.sources.files import mapped_clauses, page_elements
 from lectern.storage import new_path, small, stored
 from lectern.streaming import scan
@@ -719,6 +720,15 @@ def inventory_delta(spark, sf):
     return incremental.delta_inventory(incremental.delta(before, after).withColumn("folder", folder), "folder", "type")
 
 
+@query
+def inventory_file(spark, sf):
+    """An inventory of all documents as one spreadsheet file in order of their ids, read back."""
+    path = f"{new_path(spark, 'inventory')}.csv"
+    rows = table(spark, sf, "documents").select("doc_id", "source", "lang", F.length("text").alias("characters"))
+    single_file.write_csv(rows, path, ["doc_id"])
+    return spark.read.schema("doc_id long, source string, lang string, characters long").option("header", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
+
+
 @query
 def incremental_findings(spark, sf):
     before, after = _snapshots(spark, sf)
