@@ -24,3 +24,16 @@ def test_patterns_at_every_level(spark):
     wide = {(r.folder, r.wcag, r.types, r.files) for r in analytics.criteria_across_types(found, docs).collect()}
     assert wide == {(f, "1.1.1", "docx, pdf", 2) for f in ("", "a", "a/b")}
     assert analytics.folder_patterns(found.limit(0), docs).count() == 0
+
+
+def test_equal_places_are_settled_by_the_order_of_the_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lectern.queries import queries
+
+    flags = ["R", "A", "N"]
+    rows = [(1, 12 * k, flags[(i + k) % 3], 1) for i in range(60) for k in range(12)] + [(1, 12 * k + 1, flags[k % 3], 2) for k in range(12)]
+    table = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_returnflag string, l_linenumber int").withColumn("l_shipdate", F.lit(None).cast("timestamp"))
+    table.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.rule: r.severity for r in queries()["consolidate_pages"](spark, str(tmp_path)).collect()}
+    assert got == {"R0": "Error", "R1": "Error"}
