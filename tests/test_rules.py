@@ -211,3 +211,22 @@ def test_findings_lie_on_documents_of_their_type_and_spare_some(spark, sf_dir):
     rows = found.filter("scanner <> 'scan'").groupBy("scanner", "rule", "own").agg(F.count_distinct("doc").alias("docs")).collect()
     assert {r.rule for r in rows if r.docs == of[r.own]} <= set(ALWAYS_ON)
     assert {r.grade for r in findings_scores(spark, sf_dir).filter("family = 'tools'").collect()} == set("ABCDF")
+
+
+def test_every_order_and_line_item_is_a_part_of_a_document_of_each_type(spark, sf_dir):
+    """No part is left out of the facts, and all lie on documents that there are."""
+    from lectern import facts
+
+    orders, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    o, n = orders.count(), lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).count()
+    got = facts.tables(spark, sf_dir)
+    owners = orders.select("o_custkey").distinct().count()
+    assert got["struct_node"].filter("parent_id is not null").count() == o + 2 * n
+    per_order = ("form_field", "widget", "pdf_page", "drawing", "doc_table", "hdrftr", "sheet", "xl_table", "validation", "xl_drawing", "slide", "run_link", "deck_section", "mcid_tree", "mcid_paint")
+    assert {t: got[t].count() for t in per_order} == dict.fromkeys(per_order, o)
+    assert {t: got[t].count() for t in ("para", "note", "sheet_row", "shape")} == dict.fromkeys(("para", "note", "sheet_row", "shape"), n)
+    assert got["hyperlink"].count() == 2 * n and got["html_el"].count() == o + n
+    assert got["md_text"].selectExpr("sum(size(split(text, '\n')))").first()[0] == n
+    assert got["form_field"].select("doc_id").distinct().count() == owners
+    for name, table in got.items():
+        assert table.join(got["doc"].filter("access_ok"), "doc_id", "left_anti").count() == (got["doc"].filter("not access_ok").count() if name == "doc" else 0), name
