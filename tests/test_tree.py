@@ -79,3 +79,13 @@ def test_misplaced(spark, parent, child):
     rows = [(1, 1, None, 0, parent, None), (1, 2, 1, 0, child or "TOCI", None)]
     got = [(r.tag, r.parent_tag) for r in tree.misplaced(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert got == ([(child, parent)] if child else [])
+
+
+def test_nesting_of_intervals(spark):
+    """A chain of 3000, siblings, one alone, and others that end together; no pair of intervals is made."""
+    from lectern.operators import tree
+
+    rows = [(1, i, 2999) for i in range(3000)] + [(2, 0, 9), (2, 1, 4), (2, 5, 9), (2, 6, 9), (2, 9, 9)] + [(3, 7, 7)]
+    got = tree.nesting(spark.createDataFrame(rows, "doc_id long, preorder int, post int"))
+    assert {r.doc_id: r.depth for r in got.collect()} == {1: 3000, 2: 4, 3: 1}
+    assert "BETWEEN" not in got._jdf.queryExecution().toString().upper() and "NestedLoop" not in got._jdf.queryExecution().toString()
