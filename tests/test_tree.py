@@ -89,3 +89,19 @@ def test_nesting_of_intervals(spark):
     got = tree.nesting(spark.createDataFrame(rows, "doc_id long, preorder int, post int"))
     assert {r.doc_id: r.depth for r in got.collect()} == {1: 3000, 2: 4, 3: 1}
     assert "BETWEEN" not in got._jdf.queryExecution().toString().upper() and "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_elements_without_children_take_no_part_in_the_rounds(spark, monkeypatch):
+    from lectern.operators import tree
+
+    most, rounds = [], tree._rounds
+
+    def counted(state, step, name):
+        most.append(state.count())
+        return rounds(state, step, name)
+
+    monkeypatch.setattr(tree, "_rounds", counted)
+    star = [(1, i, None if i == 0 else 0, -i) for i in range(41)] + [(2, 0, None, 0), (3, 5, 6, 0), (3, 6, 5, 0), (3, 7, 5, 0), (4, 1, 9, 0)]
+    got = tree.labelled(spark.createDataFrame(star, "doc_id long, node_id long, parent_id long, ord int"))
+    assert {(r.doc_id, r.node_id, r.depth, r.preorder, r.post) for r in got.collect()} == {(1, 0, 1, 1, 41), (2, 0, 1, 1, 1)} | {(1, i, 2, 42 - i, 42 - i) for i in range(1, 41)}
+    assert most == [4, 2]
