@@ -230,3 +230,23 @@ def test_every_order_and_line_item_is_a_part_of_a_document_of_each_type(spark, s
     assert got["form_field"].select("doc_id").distinct().count() == owners
     for name, table in got.items():
         assert table.join(got["doc"].filter("access_ok"), "doc_id", "left_anti").count() == (got["doc"].filter("not access_ok").count() if name == "doc" else 0), name
+
+
+def test_trimming_and_blanks_equal_the_pattern(spark):
+    """Also for each white space by itself and for controls that are none."""
+    from lectern.functions.text import SPACE
+
+    texts = [None, "", "a b", " a ", " x　", "\t\n", "x\x00", *(chr(i) + "y" + chr(i) for i in (*range(1, 33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))]
+    df = spark.createDataFrame([(t,) for t in texts] + [(chr(i),) for i in (9, 28, 0x85, 0x2003)], "t string")
+    pattern = "regexp_replace(coalesce(t, ''), '^" + SPACE.replace("\\", "\\\\") + "+|" + SPACE.replace("\\", "\\\\") + "+$', '')"
+    got = df.selectExpr("t", f"{rules.strip('t')} AS a", f"{pattern} AS b", f"{rules.blank('t')} AS c").collect()
+    assert [r for r in got if r.a != r.b or r.c != (r.b == "")] == []
+
+
+def test_conditions_of_a_shared_scan_are_compiled(spark):
+    """No higher-order function around them: what is inside one is interpreted row by row."""
+    spark.createDataFrame([(1, "")], "doc_id long, a string").createOrReplaceTempView("compiled_hits")
+    sql = rules._fused("compiled_hits", False, [(1, rules.row("compiled_hits", rules.blank("a"))), (2, rules.row("compiled_hits", "a = 'x'"))])
+    got = spark.sql(sql)
+    assert [r.number for r in got.collect()] == [1]
+    assert "lambdafunction" not in got._jdf.queryExecution().optimizedPlan().toString()
