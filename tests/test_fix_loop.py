@@ -110,3 +110,27 @@ def test_nested_tables_and_sections(spark, depth):
     assert sum(r[1] == "PDFBP.TABLE_SCOPE" for r in got) == depth
     assert [r[5] for r in got if r[1] == "PDFBP.TABLE_HEADERS"] == [str(depth + 1)]
     assert [(r[0], r[6]) for r in got if r[1] == "PDFBP.SECT_NESTING"] == [(2, depth)]
+
+
+def test_repairs_move_no_table_that_lies_by_documents_and_rescan_only_what_they_touch(spark):
+    from lectern.plans import fixes
+    from lectern.storage import by_documents, table_by
+
+    els = table(spark, "html_el", *(dict(doc_id=d, content_doc="c", ord=i, post=i, el=e, attrs={}) for d in range(9) for i, e in enumerate(["h1", "img", "h4", "h5"])))
+    lying = spark.table(table_by(els.repartition(3, "doc_id"), "html", 3))
+    changes = fix_loop.patches(spark, fixes.planned(spark, {"html_el": els}, ("fix_epub",)))
+    assert changes.count() == 27  # two headings and an image a document
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        with by_documents(spark):
+            got = fix_loop.patched(lying, "html_el", spark.table(table_by(changes.repartition(3, "doc_id"), "changes", 3)), 3)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1  # the patches' own
+    rows = lambda df: sorted((r.doc_id, r.ord, r.el, r.attrs.get("alt")) for r in df.collect())
+    assert rows(got) == rows(fix_loop.patched(els, "html_el", changes))
+    assert [r[2] for r in rows(got)[:4]] == ["h1", "img", "h2", "h3"]
+    same = spark.createDataFrame([(1, "docx", "DOCX-LIST.SEMANTIC", "no table of it is repaired"), (1, "docx", "DOCX-META.TITLE", "repaired")], "doc long, scanner string, rule string, message string")
+    before = rules.findings(spark, {}, ("docx",)).limit(0).unionByName(same, allowMissingColumns=True)
+    assert [r.message for r in fix_loop.scanned(spark, {}, ("docx",), "after", before).collect()] == ["no table of it is repaired"]
