@@ -105,3 +105,16 @@ def test_elements_without_children_take_no_part_in_the_rounds(spark, monkeypatch
     got = tree.labelled(spark.createDataFrame(star, "doc_id long, node_id long, parent_id long, ord int"))
     assert {(r.doc_id, r.node_id, r.depth, r.preorder, r.post) for r in got.collect()} == {(1, 0, 1, 1, 41), (2, 0, 1, 1, 1)} | {(1, i, 2, 42 - i, 42 - i) for i in range(1, 41)}
     assert most == [4, 2]
+
+
+def test_places_are_counted_by_ranges_without_another_shuffle(spark):
+    from lectern.operators import tree
+
+    star = [(1, i, None if i == 0 else 0, -i, "P", [i], False) for i in range(401)] + [(2, 0, None, 0, "Form", [], True)]
+    nodes = tree.labelled(spark.createDataFrame(star, "doc_id long, node_id long, parent_id long, ord int, tag string, mcids array<int>, has_objr boolean"))
+    got = tree.leaves(nodes)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan and plan.count("Exchange") == plan.count("BroadcastExchange")
+    assert sorted((r.doc_id, r.node_id, r.kind, r.place) for r in got.collect()) == [(1, i, "text", 400 - i) for i in range(1, 401)] + [(2, 0, "form", 0)]
+    unlabelled = tree.leaves(nodes.drop("post"))
+    assert sorted(map(tuple, unlabelled.collect())) == sorted(map(tuple, got.collect()))
