@@ -42,3 +42,9 @@ def test_orders_without_line_items_and_line_items_without_orders(spark, tmp_path
     spark.createDataFrame([(7, 1, 5), (7, 1, 5), (9, 2, 6), (3, 1, 4), (None, 1, 4)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = facts.tables(spark, str(tmp_path), {"sheet", "para", "html_el", "struct_node"})
     assert {name: df.count() for name, df in got.items()} == {"sheet": 4, "para": 4, "html_el": 8, "struct_node": 2 + 4 + 8}
+
+
+def test_parts_that_one_stored_table_reads_are_not_stored_too(spark, sf_dir):
+    facts.tables(spark, sf_dir, {"md_text", "struct_node"})
+    names = {name for app, sf, name in facts._written if app == spark.sparkContext.applicationId and sf == sf_dir}
+    assert {"md_text", "struct_node"} <= names and not names & {"parts-md", "parts-pdf-owned"}
