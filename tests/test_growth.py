@@ -22,6 +22,17 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+FOUND = "doc long, type string, rule string, severity string, wcag string, fix string"
+
+
+def test_remediation_rows_sort_no_findings(spark):
+    rows = [(1, "pdf", "R", "Error", "1.1.1", "t"), (1, "pdf", "R", "Error", "1.1.1", "t"), (2, "docx", "R", "Error", "1.1.1", None), (2, "docx", "R", None, None, None), (None, None, "S", "Info", "2.4.2", None), (3, "md", "S", "Info", "2.4.2", None)]
+    got = audits.csv_remediation(spark.createDataFrame(rows, FOUND), 4, dims.tier_dim(spark))
+    assert not re.search(r"(Sort|ObjectHash)Aggregate\(keys?=\[[^\]]*doc#", plan(got))
+    said = {(r.rule_id, r.severity): (r.file_type, r.affected_files, r.total_instances, r.wcag_criteria, r.fix_steps) for r in got.collect()}
+    assert said == {("R", "Error"): ("DOCX, PDF", "2", "3", "1.1.1", "t"), ("R", ""): ("DOCX", "1", "1", "", "manual"), ("S", "Info"): ("MD", "1", "2", "2.4.2", "manual")}
+
+
 def test_rules_hand_no_fact_table_to_every_task(spark, sf_dir, broadcasting):
     tables = facts.tables(spark, sf_dir, rules.needed(("tags",)))
     with by_documents(spark):
