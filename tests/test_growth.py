@@ -33,6 +33,14 @@ def test_remediation_rows_sort_no_findings(spark):
     assert said == {("R", "Error"): ("DOCX, PDF", "2", "3", "1.1.1", "t"), ("R", ""): ("DOCX", "1", "1", "", "manual"), ("S", "Info"): ("MD", "1", "2", "2.4.2", "manual")}
 
 
+def test_tier_badges_sort_no_findings(spark):
+    rule = dims.tier_dim(spark).first()
+    rows = [(d, "pdf", rule.rule, "Error", None, None) for d in (1, 1, 2, None)]
+    got = audits.tier_badges(spark.createDataFrame(rows, FOUND), dims.tier_dim(spark), 4)
+    assert not re.search(r"(Sort|ObjectHash)Aggregate\(keys?=\[[^\]]*doc#", plan(got))
+    assert [r.badge.split(": ", 1)[1] for r in got.collect()] == [f"2 of 4 files: {rule.rule}"]
+
+
 def test_rules_hand_no_fact_table_to_every_task(spark, sf_dir, broadcasting):
     tables = facts.tables(spark, sf_dir, rules.needed(("tags",)))
     with by_documents(spark):
