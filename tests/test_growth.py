@@ -25,6 +25,18 @@ def plan(df):
 FOUND = "doc long, type string, rule string, severity string, wcag string, fix string"
 
 
+@pytest.mark.parametrize("name", ["folder_patterns", "criteria_across_types"])
+def test_documents_of_folders_stay_with_the_tasks(spark, broadcasting, tmp_path, name):
+    spark.createDataFrame([(1, "a/b/1.pdf"), (2, "/2.docx"), (3, "3.md")], "doc long, path string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    found = spark.createDataFrame([(1, "pdf", "R", "1.1.1"), (2, "docx", "R", "1.1.1"), (3, "md", "R", "1.1.1")], "doc long, type string, rule string, wcag string")
+    got = getattr(analytics, name)(found, docs)
+    assert not re.search(r"BroadcastHashJoin \[doc#", plan(got))
+    rows = {tuple(r) for r in got.collect()}
+    # a path that begins with a slash lies in two folders without a name
+    assert rows == ({("", "R", 4, 4, "systemic"), ("a", "R", 1, 1, "isolated"), ("a/b", "R", 1, 1, "isolated")} if name == "folder_patterns" else {("", "1.1.1", "docx, md, pdf", 4)})
+
+
 def test_remediation_rows_sort_no_findings(spark):
     rows = [(1, "pdf", "R", "Error", "1.1.1", "t"), (1, "pdf", "R", "Error", "1.1.1", "t"), (2, "docx", "R", "Error", "1.1.1", None), (2, "docx", "R", None, None, None), (None, None, "S", "Info", "2.4.2", None), (3, "md", "S", "Info", "2.4.2", None)]
     got = audits.csv_remediation(spark.createDataFrame(rows, FOUND), 4, dims.tier_dim(spark))
